@@ -24,7 +24,7 @@ QA_PAIRS = T.StructType([
     T.StructField("accepted_answer_body", T.StringType(), True),
 ])
 
-VECTOR = T.ArrayType(T.FloatType(), False)
+VECTOR = T.ArrayType(T.FloatType(), True)
 
 # The document index: content id, text, vector; id_prefix is the partition
 # column used for partition-scoped upserts.
