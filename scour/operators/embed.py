@@ -39,33 +39,53 @@ ERR_ZERO = "zero vector"
 ERR_TOO_LONG = "input too long"
 
 
+# Marker elements: a space can never be a token (tokens are split on spaces).
+_ROW_MARK = " "
+_LONG_MARK = "  "
+_ROW_CELL, _LONG_CELL = -1, -2
+
+
 def hash_embed(df: DataFrame, key: str, text: str, dim: int = DEFAULT_DIM,
                max_chars: int | None = None) -> DataFrame:
-    """Embed ``text`` per distinct ``key`` with the hash rule (JVM side)."""
-    src = df.select(key, text)
-    too_long = (F.length(text) > F.lit(max_chars)) if max_chars else F.lit(False)
-    ok_src = src.filter(~too_long | F.col(text).isNull())
-    toks = (ok_src.select(key, F.explode(F.split(F.lower(F.col(text)), TOKEN_SPLIT)).alias("tok"))
-            .filter(F.col("tok") != ""))
+    """Embed ``text`` per ``key`` with the hash rule, in one pass (JVM side).
+
+    Each input row contributes one marker element besides its tokens, so the
+    per-(key, cell) partial aggregate also counts the copies of a key and its
+    too-long copies. Copies of one text add identical integer sums, so the
+    sums are divided by the copy count exactly: duplicates need no text
+    shuffle, sort or join, and give the same vector as one copy.
+    """
+    t = F.col(text)
+    too_long = (F.length(t) > F.lit(max_chars)) if max_chars else F.lit(False)
+    body = F.when(~too_long, F.split(F.lower(t), TOKEN_SPLIT))
+    elems = F.concat(F.array(F.when(too_long, F.lit(_LONG_MARK)).otherwise(F.lit(_ROW_MARK))),
+                     F.coalesce(body, F.array().cast("array<string>")))
+    toks = df.select(key, F.explode(elems).alias("tok")).filter(F.col("tok") != "")
     code = F.conv(F.substring(F.md5(F.col("tok")), 1, HASH_HEX_DIGITS), 16, 10).cast("long")
-    cells = toks.select(key, (F.floor(code / 16) % dim).cast("int").alias("cell"),
-                        F.when(code % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).alias("sgn"))
-    per_cell = cells.groupBy(key, "cell").agg(F.sum("sgn").alias("w"))
+    cell = (F.when(F.col("tok") == _ROW_MARK, F.lit(_ROW_CELL))
+            .when(F.col("tok") == _LONG_MARK, F.lit(_LONG_CELL))
+            .otherwise((F.shiftright(code, 4) % dim).cast("int")))
+    sgn = F.when(F.col("tok").isin(_ROW_MARK, _LONG_MARK) | (code % 2 == 0), F.lit(1)).otherwise(F.lit(-1))
+    per_cell = (toks.select(key, cell.alias("cell"), sgn.alias("sgn"))
+                .groupBy(key, "cell").agg(F.sum("sgn").alias("w")))
+    is_vec = F.col("cell") >= 0
     per_key = per_cell.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("cell", "w"))).alias("m"),
-        F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias("norm"))
+        F.map_from_entries(F.collect_list(F.when(is_vec, F.struct("cell", "w")))).alias("m"),
+        F.sum(F.when(is_vec, F.col("w").cast("decimal(38,0)") * F.col("w"))).alias("ssq"),
+        F.count(F.when(is_vec, 1)).alias("ncells"),
+        F.max(F.when(F.col("cell") == _ROW_CELL, F.col("w"))).alias("copies"),
+        F.max(F.when(F.col("cell") == _LONG_CELL, F.col("w"))).alias("long_copies"))
+    copies = F.col("copies").cast("long")
+    norm = F.sqrt((F.col("ssq") / (copies * copies)).cast("double"))
+    # per-copy cell sum (an exact integer) over the norm
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda j: (F.coalesce(F.element_at(F.col("m"), j), F.lit(0)).cast("double")
-                                 / F.col("norm")).cast("float"))
-    emb = per_key.select(key, F.when(F.col("norm") > 0, vec).alias("_v"),
-                         (F.col("norm") > 0).alias("_ok"))
-    status = src.select(key, too_long.alias("_long")).dropDuplicates([key])
-    out = status.join(emb, key, "left")
-    err = (F.when(F.col("_long"), F.lit(ERR_TOO_LONG))
-           .when(F.col("_ok").isNull(), F.lit(ERR_EMPTY))
-           .when(~F.col("_ok"), F.lit(ERR_ZERO)))
-    return out.select(key, F.col("_v").cast(T.ArrayType(T.FloatType())).alias("embedding"),
-                      err.alias("error"))
+                      lambda j: ((F.coalesce(F.element_at(F.col("m"), j), F.lit(0)) / copies)
+                                 .cast("long").cast("double") / norm).cast("float"))
+    err = (F.when(F.col("long_copies").isNotNull(), F.lit(ERR_TOO_LONG))
+           .when(F.col("ncells") == 0, F.lit(ERR_EMPTY))
+           .when(F.col("ssq") == 0, F.lit(ERR_ZERO)))
+    return per_key.select(key, F.when(err.isNull(), vec).cast(T.ArrayType(T.FloatType())).alias("embedding"),
+                          err.alias("error"))
 
 
 def hash_embed_text(text: str, dim: int = DEFAULT_DIM) -> list[float] | None:

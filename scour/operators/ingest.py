@@ -88,7 +88,8 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
     """Rows the sequential ingest loop would index, computed in one pass.
 
     ``source`` has a unique ``order_col``, a content id ``key`` and ``text``.
-    ``embed(df_with_key_text) -> (key, embedding, error)``.
+    ``embed(df_with_key_text) -> (key, embedding, error)``, one row per distinct
+    key; an embedder marked ``folds_copies`` accepts repeated keys itself.
     Returns ``(kept, rejects, batches)``:
       kept    - order_col, rn, batch_no, key, text, embedding
       rejects - order_col, rn, batch_no, key, error
@@ -97,7 +98,10 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
     """
     paged = plan_batches(source, order_col, offset, batch_size)
     fresh = skip_stored(paged, stored_ids, key)
-    vectors = embed(fresh.select(key, text).dropDuplicates([key]))
+    to_embed = fresh.select(key, text)
+    if not getattr(embed, "folds_copies", False):  # one call per distinct content id
+        to_embed = to_embed.dropDuplicates([key])
+    vectors = embed(to_embed)
     tagged = fresh.join(vectors, key, "left")
     ok = tagged.filter(F.col("error").isNull() & F.col("embedding").isNotNull())
     rejects = tagged.filter(F.col("error").isNotNull()) \

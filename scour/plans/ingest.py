@@ -28,6 +28,7 @@ def default_embedder(dim: int = DEFAULT_DIM, max_chars: int | None = None):
     def embed(df: DataFrame) -> DataFrame:
         key = df.columns[0]
         return hash_embed(df, key, df.columns[1], dim, max_chars)
+    embed.folds_copies = True
     return embed
 
 

@@ -82,13 +82,13 @@ def new_docs_anti(spark, sf):
     return skip_stored(docs, _stored_ids(spark, sf), "content_id")
 
 
-def _distinct_docs(spark, sf):
-    return (_t(spark, sf, "documents").select(content_id("text").alias("doc_id"), "text")
-            .dropDuplicates(["doc_id"]))
+def _keyed_docs(spark, sf):
+    """Documents keyed by content id; copies are folded by the embedder itself."""
+    return _t(spark, sf, "documents").select(content_id("text").alias("doc_id"), "text")
 
 
 def embed_hash(spark, sf):
-    e = hash_embed(_distinct_docs(spark, sf), "doc_id", "text", DIM)
+    e = hash_embed(_keyed_docs(spark, sf), "doc_id", "text", DIM)
     return (e.filter(F.col("error").isNull())
             .select("doc_id", F.posexplode("embedding").alias("cell", "x"))
             .filter(F.col("x") != 0)
@@ -97,7 +97,7 @@ def embed_hash(spark, sf):
 
 
 def embed_failures(spark, sf):
-    return hash_embed(_distinct_docs(spark, sf), "doc_id", "text", DIM, MAX_CHARS) \
+    return hash_embed(_keyed_docs(spark, sf), "doc_id", "text", DIM, MAX_CHARS) \
         .select("doc_id", F.col("error").isNull().alias("ok"), "error")
 
 
@@ -131,9 +131,11 @@ def index_schema_check(spark, sf):
 
 
 def _embedded(spark, docs):
-    d = docs.select(content_id("text").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    """(doc_id, text, embedding) per content id: the join that attaches the
+    text partitions by id, so the de-duplication after it adds no exchange."""
+    d = docs.select(content_id("text").alias("doc_id"), "text")
     e = hash_embed(d, "doc_id", "text", DIM).filter(F.col("error").isNull())
-    return d.join(e.select("doc_id", "embedding"), "doc_id")
+    return d.join(e.select("doc_id", "embedding"), "doc_id").dropDuplicates(["doc_id"])
 
 
 def index_upsert(spark, sf):

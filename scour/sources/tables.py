@@ -9,8 +9,24 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core.
+
+    A table stored as one large row group scans as one split, which would put
+    all scan-side work (hashing, tokenising, distances) on one core. Only then
+    is a round-robin exchange added; Catalyst still pushes filters and column
+    pruning below it, so only the needed columns move. On a cluster, where a
+    table has far more splits than cores, this is a no-op.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of one driver table; Catalyst prunes columns and pushes filters."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))

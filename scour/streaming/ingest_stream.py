@@ -24,7 +24,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, index_path: str, text:
     docs = batch.select(content_id(F.col(text)).alias("doc_id"), F.col(text).alias("text")) \
                 .filter(F.col("doc_id").isNotNull())
     stored = read_index(spark, index_path).select("doc_id")
-    fresh = skip_stored(docs, stored).dropDuplicates(["doc_id"])
+    fresh = skip_stored(docs, stored)
     vecs = (embed or (lambda d: hash_embed(d, "doc_id", "text", dim)))(fresh)
     ok = fresh.join(vecs.filter(F.col("error").isNull()).select("doc_id", "embedding"), "doc_id")
     append_new(spark, index_path, to_index_rows(ok, run_id))
