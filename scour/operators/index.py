@@ -1,8 +1,7 @@
 """The document index on plain Parquet: create, validate, keyed upsert, refresh.
 
 Layout: ``doc_id`` (SHA-256 hex of the text), ``text``, ``embedding``,
-``run_id`` and the partition column ``id_prefix`` (first two hex digits of the
-id, 256 partitions at most). A keyed write touches only the prefixes present
+``run_id`` and the partition column ``id_prefix`` (first hex digit of the id). A keyed write touches only the prefixes present
 in the new rows; those partitions are merged (newest ``run_id`` wins per id)
 into a staging folder in the shared checkpoint area and then swapped in with
 dynamic partition overwrite, so the index is never read and overwritten by the
@@ -18,7 +17,10 @@ from pyspark.sql import types as T
 from scour.schemas import INDEX
 from scour.session import scratch_path
 
-PREFIX_CHARS = 2
+# One hex digit: 16 prefix folders. Content ids are uniform hashes, so any
+# sizeable upsert touches every prefix whatever their number; finer prefixes
+# only add folders. Id lookups use the (prefix, id) sort inside the files.
+PREFIX_CHARS = 1
 
 
 def _write(df: DataFrame, path: str, mode: str) -> None:
@@ -56,8 +58,8 @@ def index_dimension(spark: SparkSession, path: str) -> int | None:
     return int(spark.read.parquet(f"{path}/_meta").first()["dimension"])
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    create_if_missing(spark, path)
+def read_index(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
+    create_if_missing(spark, path, dim)
     spark.catalog.refreshByPath(path)
     return spark.read.schema(INDEX).parquet(path)
 

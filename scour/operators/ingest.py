@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scour.session import checkpoint_dir
+
 _PID_SHIFT = 33  # monotonically_increasing_id puts the partition id above bit 33
 
 
@@ -84,7 +86,7 @@ def plan_batches(source: DataFrame, order_col: str, offset: int, batch_size: int
 def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
                embed, number_of_records: int = 1000, batch_size: int = 100,
                offset: int = 0, key: str = "doc_id", text: str = "text",
-               exact: bool = False):
+               exact: bool = False, materialize: bool = True):
     """Rows the sequential ingest loop would index, computed in one pass.
 
     ``source`` has a unique ``order_col``, a content id ``key`` and ``text``.
@@ -103,6 +105,11 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
         to_embed = to_embed.dropDuplicates([key])
     vectors = embed(to_embed)
     tagged = fresh.join(vectors, key, "left")
+    if materialize:
+        # embedded rows feed the kept rows, the rejects and the counters:
+        # a reliable checkpoint makes the embedder run once
+        checkpoint_dir(source.sparkSession)
+        tagged = tagged.checkpoint()
     ok = tagged.filter(F.col("error").isNull() & F.col("embedding").isNotNull())
     rejects = tagged.filter(F.col("error").isNotNull()) \
                     .select(order_col, "rn", "batch_no", key, "error")

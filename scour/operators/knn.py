@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scour.functions.vectors import l2_score, sq_l2
+from scour.session import checkpoint_dir
 
 # Slack on distance comparisons between the screening (matrix product) form
 # and the exact left-to-right form of the squared distance.
@@ -138,13 +139,18 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
         strategy: str = "auto", cells: int | None = None, nprobe: int = 1,
         exact: bool = True, broadcast_limit_bytes: int = 256 << 20,
         block_rows: int = 8192, query_block: int = 2048,
-        train_rows: int = 200_000, seed: int = 7) -> DataFrame:
+        train_rows: int = 200_000, seed: int = 7, materialize: bool = True) -> DataFrame:
     """k nearest corpus vectors for every query row.
 
     ``strategy="auto"`` uses ``scan`` when the query matrix is under
     ``broadcast_limit_bytes`` (counted first), else ``cells``.
     """
     queries = queries.select(F.col(qid), F.col(qvec)).filter(F.col(qvec).isNotNull())
+    if materialize:
+        # one reliable checkpoint: the embedder behind the queries runs once,
+        # however many times the strategy below reads them
+        checkpoint_dir(queries.sparkSession)
+        queries = queries.checkpoint(eager=True)
     corpus = corpus.select(F.col(cid), F.col(cvec)).filter(F.col(cvec).isNotNull())
     dim_row = queries.select(F.size(qvec).alias("d")).limit(1).collect()
     if not dim_row:
@@ -243,7 +249,8 @@ def train_centroids(corpus: DataFrame, cvec: str, cells: int, train_rows: int,
     frac = min(1.0, float(train_rows) / max(n, 1))
     sample = corpus.sample(False, frac, seed) if frac < 1.0 else corpus
     feats = sample.select(array_to_vector(F.col(cvec)).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=20, initMode="k-means||").fit(feats)
+    # centroid quality only changes how much the exact second round probes
+    model = KMeans(k=cells, seed=seed, maxIter=10, tol=1e-3, initMode="k-means||").fit(feats)
     return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
 
 

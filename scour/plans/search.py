@@ -14,6 +14,7 @@ from scour.operators.answer import assemble_prompts, extract_answer, offline_mod
 from scour.operators.embed import DEFAULT_DIM, hash_embed
 from scour.operators.knn import knn
 from scour.operators.respond import missing_query, unauthorized, with_status
+from scour.session import checkpoint_dir
 from scour.sources.requests import request_fields
 
 K_DEFAULT = 5
@@ -44,10 +45,12 @@ def search(requests: DataFrame, index: DataFrame, *, k: int = K_DEFAULT,
     req = request_fields(requests)
     accepted = req.filter(~missing_query(F.col("query_text"))
                           & ~unauthorized(F.col("api_key_header"), api_key))
-    vecs = embed_queries(accepted.select("query_id", "query_text"), embed, dim)
+    checkpoint_dir(requests.sparkSession)
+    # the query vectors feed both the search and the status: embed once
+    vecs = embed_queries(accepted.select("query_id", "query_text"), embed, dim).checkpoint()
     ok_vecs = vecs.filter(F.col("error").isNull()).select("query_id", F.col("embedding").alias("qv"))
     hits = knn(ok_vecs, index.select("doc_id", "embedding"), k, qid="query_id", qvec="qv",
-               cid="doc_id", cvec="embedding", **(knn_options or {}))
+               cid="doc_id", cvec="embedding", **{"materialize": False, **(knn_options or {})})
     hits = attach_text(hits, index)
     prompts = assemble_prompts(accepted, hits)
     answered = (model or offline_model)(prompts)

@@ -17,13 +17,14 @@ from scour.functions.text import content_id
 from scour.operators.embed import DEFAULT_DIM, hash_embed
 from scour.operators.index import append_new, read_index, to_index_rows
 from scour.operators.ingest import skip_stored
+from scour.sources.tables import spread
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, index_path: str, text: str,
                   dim: int, run_id: int, embed=None) -> None:
-    docs = batch.select(content_id(F.col(text)).alias("doc_id"), F.col(text).alias("text")) \
-                .filter(F.col("doc_id").isNotNull())
-    stored = read_index(spark, index_path).select("doc_id")
+    docs = spread(batch).select(content_id(F.col(text)).alias("doc_id"), F.col(text).alias("text")) \
+                        .filter(F.col("doc_id").isNotNull())
+    stored = read_index(spark, index_path, dim).select("doc_id")
     fresh = skip_stored(docs, stored)
     vecs = (embed or (lambda d: hash_embed(d, "doc_id", "text", dim)))(fresh)
     ok = fresh.join(vecs.filter(F.col("error").isNull()).select("doc_id", "embedding"), "doc_id")
