@@ -133,7 +133,7 @@ ix AS (SELECT batch_no, count(*) AS indexed FROM ok1 GROUP BY 1),
 pb AS (SELECT f.batch_no, f.fetched, coalesce(ix.indexed, 0) AS indexed
        FROM fetched f LEFT JOIN ix USING (batch_no)),
 run AS (SELECT *, coalesce(sum(indexed) OVER (ORDER BY batch_no
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS total_before FROM pb),
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS total_before FROM pb),
 kb AS (SELECT * FROM run WHERE total_before < {PLAN_RECORDS})"""
 
 
@@ -218,8 +218,8 @@ SELECT page_id, path, ref, coalesce(TRY_CAST(page AS INT), 1) AS page_no, n_para
          CASE WHEN qs <> '' THEN url_decode(NULLIF(regexp_extract(qs, '(&|^)ref=([^&]*)', 2), ''))
               END AS ref,
          CASE WHEN qs <> '' THEN NULLIF(regexp_extract(qs, '(&|^)page=([^&]*)', 2), '') END AS page,
-         CASE WHEN qs <> '' THEN len(list_distinct(list_transform(string_split(qs, '&'),
-              lambda p: split_part(p, '=', 1)))) ELSE 0 END AS n_params
+         (CASE WHEN qs <> '' THEN len(list_distinct(list_transform(string_split(qs, '&'),
+              lambda p: split_part(p, '=', 1)))) ELSE 0 END)::INTEGER AS n_params
   FROM (SELECT page_id, url, regexp_extract(url, '\\?([^#]*)', 1) AS qs FROM pages))""",
 }
 ORACLE["knn_ivf"] = ORACLE["knn_batch"]

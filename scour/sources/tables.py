@@ -18,11 +18,12 @@ def spread(df: DataFrame) -> DataFrame:
     pruning below it, so only the needed columns move. On a cluster, where a
     table has far more splits than cores, this is a no-op.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # pragma: no cover - no RDD access (e.g. Spark Connect)
+        return df
+    return df.repartition(cores) if parts < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
