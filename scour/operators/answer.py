@@ -13,15 +13,24 @@ from pyspark.sql import types as T
 from scour.functions.text import (MARKDOWN_CLOSE, MARKDOWN_OPEN, SYSTEM_PROMPT,
                                   TEMPERATURE, extract_tagged, join_parts, prompt_text)
 from scour.schemas import MODEL_RESPONSE
+from scour.session import checkpoint_dir
 
 
 def hits_with_text(hits: DataFrame, texts: DataFrame, hit_key: str, text_key: str,
-                   text_col: str = "text") -> DataFrame:
-    """Attach the stored text of each hit; a hit without a text gets ''."""
-    t = texts.select(F.col(text_key).alias("_tk"), F.col(text_col).alias("_tt"))
-    return (hits.join(t, hits[hit_key] == t["_tk"], "left")
+                   text_col: str = "text", qid: str = "query_id") -> DataFrame:
+    """Attach the stored text of each hit; a hit without a text gets ''.
+
+    The hit table (queries x k rows) is materialised once, then an inner join
+    streams the text store past it (AQE broadcasts the small hit side), and a
+    left join on (query, rank) keeps hits with no text. The text store is
+    never shuffled."""
+    checkpoint_dir(hits.sparkSession)
+    hits = hits.checkpoint()
+    t = texts.select(F.col(text_key).alias(hit_key), F.col(text_col).alias("_tt"))
+    matched = t.join(hits.select(qid, "rank", hit_key), hit_key).select(qid, "rank", "_tt")
+    return (hits.join(matched, [qid, "rank"], "left")
             .withColumn("text", F.coalesce(F.col("_tt"), F.lit("")))
-            .drop("_tk", "_tt"))
+            .drop("_tt"))
 
 
 def assemble_prompts(requests: DataFrame, hits: DataFrame, qid: str = "query_id",

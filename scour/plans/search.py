@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scour.operators.answer import assemble_prompts, extract_answer, offline_model
+from scour.operators.answer import assemble_prompts, extract_answer, hits_with_text, offline_model
 from scour.operators.embed import DEFAULT_DIM, hash_embed
 from scour.operators.knn import knn
 from scour.operators.respond import missing_query, unauthorized, with_status
@@ -22,13 +22,8 @@ K_DEFAULT = 5
 
 def attach_text(hits: DataFrame, index: DataFrame, qid: str = "query_id",
                 key: str = "doc_id") -> DataFrame:
-    """Hit texts without shuffling the index: an inner join that streams the
-    index past the (small) hit table, then a left join on (query, rank) so a
-    hit with no stored text keeps '' ."""
-    matched = index.select(key, "text").join(hits.select(qid, "rank", key), key) \
-                   .select(qid, "rank", "text")
-    return (hits.join(matched, [qid, "rank"], "left")
-            .withColumn("text", F.coalesce(F.col("text"), F.lit(""))))
+    """Hit texts without shuffling the index (see ``hits_with_text``)."""
+    return hits_with_text(hits, index, key, key, "text", qid)
 
 
 def embed_queries(accepted: DataFrame, embed=None, dim: int = DEFAULT_DIM) -> DataFrame:
