@@ -7,7 +7,7 @@ becomes:
 1. global ordinals in source order (``row_ordinals``, no single-task window);
 2. ``batch_no = (rn - offset) div batch_size`` for ``rn >= offset``;
 3. anti-join against the ids already in the index;
-4. embed the distinct content ids once; failures go to a reject output;
+4. embed (map-only, checkpointed once); failures go to a reject output;
 5. a repeat counts only in the first batch that embeds it (copies inside
    that batch all count, as they are both flushed);
 6. per-batch counts, an exclusive running total (``prefix_sum``, two-level so
@@ -90,8 +90,8 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
     """Rows the sequential ingest loop would index, computed in one pass.
 
     ``source`` has a unique ``order_col``, a content id ``key`` and ``text``.
-    ``embed(df_with_key_text) -> (key, embedding, error)``, one row per distinct
-    key; an embedder marked ``folds_copies`` accepts repeated keys itself.
+    ``embed(df, text) -> df`` adds ``embedding`` and ``error`` per row
+    (see ``scour.operators.embed``).
     Returns ``(kept, rejects, batches)``:
       kept    - order_col, rn, batch_no, key, text, embedding
       rejects - order_col, rn, batch_no, key, error
@@ -100,11 +100,7 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
     """
     paged = plan_batches(source, order_col, offset, batch_size)
     fresh = skip_stored(paged, stored_ids, key)
-    to_embed = fresh.select(key, text)
-    if not getattr(embed, "folds_copies", False):  # one call per distinct content id
-        to_embed = to_embed.dropDuplicates([key])
-    vectors = embed(to_embed)
-    tagged = fresh.join(vectors, key, "left")
+    tagged = embed(fresh, text)                    # map-only: adds embedding / error
     if materialize:
         # embedded rows feed the kept rows, the rejects and the counters:
         # a reliable checkpoint makes the embedder run once

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scour.functions.text import content_id, document_text
-from scour.operators.embed import DEFAULT_DIM, hash_embed
+from scour.operators.embed import DEFAULT_DIM, hash_embedder
 from scour.operators.index import append_new, read_index, to_index_rows, upsert
 from scour.operators.ingest import batch_plan
 from scour.session import checkpoint_dir
@@ -25,11 +25,7 @@ def qa_documents(pairs: DataFrame) -> DataFrame:
 
 
 def default_embedder(dim: int = DEFAULT_DIM, max_chars: int | None = None):
-    def embed(df: DataFrame) -> DataFrame:
-        key = df.columns[0]
-        return hash_embed(df, key, df.columns[1], dim, max_chars)
-    embed.folds_copies = True
-    return embed
+    return hash_embedder(dim, max_chars)
 
 
 def ingest(spark: SparkSession, docs: DataFrame, index_path: str, *, order_col: str,

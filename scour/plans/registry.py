@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scour.functions.text import content_id
 from scour.operators import index as idx
 from scour.operators.answer import hits_with_text
-from scour.operators.embed import hash_embed
+from scour.operators.embed import hash_embedder
 from scour.operators.ingest import batch_plan as _batch_plan
 from scour.operators.ingest import skip_stored
 from scour.operators.knn import knn, knn_single as _knn_single
@@ -88,17 +88,18 @@ def _keyed_docs(spark, sf):
 
 
 def embed_hash(spark, sf):
-    e = hash_embed(_keyed_docs(spark, sf), "doc_id", "text", DIM)
+    e = hash_embedder(DIM)(_keyed_docs(spark, sf), "text")
     return (e.filter(F.col("error").isNull())
             .select("doc_id", F.posexplode("embedding").alias("cell", "x"))
             .filter(F.col("x") != 0)
             .select("doc_id", F.col("cell").cast("int").alias("cell"),
-                    F.round(F.col("x").cast("double"), 6).alias("value")))
+                    F.round(F.col("x").cast("double"), 6).alias("value"))
+            .distinct())          # copies of a text give the same cells; folded map-side
 
 
 def embed_failures(spark, sf):
-    return hash_embed(_keyed_docs(spark, sf), "doc_id", "text", DIM, MAX_CHARS) \
-        .select("doc_id", F.col("error").isNull().alias("ok"), "error")
+    e = hash_embedder(DIM, MAX_CHARS)(_keyed_docs(spark, sf), "text")
+    return e.select("doc_id", F.col("error").isNull().alias("ok"), "error").distinct()
 
 
 # ------------------------------------------------------------- ingest control
@@ -131,11 +132,11 @@ def index_schema_check(spark, sf):
 
 
 def _embedded(spark, docs):
-    """(doc_id, text, embedding) per content id: the join that attaches the
-    text partitions by id, so the de-duplication after it adds no exchange."""
+    """(doc_id, text, embedding) per content id: embed map-side, then one
+    de-duplication by id (the index holds each content id once)."""
     d = docs.select(content_id("text").alias("doc_id"), "text")
-    e = hash_embed(d, "doc_id", "text", DIM).filter(F.col("error").isNull())
-    return d.join(e.select("doc_id", "embedding"), "doc_id").dropDuplicates(["doc_id"])
+    e = hash_embedder(DIM)(d, "text").filter(F.col("error").isNull())
+    return e.select("doc_id", "text", "embedding").dropDuplicates(["doc_id"])
 
 
 def index_upsert(spark, sf):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scour.operators.answer import assemble_prompts, extract_answer, hits_with_text, offline_model
-from scour.operators.embed import DEFAULT_DIM, hash_embed
+from scour.operators.embed import DEFAULT_DIM, hash_embedder
 from scour.operators.knn import knn
 from scour.operators.respond import missing_query, unauthorized, with_status
 from scour.session import checkpoint_dir
@@ -27,9 +27,8 @@ def attach_text(hits: DataFrame, index: DataFrame, qid: str = "query_id",
 
 
 def embed_queries(accepted: DataFrame, embed=None, dim: int = DEFAULT_DIM) -> DataFrame:
-    if embed is None:
-        return hash_embed(accepted, "query_id", "query_text", dim)
-    return embed(accepted.select("query_id", "query_text"))
+    """``query_id, query_text, embedding, error`` (map-only)."""
+    return (embed or hash_embedder(dim))(accepted.select("query_id", "query_text"), "query_text")
 
 
 def search(requests: DataFrame, index: DataFrame, *, k: int = K_DEFAULT,
@@ -42,7 +41,7 @@ def search(requests: DataFrame, index: DataFrame, *, k: int = K_DEFAULT,
                           & ~unauthorized(F.col("api_key_header"), api_key))
     checkpoint_dir(requests.sparkSession)
     # the query vectors feed both the search and the status: embed once
-    vecs = embed_queries(accepted.select("query_id", "query_text"), embed, dim).checkpoint()
+    vecs = embed_queries(accepted, embed, dim).checkpoint()
     ok_vecs = vecs.filter(F.col("error").isNull()).select("query_id", F.col("embedding").alias("qv"))
     hits = knn(ok_vecs, index.select("doc_id", "embedding"), k, qid="query_id", qvec="qv",
                cid="doc_id", cvec="embedding", **{"materialize": False, **(knn_options or {})})

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scour.functions.text import content_id
-from scour.operators.embed import DEFAULT_DIM, hash_embed
+from scour.operators.embed import DEFAULT_DIM, hash_embedder
 from scour.operators.index import append_new, read_index, to_index_rows
 from scour.operators.ingest import skip_stored
 from scour.sources.tables import spread
@@ -26,8 +26,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, index_path: str, text:
                         .filter(F.col("doc_id").isNotNull())
     stored = read_index(spark, index_path, dim).select("doc_id")
     fresh = skip_stored(docs, stored)
-    vecs = (embed or (lambda d: hash_embed(d, "doc_id", "text", dim)))(fresh)
-    ok = fresh.join(vecs.filter(F.col("error").isNull()).select("doc_id", "embedding"), "doc_id")
+    ok = (embed or hash_embedder(dim))(fresh, "text").filter(F.col("error").isNull())
     append_new(spark, index_path, to_index_rows(ok, run_id))
 
 

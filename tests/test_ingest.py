@@ -29,12 +29,10 @@ def sequential(rows, stored, fails, n, b, offset):
 
 
 def _embed_failing(fails):
-    def embed(df):
-        key = df.columns[0]
-        return df.select(key,
-                         F.when(~F.col(key).isin(list(fails)), F.array(F.lit(1.0).cast("float")))
-                         .alias("embedding"),
-                         F.when(F.col(key).isin(list(fails)), F.lit("ClientError")).alias("error"))
+    def embed(df, text):
+        bad = F.col("doc_id").isin(list(fails)) if fails else F.lit(False)
+        return (df.withColumn("embedding", F.when(~bad, F.array(F.lit(1.0).cast("float"))))
+                  .withColumn("error", F.when(bad, F.lit("ClientError"))))
     return embed
 
 
