@@ -135,7 +135,10 @@ def _hash_udf(dim: int, max_chars: int | None):
     def embed(texts: pd.Series) -> pd.DataFrame:
         out = [hash_vector(t, dim, max_chars) for t in texts]
         return pd.DataFrame({"embedding": [o[0] for o in out], "error": [o[1] for o in out]})
-    return embed
+    # Marked non-deterministic so that Catalyst evaluates it exactly once, where
+    # it is written: a filter on its output is not pushed below an exchange and
+    # the call is not copied into each field that reads the struct.
+    return embed.asNondeterministic()
 
 
 def with_embedding(df: DataFrame, text: str, column) -> DataFrame:

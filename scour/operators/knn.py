@@ -139,7 +139,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
         strategy: str = "auto", cells: int | None = None, nprobe: int = 1,
         exact: bool = True, broadcast_limit_bytes: int = 256 << 20,
         block_rows: int = 8192, query_block: int = 2048,
-        train_rows: int = 200_000, seed: int = 7, materialize: bool = True) -> DataFrame:
+        train_rows: int = 200_000, seed: int = 7, materialize: bool = True,
+        index: "IvfIndex | None" = None) -> DataFrame:
     """k nearest corpus vectors for every query row.
 
     ``strategy="auto"`` uses ``scan`` when the query matrix is under
@@ -160,7 +161,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
     queries = queries.filter(F.size(qvec) == dim)
 
     if strategy == "auto":
-        if cells and cells > 1:
+        if index is not None or (cells and cells > 1):
             strategy = "cells"
         else:
             n_q = queries.count()
@@ -171,7 +172,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
     if strategy == "cells":
         return _knn_cells(queries, corpus, k, qid, qvec, cid, cvec, dim,
                           cells or 1, nprobe, exact, block_rows, query_block,
-                          train_rows, seed)
+                          train_rows, seed, index)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -261,15 +262,30 @@ def _lit_map(d: dict, key_type: str, val_type: str):
     return F.create_map(*items)
 
 
-def _knn_cells(queries, corpus, k, qid, qvec, cid, cvec, dim, cells, nprobe, exact,
-               block_rows, query_block, train_rows, seed):
-    if cells > 1:
-        C = train_centroids(corpus, cvec, cells, train_rows, seed)
-    else:
-        C = np.zeros((1, dim))
-    cells = C.shape[0]
-    nprobe = max(1, min(nprobe, cells))
-    cnorm = np.einsum("ij,ij->i", C, C)
+class IvfIndex:
+    """An inverted-file layout of a corpus: centroids (cells x dim, a bounded
+    parameter), the corpus with its cell and distance to the centroid
+    (materialised once in the shared checkpoint folder), and per-cell counts
+    and radii (one row per cell). Build once, search many query batches."""
+
+    def __init__(self, centroids, assigned, nsub, radius, cid, cvec):
+        self.centroids, self.assigned = centroids, assigned
+        self.nsub, self.radius, self.cid, self.cvec = nsub, radius, cid, cvec
+
+
+def _cell_dists(X: np.ndarray, C: np.ndarray) -> np.ndarray:
+    cn = np.einsum("ij,ij->i", C, C)
+    return np.einsum("ij,ij->i", X, X)[:, None] + cn[None, :] - 2.0 * (X @ C.T)
+
+
+def build_ivf(corpus: DataFrame, *, cid: str = "doc_id", cvec: str = "embedding",
+              cells: int = 64, block_rows: int = 8192, train_rows: int = 200_000,
+              seed: int = 7) -> IvfIndex | None:
+    dim_row = corpus.select(F.size(cvec).alias("d")).limit(1).collect()
+    if not dim_row:
+        return None
+    dim = int(dim_row[0]["d"])
+    C = train_centroids(corpus, cvec, cells, train_rows, seed) if cells > 1 else np.zeros((1, dim))
 
     @F.pandas_udf("struct<cell:int, cdist:double>")
     def assign(v: pd.Series) -> pd.DataFrame:
@@ -277,69 +293,90 @@ def _knn_cells(queries, corpus, k, qid, qvec, cid, cvec, dim, cells, nprobe, exa
         if len(X) == 0:
             return pd.DataFrame({"cell": pd.Series([], dtype="int32"),
                                  "cdist": pd.Series([], dtype="float64")})
-        d2 = np.einsum("ij,ij->i", X, X)[:, None] + cnorm[None, :] - 2.0 * (X @ C.T)
-        cell = d2.argmin(axis=1)
+        cell = _cell_dists(X, C).argmin(axis=1)
         diff = X - C[cell]
         return pd.DataFrame({"cell": cell.astype(np.int32),
                              "cdist": np.sqrt(np.einsum("ij,ij->i", diff, diff))})
 
+    checkpoint_dir(corpus.sparkSession)
+    assigned = (corpus.withColumn("_a", assign.asNondeterministic()(F.col(cvec)))
+                .select(cid, cvec, F.col("_a.cell").alias("cell"), F.col("_a.cdist").alias("cdist"))
+                .checkpoint())
+    stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
+                                         F.max("cdist").alias("radius")).collect()  # <= cells rows
+    nsub = {r["cell"]: max(1, math.ceil(r["n"] / block_rows)) for r in stats}
+    radius = {r["cell"]: float(r["radius"]) for r in stats}
+    return IvfIndex(C, assigned, nsub, radius, cid, cvec)
+
+
+def _knn_cells(queries, corpus, k, qid, qvec, cid, cvec, dim, cells, nprobe, exact,
+               block_rows, query_block, train_rows, seed, index=None):
+    ivf = index or build_ivf(corpus, cid=cid, cvec=cvec, cells=cells, block_rows=block_rows,
+                             train_rows=train_rows, seed=seed)
+    if ivf is None or not ivf.nsub:
+        return _empty_hits(queries, corpus, qid, cid)
+    C = ivf.centroids
+    cells = C.shape[0]
+    nprobe = max(1, min(nprobe, cells))
+    known = sorted(ivf.nsub)
+
     @F.pandas_udf("struct<cells:array<int>, dists:array<double>>")
     def probe_order(v: pd.Series) -> pd.DataFrame:
         X = _stack(v)
         if len(X) == 0:
             return pd.DataFrame({"cells": pd.Series([], dtype=object),
                                  "dists": pd.Series([], dtype=object)})
-        d2 = np.einsum("ij,ij->i", X, X)[:, None] + cnorm[None, :] - 2.0 * (X @ C.T)
+        d2 = _cell_dists(X, C)
         order = np.argsort(d2, axis=1, kind="stable")
         dist = np.sqrt(np.maximum(np.take_along_axis(d2, order, axis=1), 0.0))
         return pd.DataFrame({"cells": list(order.astype(np.int32)), "dists": list(dist)})
 
-    corp = corpus.withColumn("_a", assign(F.col(cvec))).select(
-        cid, cvec, F.col("_a.cell").alias("cell"), F.col("_a.cdist").alias("cdist"))
-    stats = {r["cell"]: (r["n"], r["radius"]) for r in
-             corp.groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
-                                      F.max("cdist").alias("radius")).collect()}
-    if not stats:
-        return _empty_hits(queries, corpus, qid, cid)
-    nsub = {c: max(1, math.ceil(n / block_rows)) for c, (n, _) in stats.items()}
-    radius = {c: float(r) for c, (_, r) in stats.items()}
-
-    probes = (queries.withColumn("_p", probe_order(F.col(qvec)))
-              .select(qid, qvec, F.posexplode(F.arrays_zip("_p.cells", "_p.dists")))
-              .select(qid, qvec, F.col("pos").alias("probe"),
-                      F.col("col.cells").alias("cell"), F.col("col.dists").alias("qc"))
-              .filter(F.col("cell").isin(list(stats.keys()))))
+    # one row per query: its cells in probe order with centroid distances
+    order = (queries.withColumn("_p", probe_order.asNondeterministic()(F.col(qvec)))
+             .select(qid, F.arrays_zip(F.col("_p.cells").alias("cell"),
+                                       F.col("_p.dists").alias("qc")).alias("probes"))
+             .checkpoint())
+    vecs = queries.select(qid, qvec)
 
     def run(pr: DataFrame) -> DataFrame:
         counts = {r["cell"]: r["n"] for r in
-                  pr.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+                  pr.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= cells rows
         if not counts:
             return None
         nchunk = {c: max(1, math.ceil(n / query_block)) for c, n in counts.items()}
-        sub_map = _lit_map(nsub, "int", "int")
+        sub_map = _lit_map(ivf.nsub, "int", "int")
         chunk_map = _lit_map(nchunk, "int", "int")
-        qside = (pr.select(qid, qvec, "cell")
+        qside = (pr.select(qid, "cell").join(vecs, qid)
                  .withColumn("sub", F.explode(F.sequence(F.lit(0), F.element_at(sub_map, F.col("cell")) - 1)))
                  .withColumn("chunk", F.pmod(F.xxhash64(qid), F.element_at(chunk_map, F.col("cell")).cast("long")).cast("int")))
-        cside = (corp.filter(F.col("cell").isin(list(counts.keys())))
-                 .select(cid, cvec, "cell")
+        cside = (ivf.assigned.filter(F.col("cell").isin(list(counts.keys())))
+                 .select(F.col(ivf.cid).alias(cid), F.col(ivf.cvec).alias(cvec), "cell")
                  .withColumn("sub", F.pmod(F.xxhash64(cid), F.element_at(sub_map, F.col("cell")).cast("long")).cast("int"))
                  .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(chunk_map, F.col("cell")) - 1))))
         return _cogroup_topk(qside, cside, k, qid, qvec, cid, cvec)
 
-    first = run(probes.filter(F.col("probe") < nprobe))
-    top1 = _final_topk(first, k, qid, cid) if first is not None else None
-    if not exact or nprobe >= cells or top1 is None:
-        return top1 if top1 is not None else _empty_hits(queries, corpus, qid, cid)
+    def explode_probes(df: DataFrame, col: str) -> DataFrame:
+        return (df.select(qid, F.explode(col).alias("p"))
+                .select(qid, F.col("p.cell").alias("cell"), F.col("p.qc").alias("qc"))
+                .filter(F.col("cell").isin(known)))
 
+    first = run(explode_probes(order, F.slice("probes", 1, nprobe)))
+    if first is None:
+        return _empty_hits(queries, corpus, qid, cid)
+    top1 = _final_topk(first, k, qid, cid)
+    if not exact or nprobe >= cells:
+        return top1
+    top1 = top1.checkpoint()                                   # queries x k rows
     kth = top1.groupBy(qid).agg(F.max("dist2").alias("kth"), F.count(F.lit(1)).alias("got"))
-    rad_map = _lit_map(radius, "int", "double")
-    lb = F.greatest(F.col("qc") - F.element_at(rad_map, F.col("cell")), F.lit(0.0))
-    rest = (probes.filter(F.col("probe") >= nprobe)
-            .join(kth, qid, "left")
-            .filter(F.col("kth").isNull() | (F.col("got") < k) | (lb * lb <= F.col("kth") + _EPS))
-            .select(qid, qvec, "probe", "cell", "qc"))
-    second = run(rest)
+    rad_map = _lit_map(ivf.radius, "int", "double")
+
+    def may_beat(p):
+        lb = F.greatest(p["qc"] - F.coalesce(F.element_at(rad_map, p["cell"]), F.lit(0.0)), F.lit(0.0))
+        return F.col("kth").isNull() | (F.col("got") < k) | (lb * lb <= F.col("kth") + _EPS)
+
+    rest = order.join(kth, qid, "left").select(
+        qid, F.filter(F.slice("probes", nprobe + 1, cells), may_beat).alias("probes"))
+    second = run(explode_probes(rest, F.col("probes")))
     if second is None:
         return top1
     cands = top1.select(qid, cid, "dist2").unionByName(second)
