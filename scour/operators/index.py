@@ -111,16 +111,17 @@ def upsert(spark: SparkSession, path: str, new_rows: DataFrame, dim: int) -> dic
     touched = sorted(report["touched"])        # at most 16 ** PREFIX_CHARS values
     if touched:
         old = spark.read.schema(INDEX).parquet(path).filter(F.col("id_prefix").isin(touched))
-        merged = merge_newest(old, staged.select(*INDEX.fieldNames()))
-        merged_path = scratch_path(spark, "index-merged")
-        _write(merged, merged_path, "overwrite")
-        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
+        if old.limit(1).count() == 0:           # nothing stored there yet: a plain append
+            _write(staged.select(*INDEX.fieldNames()), path, "append")
+        else:
+            merged = merge_newest(old, staged.select(*INDEX.fieldNames()))
+            merged_path = scratch_path(spark, "index-merged")
+            _write(merged, merged_path, "overwrite")
+            # only the touched prefix folders are replaced (per-write option,
+            # the session setting is left alone)
             (spark.read.schema(INDEX).parquet(merged_path).write.mode("overwrite")
-             .partitionBy("id_prefix").parquet(path))     # already laid out by _write
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+             .option("partitionOverwriteMode", "dynamic")
+             .partitionBy("id_prefix").parquet(path))
         spark.catalog.refreshByPath(path)
     return {"written": int(report["written"]), "rejected": int(report["rejected"]),
             "partitions": len(touched)}
