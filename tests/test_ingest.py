@@ -1,4 +1,4 @@
-"""Ingest control against a plain sequential loop (the reference's semantics)."""
+"""Ingest control against a plain sequential loop (the original semantics)."""
 
 import random
 import re
@@ -46,7 +46,7 @@ def _run(spark, keys, stored, fails, n, b, offset):
             batches.orderBy("batch_no").collect())
 
 
-def test_reference_happy_case(spark):
+def test_original_happy_case(spark):
     # N=10, batch=2, offset=4, even titles already stored: 10 indexed over 10 pages
     keys = [f"Title{i}" for i in range(1, 41)]
     stored = [k for k in keys if int(re.search(r"\d+", k).group()) % 2 == 0]
@@ -56,7 +56,7 @@ def test_reference_happy_case(spark):
     assert batches[-1]["total_after"] == 10
 
 
-def test_reference_failures_case(spark):
+def test_original_failures_case(spark):
     # every second document fails: 10 indexed over two pages of 10
     keys = [f"Title{i}" for i in range(1, 41)]
     fails = {k for i, k in enumerate(keys) if i % 2 == 1}

@@ -85,12 +85,12 @@ def test_model_failure_is_search_failure(spark):
 
     def factory():
         def model(**_):
-            raise RuntimeError("Opensearch query error")
+            raise RuntimeError("backend timeout")
         return model
 
     r = search(reqs, idx, model=lambda p: map_model(p, factory)).first()
     assert r["status_code"] == 500
-    assert r["error"] == "Opensearch query failed: Opensearch query error"
+    assert r["error"] == "Opensearch query failed: backend timeout"
 
 
 def test_response_bodies_parse(spark):
@@ -116,6 +116,6 @@ def test_decode_event_json(spark):
 def test_url_query_param(spark):
     from scour.sources.requests import url_requests
 
-    url = "http://localhost:3000/code/search?query=How%20to%20query%20in%20bigquery%3F"
+    url = "http://localhost:3000/code/search?query=How%20to%20join%20two%20tables%3F"
     r = url_requests(spark.createDataFrame([(url,)], "url string")).first()
-    assert r["param_value"] == "How to query in bigquery?" and r["path"] == "/code/search"
+    assert r["param_value"] == "How to join two tables?" and r["path"] == "/code/search"
