@@ -42,8 +42,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - e.g. Spark Connect
             path = None
     if not path:
-        path = tempfile.mkdtemp(prefix="scour-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = tempfile.mkdtemp(prefix="scour-ckpt-")   # local runs only
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # pragma: no cover - a session may reject core confs
+            pass
     try:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(path)
