@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from scour.functions.text import (MARKDOWN_CLOSE, MARKDOWN_OPEN, SYSTEM_PROMPT,
                                   TEMPERATURE, extract_tagged, join_parts, prompt_text)
 from scour.schemas import MODEL_RESPONSE
-from scour.session import checkpoint_dir
+from scour.session import checkpoint_dir, materialize
 
 
 def hits_with_text(hits: DataFrame, texts: DataFrame, hit_key: str, text_key: str,
@@ -25,7 +25,7 @@ def hits_with_text(hits: DataFrame, texts: DataFrame, hit_key: str, text_key: st
     left join on (query, rank) keeps hits with no text. The text store is
     never shuffled."""
     checkpoint_dir(hits.sparkSession)
-    hits = hits.checkpoint()
+    hits = materialize(hits, "hits")
     t = texts.select(F.col(text_key).alias(hit_key), F.col(text_col).alias("_tt"))
     matched = t.join(hits.select(qid, "rank", hit_key), hit_key).select(qid, "rank", "_tt")
     return (hits.join(matched, [qid, "rank"], "left")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scour.session import checkpoint_dir
+from scour.session import materialize as write_stage
 
 _PID_SHIFT = 33  # monotonically_increasing_id puts the partition id above bit 33
 
@@ -103,9 +104,9 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
     tagged = embed(fresh, text)                    # map-only: adds embedding / error
     if materialize:
         # embedded rows feed the kept rows, the rejects and the counters:
-        # a reliable checkpoint makes the embedder run once
+        # written once to the shared checkpoint folder: the embedder runs once
         checkpoint_dir(source.sparkSession)
-        tagged = tagged.checkpoint()
+        tagged = write_stage(tagged, "embedded-rows")
     ok = tagged.filter(F.col("error").isNull() & F.col("embedding").isNotNull())
     rejects = tagged.filter(F.col("error").isNotNull()) \
                     .select(order_col, "rn", "batch_no", key, "error")

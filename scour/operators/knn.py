@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from scour.functions.vectors import l2_score, sq_l2
 from scour.session import checkpoint_dir
+from scour.session import materialize as write_stage
 
 # Slack on distance comparisons between the screening (matrix product) form
 # and the exact left-to-right form of the squared distance.
@@ -148,10 +149,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
     """
     queries = queries.select(F.col(qid), F.col(qvec)).filter(F.col(qvec).isNotNull())
     if materialize:
-        # one reliable checkpoint: the embedder behind the queries runs once,
-        # however many times the strategy below reads them
+        # written once to the shared checkpoint folder: the embedder behind the
+        # queries runs once, however many times the strategy below reads them
         checkpoint_dir(queries.sparkSession)
-        queries = queries.checkpoint(eager=True)
+        queries = write_stage(queries, "knn-queries")
     corpus = corpus.select(F.col(cid), F.col(cvec)).filter(F.col(cvec).isNotNull())
     dim_row = queries.select(F.size(qvec).alias("d")).limit(1).collect()
     if not dim_row:
@@ -300,8 +301,8 @@ def build_ivf(corpus: DataFrame, *, cid: str = "doc_id", cvec: str = "embedding"
 
     checkpoint_dir(corpus.sparkSession)
     assigned = (corpus.withColumn("_a", assign.asNondeterministic()(F.col(cvec)))
-                .select(cid, cvec, F.col("_a.cell").alias("cell"), F.col("_a.cdist").alias("cdist"))
-                .checkpoint())
+                .select(cid, cvec, F.col("_a.cell").alias("cell"), F.col("_a.cdist").alias("cdist")))
+    assigned = write_stage(assigned, "ivf-cells")
     stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
                                          F.max("cdist").alias("radius")).collect()  # <= cells rows
     nsub = {r["cell"]: max(1, math.ceil(r["n"] / block_rows)) for r in stats}
@@ -334,8 +335,8 @@ def _knn_cells(queries, corpus, k, qid, qvec, cid, cvec, dim, cells, nprobe, exa
     # one row per query: its cells in probe order with centroid distances
     order = (queries.withColumn("_p", probe_order.asNondeterministic()(F.col(qvec)))
              .select(qid, F.arrays_zip(F.col("_p.cells").alias("cell"),
-                                       F.col("_p.dists").alias("qc")).alias("probes"))
-             .checkpoint())
+                                       F.col("_p.dists").alias("qc")).alias("probes")))
+    order = write_stage(order, "ivf-probes")
     vecs = queries.select(qid, qvec)
 
     def run(pr: DataFrame) -> DataFrame:
@@ -366,7 +367,7 @@ def _knn_cells(queries, corpus, k, qid, qvec, cid, cvec, dim, cells, nprobe, exa
     top1 = _final_topk(first, k, qid, cid)
     if not exact or nprobe >= cells:
         return top1
-    top1 = top1.checkpoint()                                   # queries x k rows
+    top1 = write_stage(top1, "ivf-phase1")                     # queries x k rows
     kth = top1.groupBy(qid).agg(F.max("dist2").alias("kth"), F.count(F.lit(1)).alias("got"))
     rad_map = _lit_map(ivf.radius, "int", "double")
 

@@ -15,7 +15,7 @@ from scour.functions.text import content_id, document_text
 from scour.operators.embed import DEFAULT_DIM, hash_embedder
 from scour.operators.index import append_new, read_index, to_index_rows, upsert
 from scour.operators.ingest import batch_plan
-from scour.session import checkpoint_dir
+from scour.session import checkpoint_dir, materialize
 
 
 def qa_documents(pairs: DataFrame) -> DataFrame:
@@ -42,13 +42,13 @@ def ingest(spark: SparkSession, docs: DataFrame, index_path: str, *, order_col:
     kept, rejects, batches = batch_plan(
         docs, order_col, stored, embed or default_embedder(dim),
         number_of_records=number_of_records, batch_size=batch_size, offset=offset)
-    kept = kept.checkpoint()          # reliable checkpoint: the embedder runs once
+    kept = materialize(kept, "ingest-kept")   # the written rows, computed once
     rows = to_index_rows(kept, run_id)
     if keyed_write:
         upsert(spark, index_path, rows, dim)
     else:
         append_new(spark, index_path, rows)
-    batches = batches.checkpoint()
-    rejects = rejects.checkpoint()
+    batches = materialize(batches, "ingest-batches")
+    rejects = materialize(rejects, "ingest-rejects")
     total = batches.agg(F.coalesce(F.sum("indexed"), F.lit(0)).alias("n")).first()["n"]
     return {"statusCode": 200, "body": json.dumps({"results": int(total)})}, batches, rejects

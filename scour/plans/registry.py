@@ -19,7 +19,7 @@ from scour.operators.ingest import skip_stored
 from scour.operators.knn import knn, knn_single as _knn_single
 from scour.plans.ingest import default_embedder, qa_documents
 from scour.plans.search import search
-from scour.session import checkpoint_dir, scratch_path
+from scour.session import checkpoint_dir, materialize, scratch_path
 from scour.sources import qa
 from scour.sources.requests import DEFAULT_API_KEY, int_param, requests_from_conversations, url_requests
 from scour.sources.tables import read_table
@@ -192,7 +192,7 @@ def document_index(spark, sf):
     """The searchable index derived from ``documents``, written once to the
     shared checkpoint folder (a stored index is what a search reads)."""
     checkpoint_dir(spark)
-    return _embedded(spark, _t(spark, sf, "documents")).checkpoint()
+    return materialize(_embedded(spark, _t(spark, sf, "documents")), "document-index")
 
 
 def _search(spark, sf):

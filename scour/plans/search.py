@@ -14,7 +14,7 @@ from scour.operators.answer import assemble_prompts, extract_answer, hits_with_t
 from scour.operators.embed import DEFAULT_DIM, hash_embedder
 from scour.operators.knn import knn
 from scour.operators.respond import missing_query, unauthorized, with_status
-from scour.session import checkpoint_dir
+from scour.session import checkpoint_dir, materialize
 from scour.sources.requests import request_fields
 
 K_DEFAULT = 5
@@ -41,7 +41,7 @@ def search(requests: DataFrame, index: DataFrame, *, k: int = K_DEFAULT,
                           & ~unauthorized(F.col("api_key_header"), api_key))
     checkpoint_dir(requests.sparkSession)
     # the query vectors feed both the search and the status: embed once
-    vecs = embed_queries(accepted, embed, dim).checkpoint()
+    vecs = materialize(embed_queries(accepted, embed, dim), "query-vectors")
     ok_vecs = vecs.filter(F.col("error").isNull()).select("query_id", F.col("embedding").alias("qv"))
     hits = knn(ok_vecs, index.select("doc_id", "embedding"), k, qid="query_id", qvec="qv",
                cid="doc_id", cvec="embedding", **{"materialize": False, **(knn_options or {})})

@@ -61,3 +61,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage in one pass: write ``df`` as a Parquet table in the shared
+    checkpoint folder and read it back.
+
+    ``DataFrame.checkpoint()`` computes the plan once to count and again to
+    write the files unless the data is also cached; this writes once. The
+    files sit in the folder named by ``spark.checkpoint.dir``, so they survive
+    the loss of any executor.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
