@@ -6,6 +6,12 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import tests  # noqa: E402
+from pyspark import cloudpickle  # noqa: E402
+
+# test helpers used inside UDFs travel by value, whatever the working directory
+cloudpickle.register_pickle_by_value(tests)
+
 
 @pytest.fixture(scope="session")
 def spark():
