@@ -89,12 +89,16 @@ def _keyed_docs(spark, sf):
 
 def embed_hash(spark, sf):
     e = hash_embedder(DIM)(_keyed_docs(spark, sf), "text")
-    return (e.filter(F.col("error").isNull())
+    # copies of a text share an id and a vector: fold them on one compact row
+    # per id (hash aggregate keyed by (id, vector), partial map-side, so a hot
+    # copy collapses before the shuffle), then explode the cells after the
+    # exchange - the shuffle moves one vector per id, not one row per cell
+    return (e.filter(F.col("error").isNull()).select("doc_id", "embedding")
+            .distinct()
             .select("doc_id", F.posexplode("embedding").alias("cell", "x"))
             .filter(F.col("x") != 0)
             .select("doc_id", F.col("cell").cast("int").alias("cell"),
-                    F.round(F.col("x").cast("double"), 6).alias("value"))
-            .distinct())          # copies of a text give the same cells; folded map-side
+                    F.round(F.col("x").cast("double"), 6).alias("value")))
 
 
 def embed_failures(spark, sf):
@@ -133,10 +137,13 @@ def index_schema_check(spark, sf):
 
 def _embedded(spark, docs):
     """(doc_id, text, embedding) per content id: embed map-side, then one
-    de-duplication by id (the index holds each content id once)."""
+    de-duplication by id (the index holds each content id once). The id is a
+    hash of the text and the hash embedder is deterministic, so the whole row
+    is a function of the id: a hash aggregate on the row (partial map-side)
+    folds copies before the shuffle, with no sort."""
     d = docs.select(content_id("text").alias("doc_id"), "text")
     e = hash_embedder(DIM)(d, "text").filter(F.col("error").isNull())
-    return e.select("doc_id", "text", "embedding").dropDuplicates(["doc_id"])
+    return e.select("doc_id", "text", "embedding").distinct()
 
 
 def index_upsert(spark, sf):
