@@ -13,10 +13,16 @@ becomes:
 6. per-batch counts, an exclusive running total (``prefix_sum``, two-level so
    no task holds all batches), keep batches whose total before them is < N;
 7. the kept rows are the rows to write.
+
+Steps 3-7 run in rounds of consecutive batches that grow geometrically, so a
+small N over a large source embeds a small prefix, not the whole source
+(``batch_plan``); ``rounds=False`` runs them once over every page.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,18 +93,136 @@ def plan_batches(source: DataFrame, order_col: str, offset: int, batch_size: int
 def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
                embed, number_of_records: int = 1000, batch_size: int = 100,
                offset: int = 0, key: str = "doc_id", text: str = "text",
-               exact: bool = False, materialize: bool = True):
-    """Rows the sequential ingest loop would index, computed in one pass.
+               exact: bool = False, materialize: bool = True, rounds="auto",
+               growth: float = 2.0, broadcast_rows: int = 4_000_000,
+               min_round_rows: int = 1_000_000):
+    """Rows the sequential ingest loop would index.
 
-    ``source`` has a unique ``order_col``, a content id ``key`` and ``text``.
-    ``embed(df, text) -> df`` adds ``embedding`` and ``error`` per row
-    (see ``scour.operators.embed``).
+    ``source`` has a unique, non-null ``order_col``, a content id ``key`` and
+    ``text``. ``embed(df, text) -> df`` adds ``embedding`` and ``error`` per
+    row (see ``scour.operators.embed``).
     Returns ``(kept, rejects, batches)``:
       kept    - order_col, rn, batch_no, key, text, embedding
       rejects - order_col, rn, batch_no, key, error
       batches - batch_no, page_offset, fetched, indexed, total_before, total_after
     ``exact=True`` cuts the last batch so that exactly N rows are kept.
+
+    The embedder is the costly step and the stop rule usually needs a small
+    prefix of the source, so pages are embedded in rounds of consecutive
+    batches and the job stops after the round in which the total reaches N:
+
+    * ordinals are computed once on the order key alone (a narrow range
+      shuffle) and written to the shared checkpoint folder, sorted, so a
+      round's ordinals are read by row-group pruning;
+    * a round reads the source through a pushed-down range filter on the
+      order key and joins its ordinals (their count is known exactly, so they
+      are broadcast only under ``broadcast_rows``);
+    * stored ids are found by streaming the index past the round's keys (no
+      shuffle of the index), fresh rows are embedded once and written;
+    * a repeat counts only in the first batch that embeds it, across rounds
+      too (ids embedded by an earlier round are skipped);
+    * the first round has the batches N needs if every row were indexed;
+      each next round is at least ``growth`` times larger and sized from the
+      yield seen so far, so the number of rounds is logarithmic and the work
+      stays within a small factor of what the stop rule needs.
+
+    The driver reads one summary row per round and nothing else.
+
+    ``rounds="auto"`` runs rounds only when the pages after ``offset`` hold
+    more than ``min_round_rows`` rows and the first round covers less than
+    half of them; otherwise one pass costs less than the fixed cost of each
+    round's jobs. ``rounds=True`` / ``False`` force either form; both give
+    the same rows.
     """
+    if batch_size <= 0:
+        raise ValueError("batch_size must be positive")
+    if materialize and rounds == "auto":
+        n_after = source.count() - offset
+        first_rows = math.ceil(max(number_of_records, 1) / batch_size) * batch_size
+        rounds = n_after > min_round_rows and 2 * first_rows < n_after
+    if not (materialize and rounds):
+        return _batch_plan_one_pass(source, order_col, stored_ids, embed, number_of_records,
+                                    batch_size, offset, key, text, exact, materialize)
+    spark = source.sparkSession
+    checkpoint_dir(spark)
+    pages = plan_batches(source.select(order_col), order_col, offset, batch_size)
+    pages = write_stage(pages.sortWithinPartitions("rn"), "page-ordinals")
+    shape = pages.agg(F.max("batch_no").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    last, n_after = shape["m"], int(shape["n"])
+    if last is None or number_of_records <= 0:
+        return _batch_plan_one_pass(source.limit(0), order_col, stored_ids, embed,
+                                    number_of_records, batch_size, offset, key, text, exact,
+                                    materialize)
+    last = int(last)
+    total, b0 = 0, 0
+    nb = max(1, math.ceil(number_of_records / batch_size))
+    kept_parts, rej_parts, batch_parts, seen = [], [], [], []
+    while b0 <= last and total < number_of_records:
+        b1 = min(last + 1, b0 + nb)
+        rk = pages.filter((F.col("batch_no") >= b0) & (F.col("batch_no") < b1))
+        bounds = rk.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+        small = (b1 - b0) * batch_size <= broadcast_rows
+        rows = (source.filter(F.col(order_col).between(bounds["lo"], bounds["hi"]))
+                .join(F.broadcast(rk) if small else rk, order_col))
+        if small:
+            # stored ids of this round only: the index streams past the
+            # broadcast round keys, then a small anti-join
+            hit = stored_ids.select(key).join(F.broadcast(rows.select(key)), key, "left_semi")
+            fresh = rows.join(hit, key, "left_anti")
+        else:
+            fresh = skip_stored(rows, stored_ids, key)
+        tagged = write_stage(embed(fresh, text), "embedded-rows")   # the embedder runs once
+        ok = tagged.filter(F.col("error").isNull() & F.col("embedding").isNotNull())
+        ok_ids = ok.select(key)
+        if seen:
+            earlier = seen[0]
+            for s in seen[1:]:
+                earlier = earlier.unionByName(s)
+            ok = ok.join(earlier, key, "left_anti")      # embedded by an earlier round
+        first = ok.groupBy(key).agg(F.min("batch_no").alias("batch_no"))
+        ok = ok.join(first, [key, "batch_no"], "left_semi")
+        # every page is full but the last one: no count needed
+        fetched = spark.range(b0, b1).select(
+            F.col("id").alias("batch_no"),
+            F.least(F.lit(batch_size).cast("long"),
+                    F.lit(n_after) - F.col("id") * batch_size).alias("fetched"))
+        indexed = ok.groupBy("batch_no").agg(F.count(F.lit(1)).alias("indexed"))
+        per_batch = (fetched.join(indexed, "batch_no", "left")
+                     .withColumn("indexed", F.coalesce("indexed", F.lit(0))))
+        per_batch = prefix_sum(per_batch, "batch_no", "indexed", "total_before") \
+            .withColumn("total_before", F.col("total_before") + F.lit(total))
+        batches = (per_batch.filter(F.col("total_before") < number_of_records)
+                   .withColumn("page_offset", F.lit(offset) + F.col("batch_no") * batch_size)
+                   .withColumn("total_after", F.col("total_before") + F.col("indexed"))
+                   .select("batch_no", "page_offset", "fetched", "indexed",
+                           "total_before", "total_after"))
+        # batches are recomputed from written tables (embedded rows, ordinals)
+        got = batches.agg(F.coalesce(F.sum("indexed"), F.lit(0)).alias("n")).first()["n"]
+        kept_parts.append(ok.join(batches.select("batch_no"), "batch_no", "left_semi"))
+        rej_parts.append(tagged.filter(F.col("error").isNotNull())
+                         .select(order_col, "rn", "batch_no", key, "error")
+                         .join(batches.select("batch_no"), "batch_no", "left_semi"))
+        batch_parts.append(batches)
+        seen.append(ok_ids)
+        total += int(got)
+        per = got / (b1 - b0)
+        need = number_of_records - total
+        nb = max(math.ceil(nb * growth),
+                 math.ceil(1.25 * need / per) if per > 0 else last + 1)
+        b0 = b1
+    kept, rejects, batches = kept_parts[0], rej_parts[0], batch_parts[0]
+    for kp, rp, bp in zip(kept_parts[1:], rej_parts[1:], batch_parts[1:]):
+        kept, rejects, batches = kept.unionByName(kp), rejects.unionByName(rp), batches.unionByName(bp)
+    return _finish(kept, rejects, batches, order_col, key, text, number_of_records, exact)
+
+
+def _batch_plan_one_pass(source: DataFrame, order_col: str, stored_ids: DataFrame,
+               embed, number_of_records: int = 1000, batch_size: int = 100,
+               offset: int = 0, key: str = "doc_id", text: str = "text",
+               exact: bool = False, materialize: bool = True):
+    """``batch_plan`` in one pass: every fresh row after ``offset`` is embedded,
+    then the stop rule cuts. Used when nothing may be written (``materialize``
+    off) or when asked with ``rounds=False``."""
     paged = plan_batches(source, order_col, offset, batch_size)
     fresh = skip_stored(paged, stored_ids, key)
     tagged = embed(fresh, text)                    # map-only: adds embedding / error
@@ -126,6 +250,10 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
                .select("batch_no", "page_offset", "fetched", "indexed", "total_before", "total_after"))
     kept = ok.join(batches.select("batch_no"), "batch_no", "left_semi")
     rejects = rejects.join(batches.select("batch_no"), "batch_no", "left_semi")
+    return _finish(kept, rejects, batches, order_col, key, text, number_of_records, exact)
+
+
+def _finish(kept, rejects, batches, order_col, key, text, number_of_records, exact):
     if exact:
         w = Window.partitionBy("batch_no").orderBy("rn")
         kept = (kept.join(batches.select("batch_no", "total_before"), "batch_no")

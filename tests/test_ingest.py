@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from scour.operators.ingest import batch_plan, prefix_sum, row_ordinals
@@ -36,12 +38,13 @@ def _embed_failing(fails):
     return embed
 
 
-def _run(spark, keys, stored, fails, n, b, offset):
+def _run(spark, keys, stored, fails, n, b, offset, rounds="auto"):
     src = spark.createDataFrame([(i, k, f"text-{k}") for i, k in enumerate(keys)],
                                 "ord long, doc_id string, text string")
     st = spark.createDataFrame([(k,) for k in stored] or [("__none__",)], "doc_id string")
     kept, rejects, batches = batch_plan(src, "ord", st, _embed_failing(fails),
-                                        number_of_records=n, batch_size=b, offset=offset)
+                                        number_of_records=n, batch_size=b, offset=offset,
+                                        rounds=rounds)
     return ([r["doc_id"] for r in kept.orderBy("rn").collect()],
             batches.orderBy("batch_no").collect())
 
@@ -65,7 +68,8 @@ def test_original_failures_case(spark):
     assert [(r["page_offset"], r["fetched"]) for r in batches] == [(0, 10), (10, 10)]
 
 
-def test_random_cases_match_sequential_loop(spark):
+@pytest.mark.parametrize("rounds", [False, True])
+def test_random_cases_match_sequential_loop(spark, rounds):
     rnd = random.Random(11)
     for _ in range(8):
         n_rows = rnd.randint(5, 60)
@@ -75,7 +79,7 @@ def test_random_cases_match_sequential_loop(spark):
         fails = set(rnd.sample(vocab, rnd.randint(0, len(vocab) // 4)))
         n, b, off = rnd.randint(1, 30), rnd.randint(1, 7), rnd.randint(0, 8)
         total, out, pages = sequential(keys, stored, fails, n, b, off)
-        got, batches = _run(spark, keys, stored, fails, n, b, off)
+        got, batches = _run(spark, keys, stored, fails, n, b, off, rounds)
         assert got == out
         assert [(b, r["page_offset"]) for r in batches] == pages
         assert sum(r["indexed"] for r in batches) == total
@@ -94,3 +98,36 @@ def test_prefix_sum_two_levels(spark):
     for r in got:
         assert r["before"] == run
         run += r["v"]
+
+
+def test_rounds_stop_early_and_match_one_pass(spark):
+    # 400 rows, N=12 with batches of 3 and a third of the ids stored: the
+    # rounds embed a prefix only, and give the same rows and batches as one pass
+    keys = [f"k{i % 300}" for i in range(400)]          # repeats after 300
+    stored = [f"k{i}" for i in range(0, 300, 3)]
+    fails = {f"k{i}" for i in range(1, 300, 7)}
+    total, out, pages = sequential(keys, stored, fails, 12, 3, 5)
+    for rounds in (True, False):
+        got, batches = _run(spark, keys, stored, fails, 12, 3, 5, rounds)
+        assert got == out
+        assert [(3, r["page_offset"]) for r in batches] == pages
+        assert sum(r["indexed"] for r in batches) == total
+
+
+def test_rounds_embed_a_prefix_only(spark):
+    seen = []
+
+    def embed(df, text):
+        from scour.session import materialize
+        out = materialize(df.withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+                          .withColumn("error", F.lit(None).cast("string")), "probe")
+        seen.append(out.count())
+        return out
+
+    src = spark.createDataFrame([(i, f"id{i}", f"t{i}") for i in range(2000)],
+                                "ord long, doc_id string, text string")
+    st = spark.createDataFrame([("__none__",)], "doc_id string")
+    kept, _, batches = batch_plan(src, "ord", st, embed, number_of_records=20,
+                                  batch_size=10, rounds=True)
+    assert kept.count() == 20
+    assert sum(seen) == 20          # one round of two pages, not 2,000 rows
