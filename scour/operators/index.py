@@ -127,6 +127,14 @@ def upsert(spark: SparkSession, path: str, new_rows: DataFrame, dim: int) -> dic
             "partitions": len(touched)}
 
 
+def append_rows(spark: SparkSession, path: str, new_rows: DataFrame) -> None:
+    """Append rows whose ids the caller has already checked against the index
+    (e.g. with ``operators.ingest.skip_stored``); copies of an id are folded."""
+    create_if_missing(spark, path)
+    _write(new_rows.dropDuplicates(["doc_id"]).select(*INDEX.fieldNames()), path, "append")
+    spark.catalog.refreshByPath(path)
+
+
 def append_new(spark: SparkSession, path: str, new_rows: DataFrame) -> None:
     """Anti-joined append (the default ingest write): ids already stored are
     skipped, so the write is idempotent under replay."""

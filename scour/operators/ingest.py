@@ -76,8 +76,22 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str,
             .drop("_blk", "_bs"))
 
 
-def skip_stored(docs: DataFrame, stored_ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents whose content id is not in the index (one anti-join)."""
+def skip_stored(docs: DataFrame, stored_ids: DataFrame, key: str = "doc_id",
+                rows_bound: int | None = None, broadcast_rows: int = 4_000_000) -> DataFrame:
+    """Documents whose content id is not in the index.
+
+    By default one anti-join: AQE broadcasts the stored ids while they are
+    small and plans a sort-merge join otherwise. When the caller knows an
+    upper bound ``rows_bound`` on the rows of ``docs`` (a counted micro-batch,
+    an ingest round) and it is under ``broadcast_rows``, the keys of ``docs``
+    are broadcast instead and the index streams past them (left semi-join):
+    the index is scanned, never shuffled, and a small anti-join drops the
+    hits. That keeps the cost of a small batch against a large index at one
+    narrow scan of the id column.
+    """
+    if rows_bound is not None and rows_bound <= broadcast_rows:
+        hit = stored_ids.select(key).join(F.broadcast(docs.select(key)), key, "left_semi")
+        return docs.join(hit, key, "left_anti")
     return docs.join(stored_ids.select(key), key, "left_anti")
 
 
@@ -164,13 +178,9 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
         small = (b1 - b0) * batch_size <= broadcast_rows
         rows = (source.filter(F.col(order_col).between(bounds["lo"], bounds["hi"]))
                 .join(F.broadcast(rk) if small else rk, order_col))
-        if small:
-            # stored ids of this round only: the index streams past the
-            # broadcast round keys, then a small anti-join
-            hit = stored_ids.select(key).join(F.broadcast(rows.select(key)), key, "left_semi")
-            fresh = rows.join(hit, key, "left_anti")
-        else:
-            fresh = skip_stored(rows, stored_ids, key)
+        # stored ids of this round only: the index streams past the round keys
+        fresh = skip_stored(rows, stored_ids, key, rows_bound=(b1 - b0) * batch_size,
+                            broadcast_rows=broadcast_rows)
         tagged = write_stage(embed(fresh, text), "embedded-rows")   # the embedder runs once
         ok = tagged.filter(F.col("error").isNull() & F.col("embedding").isNotNull())
         ok_ids = ok.select(key)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scour.functions.text import content_id, document_text
 from scour.operators.embed import DEFAULT_DIM, hash_embedder
-from scour.operators.index import append_new, read_index, to_index_rows, upsert
+from scour.operators.index import append_rows, read_index, to_index_rows, upsert
 from scour.operators.ingest import batch_plan
 from scour.session import checkpoint_dir, materialize
 
@@ -47,7 +47,9 @@ def ingest(spark: SparkSession, docs: DataFrame, index_path: str, *, order_col:
     if keyed_write:
         upsert(spark, index_path, rows, dim)
     else:
-        append_new(spark, index_path, rows)
+        # batch_plan has already skipped the stored ids (a re-run skips what
+        # this run wrote): append, folding copies of an id
+        append_rows(spark, index_path, rows)
     batches = materialize(batches, "ingest-batches")
     rejects = materialize(rejects, "ingest-rejects")
     total = batches.agg(F.coalesce(F.sum("indexed"), F.lit(0)).alias("n")).first()["n"]

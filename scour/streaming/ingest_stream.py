@@ -15,19 +15,29 @@ from pyspark.sql import functions as F
 
 from scour.functions.text import content_id
 from scour.operators.embed import DEFAULT_DIM, hash_embedder
-from scour.operators.index import append_new, read_index, to_index_rows
+from scour.operators.index import append_rows, read_index, to_index_rows
 from scour.operators.ingest import skip_stored
 from scour.sources.tables import spread
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, index_path: str, text: str,
                   dim: int, run_id: int, embed=None) -> None:
+    """One micro-batch: count it (bounded by ``maxFilesPerTrigger``, but
+    counted, not assumed), find its stored ids by streaming the index past its
+    broadcast keys (no shuffle of the index), embed the rest, append.
+
+    One id check per batch is enough for replays: a replayed epoch sees the
+    files the first attempt committed, and the file commit protocol leaves
+    nothing half-written behind a failed attempt."""
     docs = spread(batch).select(content_id(F.col(text)).alias("doc_id"), F.col(text).alias("text")) \
                         .filter(F.col("doc_id").isNotNull())
+    n = docs.count()
+    if n == 0:
+        return
     stored = read_index(spark, index_path, dim).select("doc_id")
-    fresh = skip_stored(docs, stored)
+    fresh = skip_stored(docs, stored, rows_bound=n)
     ok = (embed or hash_embedder(dim))(fresh, "text").filter(F.col("error").isNull())
-    append_new(spark, index_path, to_index_rows(ok, run_id))
+    append_rows(spark, index_path, to_index_rows(ok, run_id))
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, index_path: str, checkpoint: str, *,
