@@ -26,6 +26,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -250,9 +251,16 @@ def train_centroids(corpus: DataFrame, cvec: str, cells: int, train_rows: int,
     n = corpus.count()
     frac = min(1.0, float(train_rows) / max(n, 1))
     sample = corpus.sample(False, frac, seed) if frac < 1.0 else corpus
-    feats = sample.select(array_to_vector(F.col(cvec)).alias("features"))
-    # centroid quality only changes how much the exact second round probes
-    model = KMeans(k=cells, seed=seed, maxIter=10, tol=1e-3, initMode="k-means||").fit(feats)
+    # k-means passes over its input many times: the sample (at most
+    # ``train_rows`` vectors, a fixed bound whatever the corpus size) is
+    # cached for the fit so each pass does not rescan and reconvert the corpus
+    feats = sample.select(array_to_vector(F.col(cvec)).alias("features")).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        # centroid quality only changes how much the exact second round probes
+        model = KMeans(k=cells, seed=seed, maxIter=10, tol=1e-3, initMode="k-means||").fit(feats)
+    finally:
+        feats.unpersist()
     return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
 
 
