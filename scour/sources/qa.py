@@ -81,7 +81,23 @@ def register_posts(questions: DataFrame, answers: DataFrame) -> None:
 
 
 def source_page(spark: SparkSession, number_of_records: int = 100,
-                offset: int | None = None) -> DataFrame:
-    """One page of accepted pairs, in question id order (views must be registered)."""
-    text, args = source_sql(number_of_records, offset)
-    return spark.sql(text, args=args)
+                offset: int | None = None, deep_rows: int = 1_000_000) -> DataFrame:
+    """One page of accepted pairs, in question id order (views must be registered).
+
+    A page within the first ``deep_rows`` rows runs the SQL text: Catalyst
+    plans ``ORDER BY .. LIMIT .. OFFSET`` as a per-partition top-(n + m) and
+    one merge, which is cheap for shallow pages. A deeper page would put all
+    n + m rows through that one merge task, so it is cut from global ordinals
+    instead (range partitions of the question id, numbered per partition;
+    see ``operators.ingest.row_ordinals``): no task holds more than its key
+    range. Both give the same rows in the same order."""
+    m = int(offset or 0)
+    if number_of_records + m <= deep_rows:
+        text, args = source_sql(number_of_records, offset)
+        return spark.sql(text, args=args)
+    from scour.operators.ingest import row_ordinals
+
+    pairs = qa_pairs(spark.table("posts_questions"), spark.table("posts_answers"))
+    return (row_ordinals(pairs, "question_id")
+            .filter((F.col("rn") >= m) & (F.col("rn") < m + number_of_records))
+            .drop("rn"))

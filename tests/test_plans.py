@@ -32,6 +32,16 @@ def test_source_page_covers_all_rows_once(spark):
     assert len(seen) == total and len(set(seen)) == total
 
 
+def test_deep_page_path_equals_sql(spark):
+    conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
+    q, a = qa.questions_from_conversations(conv), qa.answers_from_conversations(conv)
+    qa.register_posts(q, a)
+    for n, off in [(7, None), (5, 3), (50, 20)]:
+        want = [tuple(r) for r in qa.source_page(spark, n, off).collect()]
+        got = [tuple(r) for r in qa.source_page(spark, n, off, deep_rows=0).collect()]
+        assert got == want and want
+
+
 def test_ingest_twice_adds_nothing(spark):
     conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
     pairs = qa.qa_pairs(qa.questions_from_conversations(conv), qa.answers_from_conversations(conv))
