@@ -140,13 +140,17 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
         cid: str = "doc_id", cvec: str = "embedding",
         strategy: str = "auto", cells: int | None = None, nprobe: int = 1,
         exact: bool = True, broadcast_limit_bytes: int = 256 << 20,
+        scan_pairs_limit: int = 10 ** 12, max_auto_cells: int = 4096,
         block_rows: int = 8192, query_block: int = 2048,
         train_rows: int = 200_000, seed: int = 7, materialize: bool = True,
         index: "IvfIndex | None" = None) -> DataFrame:
     """k nearest corpus vectors for every query row.
 
     ``strategy="auto"`` uses ``scan`` when the query matrix is under
-    ``broadcast_limit_bytes`` (counted first), else ``cells``.
+    ``broadcast_limit_bytes`` (counted first) and the distance pairs
+    ``queries x corpus`` (counted too) are under ``scan_pairs_limit``; else
+    ``cells``, with about sqrt(corpus) cells (at most ``max_auto_cells``)
+    unless ``cells`` is given.
     """
     queries = queries.select(F.col(qid), F.col(qvec)).filter(F.col(qvec).isNotNull())
     if materialize:
@@ -167,7 +171,15 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
             strategy = "cells"
         else:
             n_q = queries.count()
-            strategy = "scan" if n_q * dim * 8 <= broadcast_limit_bytes else "cells"
+            fits = n_q * dim * 8 <= broadcast_limit_bytes
+            n_c = corpus.count() if fits else None
+            if fits and n_q * n_c <= scan_pairs_limit:
+                strategy = "scan"
+            else:
+                strategy = "cells"
+                if n_c is None:
+                    n_c = corpus.count()
+                cells = cells or max(1, min(max_auto_cells, math.isqrt(max(n_c, 1))))
     if strategy == "scan":
         return _knn_scan(queries, corpus, k, qid, qvec, cid, cvec, dim,
                          broadcast_limit_bytes)

@@ -69,3 +69,27 @@ def test_wrong_width_rows_are_skipped(spark):
     queries = spark.createDataFrame([(9, [1.0, 0.1])], "query_id long, qv array<float>")
     got = knn(queries, corpus, 5, qid="query_id", qvec="qv", cid="doc_id", cvec="embedding")
     assert [r["doc_id"] for r in got.orderBy("rank").collect()] == [3, 1]
+
+
+def test_auto_switches_to_cells_on_many_pairs(spark):
+    # a pairs limit below queries x corpus sends auto to the cell strategy,
+    # which stays exact
+    import numpy as np
+    from scour.operators.knn import knn
+
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(300, 8))
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(X)],
+                                   "doc_id long, embedding array<float>")
+    Xf = np.array([[float(np.float32(x)) for x in v] for v in X])
+    qs = corpus.filter("doc_id < 25").select(corpus.doc_id.alias("query_id"),
+                                             corpus.embedding.alias("qv"))
+    got = knn(qs, corpus, 4, scan_pairs_limit=100).collect()
+    res = {}
+    for r in got:
+        res.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"]))
+    for q in range(25):
+        d = ((Xf - Xf[q]) ** 2).sum(axis=1)
+        want = sorted(range(300), key=lambda j: (d[j], j))[:4]
+        assert [j for _, j in sorted(res[q])] == want
