@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 from typing import Callable, Iterable, Iterator
 
 import numpy as np
@@ -121,6 +122,66 @@ def hash_vector(text: str | None, dim: int = DEFAULT_DIM, max_chars: int | None
     return (w / norm).astype(np.float32), None
 
 
+# Texts are tokenised a chunk at a time so the token list of one Arrow batch
+# stays bounded in memory (a batch may hold thousands of long documents).
+_CHUNK_CHARS = 8 << 20
+
+
+def _hash_chunk(texts, dim, max_chars, vecs, errs, base):
+    toks = []
+    for i, t in enumerate(texts):
+        tk = []
+        if not isinstance(t, str):
+            errs[base + i] = ERR_EMPTY
+        elif max_chars and len(t) > max_chars:
+            errs[base + i] = ERR_TOO_LONG
+        else:
+            tk = [x for x in _SPLIT.split(t.lower()) if x]
+            if not tk:
+                errs[base + i] = ERR_EMPTY
+        toks.append(tk)
+    n = len(texts)
+    lens = np.fromiter(map(len, toks), dtype=np.int64, count=n)
+    flat = list(chain.from_iterable(toks))
+    if flat:
+        # md5 once per distinct token of the chunk; one bincount for all rows
+        idx, uniq = pd.factorize(pd.Series(flat, dtype=object), sort=False)
+        ucode = np.fromiter((int.from_bytes(hashlib.md5(u.encode("utf-8")).digest()[:4], "big") >> 4
+                             for u in uniq), dtype=np.int64, count=len(uniq))
+        code = ucode[idx]
+        doc = np.repeat(np.arange(n), lens)
+        w = np.bincount(doc * dim + (code >> 4) % dim, weights=np.where(code % 2 == 0, 1.0, -1.0),
+                        minlength=n * dim).reshape(n, dim)
+    else:
+        w = np.zeros((n, dim))
+    norm = np.sqrt((w * w).sum(axis=1))
+    for i in range(n):
+        if errs[base + i] is None:
+            if norm[i] == 0:
+                errs[base + i] = ERR_ZERO
+            else:
+                vecs[base + i] = (w[i] / norm[i]).astype(np.float32)
+
+
+def hash_vectors(texts, dim: int = DEFAULT_DIM, max_chars: int | None = None):
+    """``hash_vector`` over many texts at once (lists of vectors and errors);
+    the same result for every text, with md5 taken once per distinct token
+    of a chunk and the cell sums of all rows done by one ``bincount``."""
+    texts = list(texts)
+    n = len(texts)
+    vecs, errs = [None] * n, [None] * n
+    start = 0
+    while start < n:
+        end, size = start, 0
+        while end < n and (end == start or size < _CHUNK_CHARS):
+            t = texts[end]
+            size += len(t) if isinstance(t, str) else 0
+            end += 1
+        _hash_chunk(texts[start:end], dim, max_chars, vecs, errs, start)
+        start = end
+    return vecs, errs
+
+
 def hash_embed_text(text: str, dim: int = DEFAULT_DIM) -> list[float] | None:
     """Hash vector of one text as a list (None when it fails)."""
     v, _ = hash_vector(text, dim)
@@ -133,8 +194,8 @@ _EMBED_STRUCT = "struct<embedding:array<float>, error:string>"
 def _hash_udf(dim: int, max_chars: int | None):
     @F.pandas_udf(_EMBED_STRUCT)
     def embed(texts: pd.Series) -> pd.DataFrame:
-        out = [hash_vector(t, dim, max_chars) for t in texts]
-        return pd.DataFrame({"embedding": [o[0] for o in out], "error": [o[1] for o in out]})
+        vecs, errs = hash_vectors(texts, dim, max_chars)
+        return pd.DataFrame({"embedding": vecs, "error": errs})
     # Marked non-deterministic so that Catalyst evaluates it exactly once, where
     # it is written: a filter on its output is not pushed below an exchange and
     # the call is not copied into each field that reads the struct.

@@ -57,3 +57,23 @@ def test_wrong_width_is_an_error(spark):
     df = spark.createDataFrame([("a",)], "text string")
     r = udf_embedder(lambda: (lambda t: [1.0, 2.0]), 3)(df, "text").first()
     assert r["embedding"] is None and r["error"] == "bad width 2 != 3"
+
+
+def test_batch_hash_vectors_equal_per_text():
+    import numpy as np
+    from scour.operators import embed as E
+
+    texts = ["Hello  world\tagain", "", None, "x " * 5, "UPPER lower Upper", "a\r\nb", "long " * 30,
+             "ünïcödé wörds ünïcödé", "   ", "one"]
+    for mc in (None, 40):
+        old_chunk = E._CHUNK_CHARS
+        try:
+            for chunk in (8 << 20, 3):          # one chunk, and one text per chunk
+                E._CHUNK_CHARS = chunk
+                vecs, errs = E.hash_vectors(texts, 16, mc)
+                for t, v, e in zip(texts, vecs, errs):
+                    want_v, want_e = E.hash_vector(t, 16, mc)
+                    assert e == want_e
+                    assert (v is None and want_v is None) or np.array_equal(v, want_v)
+        finally:
+            E._CHUNK_CHARS = old_chunk
