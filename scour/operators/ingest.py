@@ -40,8 +40,14 @@ def row_ordinals(df: DataFrame, order_col: str, out: str = "rn",
     numbers rows inside each partition; a per-partition count table (one row
     per partition - bounded by the partition count, so it is broadcast) turns
     that into a global ordinal. No window without a partition key.
+
+    The partition count defaults to the cluster's shuffle width
+    (``spark.sql.shuffle.partitions``, at least one per core), which the
+    operator sizes for the data, as for any other shuffle.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = (df.repartitionByRange(n, F.col(order_col))
               .sortWithinPartitions(order_col)
               .withColumn("_mid", F.monotonically_increasing_id()))
