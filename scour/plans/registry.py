@@ -164,6 +164,11 @@ def _emb_queries(spark, sf):
     return e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
 
 
+# The query vectors of the kNN queries are a plain scan (no embedder to run
+# once), so knn() need not write them to the checkpoint folder first.
+_SCAN_QUERIES = {"materialize": False}
+
+
 def _hits_out(h):
     return h.select("query_id", "rank", "vec_id", _round("dist2"), _round("score"))
 
@@ -179,18 +184,20 @@ def knn_single(spark, sf):
 
 def knn_batch(spark, sf):
     e, q = _emb_queries(spark, sf)
-    return _hits_out(knn(q, e, K, qid="query_id", qvec="qv", cid="vec_id", cvec="embedding"))
+    return _hits_out(knn(q, e, K, qid="query_id", qvec="qv", cid="vec_id", cvec="embedding",
+                         **_SCAN_QUERIES))
 
 
 def knn_ivf(spark, sf):
     e, q = _emb_queries(spark, sf)
     return _hits_out(knn(q, e, K, qid="query_id", qvec="qv", cid="vec_id", cvec="embedding",
-                         strategy="cells", cells=IVF_CELLS, nprobe=IVF_PROBES, exact=True))
+                         strategy="cells", cells=IVF_CELLS, nprobe=IVF_PROBES, exact=True,
+                         **_SCAN_QUERIES))
 
 
 def hits_text(spark, sf):
     e, q = _emb_queries(spark, sf)
-    h = knn(q, e, K, qid="query_id", qvec="qv", cid="vec_id", cvec="embedding")
+    h = knn(q, e, K, qid="query_id", qvec="qv", cid="vec_id", cvec="embedding", **_SCAN_QUERIES)
     en = _t(spark, sf, "documents").filter(F.col("lang") == "en")
     return hits_with_text(h, en, "vec_id", "doc_id").select("query_id", "rank", "vec_id", "text")
 
