@@ -94,10 +94,31 @@ def merge_newest(old: DataFrame, new: DataFrame) -> DataFrame:
             .drop("_r", "_src"))
 
 
-def upsert(spark: SparkSession, path: str, new_rows: DataFrame, dim: int) -> dict:
+def merge_newest_bounded(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``merge_newest`` for a counted, bounded ``new`` (ids unique): its
+    ``(id, run_id)`` pairs are broadcast and the stored rows stream past them,
+    so the stored rows are never shuffled. Returns ``(old rows kept, new rows
+    kept)``: a stored row survives unless a new row with its id is at least as
+    new; a new row loses only to a strictly newer stored row."""
+    nk = F.broadcast(new.select("doc_id", F.col("run_id").alias("_new_run")))
+    probe = old.join(nk, "doc_id", "left")
+    old_kept = (probe.filter(F.col("_new_run").isNull() | (F.col("run_id") > F.col("_new_run")))
+                .drop("_new_run"))
+    newer = probe.filter(F.col("run_id") > F.col("_new_run")).select("doc_id")
+    return old_kept, new.join(newer, "doc_id", "left_anti")
+
+
+def upsert(spark: SparkSession, path: str, new_rows: DataFrame, dim: int,
+           broadcast_rows: int = 4_000_000) -> dict:
     """Keyed write of ``new_rows`` (index schema). Rows with a bad vector are
     not written. The checked rows are staged once (lineage cut, so the
-    embedder upstream runs once); the report is read from the staged files."""
+    embedder upstream runs once); the report is read from the staged files.
+
+    When the staged rows (counted) are at most ``broadcast_rows``, the merge
+    broadcasts their ids and writes the stored rows of the touched prefixes
+    straight from their scan (no shuffle of the index; only the new rows are
+    range-partitioned); otherwise union, window per id and a range-partitioned
+    write."""
     create_if_missing(spark, path, dim)
     dim = index_dimension(spark, path) or dim
     staging = scratch_path(spark, "index-staging")
@@ -114,9 +135,15 @@ def upsert(spark: SparkSession, path: str, new_rows: DataFrame, dim: int) -> dic
         if old.limit(1).count() == 0:           # nothing stored there yet: a plain append
             _write(staged.select(*INDEX.fieldNames()), path, "append")
         else:
-            merged = merge_newest(old, staged.select(*INDEX.fieldNames()))
             merged_path = scratch_path(spark, "index-merged")
-            _write(merged, merged_path, "overwrite")
+            new_part = staged.select(*INDEX.fieldNames())
+            if report["written"] <= broadcast_rows:
+                old_kept, new_kept = merge_newest_bounded(old, new_part)
+                (old_kept.select(*INDEX.fieldNames())
+                 .unionByName(new_kept.repartitionByRange(F.col("id_prefix"), F.col("doc_id")))
+                 .write.mode("overwrite").partitionBy("id_prefix").parquet(merged_path))
+            else:
+                _write(merge_newest(old, new_part), merged_path, "overwrite")
             # only the touched prefix folders are replaced (per-write option,
             # the session setting is left alone)
             (spark.read.schema(INDEX).parquet(merged_path).write.mode("overwrite")

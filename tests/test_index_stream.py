@@ -62,3 +62,14 @@ def test_stream_replay_adds_nothing(spark):
     # a new checkpoint replays everything: the content ids make it a no-op
     ingest_stream(spark, src + "/*", path, os.path.join(base, "ckpt2"))
     assert idx.read_index(spark, path).count() == 3
+
+
+def test_upsert_older_run_never_replaces_newer(spark):
+    # both merge forms: broadcast ids (bounded) and window per id
+    for bound in (4_000_000, 0):
+        path = os.path.join(tempfile.mkdtemp(), "index")
+        idx.upsert(spark, path, _rows(spark, ["a b", "c d"], 5), 64, broadcast_rows=bound)
+        idx.upsert(spark, path, _rows(spark, ["a b", "g h"], 3), 64, broadcast_rows=bound)
+        idx.upsert(spark, path, _rows(spark, ["c d", "i j"], 5), 64, broadcast_rows=bound)
+        got = sorted((r["text"], r["run_id"]) for r in idx.read_index(spark, path).collect())
+        assert got == [("a b", 5), ("c d", 5), ("g h", 3), ("i j", 5)]
