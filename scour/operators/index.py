@@ -39,6 +39,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def stored_bytes(spark: SparkSession, path: str, prefixes=None) -> int:
+    """Bytes on disk under the index (or under the given prefix folders only),
+    from file-system metadata - no Spark job."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    folders = [path] if prefixes is None else [f"{path}/id_prefix={pre}" for pre in prefixes]
+    for folder in folders:
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            total += fs.getContentSummary(p).getLength()
+    return total
+
+
 def create_if_missing(spark: SparkSession, path: str, dim: int | None = None) -> str:
     """Write an empty index with the fixed schema when ``path`` is absent; the
     vector width is kept next to it in ``_meta`` (ignored by data readers)."""
@@ -109,16 +124,18 @@ def merge_newest_bounded(old: DataFrame, new: DataFrame) -> tuple[DataFrame, Dat
 
 
 def upsert(spark: SparkSession, path: str, new_rows: DataFrame, dim: int,
-           broadcast_rows: int = 4_000_000) -> dict:
+           broadcast_rows: int = 4_000_000, stream_stored_bytes: int = 1 << 30) -> dict:
     """Keyed write of ``new_rows`` (index schema). Rows with a bad vector are
     not written. The checked rows are staged once (lineage cut, so the
     embedder upstream runs once); the report is read from the staged files.
 
-    When the staged rows (counted) are at most ``broadcast_rows``, the merge
-    broadcasts their ids and writes the stored rows of the touched prefixes
-    straight from their scan (no shuffle of the index; only the new rows are
-    range-partitioned); otherwise union, window per id and a range-partitioned
-    write."""
+    When the staged rows (counted) are at most ``broadcast_rows`` and the
+    touched prefixes hold at least ``stream_stored_bytes`` on disk, the merge
+    broadcasts the new ids and writes the stored rows straight from their
+    scan (no shuffle of the index; only the new rows are range-partitioned).
+    Otherwise - few new rows against little stored data, where a shuffle
+    costs less than the extra jobs, or too many new rows to broadcast - it
+    is a union, a window per id and a range-partitioned write."""
     create_if_missing(spark, path, dim)
     dim = index_dimension(spark, path) or dim
     staging = scratch_path(spark, "index-staging")
@@ -137,7 +154,8 @@ def upsert(spark: SparkSession, path: str, new_rows: DataFrame, dim: int,
         else:
             merged_path = scratch_path(spark, "index-merged")
             new_part = staged.select(*INDEX.fieldNames())
-            if report["written"] <= broadcast_rows:
+            if (report["written"] <= broadcast_rows
+                    and stored_bytes(spark, path, touched) >= stream_stored_bytes):
                 old_kept, new_kept = merge_newest_bounded(old, new_part)
                 (old_kept.select(*INDEX.fieldNames())
                  .unionByName(new_kept.repartitionByRange(F.col("id_prefix"), F.col("doc_id")))

@@ -49,7 +49,11 @@ def test_append_is_idempotent(spark):
     assert idx.read_index(spark, path).count() == 2
 
 
-def test_stream_replay_adds_nothing(spark):
+import pytest
+
+
+@pytest.mark.parametrize("large", [1 << 30, 0])      # plain anti-join; counted batch
+def test_stream_replay_adds_nothing(spark, large):
     base = tempfile.mkdtemp()
     src = os.path.join(base, "src")
     spark.createDataFrame([("one two",), ("three",), ("one two",)], "text string") \
@@ -57,19 +61,20 @@ def test_stream_replay_adds_nothing(spark):
     spark.createDataFrame([("four five",), ("three",)], "text string") \
         .coalesce(1).write.parquet(os.path.join(src, "p2"))
     path, ckpt = os.path.join(base, "index"), os.path.join(base, "ckpt")
-    ingest_stream(spark, src + "/*", path, ckpt)
+    ingest_stream(spark, src + "/*", path, ckpt, large_index_bytes=large)
     assert idx.read_index(spark, path).count() == 3
     # a new checkpoint replays everything: the content ids make it a no-op
-    ingest_stream(spark, src + "/*", path, os.path.join(base, "ckpt2"))
+    ingest_stream(spark, src + "/*", path, os.path.join(base, "ckpt2"), large_index_bytes=large)
     assert idx.read_index(spark, path).count() == 3
 
 
 def test_upsert_older_run_never_replaces_newer(spark):
     # both merge forms: broadcast ids (bounded) and window per id
     for bound in (4_000_000, 0):
+        opts = {"broadcast_rows": bound, "stream_stored_bytes": 0}
         path = os.path.join(tempfile.mkdtemp(), "index")
-        idx.upsert(spark, path, _rows(spark, ["a b", "c d"], 5), 64, broadcast_rows=bound)
-        idx.upsert(spark, path, _rows(spark, ["a b", "g h"], 3), 64, broadcast_rows=bound)
-        idx.upsert(spark, path, _rows(spark, ["c d", "i j"], 5), 64, broadcast_rows=bound)
+        idx.upsert(spark, path, _rows(spark, ["a b", "c d"], 5), 64, **opts)
+        idx.upsert(spark, path, _rows(spark, ["a b", "g h"], 3), 64, **opts)
+        idx.upsert(spark, path, _rows(spark, ["c d", "i j"], 5), 64, **opts)
         got = sorted((r["text"], r["run_id"]) for r in idx.read_index(spark, path).collect())
         assert got == [("a b", 5), ("c d", 5), ("g h", 3), ("i j", 5)]
