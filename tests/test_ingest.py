@@ -131,3 +131,26 @@ def test_rounds_embed_a_prefix_only(spark):
                                   batch_size=10, rounds=True)
     assert kept.count() == 20
     assert sum(seen) == 20          # one round of two pages, not 2,000 rows
+
+
+def test_skip_stored_bounded_equals_anti_join(spark):
+    from scour.operators.ingest import skip_stored
+
+    docs = spark.createDataFrame([(i, f"k{i % 17}") for i in range(120)], "ord long, doc_id string")
+    stored = spark.createDataFrame([(f"k{i}",) for i in range(0, 30, 4)] * 3, "doc_id string")
+    want = sorted(r["ord"] for r in skip_stored(docs, stored).collect())
+    got = sorted(r["ord"] for r in skip_stored(docs, stored, rows_bound=120).collect())
+    assert got == want and len(want) > 0
+
+
+def test_rounds_with_a_hot_key_match_sequential_loop(spark):
+    # one content id holds a third of all rows, spread over every page
+    keys = [("hot" if i % 3 == 0 else f"d{i}") for i in range(150)]
+    stored = [f"d{i}" for i in range(0, 150, 5)]
+    fails = {f"d{i}" for i in range(1, 150, 11)}
+    for n, b, off in [(25, 4, 3), (200, 6, 0)]:
+        total, out, pages = sequential(keys, stored, fails, n, b, off)
+        got, batches = _run(spark, keys, stored, fails, n, b, off, True)
+        assert got == out
+        assert [(b, r["page_offset"]) for r in batches] == pages
+        assert sum(r["indexed"] for r in batches) == total
