@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from scour.llm.common import table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm import quality_rules
+
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"),
+                                     table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm import bpe
 
@@ -14,6 +21,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op7_bpe": op7_bpe,
 }
 
