@@ -14,6 +14,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      table(spark, sf_dir, "labels"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm import quality_classifier
+
+    return quality_classifier.classify(table(spark, sf_dir, "documents"),
+                                       table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm import bpe
 
@@ -22,6 +29,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
 }
 
