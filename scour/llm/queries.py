@@ -14,6 +14,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      table(spark, sf_dir, "labels"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm import html_extract
+
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm import quality_classifier
 
@@ -29,6 +35,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_html_extract": op5_html_extract,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
 }
