@@ -6,7 +6,7 @@ are the text. The weights are log ratios of how often a token occurs inside and
 outside the content of labelled pages. A page is its own label where its markup
 names the content (``article`` or ``main``); those two tags, which on labelled
 pages stand nowhere else, come out with a large positive weight. All labelled
-pages are counted: each task sends one row per kind of token, the driver gets a
+pages are counted (what is taken out beforehand is not): each task sends one row per kind of token, the driver gets a
 table of fixed size (the known tags).
 
 Before the scan, elements that are never content are taken out with all they
@@ -53,6 +53,8 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 KINDS = sorted((BLOCKS | INLINE) - {"br", "wbr"}) + ["other"]
 #: Smallest size of a weight, and the prior: counts added to either side.
 LEAST, PRIOR = 0.02, 5.0
+#: The prior weight counts as so many sightings of a token.
+SIGHTINGS = 100
 #: Largest size of the weight of a word, a tag, and the start or end of content:
 #: one rare tag should not outweigh a sentence.
 MOST_WORD, MOST_TAG, MOST_CONTENT = 1.0, 3.0, 25.0
@@ -138,45 +140,32 @@ def kind_of(name: str) -> str:
 
 
 def count_tokens(page: str) -> Counter:
-    """(kind, inside) counts of a labelled page; empty for others. What is taken
-    out counts as outside, so that its tags weigh against a region."""
+    """(kind, inside) counts of a labelled page, of what the scan will see;
+    empty for other pages."""
     found: Counter = Counter()
-    any_inside = False
     for name, text, inside in tokens(page):
-        n = len(text.split()) if name in ("text", "link") else 1
-        found[kind_of(name), inside] += n
-        any_inside |= inside
-    if not any_inside:
-        return Counter()
-    for m in TOKEN.finditer(page):
-        if m[2] and not m[1]:
-            found[kind_of(m[2].lower()), None] += 1
-    for kind in {k for k, _ in found}:
-        total = found.pop((kind, None), 0)
-        found[kind, False] = max(found[kind, False], total - found[kind, True])
-    return found
+        if name[0] != "/":
+            found[kind_of(name), inside] += len(text.split()) if name in ("text", "link") else 1
+    return found if any(i for _, i in found) else Counter()
 
 
 def weights_from(counts: dict[tuple[str, bool], float]) -> dict[str, float]:
-    """Log ratio of the rates inside and outside, held to words in [LEAST,
-    MOST_WORD], start tags in [-MOST_TAG, -LEAST]; tags of content are
-    MOST_CONTENT, other end tags are 0. Without labelled pages the prior
-    decides: words 1 (in links 0.1), tags -1, content 25."""
+    """Log ratio of the rates inside and outside, words held to [LEAST, MOST_WORD],
+    start tags to [-MOST_TAG, -LEAST], drawn to the prior (words 1, in links
+    0.1, tags -1, inline ones -LEAST) while sightings are few. Tags of content
+    are MOST_CONTENT; other end tags are 0."""
     inside = sum(c for (_, i), c in counts.items() if i)
     outside = sum(c for (_, i), c in counts.items() if not i)
     out = {}
-    for kind in ["text", "link", *KINDS, "article", "main", "/article", "/main"]:
+    for kind in ["text", "link", *KINDS]:
         a, b = counts.get((kind, True), 0), counts.get((kind, False), 0)
-        ratio = (math.log((a + PRIOR) / (inside + PRIOR)) - math.log((b + PRIOR) / (outside + PRIOR))
-                 if inside and outside else None)
-        if kind.lstrip("/") in CONTENT:
-            out[kind] = MOST_CONTENT
-        elif kind in ("text", "link"):
-            out[kind] = min(MOST_WORD, max(LEAST, ratio)) if ratio is not None else (1.0 if kind == "text" else 0.1)
-        elif kind in INLINE and kind != "a":
-            out[kind] = -LEAST
-        else:
-            out[kind] = max(-MOST_TAG, min(-LEAST, ratio)) if ratio is not None else -1.0
+        prior = {"text": 1.0, "link": 0.1}.get(kind, -LEAST if kind in INLINE - {"a"} else -1.0)
+        ratio = math.log((a + PRIOR) / (inside + PRIOR)) - math.log((b + PRIOR) / (outside + PRIOR))
+        low, high = (LEAST, MOST_WORD) if kind in ("text", "link") else (-MOST_TAG, -LEAST)
+        ratio = max(low, min(high, ratio))
+        out[kind] = (ratio * (a + b) + prior * SIGHTINGS) / (a + b + SIGHTINGS)
+    for kind in ["article", "main", "/article", "/main"]:
+        out[kind] = MOST_CONTENT
     return out
 
 
