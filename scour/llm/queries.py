@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from scour.llm.common import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm import jaccard_join
+
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm import quality_rules
 
@@ -34,6 +40,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op5_html_extract": op5_html_extract,
     "op6_quality_classifier": op6_quality_classifier,
