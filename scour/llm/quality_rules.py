@@ -156,7 +156,7 @@ def learn(measured: DataFrame, labels: DataFrame, risk: float, delta: float,
             .select("stratum", (F.xxhash64("doc_id") % 2 == 0).alias("_first"),
                     *[v.alias(k) for k, v in rule_values().items()]))
     cuts = rows.filter("_first").groupBy("stratum").agg(
-        *[F.percentile(k, F.array(*map(F.lit, (0.5, 1.0, *QUANTILES)))).alias(k) for k in RULES])
+        *[F.percentile_approx(k, [0.5, 1.0, *QUANTILES], 100_000).alias(k) for k in RULES])
     cuts = cuts.select("stratum", *[F.concat(
         F.array(*[F.col(k)[0] + m * (F.col(k)[1] - F.col(k)[0]) for m in MARGINS]),
         F.slice(k, 3, len(QUANTILES))).alias(f"q_{k}") for k in RULES])

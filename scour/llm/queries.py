@@ -39,12 +39,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm import pii
+
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op5_html_extract": op5_html_extract,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {}
