@@ -20,6 +20,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      table(spark, sf_dir, "labels"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm import decontaminate
+
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"),
+                                      table(spark, sf_dir, "benchmark"))
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm import html_extract
 
@@ -48,6 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
+    "op4_decontaminate": op4_decontaminate,
     "op5_html_extract": op5_html_extract,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
