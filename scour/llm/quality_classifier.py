@@ -9,9 +9,10 @@
 2. Pooling. A document is the mean and the spread of its word vectors, the mean
    likeness of each to the next, and the logarithm of its length. Written once to
    the shared folder.
-3. A two-layer numpy network learns the label from at most ``max_rows`` labelled
-   documents (those of smallest hash; held-out documents never) on the driver; a
-   fifth of them is kept back for the temperature that calibrates its scores.
+3. A two-layer numpy network learns the label on the driver, from all labelled
+   documents or, if they are more, a share of about ``max_rows`` drawn by the hash
+   of the id (held-out documents never); a fifth of them is kept back for the
+   temperature that calibrates its scores.
 4. All documents are scored from the pooled table.
 """
 
@@ -216,8 +217,10 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                            F.col(label_col).cast("int").alias("label"))
              .filter("label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
              .filter(~held_out()))
-    rows = (known.join(pooled, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
-            .limit(max_rows).select("label", "features").collect())   # bounded by max_rows
+    share = min(1.0, max_rows / max(1, known.count()))    # about max_rows rows come back
+    rows = (known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+            .join(pooled, "doc_id").select("doc_id", "label", "features").collect())
+    rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.features)))
     x = np.frombuffer(b"".join(bytes(r.features) for r in rows), "<f4").reshape(-1, FEATURES)
     net = fit(x.astype(np.float64), np.array([r.label for r in rows], np.float64))
     shared = df.sparkSession.sparkContext.broadcast(net)

@@ -46,6 +46,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm import substring_dedup
+
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm import pii
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op5_html_extract": op5_html_extract,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_pii": op10_pii,
 }
 
