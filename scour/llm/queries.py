@@ -20,6 +20,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      table(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm import warc_zip
+
+    return warc_zip.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm import decontaminate
 
@@ -61,6 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
     "op5_html_extract": op5_html_extract,
     "op6_quality_classifier": op6_quality_classifier,
