@@ -52,6 +52,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm import secret_scan
+
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm import substring_dedup
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op5_html_extract": op5_html_extract,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
+    "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_pii": op10_pii,
 }
