@@ -33,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -194,18 +194,28 @@ def segments(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "cid long, n int, fragment int, grams array<long>")
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """A written table of a few ids a row, broadcast where it has few enough rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def verify(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches ``percent``: partial overlaps
-    are counted in every fragment and summed per pair."""
-    left = cut.select(F.col("cid").alias("a"), F.col("n").alias("na"), "fragment",
-                      F.col("grams").alias("ga"))
-    right = cut.select(F.col("cid").alias("b"), F.col("n").alias("nb"), "fragment",
-                       F.col("grams").alias("gb"))
-    return (pairs.join(left, "a").join(right, ["b", "fragment"])
-            .groupBy("a", "b", "na", "nb")
+    """The pairs (cid, other) whose similarity reaches ``percent``: partial
+    overlaps are counted in every fragment and summed per pair.
+
+    The pairs go to the segments of ``cid`` where these lie; only the segments
+    that are in a pair move, once, to those of ``other``."""
+    pairs = stage(pairs, "jaccard-pairs")
+    others = stage(pairs.select(F.col("other").alias("cid")).distinct(), "jaccard-others")
+    left = cut.join(bounded(pairs), "cid").select(
+        "cid", "other", "fragment", F.col("n").alias("na"), F.col("grams").alias("ga"))
+    right = cut.join(bounded(others), "cid", "left_semi").select(
+        F.col("cid").alias("other"), "fragment", F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    return (left.join(right, ["other", "fragment"])
+            .groupBy("cid", "other", "na", "nb")
             .agg(F.sum(F.size(F.array_intersect("ga", "gb"))).alias("same"))
             .filter(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same")))
-            .select("a", "b"))
+            .select(F.col("cid").alias("a"), F.col("other").alias("b")))
 
 
 def join_components(df: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2,
@@ -220,29 +230,31 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, rounds: int =
     about 1 in 10^19 for each pair of them."""
     docs = id_text(df, id_col, text_col)
     sized = stage(classes(docs, n), "jaccard-classes")
-    alone = Window.partitionBy("key")
+    bucket = Window.partitionBy("key")
     members = stage(keyed(docs, n, percent)
-                    .select("key", "cid", "n", F.min("cid").over(alone).alias("lo"),
-                            F.max("cid").over(alone).alias("hi"))
-                    .filter("lo < hi").select("key", "cid", "n").distinct(), "jaccard-buckets")
+                    .select("key", "cid", "n", F.min("cid").over(bucket).alias("lo"),
+                            F.max("cid").over(bucket).alias("hi"))
+                    .filter("lo < hi").select("key", "cid", "n", "lo"), "jaccard-buckets")
     reps = (sized.join(members.select("cid").distinct(), "cid", "left_semi")
             .groupBy("cid").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
-    reps = stage(reps, "jaccard-representatives")
-    if reps.count() <= BROADCAST_ROWS:
-        reps = F.broadcast(reps)
+    reps = bounded(stage(reps, "jaccard-representatives"))
     cut = stage(segments(docs.join(reps, "doc_id", "left_semi").select("doc_id", "text"), n),
                 "jaccard-segments")
 
-    links = None
-    placed = members.withColumn("comp", F.col("cid"))
-    for r in range(rounds + 1):
-        found = stage(verify(candidates(placed, r, last=r == rounds, percent=percent), cut, percent),
-                      "jaccard-links")
-        links = found if links is None else links.unionByName(found)
+    links = stage(verify(nearest(members, "lo"), cut, percent), "jaccard-links")
+    undecided = members
+    for turn in range(rounds + 1):
         comps = stage(components(links, "jaccard-components"), "jaccard-components")
-        if r < rounds:
-            placed = members.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select(
-                "key", "cid", "n", F.coalesce("component", "cid").alias("comp"))
+        if turn == rounds:
+            break
+        placed = undecided.drop("comp").join(
+            bounded(comps.select(F.col("node").alias("cid"), F.col("component").alias("comp"))),
+            "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        undecided = stage(
+            placed.withColumns({"first": F.min("comp").over(bucket), "last": F.max("comp").over(bucket)})
+            .filter("first < last").select("key", "cid", "n", "comp").distinct(), "jaccard-undecided")
+        pairs = drawn(undecided, percent) if turn < rounds - 1 else remaining(undecided, percent)
+        links = links.unionByName(stage(verify(pairs, cut, percent), "jaccard-links"))
     labelled = sized.select("cid", "doc_id").join(
         comps.withColumnRenamed("node", "cid"), "cid", "left").select(
         "doc_id", "cid", F.coalesce("component", "cid").alias("comp"))
@@ -257,34 +269,35 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, rounds: int =
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def candidates(placed: DataFrame, turn: int, last: bool, percent: int) -> DataFrame:
-    """Pairs a < b of classes that share a bucket and are of different components.
-
-    Before the last turn: each class with one member of another component, the
-    one it shares most buckets with among the members drawn, one per bucket. In
-    the last turn: all pairs with one class outside the largest component of
-    their bucket, of sizes that can reach the similarity."""
-    by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many"))
-    mixed = by_comp.groupBy("key").agg(
-        F.max_by("comp", F.struct("many", "comp")).alias("big"), F.count(F.lit(1)).alias("comps")
-    ).filter("comps > 1").select("key", "big")
-    rows = placed.join(mixed, "key")
-    if last:
-        other = placed.select("key", F.col("cid").alias("other"), F.col("n").alias("n2"),
-                              F.col("comp").alias("comp2"))
-        pairs = rows.filter("comp != big").join(other, "key").filter(
-            (F.col("comp") != F.col("comp2"))
-            & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-    else:
-        drawn = placed.groupBy("key").agg(F.min_by(
-            F.struct(F.col("cid").alias("other"), F.col("comp").alias("comp2"),
-                     F.col("n").alias("n2")),
-            F.xxhash64("cid", F.lit(turn))).alias("d")).select("key", "d.*")
-        near = rows.join(drawn, "key").filter(
-            (F.col("comp") != F.col("comp2"))
-            & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-        counted = near.groupBy("cid", "other").agg(F.count(F.lit(1)).alias("shared"))
-        pairs = counted.groupBy("cid").agg(
-            F.max_by("other", F.struct("shared", "other")).alias("other"))
-    return pairs.select(F.least("cid", "other").alias("a"),
-                        F.greatest("cid", "other").alias("b")).distinct()
+def alike_sizes(percent: int) -> Column:
+    return 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+
+
+def nearest(rows: DataFrame, other: str) -> DataFrame:
+    """(cid, other): for each class the one it shares most buckets with."""
+    return (rows.filter(F.col("cid") != F.col(other)).groupBy("cid", F.col(other).alias("other"))
+            .agg(F.count(F.lit(1)).alias("shared")).groupBy("cid")
+            .agg(F.max_by("other", F.struct("shared", "other")).alias("other")))
+
+
+def drawn(undecided: DataFrame, percent: int) -> DataFrame:
+    """Each class with one of another component: the one it shares most buckets
+    with among the members drawn by hash, one per bucket."""
+    one = undecided.groupBy("key").agg(F.min_by(
+        F.struct(F.col("cid").alias("other"), F.col("comp").alias("comp2"), F.col("n").alias("n2")),
+        F.xxhash64("cid")).alias("one")).select("key", "one.*")
+    return nearest(undecided.join(one, "key").filter((F.col("comp") != F.col("comp2"))
+                                                     & alike_sizes(percent)), "other")
+
+
+def remaining(undecided: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes that share a bucket, are of different components and
+    of sizes that can reach the similarity: one of the two is always outside the
+    bucket's largest component."""
+    big = undecided.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(
+        F.max_by("comp", F.struct("many", "comp")).alias("big"))
+    other = undecided.select("key", F.col("cid").alias("other"), F.col("n").alias("n2"),
+                             F.col("comp").alias("comp2"))
+    return undecided.join(big, "key").filter("comp != big").join(other, "key").filter(
+        (F.col("comp") != F.col("comp2")) & alike_sizes(percent)).select(
+        F.least("cid", "other").alias("cid"), F.greatest("cid", "other").alias("other")).distinct()
