@@ -23,11 +23,13 @@ def l2_norm(v) -> Column:
     return F.sqrt(sq_norm(v))
 
 
-def normalize(v) -> Column:
-    """Unit-length vector; a zero vector stays zero."""
+def unit_length(v) -> Column:
+    """Unit-length vector of floats; a zero vector stays zero, and one that is of
+    unit length already (to 1e-6) stays as it is, cell by cell."""
+    v = _c(v)
     n = l2_norm(v)
-    return F.transform(_c(v), lambda x: F.when(n == 0, x.cast("double"))
-                       .otherwise(x.cast("double") / n).cast("float"))
+    scaled = F.transform(v, lambda x: (x.cast("double") / n).cast("float"))
+    return F.when((n == 0) | (F.abs(n - 1) < 1e-6), v.cast("array<float>")).otherwise(scaled)
 
 
 def sq_l2(a, b) -> Column:

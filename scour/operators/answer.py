@@ -13,21 +13,29 @@ from pyspark.sql import types as T
 from scour.functions.text import (MARKDOWN_CLOSE, MARKDOWN_OPEN, SYSTEM_PROMPT,
                                   TEMPERATURE, extract_tagged, join_parts, prompt_text)
 from scour.schemas import MODEL_RESPONSE
-from scour.session import checkpoint_dir, materialize
+from scour.session import materialize
+
+
+#: Hits whose keys, counted beforehand, are under this are broadcast.
+BROADCAST_BYTES = 64 << 20
+HIT_BYTES = 128
 
 
 def hits_with_text(hits: DataFrame, texts: DataFrame, hit_key: str, text_key: str,
-                   text_col: str = "text", qid: str = "query_id") -> DataFrame:
+                   text_col: str = "text", qid: str = "query_id",
+                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Attach the stored text of each hit; a hit without a text gets ''.
 
-    The hit table (queries x k rows) is materialised once, then an inner join
-    streams the text store past it (AQE broadcasts the small hit side), and a
-    left join on (query, rank) keeps hits with no text. The text store is
-    never shuffled."""
-    checkpoint_dir(hits.sparkSession)
+    The hit table (queries x k rows) is written once and counted. While its keys
+    are under ``broadcast_bytes`` they are broadcast and the text store streams
+    past them; beyond that both sides are joined by a shuffle. A left join on
+    (query, rank) keeps hits with no text."""
     hits = materialize(hits, "hits")
+    wanted = hits.select(qid, "rank", hit_key)
+    if hits.count() * HIT_BYTES <= broadcast_bytes:
+        wanted = F.broadcast(wanted)
     t = texts.select(F.col(text_key).alias(hit_key), F.col(text_col).alias("_tt"))
-    matched = t.join(hits.select(qid, "rank", hit_key), hit_key).select(qid, "rank", "_tt")
+    matched = t.join(wanted, hit_key).select(qid, "rank", "_tt")
     return (hits.join(matched, [qid, "rank"], "left")
             .withColumn("text", F.coalesce(F.col("_tt"), F.lit("")))
             .drop("_tt"))
@@ -36,13 +44,14 @@ def hits_with_text(hits: DataFrame, texts: DataFrame, hit_key: str, text_key: st
 def assemble_prompts(requests: DataFrame, hits: DataFrame, qid: str = "query_id",
                      query_col: str = "query_text") -> DataFrame:
     """One prompt per request with at least one hit: matches in rank order,
-    numbered from 0. Each group holds at most k hits."""
+    numbered from 0, and ``matches``, their texts. Each group holds at most k hits."""
     per_q = (hits.groupBy(qid)
              .agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_m"),
                   F.count(F.lit(1)).alias("hit_count")))
     texts = F.transform(F.col("_m"), lambda s: s["text"])
     return (requests.select(qid, query_col).join(per_q, qid)
-            .select(qid, query_col, "hit_count", prompt_text(F.col(query_col), texts).alias("prompt")))
+            .select(qid, query_col, "hit_count", texts.alias("matches"),
+                    prompt_text(F.col(query_col), texts).alias("prompt")))
 
 
 # --------------------------------------------------------------------------
@@ -55,14 +64,14 @@ def _response_json(parts: F.Column) -> F.Column:
     return F.to_json(F.struct(F.struct(msg.alias("message")).alias("output")))
 
 
-def offline_model(prompts: DataFrame, prompt_col: str = "prompt") -> DataFrame:
+def offline_model(prompts: DataFrame, matches_col: str = "matches") -> DataFrame:
     """Deterministic stand-in for the language model, in Catalyst expressions:
     the reply names how many matches it read and puts the top match, whole,
-    inside the markdown tags. Adds ``response`` (JSON) and ``model_error``."""
-    top = F.regexp_extract(F.col(prompt_col), r"(?s)\n<match_0>\n(.*?)\n</match_0>\n", 1)
-    n = F.size(F.regexp_extract_all(F.col(prompt_col), F.lit(r"\n<match_(\d+)>\n"), F.lit(1)))
-    parts = F.array(F.concat(F.lit("Read "), n.cast("string"), F.lit(" matches.")),
-                    F.concat(F.lit(MARKDOWN_OPEN), top, F.lit(MARKDOWN_CLOSE)))
+    inside the markdown tags. It reads the matches, not the prompt, so a text
+    that holds a marker is not cut. Adds ``response`` (JSON) and ``model_error``."""
+    m = F.col(matches_col)
+    parts = F.array(F.concat(F.lit("Read "), F.size(m).cast("string"), F.lit(" matches.")),
+                    F.concat(F.lit(MARKDOWN_OPEN), F.element_at(m, 1), F.lit(MARKDOWN_CLOSE)))
     return prompts.withColumn("response", _response_json(parts)) \
                   .withColumn("model_error", F.lit(None).cast("string"))
 

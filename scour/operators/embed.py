@@ -38,6 +38,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from scour.functions.vectors import unit_length
+from scour.operators.index import check_vectors
 from pyspark.sql import types as T
 
 # Fixed values of the hash embedder rule.
@@ -249,7 +252,13 @@ def udf_embedder(factory: Callable[[], Callable[[str], Iterable[float]]], dim: i
     return embed
 
 
-def split_failures(embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with a vector, rows with an error)."""
-    return (embedded.filter(F.col("error").isNull()),
-            embedded.filter(F.col("error").isNotNull()))
+def checked(embed, dim: int):
+    """An embedder whose bad vectors (missing, of another width than ``dim``, with
+    NULL or NaN cells) are errors and whose good ones have unit length."""
+    def run(df: DataFrame, text: str) -> DataFrame:
+        out = check_vectors(embed(df, text), "embedding", dim)
+        good = F.col("error").isNull() & F.col("valid")
+        return (out.withColumn("error", F.coalesce("error", "reason"))
+                .withColumn("embedding", F.when(good, unit_length("embedding")))
+                .drop("valid", "reason"))
+    return run

@@ -1,34 +1,34 @@
-"""The document index on plain Parquet: create, validate, keyed upsert, refresh.
+"""The document index on plain Parquet: create, validate, append, keyed upsert.
 
 Layout: ``doc_id`` (SHA-256 hex of the text), ``text``, ``embedding``,
-``run_id`` and the partition column ``id_prefix`` (first hex digit of the id). A keyed write touches only the prefixes present
-in the new rows; those partitions are merged (newest ``run_id`` wins per id)
-into a staging folder in the shared checkpoint area and then swapped in with
-dynamic partition overwrite, so the index is never read and overwritten by the
-same job and nothing is cached across the write.
+``run_id`` and the partition column ``id_prefix`` (first hex digit of the id).
+Every write appends: stored files are never read to be written again. A keyed
+upsert appends its rows too; where it brings an id that is stored already, it
+leaves a mark, and readers of a marked index resolve such ids to their newest
+``run_id``. ``compact`` folds a marked index into one row per id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scour.schemas import INDEX
-from scour.session import scratch_path
+from scour.session import Stages
 
-# One hex digit: 16 prefix folders. Content ids are uniform hashes, so any
-# sizeable upsert touches every prefix whatever their number; finer prefixes
-# only add folders. Id lookups use the (prefix, id) sort inside the files.
+# One hex digit: 16 prefix folders. Content ids are uniform hashes; id lookups
+# use the (prefix, id) sort inside the files.
 PREFIX_CHARS = 1
 
 
 def _write(df: DataFrame, path: str, mode: str) -> None:
     """Partitioned index write. Range-partitioning on (prefix, id) gives each
     task a contiguous key range - one or two prefix folders per task instead
-    of one file per prefix per task - and AQE sizes the tasks; files come out
-    sorted by id, so row-group statistics serve id lookups."""
+    of one file per prefix per task - and AQE sizes the tasks; rows are sorted
+    by id inside a task, so row-group statistics serve id lookups."""
     (df.repartitionByRange(F.col("id_prefix"), F.col("doc_id"))
+     .sortWithinPartitions("id_prefix", "doc_id")
      .write.mode(mode).partitionBy("id_prefix").parquet(path))
 
 
@@ -73,20 +73,56 @@ def index_dimension(spark: SparkSession, path: str) -> int | None:
     return int(spark.read.parquet(f"{path}/_meta").first()["dimension"])
 
 
+def _mark(path: str) -> str:
+    return f"{path}/_overlaps"                          # ignored by data readers
+
+
 def read_index(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
+    """One row per id: of an id written by several runs, the newest run's.
+
+    An index that no upsert has marked is a plain scan. In a marked one, ids are
+    counted (the id column alone is shuffled, pre-aggregated), and only the rows
+    of ids that occur more than once are resolved; the others pass an anti-join
+    against those ids."""
     create_if_missing(spark, path, dim)
     spark.catalog.refreshByPath(path)
-    return spark.read.schema(INDEX).parquet(path)
+    rows = spark.read.schema(INDEX).parquet(path)
+    if not _exists(spark, _mark(path)):
+        return rows
+    run = F.coalesce("run_id", F.lit(-(1 << 62)))       # no run is older than any
+    many = (rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max(run).alias("_run"))
+            .filter("_n > 1").select("doc_id", "_run"))
+    newest = (rows.join(many, "doc_id").filter(run == F.col("_run")).drop("_run")
+              .dropDuplicates(["doc_id"]))              # a write that ran twice
+    return rows.join(many, "doc_id", "left_anti").unionByName(newest.select(*rows.columns))
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Fold a marked index into one row per id; a plain one is left alone. The
+    folded rows are written aside first; readers must wait for the end."""
+    if not _exists(spark, _mark(path)):
+        return
+    stages = Stages(spark)
+    folded = stages.write(read_index(spark, path), "index-compact")
+    (folded.repartitionByRange(F.col("id_prefix"), F.col("doc_id"))
+     .sortWithinPartitions("id_prefix", "doc_id").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("id_prefix").parquet(path))
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(_mark(path))
+    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(mark, True)
+    spark.catalog.refreshByPath(path)
+    stages.clear()
 
 
-def check_vectors(df: DataFrame, vec: str, dim: int) -> DataFrame:
-    """Adds ``valid`` and ``reason``: a vector must be present, of width ``dim``,
-    and free of NULL / NaN cells."""
+def check_vectors(df: DataFrame, vec: str, dim) -> DataFrame:
+    """Adds ``valid`` and ``reason``: a vector must be present, of width ``dim``
+    (a number or a column), and free of NULL / NaN cells."""
     size = F.size(F.col(vec))
+    dim = dim if isinstance(dim, Column) else F.lit(int(dim))
     bad_cell = F.exists(F.col(vec), lambda x: x.isNull() | F.isnan(x))
     reason = (F.when(F.col(vec).isNull(), F.lit("missing vector"))
               .when(size != dim, F.concat(F.lit("width "), size.cast("string"),
-                                          F.lit(" != "), F.lit(str(dim))))
+                                          F.lit(" != "), dim.cast("string")))
               .when(bad_cell, F.lit("null or NaN cell")))
     return df.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
@@ -99,92 +135,69 @@ def to_index_rows(docs: DataFrame, run_id: int, key: str = "doc_id", text: str =
                        F.substring(F.col(key), 1, PREFIX_CHARS).alias("id_prefix"))
 
 
-def merge_newest(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Union old and new rows, keep the newest ``run_id`` per ``doc_id``
-    (new wins a tie). Old ids are unique and new rows are de-duplicated first,
-    so each window group holds at most two rows."""
-    both = (old.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1))))
-    w = Window.partitionBy("doc_id").orderBy(F.col("run_id").desc(), F.col("_src").desc())
-    return (both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-            .drop("_r", "_src"))
-
-
-def merge_newest_bounded(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``merge_newest`` for a counted, bounded ``new`` (ids unique): its
-    ``(id, run_id)`` pairs are broadcast and the stored rows stream past them,
-    so the stored rows are never shuffled. Returns ``(old rows kept, new rows
-    kept)``: a stored row survives unless a new row with its id is at least as
-    new; a new row loses only to a strictly newer stored row."""
-    nk = F.broadcast(new.select("doc_id", F.col("run_id").alias("_new_run")))
-    probe = old.join(nk, "doc_id", "left")
-    old_kept = (probe.filter(F.col("_new_run").isNull() | (F.col("run_id") > F.col("_new_run")))
-                .drop("_new_run"))
-    newer = probe.filter(F.col("run_id") > F.col("_new_run")).select("doc_id")
-    return old_kept, new.join(newer, "doc_id", "left_anti")
-
-
-def upsert(spark: SparkSession, path: str, new_rows: DataFrame, dim: int,
-           broadcast_rows: int = 4_000_000, stream_stored_bytes: int = 1 << 30) -> dict:
-    """Keyed write of ``new_rows`` (index schema). Rows with a bad vector are
-    not written. The checked rows are staged once (lineage cut, so the
-    embedder upstream runs once); the report is read from the staged files.
-
-    When the staged rows (counted) are at most ``broadcast_rows`` and the
-    touched prefixes hold at least ``stream_stored_bytes`` on disk, the merge
-    broadcasts the new ids and writes the stored rows straight from their
-    scan (no shuffle of the index; only the new rows are range-partitioned).
-    Otherwise - few new rows against little stored data, where a shuffle
-    costs less than the extra jobs, or too many new rows to broadcast - it
-    is a union, a window per id and a range-partitioned write."""
+def newest_per_id(rows: DataFrame) -> DataFrame:
+    """One row per ``doc_id``: the newest ``run_id`` (none is the oldest); of
+    rows of one run, any (their text is the same, as the id is its hash). Copies
+    collapse before the shuffle."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(
+        F.max_by(F.struct(*rest), F.coalesce("run_id", F.lit(-(1 << 62)))).alias("_r")) \
+        .select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def _checked(stages: Stages, rows: DataFrame, dim: int | None) -> tuple[DataFrame, int]:
+    """(valid rows, one per id; how many were rejected), written once, so that the
+    embedder upstream runs once."""
+    rows = rows.select(*INDEX.fieldNames())
+    tested = check_vectors(rows, "embedding", dim) if dim is not None else check_vectors(
+        rows, "embedding", F.size("embedding"))
+    tested = stages.write(tested, "index-staging")
+    rejected = tested.filter(~F.col("valid")).count()
+    return newest_per_id(tested.filter("valid").select(*INDEX.fieldNames())), rejected
+
+
+def upsert(spark: SparkSession, path: str, new_rows: DataFrame, dim: int) -> dict:
+    """Keyed write of ``new_rows`` (index schema). Rows with a bad vector are not
+    written; of several rows of an id in the batch the newest run is. The rows
+    are appended, and the index is marked if one of their ids is stored, which
+    a semi-join on the id column alone finds. Returns written and rejected rows
+    and the number of ids that replace stored ones."""
     create_if_missing(spark, path, dim)
     dim = index_dimension(spark, path) or dim
-    staging = scratch_path(spark, "index-staging")
-    check_vectors(new_rows, "embedding", dim).write.mode("overwrite").parquet(staging)
-    checked = spark.read.parquet(staging)
-    staged = checked.filter("valid").drop("valid", "reason").dropDuplicates(["doc_id"])
-    report = checked.groupBy().agg(
-        F.count(F.when(F.col("valid"), 1)).alias("written"),
-        F.count(F.when(~F.col("valid"), 1)).alias("rejected"),
-        F.collect_set(F.when(F.col("valid"), F.col("id_prefix"))).alias("touched")).first()
-    touched = sorted(report["touched"])        # at most 16 ** PREFIX_CHARS values
-    if touched:
-        old = spark.read.schema(INDEX).parquet(path).filter(F.col("id_prefix").isin(touched))
-        if old.limit(1).count() == 0:           # nothing stored there yet: a plain append
-            _write(staged.select(*INDEX.fieldNames()), path, "append")
-        else:
-            merged_path = scratch_path(spark, "index-merged")
-            new_part = staged.select(*INDEX.fieldNames())
-            if (report["written"] <= broadcast_rows
-                    and stored_bytes(spark, path, touched) >= stream_stored_bytes):
-                old_kept, new_kept = merge_newest_bounded(old, new_part)
-                (old_kept.select(*INDEX.fieldNames())
-                 .unionByName(new_kept.repartitionByRange(F.col("id_prefix"), F.col("doc_id")))
-                 .write.mode("overwrite").partitionBy("id_prefix").parquet(merged_path))
-            else:
-                _write(merge_newest(old, new_part), merged_path, "overwrite")
-            # only the touched prefix folders are replaced (per-write option,
-            # the session setting is left alone)
-            (spark.read.schema(INDEX).parquet(merged_path).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic")
-             .partitionBy("id_prefix").parquet(path))
+    stages = Stages(spark)
+    rows, rejected = _checked(stages, new_rows, dim)
+    rows = stages.write(rows, "index-rows")
+    written = rows.count()
+    stored = spark.read.schema(INDEX).parquet(path).select("doc_id")
+    replaced = rows.select("doc_id").join(stored, "doc_id", "left_semi").count() if written else 0
+    if written:
+        if replaced and not _exists(spark, _mark(path)):
+            spark.range(1).coalesce(1).write.mode("overwrite").parquet(_mark(path))
+        _write(rows, path, "append")
         spark.catalog.refreshByPath(path)
-    return {"written": int(report["written"]), "rejected": int(report["rejected"]),
-            "partitions": len(touched)}
+    stages.clear()
+    return {"written": written, "rejected": rejected, "replaced": replaced}
 
 
-def append_rows(spark: SparkSession, path: str, new_rows: DataFrame) -> None:
+def append_rows(spark: SparkSession, path: str, new_rows: DataFrame) -> dict:
     """Append rows whose ids the caller has already checked against the index
-    (e.g. with ``operators.ingest.skip_stored``); copies of an id are folded."""
+    (e.g. with ``operators.ingest.skip_stored``); copies of an id are folded and
+    rows with a bad vector are not written. Returns written and rejected rows."""
     create_if_missing(spark, path)
-    _write(new_rows.dropDuplicates(["doc_id"]).select(*INDEX.fieldNames()), path, "append")
-    spark.catalog.refreshByPath(path)
+    stages = Stages(spark)
+    rows, rejected = _checked(stages, new_rows, index_dimension(spark, path))
+    rows = stages.write(rows, "index-rows")
+    written = rows.count()
+    if written:
+        _write(rows, path, "append")
+        spark.catalog.refreshByPath(path)
+    stages.clear()
+    return {"written": written, "rejected": rejected}
 
 
-def append_new(spark: SparkSession, path: str, new_rows: DataFrame) -> None:
-    """Anti-joined append (the default ingest write): ids already stored are
-    skipped, so the write is idempotent under replay."""
+def append_new(spark: SparkSession, path: str, new_rows: DataFrame) -> dict:
+    """Anti-joined append: ids already stored are skipped, so the write is
+    idempotent under replay."""
     create_if_missing(spark, path)
     stored = spark.read.schema(INDEX).parquet(path).select("doc_id")
-    fresh = new_rows.dropDuplicates(["doc_id"]).join(stored, "doc_id", "left_anti")
-    _write(fresh.select(*INDEX.fieldNames()), path, "append")
-    spark.catalog.refreshByPath(path)
+    return append_rows(spark, path, new_rows.join(stored, "doc_id", "left_anti"))

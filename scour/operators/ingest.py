@@ -4,19 +4,19 @@ The sequential loop "fetch a page at ``offset``, skip what is stored, embed,
 count successes, flush, advance by ``batch_size``, stop once ``total >= N``"
 becomes:
 
-1. global ordinals in source order (``row_ordinals``, no single-task window);
+1. global ordinals in source order (``key_ordinals``, no single-task window);
 2. ``batch_no = (rn - offset) div batch_size`` for ``rn >= offset``;
 3. anti-join against the ids already in the index;
-4. embed (map-only, checkpointed once); failures go to a reject output;
-5. a repeat counts only in the first batch that embeds it (copies inside
-   that batch all count, as they are both flushed);
+4. embed every new id once (map-only, written once);
+5. a repeat counts only in the first batch that embeds it (copies inside that
+   batch all count, as they are flushed together); rows of an id whose
+   embedding failed are rejects of every batch that offers them;
 6. per-batch counts, an exclusive running total (``prefix_sum``, two-level so
    no task holds all batches), keep batches whose total before them is < N;
 7. the kept rows are the rows to write.
 
-Steps 3-7 run in rounds of consecutive batches that grow geometrically, so a
-small N over a large source embeds a small prefix, not the whole source
-(``batch_plan``); ``rounds=False`` runs them once over every page.
+Steps 3-6 run in rounds of consecutive batches that grow geometrically, so a
+small N over a large source embeds a small prefix, not the whole source.
 """
 
 from __future__ import annotations
@@ -26,39 +26,47 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scour.session import checkpoint_dir
-from scour.session import materialize as write_stage
+from scour.session import Stages, materialize
 
 _PID_SHIFT = 33  # monotonically_increasing_id puts the partition id above bit 33
+#: Keys are broadcast while their bytes, counted beforehand, are under this.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a broadcast key: a 64-character content id and its row.
+KEY_BYTES = 128
 
 
-def row_ordinals(df: DataFrame, order_col: str, out: str = "rn",
-                 partitions: int | None = None) -> DataFrame:
-    """0-based global position of each row in ``order_col`` order (unique key).
+def key_ordinals(df: DataFrame, order_col: str, out: str = "rn", partitions: int | None = None,
+                 stages: Stages | None = None) -> DataFrame:
+    """(order_col, rn): the 0-based global position of each key in key order.
 
-    Range-partition and sort by the key; ``monotonically_increasing_id`` then
-    numbers rows inside each partition; a per-partition count table (one row
-    per partition - bounded by the partition count, so it is broadcast) turns
-    that into a global ordinal. No window without a partition key.
+    The key column alone is range-partitioned, sorted, numbered inside its
+    partition by ``monotonically_increasing_id`` and written. Counts per
+    partition (a row each, so they are broadcast) and rows are both read from
+    that one table; a second exchange would sample other bounds. Keys must be
+    unique and not null.
 
     The partition count defaults to the cluster's shuffle width
-    (``spark.sql.shuffle.partitions``, at least one per core), which the
-    operator sizes for the data, as for any other shuffle.
-    """
+    (``spark.sql.shuffle.partitions``, at least one per core)."""
     spark = df.sparkSession
     n = partitions or max(spark.sparkContext.defaultParallelism,
                           int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = (df.repartitionByRange(n, F.col(order_col))
-              .sortWithinPartitions(order_col)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT)) \
-                   .withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid"), _PID_SHIFT))
-    counts = ranged.groupBy("_pid").agg((F.max("_loc") + 1).alias("_n"))
+    numbered = (df.select(order_col).repartitionByRange(n, F.col(order_col))
+                .sortWithinPartitions(order_col)
+                .withColumn("_mid", F.monotonically_increasing_id()))
+    numbered = (stages.write if stages else materialize)(numbered, "key-ordinals")
+    numbered = numbered.withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT)) \
+                       .withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid"), _PID_SHIFT))
+    counts = numbered.groupBy("_pid").agg((F.max("_loc") + 1).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
-    return (ranged.join(F.broadcast(starts), "_pid")
-            .withColumn(out, F.col("_start") + F.col("_loc"))
-            .drop("_mid", "_pid", "_loc", "_start"))
+    return (numbered.join(F.broadcast(starts), "_pid")
+            .select(order_col, (F.col("_start") + F.col("_loc")).alias(out)))
+
+
+def row_ordinals(df: DataFrame, order_col: str, out: str = "rn",
+                 partitions: int | None = None) -> DataFrame:
+    """``df`` with the 0-based global position of each row in ``order_col`` order."""
+    return df.join(key_ordinals(df, order_col, out, partitions), order_col)
 
 
 def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str,
@@ -83,120 +91,101 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str,
 
 
 def skip_stored(docs: DataFrame, stored_ids: DataFrame, key: str = "doc_id",
-                rows_bound: int | None = None, broadcast_rows: int = 4_000_000) -> DataFrame:
+                rows_bound: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Documents whose content id is not in the index.
 
     By default one anti-join: AQE broadcasts the stored ids while they are
     small and plans a sort-merge join otherwise. When the caller knows an
     upper bound ``rows_bound`` on the rows of ``docs`` (a counted micro-batch,
-    an ingest round) and it is under ``broadcast_rows``, the keys of ``docs``
-    are broadcast instead and the index streams past them (left semi-join):
-    the index is scanned, never shuffled, and a small anti-join drops the
-    hits. That keeps the cost of a small batch against a large index at one
-    narrow scan of the id column.
+    an ingest round) and their keys are under ``broadcast_bytes``, the keys of
+    ``docs`` are broadcast instead and the index streams past them (left
+    semi-join): the index is scanned, never shuffled, and a small anti-join
+    drops the hits. Both give the same rows.
     """
-    if rows_bound is not None and rows_bound <= broadcast_rows:
+    if rows_bound is not None and rows_bound * KEY_BYTES <= broadcast_bytes:
         hit = stored_ids.select(key).join(F.broadcast(docs.select(key)), key, "left_semi")
         return docs.join(hit, key, "left_anti")
     return docs.join(stored_ids.select(key), key, "left_anti")
 
 
-def plan_batches(source: DataFrame, order_col: str, offset: int, batch_size: int) -> DataFrame:
-    """Ordinals and page numbers; rows before ``offset`` are never fetched."""
+def plan_batches(source: DataFrame, order_col: str, offset: int, batch_size: int,
+                 stages: Stages | None = None) -> DataFrame:
+    """Keys with ordinals and page numbers; rows before ``offset`` are never fetched."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    ranked = row_ordinals(source, order_col)
-    return (ranked.filter(F.col("rn") >= offset)
+    return (key_ordinals(source, order_col, stages=stages).filter(F.col("rn") >= offset)
             .withColumn("batch_no", F.floor((F.col("rn") - offset) / batch_size).cast("long")))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
                embed, number_of_records: int = 1000, batch_size: int = 100,
                offset: int = 0, key: str = "doc_id", text: str = "text",
-               exact: bool = False, materialize: bool = True, rounds="auto",
-               growth: float = 2.0, broadcast_rows: int = 4_000_000,
-               min_round_rows: int = 1_000_000):
+               exact: bool = False, growth: float = 2.0,
+               broadcast_bytes: int = BROADCAST_BYTES, stages: Stages | None = None):
     """Rows the sequential ingest loop would index.
 
     ``source`` has a unique, non-null ``order_col``, a content id ``key`` and
     ``text``. ``embed(df, text) -> df`` adds ``embedding`` and ``error`` per
-    row (see ``scour.operators.embed``).
-    Returns ``(kept, rejects, batches)``:
+    row (see ``scour.operators.embed``) and gives a text the same result every
+    time it is offered. Returns ``(kept, rejects, batches)``:
       kept    - order_col, rn, batch_no, key, text, embedding
       rejects - order_col, rn, batch_no, key, error
       batches - batch_no, page_offset, fetched, indexed, total_before, total_after
     ``exact=True`` cuts the last batch so that exactly N rows are kept.
 
-    The embedder is the costly step and the stop rule usually needs a small
-    prefix of the source, so pages are embedded in rounds of consecutive
-    batches and the job stops after the round in which the total reaches N:
-
-    * ordinals are computed once on the order key alone (a narrow range
-      shuffle) and written to the shared checkpoint folder, sorted, so a
-      round's ordinals are read by row-group pruning;
-    * a round reads the source through a pushed-down range filter on the
-      order key and joins its ordinals (their count is known exactly, so they
-      are broadcast only under ``broadcast_rows``);
-    * stored ids are found by streaming the index past the round's keys (no
-      shuffle of the index), fresh rows are embedded once and written;
-    * a repeat counts only in the first batch that embeds it, across rounds
-      too (ids embedded by an earlier round are skipped);
-    * the first round has the batches N needs if every row were indexed;
-      each next round is at least ``growth`` times larger and sized from the
-      yield seen so far, so the number of rounds is logarithmic and the work
-      stays within a small factor of what the stop rule needs.
+    * ordinals are computed once on the order key alone and written, sorted, so
+      a round's keys are read by row-group pruning;
+    * a round reads the source through a pushed-down range filter on the order
+      key and joins its ordinals (counted, broadcast under ``broadcast_bytes``);
+    * stored ids are found by streaming the index past the round's keys; ids
+      embedded by an earlier round are not embedded again, and the rest once
+      per id, whatever the number of its copies;
+    * the first round has the batches N needs if every row were indexed; each
+      next round is at least ``growth`` times larger and sized from the yield
+      seen so far, so the number of rounds is logarithmic.
 
     The driver reads one summary row per round and nothing else.
-
-    ``rounds="auto"`` runs rounds only when the pages after ``offset`` hold
-    more than ``min_round_rows`` rows and the first round covers less than
-    half of them; otherwise one pass costs less than the fixed cost of each
-    round's jobs. ``rounds=True`` / ``False`` force either form; both give
-    the same rows.
     """
-    if batch_size <= 0:
-        raise ValueError("batch_size must be positive")
-    if materialize and rounds == "auto":
-        n_after = source.count() - offset
-        first_rows = math.ceil(max(number_of_records, 1) / batch_size) * batch_size
-        rounds = n_after > min_round_rows and 2 * first_rows < n_after
-    if not (materialize and rounds):
-        return _batch_plan_one_pass(source, order_col, stored_ids, embed, number_of_records,
-                                    batch_size, offset, key, text, exact, materialize)
     spark = source.sparkSession
-    checkpoint_dir(spark)
-    pages = plan_batches(source.select(order_col), order_col, offset, batch_size)
-    pages = write_stage(pages.sortWithinPartitions("rn"), "page-ordinals")
+    stages = stages or Stages(spark)
+    pages = plan_batches(source, order_col, offset, batch_size, stages)
+    pages = stages.write(pages.sortWithinPartitions("rn"), "page-ordinals")
     shape = pages.agg(F.max("batch_no").alias("m"), F.count(F.lit(1)).alias("n")).first()
-    last, n_after = shape["m"], int(shape["n"])
-    if last is None or number_of_records <= 0:
-        return _batch_plan_one_pass(source.limit(0), order_col, stored_ids, embed,
-                                    number_of_records, batch_size, offset, key, text, exact,
-                                    materialize)
-    last = int(last)
+    last = -1 if shape["m"] is None else int(shape["m"])
+    n_after = int(shape["n"])
     total, b0 = 0, 0
     nb = max(1, math.ceil(number_of_records / batch_size))
-    kept_parts, rej_parts, batch_parts, seen = [], [], [], []
+    kept_parts, reject_parts, batch_parts, seen = [], [], [], []
     while b0 <= last and total < number_of_records:
         b1 = min(last + 1, b0 + nb)
+        bound = (b1 - b0) * batch_size
         rk = pages.filter((F.col("batch_no") >= b0) & (F.col("batch_no") < b1))
-        bounds = rk.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-        small = (b1 - b0) * batch_size <= broadcast_rows
-        rows = (source.filter(F.col(order_col).between(bounds["lo"], bounds["hi"]))
+        ends = rk.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+        small = bound * KEY_BYTES <= broadcast_bytes
+        rows = (source.select(order_col, key, text)
+                .filter(F.col(order_col).between(ends["lo"], ends["hi"]))
                 .join(F.broadcast(rk) if small else rk, order_col))
-        # stored ids of this round only: the index streams past the round keys
-        fresh = skip_stored(rows, stored_ids, key, rows_bound=(b1 - b0) * batch_size,
-                            broadcast_rows=broadcast_rows)
-        tagged = write_stage(embed(fresh, text), "embedded-rows")   # the embedder runs once
-        ok = tagged.filter(F.col("error").isNull() & F.col("embedding").isNotNull())
-        ok_ids = ok.select(key)
-        if seen:
-            earlier = seen[0]
-            for s in seen[1:]:
-                earlier = earlier.unionByName(s)
-            ok = ok.join(earlier, key, "left_anti")      # embedded by an earlier round
+        fresh = skip_stored(rows, stored_ids, key, bound, broadcast_bytes)
+        new = fresh
+        if seen:                                        # embedded by an earlier round
+            new = fresh.join(_union(seen).select(key), key, "left_anti")
+        once = new.groupBy(key).agg(F.first(text).alias(text))
+        tagged = stages.write(embed(once, text).select(key, text, "embedding", "error"),
+                              "embedded-ids")           # the embedder runs once
+        offered = stages.write(fresh.select(order_col, "rn", "batch_no", key), "offered-rows")
+        ok_ids = tagged.filter(F.col("error").isNull() & F.col("embedding").isNotNull())
+        ok = offered.join(ok_ids.select(key, text, "embedding"), key)
         first = ok.groupBy(key).agg(F.min("batch_no").alias("batch_no"))
         ok = ok.join(first, [key, "batch_no"], "left_semi")
+        seen.append(tagged.select(key, "error"))
+        failed = _union(seen).filter(F.col("error").isNotNull())
         # every page is full but the last one: no count needed
         fetched = spark.range(b0, b1).select(
             F.col("id").alias("batch_no"),
@@ -207,74 +196,36 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
                      .withColumn("indexed", F.coalesce("indexed", F.lit(0))))
         per_batch = prefix_sum(per_batch, "batch_no", "indexed", "total_before") \
             .withColumn("total_before", F.col("total_before") + F.lit(total))
-        batches = (per_batch.filter(F.col("total_before") < number_of_records)
-                   .withColumn("page_offset", F.lit(offset) + F.col("batch_no") * batch_size)
-                   .withColumn("total_after", F.col("total_before") + F.col("indexed"))
-                   .select("batch_no", "page_offset", "fetched", "indexed",
-                           "total_before", "total_after"))
-        # batches are recomputed from written tables (embedded rows, ordinals)
+        batches = stages.write(
+            per_batch.filter(F.col("total_before") < number_of_records)
+            .withColumn("page_offset", F.lit(offset) + F.col("batch_no") * batch_size)
+            .withColumn("indexed", F.least("indexed", F.lit(number_of_records) - F.col("total_before"))
+                        if exact else F.col("indexed"))
+            .withColumn("total_after", F.col("total_before") + F.col("indexed"))
+            .select("batch_no", "page_offset", "fetched", "indexed", "total_before", "total_after"),
+            "ingest-batches")
         got = batches.agg(F.coalesce(F.sum("indexed"), F.lit(0)).alias("n")).first()["n"]
-        kept_parts.append(ok.join(batches.select("batch_no"), "batch_no", "left_semi"))
-        rej_parts.append(tagged.filter(F.col("error").isNotNull())
-                         .select(order_col, "rn", "batch_no", key, "error")
-                         .join(batches.select("batch_no"), "batch_no", "left_semi"))
+        kept = ok.join(batches.select("batch_no", "total_before"), "batch_no")
+        if exact:
+            w = Window.partitionBy("batch_no").orderBy("rn")
+            kept = (kept.withColumn("_i", F.row_number().over(w))
+                    .filter(F.col("total_before") + F.col("_i") <= number_of_records))
+        kept_parts.append(kept.select(order_col, "rn", "batch_no", key, text, "embedding"))
+        reject_parts.append(offered.join(failed, key)
+                            .join(batches.select("batch_no"), "batch_no", "left_semi")
+                            .select(order_col, "rn", "batch_no", key, "error"))
         batch_parts.append(batches)
-        seen.append(ok_ids)
         total += int(got)
         per = got / (b1 - b0)
         need = number_of_records - total
         nb = max(math.ceil(nb * growth),
                  math.ceil(1.25 * need / per) if per > 0 else last + 1)
         b0 = b1
-    kept, rejects, batches = kept_parts[0], rej_parts[0], batch_parts[0]
-    for kp, rp, bp in zip(kept_parts[1:], rej_parts[1:], batch_parts[1:]):
-        kept, rejects, batches = kept.unionByName(kp), rejects.unionByName(rp), batches.unionByName(bp)
-    return _finish(kept, rejects, batches, order_col, key, text, number_of_records, exact)
-
-
-def _batch_plan_one_pass(source: DataFrame, order_col: str, stored_ids: DataFrame,
-               embed, number_of_records: int = 1000, batch_size: int = 100,
-               offset: int = 0, key: str = "doc_id", text: str = "text",
-               exact: bool = False, materialize: bool = True):
-    """``batch_plan`` in one pass: every fresh row after ``offset`` is embedded,
-    then the stop rule cuts. Used when nothing may be written (``materialize``
-    off) or when asked with ``rounds=False``."""
-    paged = plan_batches(source, order_col, offset, batch_size)
-    fresh = skip_stored(paged, stored_ids, key)
-    tagged = embed(fresh, text)                    # map-only: adds embedding / error
-    if materialize:
-        # embedded rows feed the kept rows, the rejects and the counters:
-        # written once to the shared checkpoint folder: the embedder runs once
-        checkpoint_dir(source.sparkSession)
-        tagged = write_stage(tagged, "embedded-rows")
-    ok = tagged.filter(F.col("error").isNull() & F.col("embedding").isNotNull())
-    rejects = tagged.filter(F.col("error").isNotNull()) \
-                    .select(order_col, "rn", "batch_no", key, "error")
-    # first batch per content id: a partial aggregate (a hot id collapses map
-    # side), joined back on (id, batch) so a hot id spreads over its batches
-    first = ok.groupBy(key).agg(F.min("batch_no").alias("batch_no"))
-    ok = ok.join(first, [key, "batch_no"], "left_semi")
-
-    fetched = paged.groupBy("batch_no").agg(F.count(F.lit(1)).alias("fetched"))
-    indexed = ok.groupBy("batch_no").agg(F.count(F.lit(1)).alias("indexed"))
-    per_batch = (fetched.join(indexed, "batch_no", "left")
-                 .withColumn("indexed", F.coalesce("indexed", F.lit(0))))
-    per_batch = prefix_sum(per_batch, "batch_no", "indexed", "total_before")
-    batches = (per_batch.filter(F.col("total_before") < number_of_records)
-               .withColumn("page_offset", F.lit(offset) + F.col("batch_no") * batch_size)
-               .withColumn("total_after", F.col("total_before") + F.col("indexed"))
-               .select("batch_no", "page_offset", "fetched", "indexed", "total_before", "total_after"))
-    kept = ok.join(batches.select("batch_no"), "batch_no", "left_semi")
-    rejects = rejects.join(batches.select("batch_no"), "batch_no", "left_semi")
-    return _finish(kept, rejects, batches, order_col, key, text, number_of_records, exact)
-
-
-def _finish(kept, rejects, batches, order_col, key, text, number_of_records, exact):
-    if exact:
-        w = Window.partitionBy("batch_no").orderBy("rn")
-        kept = (kept.join(batches.select("batch_no", "total_before"), "batch_no")
-                .withColumn("_i", F.row_number().over(w))
-                .filter(F.col("total_before") + F.col("_i") <= number_of_records)
-                .drop("_i", "total_before"))
-    kept = kept.select(order_col, "rn", "batch_no", key, text, "embedding")
-    return kept, rejects, batches
+    if not batch_parts:                                 # nothing after the offset, or N is 0
+        order_type = source.schema[order_col].dataType.simpleString()
+        at = f"{order_col} {order_type}, rn long, batch_no long, {key} string, "
+        return (spark.createDataFrame([], at + f"{text} string, embedding array<float>"),
+                spark.createDataFrame([], at + "error string"),
+                spark.createDataFrame([], "batch_no long, page_offset long, fetched long, "
+                                          "indexed long, total_before long, total_after long"))
+    return _union(kept_parts), _union(reject_parts), _union(batch_parts)

@@ -1,22 +1,25 @@
-"""Nearest-neighbour search over DataFrames (exact by default).
+"""Nearest-neighbour search over DataFrames, exact.
 
-Three physical forms, all returning ``(query id, rank, corpus id, dist2, score)``
-with ties on distance broken by corpus id:
+Both forms return ``(query id, rank, corpus id, dist2, score)`` with ties on
+distance broken by corpus id, and neither moves the corpus:
 
 * ``knn_single`` - one query vector: a JVM distance expression plus
   ``orderBy(...).limit(k)``, which Catalyst plans as ``TakeOrderedAndProject``
   (a per-partition top-k, then a k x partitions merge).
-* ``knn`` with ``strategy="scan"`` - a size-checked query batch rides along
-  with the tasks; each corpus partition streams through ``mapInArrow`` and
-  emits only its k best per query. The corpus never moves.
-* ``knn`` with ``strategy="cells"`` - inverted-file layout: corpus vectors
-  are assigned to k-means cells, queries probe cells in order of centroid
-  distance, and work is done per ``(cell, sub-block, query-chunk)`` group by a
-  co-grouped Arrow/pandas function that emits only k rows per query. Hot cells
-  are split into sub-blocks of bounded size, so no group is unbounded. With
-  ``exact=True`` a second round probes every cell whose triangle-inequality
-  lower bound can still beat a query's k-th distance, which makes the result
-  exact; ``exact=False`` stops after ``nprobe`` cells (approximate).
+* ``knn`` - a table of queries, in blocks of bounded size that ride along with
+  the tasks; each corpus partition streams through ``mapInArrow`` and emits
+  only its k best per query. A batch of the corpus is compared with a query
+  only if it can hold something nearer than what the query has already: its
+  vectors lie in a ball around their mean, and the distance to the ball is a
+  lower bound.
+
+``build_ivf`` writes a corpus ordered by cell (the nearest of a bounded number
+of centroids). Its batches are small balls, so the bound prunes most of them;
+``nprobe`` reads only the nearest cells of every query, which is approximate.
+
+Vectors must be of one width, without NULL or NaN cells. ``split_valid`` parts
+the rows that are not; the searches leave such corpus rows out and raise on
+queries of unknown width rather than guess one.
 """
 
 from __future__ import annotations
@@ -26,19 +29,21 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scour.functions.vectors import l2_score, sq_l2
-from scour.session import checkpoint_dir
+from scour.operators.index import check_vectors
 from scour.session import materialize as write_stage
 
 # Slack on distance comparisons between the screening (matrix product) form
 # and the exact left-to-right form of the squared distance.
 _EPS = 1e-7
 _SUB_QUERIES = 256
+_BATCH_ROWS = 1024
+#: Bytes of query vectors and ids that ride along with the tasks at once.
+QUERY_BLOCK_BYTES = 32 << 20
 
 
 # --------------------------------------------------------------------------
@@ -62,6 +67,15 @@ def _id_order(ids: np.ndarray) -> np.ndarray:
     return codes
 
 
+def _first_k(qi: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first k rows of every query, in ``order`` (sorted by query)."""
+    q = qi[order]
+    first = np.r_[True, q[1:] != q[:-1]]
+    idx = np.arange(len(q))
+    start = np.maximum.accumulate(np.where(first, idx, 0))
+    return order[(idx - start) < k]
+
+
 def _block_topk(Q: np.ndarray, X: np.ndarray, xorder: np.ndarray, k: int):
     """k best corpus rows per query. Returns (query idx, corpus idx, d2)."""
     outs_q, outs_x, outs_d = [], [], []
@@ -79,24 +93,13 @@ def _block_topk(Q: np.ndarray, X: np.ndarray, xorder: np.ndarray, k: int):
             kth = approx.max(axis=1)
         qi, xi = np.nonzero(approx <= (kth + _EPS)[:, None])
         d2 = _seq_sq_l2(Qs[qi], X[xi])
-        order = np.lexsort((xorder[xi], d2, qi))
-        qi, xi, d2 = qi[order], xi[order], d2[order]
-        first = np.r_[True, qi[1:] != qi[:-1]]
-        idx = np.arange(len(qi))
-        start = np.maximum.accumulate(np.where(first, idx, 0))
-        keep = (idx - start) < k
+        keep = _first_k(qi, np.lexsort((xorder[xi], d2, qi)), k)
         outs_q.append(qi[keep] + s)
         outs_x.append(xi[keep])
         outs_d.append(d2[keep])
     return np.concatenate(outs_q), np.concatenate(outs_x), np.concatenate(outs_d)
 
 
-def _stack(series: pd.Series) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    return np.stack(series.to_numpy()).astype(np.float64)
-
-
 def _list_matrix(col: pa.Array, dim: int) -> np.ndarray:
     """Flat Arrow list<float> column -> (rows, dim) float64 matrix."""
     if isinstance(col, pa.ChunkedArray):
@@ -105,17 +108,67 @@ def _list_matrix(col: pa.Array, dim: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, dim)
 
 
+class _Best:
+    """The k best rows so far of every query, and the distance to beat."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.to_beat = k, np.full(n, np.inf)
+        self.q, self.ids, self.d = np.zeros(0, np.int64), None, np.zeros(0)
+
+    def near(self, Q: np.ndarray, X: np.ndarray) -> np.ndarray:
+        """Queries that something in the ball around X could still improve."""
+        centre = X.mean(0)
+        radius = math.sqrt(max(0.0, float(((X - centre) ** 2).sum(1).max())))
+        away = np.sqrt(((Q - centre) ** 2).sum(1)) - radius
+        return np.flatnonzero(np.maximum(away, 0.0) ** 2 <= self.to_beat + _EPS)
+
+    def add(self, q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        if not len(q):
+            return
+        q = np.concatenate([self.q, q])
+        ids = ids if self.ids is None else np.concatenate([self.ids, ids])
+        d = np.concatenate([self.d, d])
+        keep = _first_k(q, np.lexsort((_id_order(ids), d, q)), self.k)
+        self.q, self.ids, self.d = q[keep], ids[keep], d[keep]
+        last = np.r_[self.q[1:] != self.q[:-1], True]
+        full = np.bincount(self.q, minlength=len(self.to_beat))[self.q[last]] >= self.k
+        self.to_beat[self.q[last][full]] = self.d[last][full]
+
+
 # --------------------------------------------------------------------------
-# single query
+# rows that can take part
+# --------------------------------------------------------------------------
+
+def split_valid(df: DataFrame, vec: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with a usable vector, the others with their ``reason``)."""
+    tested = check_vectors(df, vec, dim)
+    return (tested.filter("valid").drop("valid", "reason"),
+            tested.filter(~F.col("valid")).drop("valid"))
+
+
+def width_of(df: DataFrame, vec: str) -> int | None:
+    """The one width of all vectors; None without any, an error with several."""
+    got = df.filter(F.col(vec).isNotNull()).agg(F.min(F.size(vec)).alias("lo"),
+                                                F.max(F.size(vec)).alias("hi")).first()
+    if got["lo"] != got["hi"]:
+        raise ValueError(f"vectors of width {got['lo']} to {got['hi']}: name the width with dim")
+    return got["lo"]
+
+
+# --------------------------------------------------------------------------
+# searches
 # --------------------------------------------------------------------------
 
 def knn_single(corpus: DataFrame, query_vector, k: int = 1, *, cid: str = "doc_id",
                cvec: str = "embedding") -> DataFrame:
-    """k nearest corpus rows to one query vector (a list of floats or a Column)."""
-    q = query_vector if not isinstance(query_vector, (list, tuple, np.ndarray)) \
-        else F.lit([float(x) for x in query_vector]).cast("array<double>")
-    d2 = sq_l2(F.col(cvec), q)
-    top = (corpus.select(cid, d2.alias("dist2"))
+    """k nearest corpus rows to one query vector (a list of floats). Corpus rows
+    without a usable vector of its width are left out (see ``split_valid``)."""
+    values = [float(x) for x in query_vector]
+    if not values or any(math.isnan(x) for x in values):
+        raise ValueError("the query vector is empty or holds NaN")
+    good, _ = split_valid(corpus.select(cid, cvec), cvec, len(values))
+    d2 = sq_l2(F.col(cvec), F.lit(values).cast("array<double>"))
+    top = (good.select(cid, d2.alias("dist2"))
            .orderBy(F.col("dist2"), F.col(cid))
            .limit(k))
     w = Window.orderBy(F.col("dist2"), F.col(cid))
@@ -124,10 +177,6 @@ def knn_single(corpus: DataFrame, query_vector, k: int = 1, *, cid: str = "doc_i
                       l2_score(F.col("dist2")).alias("score"))
 
 
-# --------------------------------------------------------------------------
-# batch of queries
-# --------------------------------------------------------------------------
-
 def _final_topk(cands: DataFrame, k: int, qid: str, cid: str) -> DataFrame:
     w = Window.partitionBy(qid).orderBy(F.col("dist2"), F.col(cid))
     return (cands.withColumn("rank", F.row_number().over(w).cast("int"))
@@ -137,287 +186,152 @@ def _final_topk(cands: DataFrame, k: int, qid: str, cid: str) -> DataFrame:
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
         qid: str = "query_id", qvec: str = "qv",
-        cid: str = "doc_id", cvec: str = "embedding",
-        strategy: str = "auto", cells: int | None = None, nprobe: int = 1,
-        exact: bool = True, broadcast_limit_bytes: int = 256 << 20,
-        scan_pairs_limit: int = 10 ** 12, max_auto_cells: int = 4096,
-        block_rows: int = 8192, query_block: int = 2048,
-        train_rows: int = 200_000, seed: int = 7, materialize: bool = True,
-        index: "IvfIndex | None" = None) -> DataFrame:
+        cid: str = "doc_id", cvec: str = "embedding", dim: int | None = None,
+        query_block_bytes: int = QUERY_BLOCK_BYTES, materialize: bool = True,
+        index: "IvfIndex | None" = None, nprobe: int | None = None) -> DataFrame:
     """k nearest corpus vectors for every query row.
 
-    ``strategy="auto"`` uses ``scan`` when the query matrix is under
-    ``broadcast_limit_bytes`` (counted first) and the distance pairs
-    ``queries x corpus`` (counted too) are under ``scan_pairs_limit``; else
-    ``cells``, with about sqrt(corpus) cells (at most ``max_auto_cells``)
-    unless ``cells`` is given.
-    """
+    ``dim`` is the width; without it the queries must all have one width.
+    Queries and corpus rows without a usable vector of that width are left out
+    (``split_valid`` names them). Queries are counted and sent in blocks of at
+    most ``query_block_bytes``; each block is one scan of the corpus.
+
+    With ``index`` the scan reads the corpus in cell order; all cells, which is
+    exact, unless ``nprobe`` limits it to the nearest cells of every query,
+    which may miss neighbours in others."""
     queries = queries.select(F.col(qid), F.col(qvec)).filter(F.col(qvec).isNotNull())
     if materialize:
-        # written once to the shared checkpoint folder: the embedder behind the
-        # queries runs once, however many times the strategy below reads them
-        checkpoint_dir(queries.sparkSession)
+        # written once: the embedder behind the queries runs once
         queries = write_stage(queries, "knn-queries")
-    corpus = corpus.select(F.col(cid), F.col(cvec)).filter(F.col(cvec).isNotNull())
-    dim_row = queries.select(F.size(qvec).alias("d")).limit(1).collect()
-    if not dim_row:
+    dim = dim or width_of(queries, qvec)
+    if dim is None:
         return _empty_hits(queries, corpus, qid, cid)
-    dim = int(dim_row[0]["d"])
-    corpus = corpus.filter(F.size(cvec) == dim)
-    queries = queries.filter(F.size(qvec) == dim)
-
-    if strategy == "auto":
-        if index is not None or (cells and cells > 1):
-            strategy = "cells"
-        else:
-            n_q = queries.count()
-            fits = n_q * dim * 8 <= broadcast_limit_bytes
-            n_c = corpus.count() if fits else None
-            if fits and n_q * n_c <= scan_pairs_limit:
-                strategy = "scan"
-            else:
-                strategy = "cells"
-                if n_c is None:
-                    n_c = corpus.count()
-                cells = cells or max(1, min(max_auto_cells, math.isqrt(max(n_c, 1))))
-    if strategy == "scan":
-        return _knn_scan(queries, corpus, k, qid, qvec, cid, cvec, dim,
-                         broadcast_limit_bytes)
-    if strategy == "cells":
-        return _knn_cells(queries, corpus, k, qid, qvec, cid, cvec, dim,
-                          cells or 1, nprobe, exact, block_rows, query_block,
-                          train_rows, seed, index)
-    raise ValueError(f"unknown strategy {strategy!r}")
+    queries, _ = split_valid(queries, qvec, dim)
+    id_bytes = F.octet_length(F.col(qid).cast("string"))
+    size = queries.agg(F.count(F.lit(1)).alias("n"),
+                       F.coalesce(F.sum(id_bytes + 8 * dim + 16), F.lit(0)).alias("b")).first()
+    if not size["n"]:
+        return _empty_hits(queries, corpus, qid, cid)
+    blocks = max(1, math.ceil(size["b"] / query_block_bytes))
+    rows = index.assigned if index is not None else corpus
+    good, _ = split_valid(rows, cvec, dim)
+    parts = None
+    for b in range(blocks):
+        mine = queries if blocks == 1 else queries.filter(
+            F.pmod(F.xxhash64(qid), F.lit(blocks)) == b)
+        near = good
+        if index is not None and nprobe:
+            near = good.filter(F.col("cell").isin(index.cells_near(mine, qvec, dim, nprobe)))
+        found = _scan_block(mine, near, k, qid, qvec, cid, cvec, dim)
+        parts = found if parts is None else parts.unionByName(found)
+    return _final_topk(parts, k, qid, cid)
 
 
 def _empty_hits(queries, corpus, qid, cid):
-    spark = queries.sparkSession
     schema = T.StructType([queries.schema[qid], T.StructField("rank", T.IntegerType()),
                            corpus.schema[cid], T.StructField("dist2", T.DoubleType()),
                            T.StructField("score", T.DoubleType())])
-    return spark.createDataFrame([], schema)
+    return queries.sparkSession.createDataFrame([], schema)
 
 
-def _knn_scan(queries, corpus, k, qid, qvec, cid, cvec, dim, limit_bytes):
-    """Query batch shipped with the tasks; corpus streamed where it lies."""
-    tbl = queries.toArrow()  # bounded: caller checked rows * dim * 8 <= limit
-    if tbl.num_rows * dim * 8 > limit_bytes:
-        raise ValueError("query batch over the broadcast limit")
-    if tbl.num_rows == 0:
-        return _empty_hits(queries, corpus, qid, cid)
-    q_ids = tbl.column(qid).to_numpy(zero_copy_only=False)
-    Q = _list_matrix(tbl.column(qvec), dim)
-    id_type = corpus.schema[cid].dataType
+def _scan_block(queries, corpus, k, qid, qvec, cid, cvec, dim):
+    """One block of queries shipped with the tasks; corpus streamed where it lies."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    tbl = queries.toArrow()                               # bounded: one block
+    ids = tbl.column(qid).combine_chunks() if tbl.num_rows else pa.array([])
+    Q = _list_matrix(tbl.column(qvec), dim) if tbl.num_rows else np.zeros((0, dim))
+    q_type, c_type = (to_arrow_type(queries.schema[qid].dataType),
+                      to_arrow_type(corpus.schema[cid].dataType))
     out_schema = T.StructType([queries.schema[qid], corpus.schema[cid],
                                T.StructField("dist2", T.DoubleType())])
-    is_num = isinstance(id_type, (T.LongType, T.IntegerType, T.ShortType))
 
     def scan(batches):
-        ids_acc, q_acc, d_acc = [], [], []
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            X = _list_matrix(rb.column(1), dim)
-            xids = rb.column(0).to_numpy(zero_copy_only=False)
-            qi, xi, d2 = _block_topk(Q, X, _id_order(xids), k)
-            q_acc.append(qi)
-            ids_acc.append(xids[xi])
-            d_acc.append(d2)
-            if len(q_acc) >= 16:  # keep the running state at k per query
-                q_acc, ids_acc, d_acc = _reduce(q_acc, ids_acc, d_acc, k)
-        if q_acc:
-            q_acc, ids_acc, d_acc = _reduce(q_acc, ids_acc, d_acc, k)
-            qi, xids, d2 = q_acc[0], ids_acc[0], d_acc[0]
-            xarr = pa.array(xids.astype(np.int64) if is_num else xids.astype(object))
+        best = _Best(len(Q), k)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _BATCH_ROWS):
+                rb = whole.slice(lo, _BATCH_ROWS)
+                X = _list_matrix(rb.column(1), dim)
+                pick = best.near(Q, X)
+                if len(pick):
+                    xids = rb.column(0).to_numpy(zero_copy_only=False)
+                    qi, xi, d2 = _block_topk(Q[pick], X, _id_order(xids), k)
+                    best.add(pick[qi], xids[xi], d2)
+        if len(best.q):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[qi]), xarr, pa.array(d2, pa.float64())],
-                names=[qid, cid, "dist2"])
+                [ids.take(pa.array(best.q)).cast(q_type), pa.array(best.ids.tolist(), c_type),
+                 pa.array(best.d, pa.float64())], names=[qid, cid, "dist2"])
 
-    cands = corpus.select(cid, cvec).mapInArrow(scan, out_schema)
-    return _final_topk(cands, k, qid, cid)
-
-
-def _reduce(q_acc, ids_acc, d_acc, k):
-    qi = np.concatenate(q_acc)
-    ids = np.concatenate(ids_acc)
-    d2 = np.concatenate(d_acc)
-    order = np.lexsort((_id_order(ids), d2, qi))
-    qi, ids, d2 = qi[order], ids[order], d2[order]
-    first = np.r_[True, qi[1:] != qi[:-1]]
-    idx = np.arange(len(qi))
-    start = np.maximum.accumulate(np.where(first, idx, 0))
-    keep = (idx - start) < k
-    return [qi[keep]], [ids[keep]], [d2[keep]]
+    return corpus.select(cid, cvec).mapInArrow(scan, out_schema)
 
 
 # --------------------------------------------------------------------------
-# inverted-file (cells) strategy
+# corpus in cell order
 # --------------------------------------------------------------------------
 
-def train_centroids(corpus: DataFrame, cvec: str, cells: int, train_rows: int,
-                    seed: int) -> np.ndarray:
-    """k-means centroids (MLlib) on a bounded sample of the corpus."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = corpus.count()
-    frac = min(1.0, float(train_rows) / max(n, 1))
-    sample = corpus.sample(False, frac, seed) if frac < 1.0 else corpus
-    # k-means passes over its input many times: the sample (at most
-    # ``train_rows`` vectors, a fixed bound whatever the corpus size) is
-    # cached for the fit so each pass does not rescan and reconvert the corpus
-    feats = sample.select(array_to_vector(F.col(cvec)).alias("features")).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    try:
-        # centroid quality only changes how much the exact second round probes
-        model = KMeans(k=cells, seed=seed, maxIter=10, tol=1e-3, initMode="k-means||").fit(feats)
-    finally:
-        feats.unpersist()
-    return np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
-
-
-def _lit_map(d: dict, key_type: str, val_type: str):
-    items = []
-    for key, val in sorted(d.items()):
-        items += [F.lit(key).cast(key_type), F.lit(val).cast(val_type)]
-    return F.create_map(*items)
+def _cell_dists(X: np.ndarray, C: np.ndarray) -> np.ndarray:
+    cn = np.einsum("ij,ij->i", C, C)
+    return np.einsum("ij,ij->i", X, X)[:, None] + cn[None, :] - 2.0 * (X @ C.T)
+
+
+def _nearest_cells(X: np.ndarray, C: np.ndarray, n: int = 1) -> np.ndarray:
+    """The n nearest centroids of every row, a bounded block of rows at a time."""
+    step = max(1, (8 << 20) // (8 * len(C)))
+    return np.concatenate([np.argsort(_cell_dists(X[i:i + step], C), axis=1, kind="stable")[:, :n]
+                           for i in range(0, len(X), step)] or [np.zeros((0, n), np.int64)])
+
+
+def centroids_of(corpus: DataFrame, cid: str, cvec: str, dim: int, cells: int,
+                 train_rows: int = 20_000, passes: int = 8) -> np.ndarray:
+    """Lloyd's k-means on a share of about ``train_rows`` vectors drawn by the hash
+    of the id, on the driver. Centroids decide how well the scan prunes, never
+    what an exact search returns."""
+    share = min(1.0, train_rows / max(1, corpus.count()))
+    drawn = corpus.filter(F.pmod(F.xxhash64(cid, F.lit("train")), F.lit(1 << 30))
+                          < int(share * (1 << 30))).select(cid, cvec).toArrow()
+    X = _list_matrix(drawn.column(cvec), dim) if drawn.num_rows else np.zeros((0, dim))
+    if not len(X):
+        return np.zeros((1, dim))
+    X = X[np.argsort(_id_order(drawn.column(cid).to_numpy()), kind="stable")]
+    C = X[np.linspace(0, len(X) - 1, min(cells, len(X))).astype(int)].copy()
+    for _ in range(passes):
+        own = _nearest_cells(X, C)[:, 0]
+        n = np.bincount(own, minlength=len(C))
+        sums = np.zeros_like(C)
+        np.add.at(sums, own, X)
+        C[n > 0] = sums[n > 0] / n[n > 0, None]
+    return C
 
 
 class IvfIndex:
-    """An inverted-file layout of a corpus: centroids (cells x dim, a bounded
-    parameter), the corpus with its cell and distance to the centroid
-    (materialised once in the shared checkpoint folder), and per-cell counts
-    and radii (one row per cell). Build once, search many query batches."""
+    """Centroids (a bounded number) and the corpus with its cell, written in cell
+    order. Build once, search many query tables."""
 
-    def __init__(self, centroids, assigned, nsub, radius, cid, cvec):
+    def __init__(self, centroids: np.ndarray, assigned: DataFrame):
         self.centroids, self.assigned = centroids, assigned
-        self.nsub, self.radius, self.cid, self.cvec = nsub, radius, cid, cvec
 
+    def cells_near(self, queries: DataFrame, qvec: str, dim: int, nprobe: int) -> list[int]:
+        """All cells that are among the ``nprobe`` nearest of a query of the block."""
+        tbl = queries.select(qvec).toArrow()              # bounded: one block
+        if not tbl.num_rows:
+            return []
+        near = _nearest_cells(_list_matrix(tbl.column(qvec), dim), self.centroids,
+                              min(nprobe, len(self.centroids)))
+        return sorted(set(near.ravel().tolist()))
 
-def _cell_dists(X: np.ndarray, C: np.ndarray) -> np.ndarray:
-    cn = np.einsum("ij,ij->i", C, C)
-    return np.einsum("ij,ij->i", X, X)[:, None] + cn[None, :] - 2.0 * (X @ C.T)
 
+def build_ivf(corpus: DataFrame, *, cid: str = "doc_id", cvec: str = "embedding", dim: int,
+              cells: int = 64, train_rows: int = 20_000) -> IvfIndex:
+    """The usable rows of ``corpus``, range-partitioned by cell and written."""
+    good, _ = split_valid(corpus.select(cid, cvec), cvec, dim)
+    C = centroids_of(good, cid, cvec, dim, cells, train_rows)
 
-def build_ivf(corpus: DataFrame, *, cid: str = "doc_id", cvec: str = "embedding",
-              cells: int = 64, block_rows: int = 8192, train_rows: int = 200_000,
-              seed: int = 7) -> IvfIndex | None:
-    dim_row = corpus.select(F.size(cvec).alias("d")).limit(1).collect()
-    if not dim_row:
-        return None
-    dim = int(dim_row[0]["d"])
-    C = train_centroids(corpus, cvec, cells, train_rows, seed) if cells > 1 else np.zeros((1, dim))
-
-    @F.pandas_udf("struct<cell:int, cdist:double>")
-    def assign(v: pd.Series) -> pd.DataFrame:
-        X = _stack(v)
-        if len(X) == 0:
-            return pd.DataFrame({"cell": pd.Series([], dtype="int32"),
-                                 "cdist": pd.Series([], dtype="float64")})
-        cell = _cell_dists(X, C).argmin(axis=1)
-        diff = X - C[cell]
-        return pd.DataFrame({"cell": cell.astype(np.int32),
-                             "cdist": np.sqrt(np.einsum("ij,ij->i", diff, diff))})
-
-    checkpoint_dir(corpus.sparkSession)
-    assigned = (corpus.withColumn("_a", assign.asNondeterministic()(F.col(cvec)))
-                .select(cid, cvec, F.col("_a.cell").alias("cell"), F.col("_a.cdist").alias("cdist")))
-    assigned = write_stage(assigned, "ivf-cells")
-    stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
-                                         F.max("cdist").alias("radius")).collect()  # <= cells rows
-    nsub = {r["cell"]: max(1, math.ceil(r["n"] / block_rows)) for r in stats}
-    radius = {r["cell"]: float(r["radius"]) for r in stats}
-    return IvfIndex(C, assigned, nsub, radius, cid, cvec)
-
-
-def _knn_cells(queries, corpus, k, qid, qvec, cid, cvec, dim, cells, nprobe, exact,
-               block_rows, query_block, train_rows, seed, index=None):
-    ivf = index or build_ivf(corpus, cid=cid, cvec=cvec, cells=cells, block_rows=block_rows,
-                             train_rows=train_rows, seed=seed)
-    if ivf is None or not ivf.nsub:
-        return _empty_hits(queries, corpus, qid, cid)
-    C = ivf.centroids
-    cells = C.shape[0]
-    nprobe = max(1, min(nprobe, cells))
-    known = sorted(ivf.nsub)
-
-    @F.pandas_udf("struct<cells:array<int>, dists:array<double>>")
-    def probe_order(v: pd.Series) -> pd.DataFrame:
-        X = _stack(v)
-        if len(X) == 0:
-            return pd.DataFrame({"cells": pd.Series([], dtype=object),
-                                 "dists": pd.Series([], dtype=object)})
-        d2 = _cell_dists(X, C)
-        order = np.argsort(d2, axis=1, kind="stable")
-        dist = np.sqrt(np.maximum(np.take_along_axis(d2, order, axis=1), 0.0))
-        return pd.DataFrame({"cells": list(order.astype(np.int32)), "dists": list(dist)})
-
-    # one row per query: its cells in probe order with centroid distances
-    order = (queries.withColumn("_p", probe_order.asNondeterministic()(F.col(qvec)))
-             .select(qid, F.arrays_zip(F.col("_p.cells").alias("cell"),
-                                       F.col("_p.dists").alias("qc")).alias("probes")))
-    order = write_stage(order, "ivf-probes")
-    vecs = queries.select(qid, qvec)
-
-    def run(pr: DataFrame) -> DataFrame:
-        counts = {r["cell"]: r["n"] for r in
-                  pr.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= cells rows
-        if not counts:
-            return None
-        nchunk = {c: max(1, math.ceil(n / query_block)) for c, n in counts.items()}
-        sub_map = _lit_map(ivf.nsub, "int", "int")
-        chunk_map = _lit_map(nchunk, "int", "int")
-        qside = (pr.select(qid, "cell").join(vecs, qid)
-                 .withColumn("sub", F.explode(F.sequence(F.lit(0), F.element_at(sub_map, F.col("cell")) - 1)))
-                 .withColumn("chunk", F.pmod(F.xxhash64(qid), F.element_at(chunk_map, F.col("cell")).cast("long")).cast("int")))
-        cside = (ivf.assigned.filter(F.col("cell").isin(list(counts.keys())))
-                 .select(F.col(ivf.cid).alias(cid), F.col(ivf.cvec).alias(cvec), "cell")
-                 .withColumn("sub", F.pmod(F.xxhash64(cid), F.element_at(sub_map, F.col("cell")).cast("long")).cast("int"))
-                 .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.element_at(chunk_map, F.col("cell")) - 1))))
-        return _cogroup_topk(qside, cside, k, qid, qvec, cid, cvec)
-
-    def explode_probes(df: DataFrame, col: str) -> DataFrame:
-        return (df.select(qid, F.explode(col).alias("p"))
-                .select(qid, F.col("p.cell").alias("cell"), F.col("p.qc").alias("qc"))
-                .filter(F.col("cell").isin(known)))
-
-    first = run(explode_probes(order, F.slice("probes", 1, nprobe)))
-    if first is None:
-        return _empty_hits(queries, corpus, qid, cid)
-    top1 = _final_topk(first, k, qid, cid)
-    if not exact or nprobe >= cells:
-        return top1
-    top1 = write_stage(top1, "ivf-phase1")                     # queries x k rows
-    kth = top1.groupBy(qid).agg(F.max("dist2").alias("kth"), F.count(F.lit(1)).alias("got"))
-    rad_map = _lit_map(ivf.radius, "int", "double")
-
-    def may_beat(p):
-        lb = F.greatest(p["qc"] - F.coalesce(F.element_at(rad_map, p["cell"]), F.lit(0.0)), F.lit(0.0))
-        return F.col("kth").isNull() | (F.col("got") < k) | (lb * lb <= F.col("kth") + _EPS)
-
-    rest = order.join(kth, qid, "left").select(
-        qid, F.filter(F.slice("probes", nprobe + 1, cells), may_beat).alias("probes"))
-    second = run(explode_probes(rest, F.col("probes")))
-    if second is None:
-        return top1
-    cands = top1.select(qid, cid, "dist2").unionByName(second)
-    return _final_topk(cands, k, qid, cid)
-
-
-def _cogroup_topk(qside, cside, k, qid, qvec, cid, cvec):
-    schema = T.StructType([qside.schema[qid], cside.schema[cid],
-                           T.StructField("dist2", T.DoubleType())])
-
-    def group_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({qid: pd.Series([], dtype=qpdf[qid].dtype if len(qpdf.columns) else "int64"),
-                                 cid: pd.Series([], dtype=object), "dist2": pd.Series([], dtype="float64")})
-        Q = _stack(qpdf[qvec])
-        X = _stack(cpdf[cvec])
-        xids = cpdf[cid].to_numpy()
-        qi, xi, d2 = _block_topk(Q, X, _id_order(xids), k)
-        return pd.DataFrame({qid: qpdf[qid].to_numpy()[qi], cid: xids[xi], "dist2": d2})
-
-    keys = ["cell", "sub", "chunk"]
-    return (qside.groupBy(*keys).cogroup(cside.groupBy(*keys))
-            .applyInPandas(group_topk, schema))
+    def assign(batches):
+        for rb in batches:
+            cell = _nearest_cells(_list_matrix(rb.column(1), dim), C)[:, 0]
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(cell.astype(np.int32))],
+                                             names=[cid, cvec, "cell"])
+
+    schema = T.StructType([good.schema[cid], good.schema[cvec], T.StructField("cell", T.IntegerType())])
+    placed = good.mapInArrow(assign, schema).repartitionByRange("cell", cid).sortWithinPartitions("cell", cid)
+    return IvfIndex(C, write_stage(placed, "ivf-cells"))

@@ -11,7 +11,6 @@ MSG_UNAUTHORIZED = "Unauthorized"
 MSG_EMBED_FAILED = "Embedding generation failed: "
 MSG_NO_MATCHES = "No matches found"
 MSG_SEARCH_FAILED = "Opensearch query failed: "
-MSG_INTERNAL = "Internal failure"
 
 
 def missing_query(query_text: Column) -> Column:
@@ -58,8 +57,3 @@ def body_json(status_code: Column, markdown: Column, error: Column) -> Column:
 def to_responses(df: DataFrame, key: str = "query_id") -> DataFrame:
     return df.select(key, "status_code",
                      body_json(F.col("status_code"), F.col("markdown"), F.col("error")).alias("body"))
-
-
-def ingest_response(total: Column) -> Column:
-    """Body of the ingest report: ``{"results": n}``."""
-    return F.to_json(F.struct(total.alias("results")))

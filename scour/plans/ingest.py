@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scour.functions.text import content_id, document_text
-from scour.operators.embed import DEFAULT_DIM, hash_embedder
-from scour.operators.index import append_rows, read_index, to_index_rows, upsert
+from scour.operators.embed import DEFAULT_DIM, checked, hash_embedder
+from scour.operators.index import (append_rows, create_if_missing, index_dimension, read_index,
+                                   to_index_rows, upsert)
 from scour.operators.ingest import batch_plan
-from scour.session import checkpoint_dir, materialize
+from scour.session import Stages, materialize
 
 
 def qa_documents(pairs: DataFrame) -> DataFrame:
@@ -28,29 +29,48 @@ def default_embedder(dim: int = DEFAULT_DIM, max_chars: int | None = None):
     return hash_embedder(dim, max_chars)
 
 
+def number(value, default: int) -> int:
+    """An event's integer parameter: missing gives the default, a number or
+    numeric text its value; anything else fails."""
+    return default if value is None else int(value)
+
+
 def ingest(spark: SparkSession, docs: DataFrame, index_path: str, *, order_col: str,
-           number_of_records: int = 1000, batch_size: int = 100, offset: int = 0,
+           number_of_records=1000, batch_size=100, offset=0,
            dim: int = DEFAULT_DIM, embed=None, run_id: int = 0, keyed_write: bool = False):
     """Index up to ``number_of_records`` new documents (see ``batch_plan``).
 
-    ``docs`` has ``order_col``, ``doc_id`` and ``text``. Returns
-    ``(response dict, batches DataFrame, rejects DataFrame)``; the batch
-    report and rejects are read back from the shared checkpoint folder.
+    ``docs`` has ``order_col``, ``doc_id`` and ``text``. The index is created
+    with the vector width; vectors of another width, or with NULL or NaN cells,
+    are rejects, the others are stored with unit length. Returns
+    ``(response dict, batches DataFrame, rejects DataFrame)``; the batch report
+    and the rejects are read back from the shared folder.
     """
-    checkpoint_dir(spark)
+    create_if_missing(spark, index_path, dim)
+    dim = index_dimension(spark, index_path) or dim
     stored = read_index(spark, index_path).select("doc_id")
+    stages = Stages(spark)
     kept, rejects, batches = batch_plan(
-        docs, order_col, stored, embed or default_embedder(dim),
-        number_of_records=number_of_records, batch_size=batch_size, offset=offset)
-    kept = materialize(kept, "ingest-kept")   # the written rows, computed once
+        docs, order_col, stored, checked(embed or default_embedder(dim), dim),
+        number_of_records=number(number_of_records, 1000), batch_size=number(batch_size, 100),
+        offset=number(offset, 0), stages=stages)
     rows = to_index_rows(kept, run_id)
+    batches = materialize(batches, "ingest-batches")
+    rejects = materialize(rejects, "ingest-rejects")
     if keyed_write:
         upsert(spark, index_path, rows, dim)
     else:
         # batch_plan has already skipped the stored ids (a re-run skips what
         # this run wrote): append, folding copies of an id
         append_rows(spark, index_path, rows)
-    batches = materialize(batches, "ingest-batches")
-    rejects = materialize(rejects, "ingest-rejects")
+    stages.clear()
     total = batches.agg(F.coalesce(F.sum("indexed"), F.lit(0)).alias("n")).first()["n"]
     return {"statusCode": 200, "body": json.dumps({"results": int(total)})}, batches, rejects
+
+
+def ingest_event(spark: SparkSession, docs: DataFrame, index_path: str, event: dict, *,
+                 order_col: str, **options):
+    """``ingest`` with the parameters of an event, as numbers or numeric text."""
+    return ingest(spark, docs, index_path, order_col=order_col,
+                  number_of_records=event.get("number_of_records"),
+                  batch_size=event.get("batch_size"), offset=event.get("records_offset"), **options)

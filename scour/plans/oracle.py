@@ -6,14 +6,14 @@ The hash-embedder and distance rules are written out once as CTE builders.
 
 from __future__ import annotations
 
-from scour.plans.registry import (DIM, K, MAX_CHARS, PAGE_LIMIT, PAGE_OFFSET, PLAN_BATCH,
-                                  PLAN_OFFSET, PLAN_RECORDS)
+from scour.plans.registry import (DEEP_LIMIT, DEEP_SHARE, DIM, K, PAGE_LIMIT, PAGE_OFFSET,
+                                  PLAN_BATCH, PLAN_OFFSET, PLAN_RECORDS, REFUSED)
 from scour.sources.requests import DEFAULT_API_KEY
 
 
 def _posts() -> str:
     return """
-q AS (SELECT conv_id * 1000 + turn AS id, substr(text, 1, 80) AS title, text AS body,
+q AS (SELECT conv_id * 1000 + turn AS id, split_part(text, chr(10), 1) AS title, text AS body,
              CASE WHEN role = 'user' THEN conv_id * 1000 + turn + 1 END AS accepted_answer_id
       FROM conversations WHERE role IN ('user', 'system')),
 a AS (SELECT conv_id * 1000 + turn AS id, text AS body FROM conversations WHERE role = 'assistant'),
@@ -23,14 +23,17 @@ pairs AS (SELECT q.id AS question_id, q.title AS question_title, q.body AS quest
           WHERE q.accepted_answer_id IS NOT NULL)"""
 
 
-def _embed(name: str, src: str, key: str, text: str, max_chars: int | None = None) -> str:
+def _refused(key: str) -> str:
+    return f"substr({key}, 1, 1) IN ({', '.join(repr(x) for x in REFUSED)})"
+
+
+def _embed(name: str, src: str, key: str, text: str) -> str:
     """CTEs ``{name}_w`` (sparse cell sums), ``{name}_n`` (non-zero norms) and
     ``{name}_v`` (dense unit vectors as DOUBLE[] of FLOAT values) for
     ``src(key, text)``."""
-    cond = f"WHERE length({text}) <= {max_chars}" if max_chars else ""
     return f"""
 {name}_tok AS (SELECT {key} AS k, unnest(string_split_regex(lower({text}), '[ \\n\\t\\r]+')) AS t
-               FROM {src} {cond}),
+               FROM {src}),
 {name}_cw AS (SELECT k, ('0x' || substr(md5(t), 1, 7))::BIGINT AS code FROM {name}_tok WHERE t <> ''),
 {name}_w AS (SELECT k, (code // 16) % {DIM} AS cell,
                     sum(CASE WHEN code % 2 = 0 THEN 1 ELSE -1 END) AS w
@@ -47,10 +50,10 @@ def _d2(a: str, b: str) -> str:
             f"lambda t: (t[1] - t[2]) * (t[1] - t[2])), lambda x, y: x + y)")
 
 
-def _knn_emb() -> str:
+def _knn_emb(where: str = "") -> str:
     return f"""
 e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-pairs AS (SELECT a.vec_id AS query_id, b.vec_id, {_d2('a.v', 'b.v')} AS dist2 FROM e a, e b),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id, {_d2('a.v', 'b.v')} AS dist2 FROM e a, e b {where}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist2, vec_id) AS rank FROM pairs),
 hits AS (SELECT query_id, rank::INT AS rank, vec_id, dist2 FROM ranked WHERE rank <= {K})"""
 
@@ -124,8 +127,9 @@ paged AS (SELECT *, (rn - {PLAN_OFFSET}) // {PLAN_BATCH} AS batch_no FROM src WH
 {_stored()},
 fresh AS (SELECT * FROM paged p WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.content_id = p.content_id)),
 fd AS (SELECT DISTINCT content_id, text FROM fresh),
-{_embed('pe', 'fd', 'content_id', 'text', MAX_CHARS)},
-ok AS (SELECT f.* FROM fresh f WHERE EXISTS (SELECT 1 FROM pe_n n WHERE n.k = f.content_id)),
+{_embed('pe', 'fd', 'content_id', 'text')},
+ok AS (SELECT f.* FROM fresh f WHERE NOT {_refused('f.content_id')}
+       AND EXISTS (SELECT 1 FROM pe_n n WHERE n.k = f.content_id)),
 fb AS (SELECT content_id, min(batch_no) AS first_batch FROM ok GROUP BY 1),
 ok1 AS (SELECT ok.* FROM ok JOIN fb USING (content_id) WHERE ok.batch_no = fb.first_batch),
 fetched AS (SELECT batch_no, count(*) AS fetched FROM paged GROUP BY 1),
@@ -145,6 +149,11 @@ ORACLE = {
     "qa_source_join": _with(_posts()) + "\nSELECT * FROM pairs",
     "qa_source_page": _with(_posts())
     + f"\nSELECT * FROM pairs ORDER BY question_id LIMIT {PAGE_LIMIT} OFFSET {PAGE_OFFSET}",
+    "qa_deep_page": _with(_posts(), f"""
+num AS (SELECT *, row_number() OVER (ORDER BY question_id) - 1 AS rn, count(*) OVER () AS many FROM pairs)""")
+    + f"""
+SELECT question_id, question_title, question_body, accepted_answer_id, accepted_answer_body FROM num
+WHERE rn >= floor(many * {DEEP_SHARE}) AND rn < floor(many * {DEEP_SHARE}) + {DEEP_LIMIT}""",
     "doc_assemble": _with(_posts()) + """
 SELECT question_id, sha256(t) AS doc_id, t AS text FROM (
   SELECT question_id, 'Title: ' || coalesce(question_title, 'None') || '\nBody: '
@@ -159,24 +168,36 @@ WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.content_id = sha256(d.text))"""
 SELECT w.k AS doc_id, w.cell::INT AS cell, round(((w.w / n.norm)::FLOAT)::DOUBLE, 6) AS value
 FROM x_w w JOIN x_n n USING (k) WHERE w.w <> 0""",
     "embed_failures": _with("dd AS (SELECT DISTINCT sha256(text) AS doc_id, text FROM documents)",
-                            _embed("x", "dd", "doc_id", "text", MAX_CHARS)) + f"""
+                            _embed("x", "dd", "doc_id", "text")) + f"""
 SELECT dd.doc_id, err IS NULL AS ok, err AS error FROM (
-  SELECT dd.doc_id, CASE WHEN length(dd.text) > {MAX_CHARS} THEN 'input too long'
-                         WHEN t.k IS NULL THEN 'empty input'
-                         WHEN n.k IS NULL THEN 'zero vector' END AS err
+  SELECT dd.doc_id, CASE WHEN {_refused('dd.doc_id')} THEN 'ValueError: refused'
+                         WHEN t.k IS NULL THEN 'ValueError: empty input'
+                         WHEN n.k IS NULL THEN 'ValueError: zero vector' END AS err
   FROM dd LEFT JOIN (SELECT DISTINCT k FROM x_w) t ON t.k = dd.doc_id
           LEFT JOIN x_n n ON n.k = dd.doc_id) dd""",
     "batch_plan": _with(_plan()) + """
 SELECT doc_id, rn, batch_no, content_id FROM ok1 WHERE batch_no IN (SELECT batch_no FROM kb)""",
+    "ingest_rejects": _with(_plan()) + f"""
+SELECT f.doc_id, f.rn, f.batch_no, f.content_id,
+       CASE WHEN {_refused('f.content_id')} THEN 'ValueError: refused'
+            WHEN w.k IS NULL THEN 'ValueError: empty input' ELSE 'ValueError: zero vector' END AS error
+FROM fresh f LEFT JOIN (SELECT DISTINCT k FROM pe_w) w ON w.k = f.content_id
+WHERE f.batch_no IN (SELECT batch_no FROM kb)
+  AND ({_refused('f.content_id')} OR NOT EXISTS (SELECT 1 FROM pe_n n WHERE n.k = f.content_id))""",
     "ingest_progress": _with(_plan()) + f"""
 SELECT batch_no, {PLAN_OFFSET} + batch_no * {PLAN_BATCH} AS page_offset, fetched, indexed,
        total_before, total_before + indexed AS total_after FROM kb""",
+    "ingest_index": _with(_posts(), """
+dd AS (SELECT DISTINCT 'Title: ' || coalesce(question_title, 'None') || '\nBody: '
+         || coalesce(question_body, 'None') || '\nAccepted Answer: '
+         || coalesce(accepted_answer_body, 'None') AS text FROM pairs)""",
+                          _embed("x", "dd", "sha256(text)", "text")) + f"""
+SELECT sha256(dd.text) AS doc_id, dd.text, 0::BIGINT AS run_id, {DIM} AS width
+FROM dd JOIN x_n n ON n.k = sha256(dd.text)""",
     "index_schema_check": f"""
 SELECT vec_id, reason IS NULL AS valid, reason FROM (
-  SELECT vec_id, CASE WHEN embedding IS NULL THEN 'missing vector'
-                      WHEN len(embedding) <> {DIM} THEN 'width ' || len(embedding) || ' != {DIM}'
-                      WHEN list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x)))
-                           THEN 'null or NaN cell' END AS reason
+  SELECT vec_id, CASE vec_id % 11 WHEN 1 THEN 'missing vector' WHEN 2 THEN 'width 7 != {DIM}'
+                      WHEN 3 THEN 'null or NaN cell' WHEN 4 THEN 'null or NaN cell' END AS reason
   FROM embeddings)""",
     "index_upsert": _with(
         "lab AS (SELECT DISTINCT sha256(text) AS doc_id, text FROM documents d "
@@ -184,7 +205,7 @@ SELECT vec_id, reason IS NULL AS valid, reason FROM (
         "en AS (SELECT DISTINCT sha256(text) AS doc_id, text FROM documents WHERE lang = 'en')",
         _embed("l", "lab", "doc_id", "text"), _embed("g", "en", "doc_id", "text")) + f"""
 SELECT doc_id, max(run_id)::BIGINT AS run_id, {DIM} AS width FROM (
-  SELECT k AS doc_id, 1 AS run_id FROM l_n UNION ALL SELECT k AS doc_id, 2 AS run_id FROM g_n)
+  SELECT k AS doc_id, 1 AS run_id FROM l_n UNION ALL SELECT k AS doc_id, 3 AS run_id FROM g_n)
 GROUP BY doc_id""",
     "knn_single": f"""
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -195,6 +216,8 @@ r AS (SELECT *, row_number() OVER (ORDER BY dist2, vec_id) AS rank FROM d)
 SELECT rank::INT AS rank, vec_id, round(dist2, 6) AS dist2, round(1.0 / (1.0 + dist2), 6) AS score
 FROM r WHERE rank <= {K}""",
     "knn_batch": _with(_knn_emb()) + """
+SELECT query_id, rank, vec_id, round(dist2, 6) AS dist2, round(1.0 / (1.0 + dist2), 6) AS score FROM hits""",
+    "knn_spoiled": _with(_knn_emb("WHERE b.vec_id % 11 NOT IN (1, 2, 3, 4)")) + """
 SELECT query_id, rank, vec_id, round(dist2, 6) AS dist2, round(1.0 / (1.0 + dist2), 6) AS score FROM hits""",
     "hits_text": _with(_knn_emb()) + """
 SELECT h.query_id, h.rank, h.vec_id, coalesce(d.text, '') AS text
@@ -205,12 +228,21 @@ SELECT query_id, hit_count, prompt FROM resp WHERE prompt IS NOT NULL""",
 SELECT query_id, markdown FROM resp WHERE status_code = 200""",
     "rag_answer": _with(_search()) + """
 SELECT query_id, status_code, error, markdown FROM resp""",
+    "rag_plugin_model": _with(_search()) + """
+SELECT query_id, status_code,
+       CASE WHEN status_code = 200 THEN length(prompt) || ' characters' || chr(10) || 'read' END AS markdown
+FROM resp""",
     "response_status": _with(_search()) + """
 SELECT query_id, status_code, error_stage, hit_count FROM resp""",
     "response_json": _with(_search()) + """
 SELECT query_id, status_code,
        CASE WHEN status_code = 200 THEN to_json({'markdown': markdown})
             ELSE to_json({'error': error}) END::VARCHAR AS body FROM resp""",
+    "request_events": f"""
+SELECT conv_id * 1000 + turn AS query_id, CASE WHEN role = 'user' THEN text END AS query_text,
+       CASE WHEN conv_id % 9 = 7 THEN NULL
+            WHEN conv_id % 9 = 4 THEN 'wrong-key' ELSE '{DEFAULT_API_KEY}' END AS api_key_header
+FROM conversations WHERE role IN ('user', 'system')""",
     "request_decode": """
 SELECT page_id, path, ref, coalesce(TRY_CAST(page AS INT), 1) AS page_no, n_params FROM (
   SELECT page_id,
@@ -224,6 +256,7 @@ SELECT page_id, path, ref, coalesce(TRY_CAST(page AS INT), 1) AS page_no, n_para
 }
 ORACLE["knn_ivf"] = ORACLE["knn_batch"]
 ORACLE["ingest_stream"] = _with(
-    "dd AS (SELECT DISTINCT sha256(text) AS doc_id, text FROM documents)",
+    "dd AS (SELECT DISTINCT sha256(text) AS doc_id, text FROM documents)", _stored(),
     _embed("x", "dd", "doc_id", "text")) + f"""
-SELECT k AS doc_id, {DIM} AS width FROM x_n"""
+SELECT k AS doc_id, {DIM} AS width, 1::BIGINT AS n,
+       CASE WHEN k IN (SELECT content_id FROM stored) THEN 1 ELSE 0 END AS old FROM x_n"""

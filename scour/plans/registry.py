@@ -7,21 +7,25 @@ tables; fixed parameters are listed once below.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scour.functions.text import content_id
 from scour.operators import index as idx
-from scour.operators.answer import hits_with_text
-from scour.operators.embed import hash_embedder
+from scour.operators.answer import hits_with_text, map_model
+from scour.operators.embed import checked, hash_embedder, hash_vector, udf_embedder
 from scour.operators.ingest import batch_plan as _batch_plan
 from scour.operators.ingest import skip_stored
-from scour.operators.knn import knn, knn_single as _knn_single
-from scour.plans.ingest import default_embedder, qa_documents
+from scour.operators.knn import build_ivf, knn
+from scour.operators.knn import knn_single as _knn_single
+from scour.plans.ingest import ingest_event, qa_documents
 from scour.plans.search import search
-from scour.session import checkpoint_dir, materialize, scratch_path
+from scour.session import scratch_path
 from scour.sources import qa
-from scour.sources.requests import DEFAULT_API_KEY, int_param, requests_from_conversations, url_requests
+from scour.sources.requests import (DEFAULT_API_KEY, decode_events, int_param, request_fields,
+                                    requests_from_conversations, url_requests)
 from scour.sources.tables import read_table
 from scour.streaming.ingest_stream import ingest_stream as _ingest_stream
 
@@ -29,9 +33,12 @@ from scour.streaming.ingest_stream import ingest_stream as _ingest_stream
 DIM = 64                  # width of the driver's vectors and of the hash embedder
 K = 5                     # neighbours per search
 PAGE_LIMIT, PAGE_OFFSET = 50, 10
-PLAN_RECORDS, PLAN_BATCH, PLAN_OFFSET = 250, 20, 10
-MAX_CHARS = 20_000        # embedder input limit used by the failure and plan queries
-IVF_CELLS, IVF_PROBES = 16, 2
+DEEP_LIMIT, DEEP_SHARE = 40, 0.75     # a page past three quarters of the rows
+PLAN_RECORDS, PLAN_BATCH, PLAN_OFFSET = 450, 20, 10
+INGEST_RECORDS, INGEST_BATCH = 100_000_000, 64
+REFUSED = ("0", "3")      # first hex digits of content ids that the flaky embedder refuses
+IVF_CELLS = 16
+STREAM_FILES = 3
 
 
 def _t(spark, sf, name):
@@ -56,8 +63,13 @@ def qa_source_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def qa_source_page(spark: SparkSession, sf: str) -> DataFrame:
     q, a = _posts(spark, sf)
-    qa.register_posts(q, a)
-    return qa.source_page(spark, PAGE_LIMIT, PAGE_OFFSET)
+    return qa.source_page(q, a, PAGE_LIMIT, PAGE_OFFSET)
+
+
+def qa_deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    q, a = _posts(spark, sf)
+    many = q.filter(F.col("accepted_answer_id").isNotNull()).count()
+    return qa.source_page(q, a, DEEP_LIMIT, int(many * DEEP_SHARE))
 
 
 # ------------------------------------------------------------------ documents
@@ -83,27 +95,38 @@ def new_docs_anti(spark, sf):
 
 
 def _keyed_docs(spark, sf):
-    """Documents keyed by content id; copies are folded by the embedder itself."""
-    return _t(spark, sf, "documents").select(content_id("text").alias("doc_id"), "text")
+    """Documents by content id, each text once: copies collapse before the
+    shuffle, so the embedder sees every text once."""
+    return _t(spark, sf, "documents").select(content_id("text").alias("doc_id"), "text").distinct()
 
 
 def embed_hash(spark, sf):
     e = hash_embedder(DIM)(_keyed_docs(spark, sf), "text")
-    # copies of a text share an id and a vector: fold them on one compact row
-    # per id (hash aggregate keyed by (id, vector), partial map-side, so a hot
-    # copy collapses before the shuffle), then explode the cells after the
-    # exchange - the shuffle moves one vector per id, not one row per cell
-    return (e.filter(F.col("error").isNull()).select("doc_id", "embedding")
-            .distinct()
+    return (e.filter(F.col("error").isNull())
             .select("doc_id", F.posexplode("embedding").alias("cell", "x"))
             .filter(F.col("x") != 0)
             .select("doc_id", F.col("cell").cast("int").alias("cell"),
                     F.round(F.col("x").cast("double"), 6).alias("value")))
 
 
+def flaky_embedder():
+    """A plug-in embedder that refuses some texts, chosen by their content id."""
+    def factory():
+        def call(text: str):
+            if hashlib.sha256(text.encode()).hexdigest()[0] in REFUSED:
+                raise ValueError("refused")
+            vector, error = hash_vector(text, DIM)
+            if error:
+                raise ValueError(error)
+            return vector
+        return call
+
+    return udf_embedder(factory, DIM, retryable=(ValueError,))
+
+
 def embed_failures(spark, sf):
-    e = hash_embedder(DIM, MAX_CHARS)(_keyed_docs(spark, sf), "text")
-    return e.select("doc_id", F.col("error").isNull().alias("ok"), "error").distinct()
+    e = checked(flaky_embedder(), DIM)(_keyed_docs(spark, sf), "text")
+    return e.select("doc_id", F.col("error").isNull().alias("ok"), "error")
 
 
 # ------------------------------------------------------------- ingest control
@@ -111,7 +134,7 @@ def embed_failures(spark, sf):
 def _plan(spark, sf):
     src = _t(spark, sf, "documents").select("doc_id", "text",
                                              content_id("text").alias("content_id"))
-    return _batch_plan(src, "doc_id", _stored_ids(spark, sf), default_embedder(DIM, MAX_CHARS),
+    return _batch_plan(src, "doc_id", _stored_ids(spark, sf), flaky_embedder(),
                        number_of_records=PLAN_RECORDS, batch_size=PLAN_BATCH,
                        offset=PLAN_OFFSET, key="content_id", text="text")
 
@@ -121,6 +144,11 @@ def batch_plan(spark, sf):
     return kept.select("doc_id", "rn", "batch_no", "content_id")
 
 
+def ingest_rejects(spark, sf):
+    _, rejects, _ = _plan(spark, sf)
+    return rejects.select("doc_id", "rn", "batch_no", "content_id", "error")
+
+
 def ingest_progress(spark, sf):
     _, _, batches = _plan(spark, sf)
     return batches
@@ -128,31 +156,55 @@ def ingest_progress(spark, sf):
 
 # ---------------------------------------------------------------------- index
 
+def ingest_index(spark, sf):
+    """Pairs to documents to index, run twice: the second run adds nothing."""
+    q, a = _posts(spark, sf)
+    docs = qa_documents(qa.qa_pairs(q, a))
+    path = scratch_path(spark, "index")
+    for run in (0, 1):
+        ingest_event(spark, docs, path, {"number_of_records": str(INGEST_RECORDS),
+                                         "batch_size": str(INGEST_BATCH)},
+                     order_col="question_id", dim=DIM, run_id=run)
+    return idx.read_index(spark, path).select("doc_id", "text", "run_id",
+                                               F.size("embedding").alias("width"))
+
+
+def _spoiled(spark, sf):
+    """``embeddings`` with bad vectors among them, chosen by ``vec_id``: missing,
+    short, with a NaN and with a NULL cell."""
+    kind = F.pmod("vec_id", F.lit(11))
+    v = F.col("embedding")
+    cell = lambda bad: F.transform(v, lambda x, i: F.when(i == 3, bad).otherwise(x))
+    return _t(spark, sf, "embeddings").select("vec_id", F.when(kind == 1, F.lit(None))
+        .when(kind == 2, F.slice(v, 1, 7)).when(kind == 3, cell(F.lit(float("nan")).cast("float")))
+        .when(kind == 4, cell(F.lit(None).cast("float"))).otherwise(v).alias("embedding"))
+
+
 def index_schema_check(spark, sf):
     path = idx.create_if_missing(spark, scratch_path(spark, "index"), DIM)
     width = idx.index_dimension(spark, path)
-    return idx.check_vectors(_t(spark, sf, "embeddings").select("vec_id", "embedding"),
-                             "embedding", width).select("vec_id", "valid", "reason")
+    return idx.check_vectors(_spoiled(spark, sf), "embedding", width).select(
+        "vec_id", "valid", "reason")
 
 
 def _embedded(spark, docs):
-    """(doc_id, text, embedding) per content id: embed map-side, then one
-    de-duplication by id (the index holds each content id once). The id is a
-    hash of the text and the hash embedder is deterministic, so the whole row
-    is a function of the id: a hash aggregate on the row (partial map-side)
-    folds copies before the shuffle, with no sort."""
-    d = docs.select(content_id("text").alias("doc_id"), "text")
+    """(doc_id, text, embedding): each content id once, embedded once."""
+    d = docs.select(content_id("text").alias("doc_id"), "text").distinct()
     e = hash_embedder(DIM)(d, "text").filter(F.col("error").isNull())
-    return e.select("doc_id", "text", "embedding").distinct()
+    return e.select("doc_id", "text", "embedding")
 
 
 def index_upsert(spark, sf):
+    """Labelled documents first; then English ones in a batch that holds every
+    id twice, of runs 2 and 3."""
     docs = _t(spark, sf, "documents")
     labelled = docs.join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     english = docs.filter(F.col("lang") == "en")
     path = scratch_path(spark, "index")
     idx.upsert(spark, path, idx.to_index_rows(_embedded(spark, labelled), 1), DIM)
-    idx.upsert(spark, path, idx.to_index_rows(_embedded(spark, english), 2), DIM)
+    again = idx.to_index_rows(_embedded(spark, english), 2)
+    again = again.withColumn("run_id", F.explode(F.array(F.lit(3), F.lit(2)).cast("array<long>")))
+    idx.upsert(spark, path, again, DIM)
     return idx.read_index(spark, path).select("doc_id", "run_id",
                                                F.size("embedding").alias("width"))
 
@@ -191,8 +243,15 @@ def knn_batch(spark, sf):
 def knn_ivf(spark, sf):
     e, q = _emb_queries(spark, sf)
     return _hits_out(knn(q, e, K, qid="query_id", qvec="qv", cid="vec_id", cvec="embedding",
-                         strategy="cells", cells=IVF_CELLS, nprobe=IVF_PROBES, exact=True,
-                         **_SCAN_QUERIES))
+                         index=build_ivf(e, cid="vec_id", cvec="embedding", dim=DIM,
+                                         cells=IVF_CELLS), **_SCAN_QUERIES))
+
+
+def knn_spoiled(spark, sf):
+    """Search among vectors some of which can't be compared."""
+    e, q = _spoiled(spark, sf), _emb_queries(spark, sf)[1]
+    return _hits_out(knn(q, e, K, qid="query_id", qvec="qv", cid="vec_id", cvec="embedding",
+                         dim=DIM, **_SCAN_QUERIES))
 
 
 def hits_text(spark, sf):
@@ -202,16 +261,39 @@ def hits_text(spark, sf):
     return hits_with_text(h, en, "vec_id", "doc_id").select("query_id", "rank", "vec_id", "text")
 
 
-def document_index(spark, sf):
-    """The searchable index derived from ``documents``, written once to the
-    shared checkpoint folder (a stored index is what a search reads)."""
-    checkpoint_dir(spark)
-    return materialize(_embedded(spark, _t(spark, sf, "documents")), "document-index")
+_indexes: dict[tuple[str, str], str] = {}   # (application, data folder) -> index
 
 
-def _search(spark, sf):
+def document_index(spark, sf):
+    """The stored index over ``documents``, built once per application and data
+    folder (a search reads an index, it does not build one)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        path = scratch_path(spark, "index")
+        idx.create_if_missing(spark, path, DIM)
+        idx.append_rows(spark, path, idx.to_index_rows(_embedded(spark, _t(spark, sf, "documents")), 0))
+        _indexes[key] = path
+    return idx.read_index(spark, _indexes[key])
+
+
+def _search(spark, sf, **options):
     reqs = requests_from_conversations(_t(spark, sf, "conversations"))
-    return search(reqs, document_index(spark, sf), k=K, api_key=DEFAULT_API_KEY, dim=DIM)
+    return search(reqs, document_index(spark, sf), k=K, api_key=DEFAULT_API_KEY, dim=DIM, **options)
+
+
+def counting_model(prompts):
+    """A plug-in answer model: says how long the prompt is, outside of any tag."""
+    def factory():
+        def call(prompt, system, temperature):
+            return {"output": {"message": {"role": "assistant", "content": [
+                {"text": f"{len(prompt)} characters"}, {"text": "read"}]}}}
+        return call
+
+    return map_model(prompts, factory)
+
+
+def rag_plugin_model(spark, sf):
+    return _search(spark, sf, model=counting_model).select("query_id", "status_code", "markdown")
 
 
 def prompt_assemble(spark, sf):
@@ -236,6 +318,16 @@ def response_json(spark, sf):
     return to_responses(_search(spark, sf))
 
 
+def request_events(spark, sf):
+    """JSON events, written from the requests and read back."""
+    reqs = requests_from_conversations(_t(spark, sf, "conversations"))
+    events = reqs.select("query_id", F.to_json(F.struct(
+        F.lit("/search").alias("path"), F.lit("GET").alias("httpMethod"),
+        F.col("params").alias("queryStringParameters"), "headers",
+        F.lit(False).alias("isBase64Encoded"))).alias("event"))
+    return request_fields(decode_events(events)).select("query_id", "query_text", "api_key_header")
+
+
 def request_decode(spark, sf):
     p = url_requests(_t(spark, sf, "pages").select("page_id", "url"), "url", "ref")
     return p.select("page_id", "path", F.col("param_value").alias("ref"),
@@ -246,15 +338,25 @@ def request_decode(spark, sf):
 # ------------------------------------------------------------------ streaming
 
 def ingest_stream(spark, sf):
-    path = scratch_path(spark, "stream-index")
-    ckpt = scratch_path(spark, "stream-ckpt")
-    _ingest_stream(spark, sf, path, ckpt, glob="documents.parquet", dim=DIM)
-    return idx.read_index(spark, path).select("doc_id", F.size("embedding").alias("width"))
+    """Several micro-batches over an index that holds the labelled documents
+    already; then the same checkpoint again, and a new one: neither adds rows."""
+    docs = _t(spark, sf, "documents")
+    labelled = docs.join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    path, source = scratch_path(spark, "stream-index"), scratch_path(spark, "stream-source")
+    idx.create_if_missing(spark, path, DIM)
+    idx.append_rows(spark, path, idx.to_index_rows(_embedded(spark, labelled), -1))
+    docs.select("text").repartition(STREAM_FILES).write.parquet(source)
+    first = scratch_path(spark, "stream-ckpt")
+    for ckpt, files in ((first, 1), (first, 1), (scratch_path(spark, "stream-ckpt"), STREAM_FILES)):
+        _ingest_stream(spark, source, path, ckpt, dim=DIM, max_files_per_trigger=files)
+    return (idx.read_index(spark, path).groupBy("doc_id", F.size("embedding").alias("width"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min((F.col("run_id") < 0).cast("int")).alias("old")))
 
 
 QUERIES = {
     "qa_source_join": qa_source_join,
     "qa_source_page": qa_source_page,
+    "qa_deep_page": qa_deep_page,
     "doc_assemble": doc_assemble,
     "doc_id_hash": doc_id_hash,
     "new_docs_anti": new_docs_anti,
@@ -262,17 +364,22 @@ QUERIES = {
     "embed_failures": embed_failures,
     "batch_plan": batch_plan,
     "ingest_progress": ingest_progress,
+    "ingest_rejects": ingest_rejects,
+    "ingest_index": ingest_index,
     "index_schema_check": index_schema_check,
     "index_upsert": index_upsert,
     "knn_single": knn_single,
     "knn_batch": knn_batch,
     "knn_ivf": knn_ivf,
+    "knn_spoiled": knn_spoiled,
     "hits_text": hits_text,
     "prompt_assemble": prompt_assemble,
     "answer_extract": answer_extract,
     "rag_answer": rag_answer,
+    "rag_plugin_model": rag_plugin_model,
     "response_status": response_status,
     "response_json": response_json,
     "request_decode": request_decode,
+    "request_events": request_events,
     "ingest_stream": ingest_stream,
 }

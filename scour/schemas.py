@@ -2,28 +2,6 @@
 
 from pyspark.sql import types as T
 
-# Questions and answers, only the columns the source query reads.
-QUESTIONS = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("title", T.StringType(), True),
-    T.StructField("body", T.StringType(), True),
-    T.StructField("accepted_answer_id", T.LongType(), True),
-])
-
-ANSWERS = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("body", T.StringType(), True),
-])
-
-# Accepted-pair relation produced by the source join.
-QA_PAIRS = T.StructType([
-    T.StructField("question_id", T.LongType(), False),
-    T.StructField("question_title", T.StringType(), True),
-    T.StructField("question_body", T.StringType(), True),
-    T.StructField("accepted_answer_id", T.LongType(), True),
-    T.StructField("accepted_answer_body", T.StringType(), True),
-])
-
 VECTOR = T.ArrayType(T.FloatType(), True)
 
 # The document index: content id, text, vector; id_prefix is the partition
@@ -58,17 +36,3 @@ MODEL_RESPONSE = T.StructType([
         ]), True),
     ]), True),
 ])
-
-# Response sink.
-RESPONSE = T.StructType([
-    T.StructField("status_code", T.IntegerType(), False),
-    T.StructField("body", T.StringType(), True),
-])
-
-HITS = T.StructType([
-    T.StructField("query_id", T.LongType(), False),
-    T.StructField("rank", T.IntegerType(), False),
-    T.StructField("doc_id", T.StringType(), True),
-    T.StructField("dist2", T.DoubleType(), True),
-    T.StructField("score", T.DoubleType(), True),
-])

@@ -2,46 +2,16 @@
 
 ``qa_pairs`` is the left outer join of questions to their accepted answers
 (questions without an accepted answer id are left out; a dangling id keeps the
-question with a NULL answer body). ``source_page`` is the paged form of the
-same query, run as parametrised SQL through Catalyst with a stable order.
+question with a NULL answer body). ``source_page`` is one page of it in
+question id order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed SQL text of the paged source query (named parameters :n and :m).
-SOURCE_SQL = """\
-WITH accepted_answers AS (
-    SELECT
-        q.id AS question_id,
-        q.title AS question_title,
-        q.body AS question_body,
-        q.accepted_answer_id,
-        a.body AS accepted_answer_body
-    FROM
-        posts_questions q
-    LEFT JOIN
-        posts_answers a
-    ON
-        q.accepted_answer_id = a.id
-    WHERE
-        q.accepted_answer_id IS NOT NULL
-)
-SELECT * FROM accepted_answers
-ORDER BY question_id
-LIMIT :n"""
-
-
-def source_sql(number_of_records: int = 100, offset: int | None = None) -> tuple[str, dict]:
-    """SQL text and named arguments for one page; OFFSET only when truthy."""
-    text = SOURCE_SQL
-    args = {"n": int(number_of_records)}
-    if offset:
-        text += "\nOFFSET :m"
-        args["m"] = int(offset)
-    return text, args
+from scour.operators.ingest import key_ordinals
 
 
 def questions_from_conversations(conv: DataFrame) -> DataFrame:
@@ -50,7 +20,7 @@ def questions_from_conversations(conv: DataFrame) -> DataFrame:
     pid = F.col("conv_id") * 1000 + F.col("turn")
     return (conv.filter(F.col("role").isin("user", "system"))
             .select(pid.alias("id"),
-                    F.substring("text", 1, 80).alias("title"),
+                    F.substring_index("text", "\n", 1).alias("title"),
                     F.col("text").alias("body"),
                     F.when(F.col("role") == "user", pid + 1).alias("accepted_answer_id")))
 
@@ -75,29 +45,18 @@ def qa_pairs(questions: DataFrame, answers: DataFrame) -> DataFrame:
                     "accepted_answer_id", "accepted_answer_body"))
 
 
-def register_posts(questions: DataFrame, answers: DataFrame) -> None:
-    questions.createOrReplaceTempView("posts_questions")
-    answers.createOrReplaceTempView("posts_answers")
-
-
-def source_page(spark: SparkSession, number_of_records: int = 100,
-                offset: int | None = None, deep_rows: int = 1_000_000) -> DataFrame:
-    """One page of accepted pairs, in question id order (views must be registered).
-
-    A page within the first ``deep_rows`` rows runs the SQL text: Catalyst
-    plans ``ORDER BY .. LIMIT .. OFFSET`` as a per-partition top-(n + m) and
-    one merge, which is cheap for shallow pages. A deeper page would put all
-    n + m rows through that one merge task, so it is cut from global ordinals
-    instead (range partitions of the question id, numbered per partition;
-    see ``operators.ingest.row_ordinals``): no task holds more than its key
-    range. Both give the same rows in the same order."""
-    m = int(offset or 0)
-    if number_of_records + m <= deep_rows:
-        text, args = source_sql(number_of_records, offset)
-        return spark.sql(text, args=args)
-    from scour.operators.ingest import row_ordinals
-
-    pairs = qa_pairs(spark.table("posts_questions"), spark.table("posts_answers"))
-    return (row_ordinals(pairs, "question_id")
-            .filter((F.col("rn") >= m) & (F.col("rn") < m + number_of_records))
-            .drop("rn"))
+def source_page(questions: DataFrame, answers: DataFrame, number_of_records: int = 100,
+                offset: int | None = None) -> DataFrame:
+    """One page of accepted pairs, in question id order (ids are unique).
+
+    The ids alone are range-partitioned and numbered (``key_ordinals``), so a
+    deep page is no more work for one task than a shallow one; the page's id
+    range is then pushed into the scan of the questions, and only its rows are
+    joined to the answers."""
+    first = int(offset or 0)
+    asked = questions.filter(F.col("accepted_answer_id").isNotNull())
+    page = key_ordinals(asked.select(F.col("id").alias("question_id")), "question_id").filter(
+        (F.col("rn") >= first) & (F.col("rn") < first + int(number_of_records)))
+    ends = page.agg(F.min("question_id").alias("lo"), F.max("question_id").alias("hi")).first()
+    inside = F.col("id").between(ends["lo"], ends["hi"])
+    return qa_pairs(asked.filter(F.coalesce(inside, F.lit(False))), answers)

@@ -14,41 +14,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scour.functions.text import content_id
-from scour.operators.embed import DEFAULT_DIM, hash_embedder
-from scour.operators.index import append_rows, read_index, stored_bytes, to_index_rows
+from scour.operators.embed import DEFAULT_DIM, checked, hash_embedder
+from scour.operators.index import append_rows, create_if_missing, read_index, to_index_rows
 from scour.operators.ingest import skip_stored
+from scour.session import Stages
 from scour.sources.tables import spread
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, index_path: str, text: str,
-                  dim: int, run_id: int, embed=None, large_index_bytes: int = 1 << 30) -> None:
-    """One micro-batch: skip the ids already in the index, embed the rest,
-    append. Against a large index (at least ``large_index_bytes`` on disk) the
-    batch is counted (bounded by ``maxFilesPerTrigger``, but counted, not
-    assumed) and its stored ids are found by streaming the index past its
-    broadcast keys, so the index is never shuffled; against a small one a
-    plain anti-join is cheaper (AQE broadcasts the index ids).
+                  dim: int, run_id: int, embed=None) -> dict:
+    """One micro-batch: fold copies, skip the ids already in the index, embed
+    each new id once, append.
+
+    The batch's distinct ids and texts are written once and counted; while
+    their keys are small enough to broadcast, stored ids are found by streaming
+    the index past them, so the index is never shuffled.
 
     One id check per batch is enough for replays: a replayed epoch sees the
     files the first attempt committed, and the file commit protocol leaves
     nothing half-written behind a failed attempt."""
+    stages = Stages(spark)
     docs = spread(batch).select(content_id(F.col(text)).alias("doc_id"), F.col(text).alias("text")) \
                         .filter(F.col("doc_id").isNotNull())
-    stored = read_index(spark, index_path, dim).select("doc_id")
-    bound = None
-    if stored_bytes(spark, index_path) >= large_index_bytes:
-        bound = docs.count()
-        if bound == 0:
-            return
-    fresh = skip_stored(docs, stored, rows_bound=bound)
-    ok = (embed or hash_embedder(dim))(fresh, "text").filter(F.col("error").isNull())
-    append_rows(spark, index_path, to_index_rows(ok, run_id))
+    docs = stages.write(docs.groupBy("doc_id").agg(F.first("text").alias("text")), "stream-batch")
+    bound = docs.count()
+    report = {"written": 0, "rejected": 0}
+    if bound:
+        stored = read_index(spark, index_path, dim).select("doc_id")
+        fresh = skip_stored(docs, stored, rows_bound=bound)
+        ok = checked(embed or hash_embedder(dim), dim)(fresh, "text").filter(F.col("error").isNull())
+        report = append_rows(spark, index_path, to_index_rows(ok, run_id))
+    stages.clear()
+    return report
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, index_path: str, checkpoint: str, *,
                   glob: str = "*.parquet", text: str = "text", dim: int = DEFAULT_DIM,
-                  max_files_per_trigger: int = 1, embed=None, large_index_bytes: int = 1 << 30):
+                  max_files_per_trigger: int = 1, embed=None):
     """Run the stream over everything available now and return the query."""
+    create_if_missing(spark, index_path, dim)
     schema = spark.read.option("pathGlobFilter", glob).parquet(source_dir).schema
     stream = (spark.readStream.schema(schema)
               .option("pathGlobFilter", glob)
@@ -56,8 +60,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, index_path: str, checkpo
               .parquet(source_dir))
 
     def each(batch: DataFrame, epoch_id: int) -> None:
-        process_batch(spark, batch, index_path, text, dim, int(epoch_id), embed,
-                      large_index_bytes)
+        process_batch(spark, batch, index_path, text, dim, int(epoch_id), embed)
 
     q = (stream.writeStream.foreachBatch(each)
          .option("checkpointLocation", checkpoint)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scour.operators import index as idx
 from scour.operators.embed import hash_embed_text
+from scour.session import checkpoint_dir
 from scour.streaming.ingest_stream import ingest_stream
 
 
@@ -49,11 +50,64 @@ def test_append_is_idempotent(spark):
     assert idx.read_index(spark, path).count() == 2
 
 
-import pytest
+def test_batch_keeps_newest_run_of_an_id(spark):
+    path = os.path.join(tempfile.mkdtemp(), "index")
+    texts = [f"text {i}" for i in range(6)]
+    both = _rows(spark, texts, 1).unionByName(_rows(spark, texts, 2)).repartition(3)
+    report = idx.upsert(spark, path, both, 64)
+    assert report["written"] == 6
+    assert {r["run_id"] for r in idx.read_index(spark, path).collect()} == {2}
+
+
+def test_upsert_older_or_missing_run_never_replaces_newer(spark):
+    path = os.path.join(tempfile.mkdtemp(), "index")
+    idx.upsert(spark, path, _rows(spark, ["a b", "c d"], 5), 64)
+    idx.upsert(spark, path, _rows(spark, ["a b", "g h"], 3), 64)
+    idx.upsert(spark, path, _rows(spark, ["c d", "i j"], 5), 64)
+    idx.upsert(spark, path, _rows(spark, ["a b"], 9).withColumn("run_id", F.lit(None).cast("long")), 64)
+    want = [("a b", 5), ("c d", 5), ("g h", 3), ("i j", 5)]
+    assert sorted((r["text"], r["run_id"]) for r in idx.read_index(spark, path).collect()) == want
+    idx.compact(spark, path)
+    assert spark.read.parquet(path).count() == 4
+    assert sorted((r["text"], r["run_id"]) for r in idx.read_index(spark, path).collect()) == want
+
+
+def _files(path):
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f))
+            for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+
+def test_upsert_of_few_ids_rewrites_no_file(spark):
+    path = os.path.join(tempfile.mkdtemp(), "index")
+    stored = idx.upsert(spark, path, _rows(spark, [f"text {i}" for i in range(200)], 1), 64)
+    before = _files(path)
+    idx.upsert(spark, path, _rows(spark, ["text 3", "text 4"], 2), 64)
+    after = _files(path)
+    assert all(after.get(f) == t for f, t in before.items()) and len(after) > len(before)
+    runs = {r["text"]: r["run_id"] for r in idx.read_index(spark, path).collect()}
+    assert len(runs) == stored["written"] > 190 and runs["text 3"] == 2 and runs["text 5"] == 1
 
 
-@pytest.mark.parametrize("large", [1 << 30, 0])      # plain anti-join; counted batch
-def test_stream_replay_adds_nothing(spark, large):
+def test_files_are_sorted_and_scratch_is_deleted(spark):
+    path = os.path.join(tempfile.mkdtemp(), "index")
+    shared = checkpoint_dir(spark)
+    before = set(os.listdir(shared))
+    idx.append_rows(spark, path, _rows(spark, [f"text {i}" for i in range(300)], 1))
+    assert set(os.listdir(shared)) == before
+    for f in _files(path):
+        ids = [r["doc_id"] for r in spark.read.parquet(f).collect()]
+        assert ids == sorted(ids)
+
+
+def test_append_rejects_bad_vectors(spark):
+    path = os.path.join(tempfile.mkdtemp(), "index")
+    idx.create_if_missing(spark, path, 64)
+    report = idx.append_rows(spark, path, _rows(spark, ["a", "b"], 0).unionByName(
+        _rows(spark, ["short"], 0, width=3)))
+    assert report == {"written": 2, "rejected": 1}
+
+
+def test_stream_replay_adds_nothing(spark):
     base = tempfile.mkdtemp()
     src = os.path.join(base, "src")
     spark.createDataFrame([("one two",), ("three",), ("one two",)], "text string") \
@@ -61,20 +115,8 @@ def test_stream_replay_adds_nothing(spark, large):
     spark.createDataFrame([("four five",), ("three",)], "text string") \
         .coalesce(1).write.parquet(os.path.join(src, "p2"))
     path, ckpt = os.path.join(base, "index"), os.path.join(base, "ckpt")
-    ingest_stream(spark, src + "/*", path, ckpt, large_index_bytes=large)
+    ingest_stream(spark, src + "/*", path, ckpt)
     assert idx.read_index(spark, path).count() == 3
     # a new checkpoint replays everything: the content ids make it a no-op
-    ingest_stream(spark, src + "/*", path, os.path.join(base, "ckpt2"), large_index_bytes=large)
+    ingest_stream(spark, src + "/*", path, os.path.join(base, "ckpt2"))
     assert idx.read_index(spark, path).count() == 3
-
-
-def test_upsert_older_run_never_replaces_newer(spark):
-    # both merge forms: broadcast ids (bounded) and window per id
-    for bound in (4_000_000, 0):
-        opts = {"broadcast_rows": bound, "stream_stored_bytes": 0}
-        path = os.path.join(tempfile.mkdtemp(), "index")
-        idx.upsert(spark, path, _rows(spark, ["a b", "c d"], 5), 64, **opts)
-        idx.upsert(spark, path, _rows(spark, ["a b", "g h"], 3), 64, **opts)
-        idx.upsert(spark, path, _rows(spark, ["c d", "i j"], 5), 64, **opts)
-        got = sorted((r["text"], r["run_id"]) for r in idx.read_index(spark, path).collect())
-        assert got == [("a b", 5), ("c d", 5), ("g h", 3), ("i j", 5)]

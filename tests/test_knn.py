@@ -2,9 +2,8 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from scour.operators.knn import knn, knn_single
+from scour.operators.knn import build_ivf, knn, knn_single, split_valid
 
 
 def _data(spark, n=300, q=40, d=16, seed=3, dup=True):
@@ -29,31 +28,33 @@ def _brute(X, Q, k):
     return out
 
 
-@pytest.mark.parametrize("opts", [
-    dict(strategy="scan"),
-    dict(strategy="cells"),
-    dict(strategy="cells", cells=8, nprobe=1),
-    dict(strategy="cells", cells=8, nprobe=2, block_rows=16, query_block=5),
-])
-def test_exact_strategies(spark, opts):
+@pytest.mark.parametrize("block", [1 << 20, 2000])     # one block of queries; several
+def test_scan_equals_brute_force(spark, block):
     X, Q, corpus, queries = _data(spark)
-    got = knn(queries, corpus, 5, qid="query_id", qvec="qv", cid="doc_id", cvec="embedding", **opts)
-    res = {}
-    for r in got.orderBy("query_id", "rank").collect():
-        res.setdefault(r["query_id"], []).append(r["doc_id"])
-    assert res == _brute(X, Q, 5)
-
-
-def test_approximate_recall(spark):
-    X, Q, corpus, queries = _data(spark, n=600, q=50, d=8, seed=5, dup=False)
-    got = knn(queries, corpus, 5, qid="query_id", qvec="qv", cid="doc_id", cvec="embedding",
-              strategy="cells", cells=8, nprobe=3, exact=False)
-    res = {}
-    for r in got.collect():
-        res.setdefault(r["query_id"], set()).add(r["doc_id"])
+    assert _hits(knn(queries, corpus, 5, query_block_bytes=block)) == _brute(X, Q, 5)
+
+
+def test_cells_are_exact_and_probing_recalls(spark):
+    X, Q, corpus, queries = _data(spark, n=900, q=50, d=8, seed=5)
+    ivf = build_ivf(corpus, dim=8, cells=12)
     truth = _brute(X, Q, 5)
-    recall = np.mean([len(res.get(i, set()) & set(v)) / 5 for i, v in truth.items()])
-    assert recall >= 0.7
+    assert _hits(knn(queries, corpus, 5, index=ivf)) == truth
+    some = _hits(knn(queries, corpus, 5, index=ivf, nprobe=3, query_block_bytes=400))
+    assert np.mean([len(set(some.get(i, [])) & set(v)) / 5 for i, v in truth.items()]) >= 0.7
+
+
+def test_corpus_is_in_no_exchange(spark):
+    _, _, corpus, queries = _data(spark)
+    for index in (None, build_ivf(corpus, dim=16, cells=4)):
+        plan = knn(queries, corpus, 5, index=index)._jdf.queryExecution().executedPlan().toString()
+        assert "embedding" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def _hits(df):
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append(r["doc_id"])
+    return out
 
 
 def test_single_query(spark):
@@ -63,33 +64,37 @@ def test_single_query(spark):
     assert got[0]["rank"] == 1 and got[0]["score"] == pytest.approx(1 / (1 + got[0]["dist2"]))
 
 
-def test_wrong_width_rows_are_skipped(spark):
-    corpus = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0]), (3, [1.0, 0.0])],
-                                   "doc_id long, embedding array<float>")
-    queries = spark.createDataFrame([(9, [1.0, 0.1])], "query_id long, qv array<float>")
-    got = knn(queries, corpus, 5, qid="query_id", qvec="qv", cid="doc_id", cvec="embedding")
-    assert [r["doc_id"] for r in got.orderBy("rank").collect()] == [3, 1]
+BAD = [(91, None), (92, [1.0]), (93, [float("nan"), 0.0]), (94, [None, 1.0])]
+
 
+def test_bad_corpus_rows_are_left_out_and_named(spark):
+    good = [(i, [float(i), 0.0]) for i in range(40)]
+    corpus = spark.createDataFrame(good + BAD, "doc_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [0.0, 0.0])], "query_id long, qv array<float>")
+    for index in (None, build_ivf(corpus, dim=2, cells=3)):
+        assert _hits(knn(queries, corpus, 50, index=index))[1] == list(range(40))
+    top = knn_single(corpus, [0.0, 0.0], 3).orderBy("rank").collect()
+    assert [r["doc_id"] for r in top] == [0, 1, 2]
+    _, rejects = split_valid(corpus, "embedding", 2)
+    assert {r["doc_id"]: r["reason"] for r in rejects.collect()} == {
+        91: "missing vector", 92: "width 1 != 2", 93: "null or NaN cell", 94: "null or NaN cell"}
 
-def test_auto_switches_to_cells_on_many_pairs(spark):
-    # a pairs limit below queries x corpus sends auto to the cell strategy,
-    # which stays exact
-    import numpy as np
-    from scour.operators.knn import knn
 
-    rng = np.random.default_rng(3)
-    X = rng.normal(size=(300, 8))
-    X /= np.linalg.norm(X, axis=1, keepdims=True)
-    corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(X)],
+def test_width_is_never_guessed(spark):
+    corpus = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)],
                                    "doc_id long, embedding array<float>")
-    Xf = np.array([[float(np.float32(x)) for x in v] for v in X])
-    qs = corpus.filter("doc_id < 25").select(corpus.doc_id.alias("query_id"),
-                                             corpus.embedding.alias("qv"))
-    got = knn(qs, corpus, 4, scan_pairs_limit=100).collect()
-    res = {}
-    for r in got:
-        res.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"]))
-    for q in range(25):
-        d = ((Xf - Xf[q]) ** 2).sum(axis=1)
-        want = sorted(range(300), key=lambda j: (d[j], j))[:4]
-        assert [j for _, j in sorted(res[q])] == want
+    mixed = spark.createDataFrame([(0, [1.0, 1.0, 1.0])] + [(i, [0.0, float(i)]) for i in range(1, 5)],
+                                  "query_id long, qv array<float>")
+    with pytest.raises(ValueError):
+        knn(mixed, corpus, 3)
+    got = _hits(knn(mixed, corpus, 3, dim=2))
+    assert set(got) == {1, 2, 3, 4} and all(len(v) == 3 for v in got.values())
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_id_types(spark, kind):
+    rows = [(str(i) if kind == "string" else i, [float(i), 0.0]) for i in range(9)]
+    corpus = spark.createDataFrame(rows, f"doc_id {kind}, embedding array<float>")
+    queries = corpus.selectExpr("doc_id as query_id", "embedding as qv")
+    got = knn(queries, corpus, 1).collect()
+    assert len(got) == 9 and all(r["query_id"] == r["doc_id"] for r in got)

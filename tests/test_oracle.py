@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from scour.plans.oracle import ORACLE
+from scour.plans.registry import QUERIES
 from scour.sources.tables import TABLES
 from tests.conftest import SF_SMALL
 
@@ -35,13 +37,13 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    got = _rows(queries()[name](spark, SF_SMALL).toPandas())
-    want = _rows(duck.sql(oracle_sql()[name]).df())
+    got = _rows(QUERIES[name](spark, SF_SMALL).toPandas())
+    want = _rows(duck.sql(ORACLE[name]).df())
     assert got[0] == want[0]
     assert len(got[1]) == len(want[1])
     assert got[1] == want[1]

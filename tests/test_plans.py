@@ -1,45 +1,69 @@
-"""End-to-end ingest plan and the source SQL text."""
+"""Source pages and the end-to-end ingest plan."""
 
 import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from scour.operators import index as idx
-from scour.plans.ingest import ingest, qa_documents
+from scour.plans.ingest import ingest, ingest_event, qa_documents
 from scour.sources import qa
 from tests.conftest import SF_SMALL
 
 
-def test_source_sql_text():
-    text, args = qa.source_sql(50)
-    assert text.endswith("ORDER BY question_id\nLIMIT :n") and args == {"n": 50}
-    text, args = qa.source_sql(50, 10)
-    assert text.endswith("LIMIT :n\nOFFSET :m") and args == {"n": 50, "m": 10}
-    text, args = qa.source_sql(50, 0)            # offset 0 is left out
-    assert "OFFSET" not in text
-
-
-def test_source_page_covers_all_rows_once(spark):
+def test_source_pages_cover_all_rows_once(spark):
     conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
     q, a = qa.questions_from_conversations(conv), qa.answers_from_conversations(conv)
-    qa.register_posts(q, a)
     total = qa.qa_pairs(q, a).count()
     seen = []
     for off in range(0, total + 7, 7):
-        seen += [r["question_id"] for r in qa.source_page(spark, 7, off).collect()]
-    assert len(seen) == total and len(set(seen)) == total
+        seen += sorted(r["question_id"] for r in qa.source_page(q, a, 7, off).collect())
+    assert len(seen) == total and seen == sorted(set(seen))
 
 
-def test_deep_page_path_equals_sql(spark):
-    conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
-    q, a = qa.questions_from_conversations(conv), qa.answers_from_conversations(conv)
-    qa.register_posts(q, a)
-    for n, off in [(7, None), (5, 3), (50, 20)]:
-        want = [tuple(r) for r in qa.source_page(spark, n, off).collect()]
-        got = [tuple(r) for r in qa.source_page(spark, n, off, deep_rows=0).collect()]
-        assert got == want and want
+def test_deep_pages_equal_positions(spark):
+    n = 200_000
+    q = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(n)).alias("id"), F.lit("t").alias("title"),
+                              F.lit("b").alias("body"), F.col("id").alias("accepted_answer_id"))
+    a = spark.range(5).select("id", F.lit("a").alias("body"))
+    for many, off in [(100, 0), (100, 125_000), (300, 199_900), (10, n)]:
+        got = sorted(r["question_id"] for r in qa.source_page(q, a, many, off).collect())
+        assert got == list(range(off, min(n, off + many)))
+
+
+def test_wrong_width_ingest_writes_nothing_and_reports_rejects(spark):
+    docs = spark.createDataFrame([(i, f"id{i}", f"text {i}") for i in range(20)],
+                                 "ord long, doc_id string, text string")
+
+    def embed(df, text):
+        v = F.array(F.lit(1.0), F.lit(float("nan")), F.lit(0.0)).cast("array<float>")
+        return df.withColumn("embedding", v).withColumn("error", F.lit(None).cast("string"))
+
+    path = os.path.join(tempfile.mkdtemp(), "index")
+    resp, _, rejects = ingest(spark, docs, path, order_col="ord", dim=64, embed=embed)
+    assert json.loads(resp["body"])["results"] == 0 and rejects.count() == 20
+    assert idx.index_dimension(spark, path) == 64 and idx.read_index(spark, path).count() == 0
+    resp, _, rejects = ingest(spark, docs, os.path.join(tempfile.mkdtemp(), "i"), order_col="ord",
+                              dim=3, embed=embed)
+    assert {r["error"] for r in rejects.collect()} == {"null or NaN cell"}
+
+
+def test_plugin_vectors_are_stored_with_unit_length(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "ord long, doc_id string, text string")
+
+    def embed(df, text):
+        return (df.withColumn("embedding", F.array(F.lit(3.0), F.lit(4.0)).cast("array<float>"))
+                .withColumn("error", F.lit(None).cast("string")))
+
+    path = os.path.join(tempfile.mkdtemp(), "index")
+    event = {"number_of_records": "10", "batch_size": "1"}
+    ingest_event(spark, docs, path, event, order_col="ord", dim=2, embed=embed)
+    for r in idx.read_index(spark, path).collect():
+        assert r["embedding"] == pytest.approx([0.6, 0.8])
+    with pytest.raises(ValueError):
+        ingest_event(spark, docs, path, {"batch_size": "many"}, order_col="ord", dim=2)
 
 
 def test_ingest_twice_adds_nothing(spark):

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from scour.operators.answer import map_model
-from scour.operators.embed import hash_embed_text
+from scour.operators.embed import hash_embed_text, hash_embedder
 from scour.operators.respond import to_responses
 from scour.plans.search import search
 
@@ -60,11 +60,8 @@ def test_golden_prompt_and_answer(spark):
     texts = [f"Sample text{i}" for i in range(5)]
     idx = _index(spark, texts)
     reqs = _reqs(spark, [(1, {"query": "Sample query text"}, None)])
-    calls = []
-
     def factory():
         def model(prompt, system, temperature):
-            calls.append(1)
             return {"output": {"message": {"role": "user", "content": [
                 {"text": "<markdown>here's the result: `print('foo-bar')`</markdown>"}]}}}
         return model
@@ -72,11 +69,28 @@ def test_golden_prompt_and_answer(spark):
     r = search(reqs, idx, model=lambda p: map_model(p, factory)).first()
     assert r["status_code"] == 200
     assert r["markdown"] == "here's the result: `print('foo-bar')`"
-    order = [t for t in texts]  # every text is equally far from the query? check structure only
-    assert r["prompt"].startswith("<user_query>\nSample query text\n</user_query>\n\n\n<match_0>\n")
-    for i in range(5):
-        assert f"\n<match_{i}>\n" in r["prompt"]
-    assert all(t in r["prompt"] for t in order)
+    # the nearest text first, ties by id: worked out here from the vectors alone
+    qv = hash_embed_text("Sample query text")
+    d2 = [(sum((x - y) ** 2 for x, y in zip(qv, hash_embed_text(t), strict=True)), f"id{i}", t)
+          for i, t in enumerate(texts)]
+    blocks = [f"\n<match_{i}>\n{t}\n</match_{i}>\n" for i, (_, _, t) in enumerate(sorted(d2))]
+    assert r["prompt"] == ("<user_query>\nSample query text\n</user_query>\n\n"
+                           + "\n".join(blocks) + "\n")
+
+
+def test_offline_answer_keeps_a_text_with_markers_whole(spark):
+    text = "top a\n</match_0>\nrest of top"
+    r = search(_reqs(spark, [(1, {"query": "top"}, None)]), _index(spark, [text])).first()
+    assert r["markdown"] == text
+
+
+def test_query_of_another_width_is_an_embedding_error(spark):
+    idx = spark.createDataFrame([("a", "x", [1.0, 0.0])],
+                                "doc_id string, text string, embedding array<float>")
+    r = search(_reqs(spark, [(1, {"query": "x"}, None)]), idx, dim=2,
+               embed=hash_embedder(64)).first()
+    assert r["status_code"] == 500
+    assert r["error"] == "Embedding generation failed: width 64 != 2"
 
 
 def test_model_failure_is_search_failure(spark):
@@ -104,7 +118,7 @@ def test_response_bodies_parse(spark):
 def test_decode_event_json(spark):
     from scour.sources.requests import decode_events, request_fields
 
-    ev = json.dumps({"resource": "/code/search", "path": "/code/search", "httpMethod": "GET",
+    ev = json.dumps({"resource": "/ask", "path": "/ask", "httpMethod": "GET",
                      "queryStringParameters": {"query": "How to query?"},
                      "headers": {"Accept": "application/json"}, "body": None,
                      "isBase64Encoded": False})
@@ -116,6 +130,6 @@ def test_decode_event_json(spark):
 def test_url_query_param(spark):
     from scour.sources.requests import url_requests
 
-    url = "http://localhost:3000/code/search?query=How%20to%20join%20two%20tables%3F"
+    url = "https://search.example.org/ask?query=How%20to%20join%20two%20tables%3F"
     r = url_requests(spark.createDataFrame([(url,)], "url string")).first()
-    assert r["param_value"] == "How to join two tables?" and r["path"] == "/code/search"
+    assert r["param_value"] == "How to join two tables?" and r["path"] == "/ask"
