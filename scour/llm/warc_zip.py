@@ -41,6 +41,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
 #: An archive is closed when its records reach this many bytes.
 ARCHIVE_BYTES = 1 << 30
+#: Revisits up to this many are broadcast (under 100 bytes each).
+BROADCAST_ROWS = 500_000
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
@@ -244,6 +246,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                                        F.max("page_id").alias("last")).filter("last > refers_to")
     again = keys.join(first.select("digest", "refers_to"), "digest").filter(
         "page_id > refers_to").distinct()
+    again = stage(again, "warc-revisits")
+    if again.count() <= BROADCAST_ROWS:                   # else the pages are shuffled
+        again = F.broadcast(again)
     joined = rows.join(again, ["page_id", "digest"], "left").select(
         "page_id", "url", "html", "refers_to")
 
