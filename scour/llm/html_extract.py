@@ -50,11 +50,15 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"\b(class|id|role|aria-label|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-KINDS = sorted((BLOCKS | INLINE) - {"br", "wbr"}) + ["other"]
+KINDS = [*sorted(BLOCKS | INLINE), "other"]
 #: Smallest size of a weight, and the prior: counts added to either side.
 LEAST, PRIOR = 0.02, 5.0
-#: The prior weight counts as so many sightings of a token.
+#: The prior weight counts as so many sightings of a token: words count, prose
+#: tags hardly, lists and tables a little, links, containers and others more.
 SIGHTINGS = 100
+PRIOR_WEIGHTS = ({"text": 1.0, "link": 0.1, "a": -1.0}
+                 | dict.fromkeys("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split(), -0.05)
+                 | dict.fromkeys("ul ol li dl dt dd table tbody tr td th".split(), -0.25))
 #: Largest size of the weight of a word, a tag, and the start or end of content:
 #: one rare tag should not outweigh a sentence.
 MOST_WORD, MOST_TAG, MOST_CONTENT = 1.0, 3.0, 25.0
@@ -151,15 +155,14 @@ def count_tokens(page: str) -> Counter:
 
 def weights_from(counts: dict[tuple[str, bool], float]) -> dict[str, float]:
     """Log ratio of the rates inside and outside, words held to [LEAST, MOST_WORD],
-    start tags to [-MOST_TAG, -LEAST], drawn to the prior (words 1, in links
-    0.1, tags -1, inline ones -LEAST) while sightings are few. Tags of content
-    are MOST_CONTENT; other end tags are 0."""
+    tags to [-MOST_TAG, -LEAST], drawn to PRIOR_WEIGHTS while sightings are few.
+    Tags of content are MOST_CONTENT; an end tag weighs as its start tag."""
     inside = sum(c for (_, i), c in counts.items() if i)
     outside = sum(c for (_, i), c in counts.items() if not i)
     out = {}
     for kind in ["text", "link", *KINDS]:
         a, b = counts.get((kind, True), 0), counts.get((kind, False), 0)
-        prior = {"text": 1.0, "link": 0.1}.get(kind, -LEAST if kind in INLINE - {"a"} else -1.0)
+        prior = PRIOR_WEIGHTS.get(kind, -LEAST if kind in INLINE else -1.0)
         ratio = math.log((a + PRIOR) / (inside + PRIOR)) - math.log((b + PRIOR) / (outside + PRIOR))
         low, high = (LEAST, MOST_WORD) if kind in ("text", "link") else (-MOST_TAG, -LEAST)
         ratio = max(low, min(high, ratio))
@@ -170,14 +173,14 @@ def weights_from(counts: dict[tuple[str, bool], float]) -> dict[str, float]:
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
-    """[start, end) of the contiguous run of largest sum, the longest of equal
-    ones; (0, 0) if no run is positive."""
+    """[start, end) of the contiguous run of largest sum, the first and shortest
+    of equal ones; (0, 0) if no run is positive."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for i, s in enumerate(scores):
-        if total < 0:
+        if total <= 0:
             total, start = 0.0, i
         total += s
-        if total > best or (total == best > 0 and i + 1 - start > best_at[1] - best_at[0]):
+        if total > best:
             best, best_at = total, (start, i + 1)
     return best_at
 
@@ -187,13 +190,13 @@ def extract_text(page: str, weights: dict[str, float]) -> str:
     found = list(tokens(page))
     word, link = weights["text"], weights["link"]
     scores = [len(t.split()) * (word if k == "text" else link) if t else
-              0.0 if k in ("text", "link") or (k[0] == "/" and k[1:] not in CONTENT) else
-              weights.get(kind_of(k), weights["other"])
+              0.0 if k in ("text", "link") else weights[kind_of(k)]
               for k, t, _ in found]
     start, end = best_region(scores)
-    while start > 0 and found[start - 1][0].lstrip("/") not in BLOCKS:
+    edge = lambda i: found[i][0].lstrip("/") in BLOCKS
+    while 0 < start < end and not edge(start) and not edge(start - 1):
         start -= 1                                        # a block is taken whole
-    while end < len(found) and found[end][0].lstrip("/") not in BLOCKS:
+    while start < end < len(found) and not edge(end - 1) and not edge(end):
         end += 1
     blocks, parts = [], []
     for k, t, _ in [*found[start:end], ("/p", "", False)]:
