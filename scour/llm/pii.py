@@ -266,9 +266,12 @@ def redact(df: DataFrame, threshold: float = 0.9, text_col: str = "text") -> Dat
     """``df`` with every span in ``text_col`` replaced by its kind in brackets;
     overlapping spans become one, of the kind that starts first."""
     found = find(df, threshold, text_col)
-    spans = F.array_sort(F.concat(*[F.transform(f"_{k}", lambda s, kind=kind: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-        for k, kind in [*zip(KINDS, KINDS, strict=True), ("other", OTHER)]]))
+
+    def named(column: str, kind: str) -> Column:
+        return F.transform(column, lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    spans = F.array_sort(F.concat(*[named(f"_{k}", k) for k in KINDS], named("_other", OTHER)))
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 

@@ -92,6 +92,9 @@ def groups(k: list, h: list, doc: list, start: list, n: list) -> pa.RecordBatch:
     doc, start, n = np.concatenate(doc), np.concatenate(start), np.concatenate(n)
     order = np.lexsort((start, doc, h))
     k, h, doc, start, n = k[order], h[order], doc[order], start[order], n[order]
+    if len(h):                                            # a repeated row is no earlier start
+        new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])]
+        k, h, doc, start, n = k[new], h[new], doc[new], start[new], n[new]
     lead = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     rest = np.ones(len(h), bool)
     rest[lead] = False
@@ -247,7 +250,8 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id",
 
     Null and empty texts and texts under ``length`` bytes keep all they have.
     Rows that repeat a doc_id are one document: neither is earlier than the
-    other, and both come out. A null doc_id takes no part and keeps all.
+    other, and both come out (if their texts differ, what is found in either goes
+    from both). A null doc_id takes no part and keeps all.
     Columns besides the two named are not read; an empty table gives no rows."""
     docs = id_text(df, id_col, text_col)
     spans = stage(repeated_spans(df, length, id_col, text_col), "repeats-spans")
