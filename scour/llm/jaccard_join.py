@@ -14,7 +14,8 @@ into fragments, and a set into one segment per fragment:
   outweigh segments that are empty; sets with still more empty segments meet on
   those as well.
 * Verification. The order is cut into ``FRAGMENTS`` equal parts; the partial
-  overlaps of a pair are counted part by part and summed per pair.
+  overlaps of a pair are counted part by part and summed per pair. Parity
+  bitmaps drop most unlike pairs, and no linked one, before sets are moved.
 
 Equal sets are one class from the start. Within a bucket not all pairs are
 verified: only links that join different components can matter. First every
@@ -169,8 +170,29 @@ def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, cid long, n int")
 
 
+def parity(grams: np.ndarray) -> bytes:
+    """Parity bitmap of a set: a power of two of at least two bits per n-gram, each
+    flipped by the n-grams that fall on it. The bits in which two bitmaps differ
+    are at most the n-grams in which the sets differ. A larger bitmap folds to a
+    smaller one by XOR of its halves."""
+    bits = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    flips = np.bincount((mix(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two parity bitmaps differ, folded to one size."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def segments(docs: DataFrame, n: int) -> DataFrame:
-    """cid, n, fragment, grams: the sets of the given documents, cut into FRAGMENTS."""
+    """cid, n, fragment, grams: the sets of the given documents, cut into
+    FRAGMENTS; and for each a row of fragment -1 with its parity bitmap."""
     shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,15 +205,34 @@ def segments(docs: DataFrame, n: int) -> DataFrame:
                 s = ngram_set(t, n, hashes)
                 cuts = np.searchsorted((s >> shift).astype(np.int64), np.arange(FRAGMENTS + 1))
                 cid = class_id(s)
-                rows += [(cid, len(s), f, s[cuts[f]:cuts[f + 1]].view(np.int64))
+                rows.append((cid, len(s), -1, None, parity(s)))
+                rows += [(cid, len(s), f, s[cuts[f]:cuts[f + 1]].view(np.int64), None)
                          for f in range(FRAGMENTS) if cuts[f] < cuts[f + 1]]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-                 pa.array([r[2] for r in rows], pa.int32()),
-                 pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
-                ["cid", "n", "fragment", "grams"])
+                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
+                ["cid", "n", "fragment", "grams", "bits"])
+
+    return docs.mapInArrow(run, "cid long, n int, fragment int, grams array<long>, bits binary")
+
+
+def near_enough(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps differ in no more bits than linked sets can differ
+    in n-grams. It drops no linked pair and most others, so that few sets move."""
+    bits = cut.filter("fragment = -1")
+    both = (pairs.join(bits.select("cid", F.col("n").alias("na"), F.col("bits").alias("ba")), "cid")
+            .join(bits.select(F.col("cid").alias("other"), F.col("n").alias("nb"),
+                              F.col("bits").alias("bb")), "other")
+            .select("cid", "other", "na", "nb", "ba", "bb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, ba, bb = (c.to_pylist() for c in batch.columns[2:])
+            keep = [bits_apart(x, y) * (100 + percent) <= (i + j) * (100 - percent)
+                    for i, j, x, y in zip(na, nb, ba, bb, strict=True)]
+            yield batch.select(["cid", "other"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, "cid long, n int, fragment int, grams array<long>")
+    return both.mapInArrow(run, "cid long, other long")
 
 
 def bounded(rows: DataFrame) -> DataFrame:
@@ -203,9 +244,11 @@ def verify(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     """The pairs (cid, other) whose similarity reaches ``percent``: partial
     overlaps are counted in every fragment and summed per pair.
 
-    The pairs go to the segments of ``cid`` where these lie; only the segments
-    that are in a pair move, once, to those of ``other``."""
-    pairs = stage(pairs, "jaccard-pairs")
+    Bitmaps rule most unlike pairs out first. The pairs go to the segments of
+    ``cid`` where these lie; only the segments that are in a pair move, once, to
+    those of ``other``."""
+    pairs = stage(near_enough(stage(pairs, "jaccard-candidates"), cut, percent), "jaccard-pairs")
+    cut = cut.filter("fragment >= 0").drop("bits")
     others = stage(pairs.select(F.col("other").alias("cid")).distinct(), "jaccard-others")
     left = cut.join(bounded(pairs), "cid").select(
         "cid", "other", "fragment", F.col("n").alias("na"), F.col("grams").alias("ga"))
