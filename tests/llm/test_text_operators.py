@@ -420,3 +420,15 @@ def test_classifier_without_labels_or_documents(spark, corpus):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality_classifier.classify(frame(spark, corpus), none).collect()} == {0.5}
     assert quality_classifier.classify(empty(spark), none).count() == 0
+
+
+def test_parity_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2 ** 64, int(rng.integers(1, 300)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[:int(rng.integers(0, len(a) + 1))],
+                                      rng.integers(0, 2 ** 64, int(rng.integers(0, 400)), dtype=np.uint64)]))
+        if len(b):
+            apart = len(np.setxor1d(a, b))
+            got = jaccard_join.bits_apart(jaccard_join.parity(a), jaccard_join.parity(b))
+            assert got <= apart and (apart > 0 or got == 0) and got % 2 == apart % 2
