@@ -242,7 +242,7 @@ class Encoder:
     space, the text is one chunk. At most ``keep`` chunks are remembered: the
     memory is emptied when it is full, which changes no id."""
 
-    def __init__(self, v: Vocabulary, keep: int = 800_000):
+    def __init__(self, v: Vocabulary, keep: int = 400_000):
         import regex
 
         self.v, self.keep = v, keep
