@@ -45,6 +45,8 @@ FRAGMENTS = 8                   # of the verification; a power of two
 LEVEL_RATIO = 1.4
 #: Class ids up to this many are broadcast (8 bytes each); more are shuffled.
 BROADCAST_ROWS = 2_000_000
+#: 64-bit words of the parity bitmap that rules pairs out inside the join.
+WORDS = 16
 
 
 class _Hashes(dict):
@@ -170,12 +172,12 @@ def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, cid long, n int")
 
 
-def parity(grams: np.ndarray) -> bytes:
+def parity(grams: np.ndarray, bits: int = 0) -> bytes:
     """Parity bitmap of a set: a power of two of at least two bits per n-gram, each
     flipped by the n-grams that fall on it. The bits in which two bitmaps differ
     are at most the n-grams in which the sets differ. A larger bitmap folds to a
     smaller one by XOR of its halves."""
-    bits = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    bits = bits or max(64, 1 << (2 * len(grams) - 1).bit_length())
     flips = np.bincount((mix(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
@@ -192,11 +194,12 @@ def bits_apart(a: bytes, b: bytes) -> int:
 
 def segments(docs: DataFrame, n: int) -> DataFrame:
     """cid, n, fragment, grams: the sets of the given documents, cut into
-    FRAGMENTS; and for each a row of fragment -1 with its parity bitmap."""
+    FRAGMENTS; and for each a row of fragment -1 with its parity bitmap, and one of
+    fixed size in the columns w0, w1, ..."""
     shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, none = _Hashes(), [None] * (1 + WORDS)
         for _, texts in text_blocks(batches, 1_000_000):
             if len(hashes) > 500_000:
                 hashes.clear()
@@ -205,15 +208,18 @@ def segments(docs: DataFrame, n: int) -> DataFrame:
                 s = ngram_set(t, n, hashes)
                 cuts = np.searchsorted((s >> shift).astype(np.int64), np.arange(FRAGMENTS + 1))
                 cid = class_id(s)
-                rows.append((cid, len(s), -1, None, parity(s)))
-                rows += [(cid, len(s), f, s[cuts[f]:cuts[f + 1]].view(np.int64), None)
+                fixed = np.frombuffer(parity(s, 64 * WORDS), np.int64).tolist()
+                rows.append((cid, len(s), -1, None, parity(s), *fixed))
+                rows += [(cid, len(s), f, s[cuts[f]:cuts[f + 1]].view(np.int64), *none)
                          for f in range(FRAGMENTS) if cuts[f] < cuts[f + 1]]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(),
+                     *[pa.int64()] * WORDS]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
-                ["cid", "n", "fragment", "grams", "bits"])
+                ["cid", "n", "fragment", "grams", "bits", *(f"w{i}" for i in range(WORDS))])
 
-    return docs.mapInArrow(run, "cid long, n int, fragment int, grams array<long>, bits binary")
+    return docs.mapInArrow(run, "cid long, n int, fragment int, grams array<long>, bits binary, "
+                           + ", ".join(f"w{i} long" for i in range(WORDS)))
 
 
 def near_enough(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
@@ -248,7 +254,7 @@ def verify(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     ``cid`` where these lie; only the segments that are in a pair move, once, to
     those of ``other``."""
     pairs = stage(near_enough(stage(pairs, "jaccard-candidates"), cut, percent), "jaccard-pairs")
-    cut = cut.filter("fragment >= 0").drop("bits")
+    cut = cut.filter("fragment >= 0").select("cid", "n", "fragment", "grams")
     others = stage(pairs.select(F.col("other").alias("cid")).distinct(), "jaccard-others")
     left = cut.join(bounded(pairs), "cid").select(
         "cid", "other", "fragment", F.col("n").alias("na"), F.col("grams").alias("ga"))
@@ -296,7 +302,8 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, rounds: int =
         undecided = stage(
             placed.withColumns({"first": F.min("comp").over(bucket), "last": F.max("comp").over(bucket)})
             .filter("first < last").select("key", "cid", "n", "comp").distinct(), "jaccard-undecided")
-        pairs = drawn(undecided, percent) if turn < rounds - 1 else remaining(undecided, percent)
+        marks = bounded(cut.filter("fragment = -1").select("cid", *[f"w{i}" for i in range(WORDS)]))
+        pairs = (drawn if turn < rounds - 1 else remaining)(undecided, marks, percent)
         links = links.unionByName(stage(verify(pairs, cut, percent), "jaccard-links"))
     labelled = sized.select("cid", "doc_id").join(
         comps.withColumnRenamed("node", "cid"), "cid", "left").select(
@@ -312,8 +319,19 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, rounds: int =
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def alike_sizes(percent: int) -> Column:
-    return 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+def alike(percent: int) -> Column:
+    """Can two rows (n, w0, ... and n2, o0, ...) reach the similarity, by their sizes
+    and by the bits in which their bitmaps of fixed size differ? Inside a join it
+    keeps unlike pairs of a bucket from becoming rows."""
+    apart = F.lit(0)
+    for i in range(WORDS):
+        apart = apart + F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"o{i}")))
+    return ((100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+            & (apart * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)))
+
+
+def as_other(marks: DataFrame) -> DataFrame:
+    return marks.select(F.col("cid").alias("other"), *[F.col(f"w{i}").alias(f"o{i}") for i in range(WORDS)])
 
 
 def nearest(rows: DataFrame, other: str) -> DataFrame:
@@ -323,24 +341,26 @@ def nearest(rows: DataFrame, other: str) -> DataFrame:
             .agg(F.max_by("other", F.struct("shared", "other")).alias("other")))
 
 
-def drawn(undecided: DataFrame, percent: int) -> DataFrame:
+def drawn(undecided: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Each class with one of another component: the one it shares most buckets
     with among the members drawn by hash, one per bucket."""
     one = undecided.groupBy("key").agg(F.min_by(
         F.struct(F.col("cid").alias("other"), F.col("comp").alias("comp2"), F.col("n").alias("n2")),
         F.xxhash64("cid")).alias("one")).select("key", "one.*")
-    return nearest(undecided.join(one, "key").filter((F.col("comp") != F.col("comp2"))
-                                                     & alike_sizes(percent)), "other")
+    one = one.join(as_other(marks), "other")
+    return nearest(undecided.join(marks, "cid").join(one, "key").filter(
+        (F.col("comp") != F.col("comp2")) & alike(percent)), "other")
 
 
-def remaining(undecided: DataFrame, percent: int) -> DataFrame:
+def remaining(undecided: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes that share a bucket, are of different components and
-    of sizes that can reach the similarity: one of the two is always outside the
-    bucket's largest component."""
+    can reach the similarity: one of the two is always outside the bucket's
+    largest component."""
     big = undecided.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(
         F.max_by("comp", F.struct("many", "comp")).alias("big"))
     other = undecided.select("key", F.col("cid").alias("other"), F.col("n").alias("n2"),
-                             F.col("comp").alias("comp2"))
-    return undecided.join(big, "key").filter("comp != big").join(other, "key").filter(
-        (F.col("comp") != F.col("comp2")) & alike_sizes(percent)).select(
+                             F.col("comp").alias("comp2")).join(as_other(marks), "other")
+    small = undecided.join(big, "key").filter("comp != big").join(marks, "cid")
+    return small.join(other, (small["key"] == other["key"]) & (F.col("comp") != F.col("comp2"))
+                      & alike(percent)).select(
         F.least("cid", "other").alias("cid"), F.greatest("cid", "other").alias("other")).distinct()
