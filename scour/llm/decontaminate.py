@@ -1,10 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows.
 
 1. The word 5-grams of the benchmark items are sent to all tasks, in blocks of
-   bounded size. A window can only be similar to an item if it shares a 5-gram
-   with it, so each shared one places windows of exactly the item's length in
-   the document, at the place where the two would lie on each other. A window is
-   kept as a 64-bit SimHash and its weighted set of 5-grams.
+   bounded size. A window can only be similar to an item if it shares 5-grams
+   with it, in whatever order. A shared one counts in the windows of the item's
+   length that cover it, which is a range of starts; the sum of these ranges is
+   what every window of the document shares with the item, exactly. Of each
+   document and item the first window that shares most is kept, if that is
+   enough for the threshold, as a 64-bit SimHash and its weighted set of 5-grams.
 2. Fingerprints meet by a multi-index: eight blocks of eight bits. Two
    fingerprints at most RADIUS apart differ by at most RADIUS // 8 bits in one
    of the blocks, so every item is filed under all values of each block within
@@ -91,34 +93,68 @@ def items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
         run, "item_id long, n_words int, fingerprint long, members array<long>, grams array<long>")
 
 
-def windows(docs: DataFrame, grams: np.ndarray, places: np.ndarray) -> DataFrame:
-    """doc_id, start, n_words, fingerprint, members of the windows placed by shared
-    5-grams. ``grams``: sorted; ``places``: (offset in the item, words of the
-    item) of each."""
-    shared = docs.sparkSession.sparkContext.broadcast((grams, places))
-
-    def placed(w: np.ndarray, grams: np.ndarray, places: np.ndarray, sizes: list[int]) -> np.ndarray:
-        out = []
-        for size in sizes:
-            own = grams_of(w, size)
-            if not len(own):
-                continue
-            lo = np.searchsorted(grams, own)
-            at = np.flatnonzero(grams[np.minimum(lo, len(grams) - 1)] == own)
-            if not len(at):
-                continue
-            count = np.searchsorted(grams, own[at], side="right") - lo[at]
-            pick = np.repeat(lo[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            offset, length = places[pick, 0], places[pick, 1]
-            fits = np.minimum(length, N) == size
-            start = np.repeat(at, count) - offset
-            start = np.clip(start, 0, np.maximum(0, len(w) - length))
-            out.append(np.stack([start, length], 1)[fits])
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+def best_windows(w: np.ndarray, grams: np.ndarray, owners: np.ndarray, counts: np.ndarray,
+                 lengths: np.ndarray, threshold: float) -> np.ndarray:
+    """(start, words) of the first window with most shared 5-grams, for every item
+    of which some window of the document reaches the threshold.
+
+    ``grams`` (sorted), ``owners`` and ``counts``: the distinct grams of the items,
+    the item and how often it has the gram; ``lengths``: words of the items."""
+    out = [np.zeros((0, 2), np.int64)]
+    for size in np.unique(np.minimum(lengths, N)).tolist():
+        own = grams_of(w, size)
+        if not len(own):
+            continue
+        lo = np.searchsorted(grams, own)
+        at = np.flatnonzero(grams[np.minimum(lo, len(grams) - 1)] == own)
+        if not len(at):
+            continue
+        many = np.searchsorted(grams, own[at], side="right") - lo[at]
+        pick = np.repeat(lo[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        place = np.repeat(at, many)
+        # what an item needs, and the places that share a gram with it, at most
+        item = owners[pick]
+        length = lengths[item]
+        held = np.minimum(length, len(w)) - size + 1      # grams of a window
+        need = threshold * (length - size + 1 + held) / (1 + threshold) - 1e-6
+        _, back, hits = np.unique(item, return_inverse=True, return_counts=True)
+        keep = (np.minimum(length, N) == size) & (hits[back] >= need)
+        if not keep.any():
+            continue
+        pick, place, item, length, held = (x[keep] for x in (pick, place, item, length, held))
+        order = np.argsort(pick, kind="stable")           # by item's gram, then place
+        pick, place, item, length, held = (x[order] for x in (pick, place, item, length, held))
+        # an occurrence counts where fewer than the item's own lie before it in the window
+        before = np.arange(len(pick)) - counts[pick]
+        same = (before >= 0) & (pick[np.maximum(before, 0)] == pick)
+        first = np.maximum(0, place - held + 1)
+        first = np.where(same, np.maximum(first, place[np.maximum(before, 0)] + 1), first)
+        beyond = np.minimum(place, np.maximum(0, len(w) - length)) + 1
+        some = first < beyond
+        who = np.concatenate([item[some], item[some]])
+        start = np.concatenate([first[some], beyond[some]])
+        step = np.repeat([1, -1], some.sum())
+        order = np.lexsort((start, who))
+        who, start, shared = who[order], start[order], np.cumsum(step[order])
+        last = np.flatnonzero(np.r_[(who[1:] != who[:-1]) | (start[1:] != start[:-1]), True])
+        who, start, shared = who[last], start[last], shared[last]
+        order = np.lexsort((start, -shared, who))
+        order = order[np.flatnonzero(np.r_[True, who[order][1:] != who[order][:-1]])]
+        who, start, shared = who[order], start[order], shared[order]
+        length = lengths[who]
+        held = np.minimum(length, len(w)) - size + 1
+        enough = shared >= threshold * (length - size + 1 + held) / (1 + threshold) - 1e-6
+        out.append(np.stack([start, length], 1)[enough])
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def windows(docs: DataFrame, grams: np.ndarray, owners: np.ndarray, counts: np.ndarray,
+            lengths: np.ndarray, threshold: float) -> DataFrame:
+    """doc_id, start, n_words, fingerprint, members of the ``best_windows``."""
+    shared = docs.sparkSession.sparkContext.broadcast((grams, owners, counts, lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, places = shared.value
-        sizes = sorted({int(min(N, x)) for x in np.unique(places[:, 1])})
+        known = shared.value
         hashes = _Hashes()
         for ids, texts in text_blocks(batches):
             if len(hashes) > 500_000:
@@ -126,7 +162,7 @@ def windows(docs: DataFrame, grams: np.ndarray, places: np.ndarray) -> DataFrame
             rows = []
             for d, t in zip(ids, texts, strict=True):
                 w = words_of(t, hashes)
-                for start, length in placed(w, grams, places, sizes).tolist():
+                for start, length in best_windows(w, *known, threshold).tolist():
                     g = grams_of(w[start:start + length], min(N, length))
                     if len(g):
                         rows.append((d, start, length, simhash(g), weighted(g).view(np.int64)))
@@ -180,11 +216,17 @@ def contaminated(df: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     parts = []
     for i in range(blocks):                               # a block of items at a time
         mine = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        rows = mine.select("n_words", F.posexplode("grams").alias("offset", "gram")).collect()
-        gram = np.array([r.gram for r in rows], np.int64).view(np.uint64)
-        place = np.array([(r.offset, r.n_words) for r in rows], np.int64).reshape(-1, 2)
+        rows = mine.select("n_words", "grams").distinct().collect()
+        if not rows:
+            continue
+        each = [np.unique(np.array(r.grams, np.int64).view(np.uint64), return_counts=True) for r in rows]
+        gram = np.concatenate([g for g, _ in each])
         order = np.argsort(gram, kind="stable")
-        found = stage(windows(docs, gram[order], place[order]), "decontaminate-windows")
+        owner = np.repeat(np.arange(len(rows)), [len(g) for g, _ in each])[order]
+        count = np.concatenate([c for _, c in each])[order]
+        length = np.array([r.n_words for r in rows], np.int64)
+        found = stage(windows(docs, gram[order], owner, count, length, threshold),
+                      "decontaminate-windows")
         looked = found.select("*", F.explode(F.array(*[
             F.struct(F.lit(b).alias("block"), block_value(b).alias("value"))
             for b in range(BLOCKS)])).alias("at")).select("*", "at.*").drop("at", "members")

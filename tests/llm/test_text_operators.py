@@ -209,6 +209,38 @@ def test_windows_equal_brute_force(spark, corpus):
     assert len(got) == len(want) >= 15
 
 
+def test_windows_of_moved_parts_equal_brute_force(spark):
+    rnd = random.Random(31)
+    own = lambda tag, n: [f"{tag}{k}" for k in range(n)]
+    q, a, h = own("q", 50), own("a", 10), own("h", 60)
+    items = [(1, " ".join(q + a)), (2, " ".join(h)), (3, "la la la li lo " * 8), (4, "one two three")]
+    rows = [(1, " ".join(words(rnd, 100) + a + q + words(rnd, 100))),      # answer before question
+            (2, " ".join(words(rnd, 70) + h[30:] + h[:30] + words(rnd, 40))),        # swapped halves
+            (3, " ".join(a + q)), (4, " ".join(h[48:] + words(rnd, 2) + h[:48])),
+            (5, " ".join(words(rnd, 9) + h[25:] + words(rnd, 30) + h[:25])),         # too far apart
+            (6, "li lo la la la " * 30), (7, "so two three one two three"),
+            (8, " ".join(words(rnd, 5) + q[40:] + a + q[:40] + words(rnd, 5) + a + q))]
+
+    def grams(w, n):
+        return Counter(tuple(w[k:k + n]) for k in range(len(w) - n + 1))
+
+    want = {}
+    for d, t in rows:
+        for i, x in items:
+            doc, item = t.lower().split(), x.split()
+            n = min(5, len(item))
+            g = grams(item, n)
+            for s in range(max(1, len(doc) - len(item) + 1)):
+                v = grams(doc[s:s + len(item)], n)
+                like = sum((v & g).values()) / sum((v | g).values())
+                if like >= 0.8 and like > want.get((d, i), (0, 0))[0]:
+                    want[d, i] = like, s
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(frame(spark, rows), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): (pytest.approx(r["similarity"]), r["start"]) for r in got} == want
+    assert {(1, 1), (2, 2), (3, 1), (6, 3), (7, 4), (8, 1)} <= set(want) and (5, 2) not in want
+
+
 def test_decontaminate_nothing(spark, corpus):
     bench = spark.createDataFrame([(1, "some item text of six words")], "item_id long, text string")
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
