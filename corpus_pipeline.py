@@ -34,10 +34,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: that of the smallest
-    doc_id, a repeated row of it once. Wordless documents are linked with
+    """One document of each group of documents linked by 80 % of their 5-grams:
+    that of the smallest doc_id, a repeated row of it once. Wordless documents are linked with
     nothing and stay."""
-    grouped = stage(jaccard_join.join_components(docs), "pipeline-groups")
+    grouped = stage(jaccard_join.join_components(docs, n=5, percent=80), "pipeline-groups")
     left = without(docs, grouped.filter("component_id != doc_id"))
     again = stage(grouped.filter("n_shingles > 0").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "pipeline-repeated")

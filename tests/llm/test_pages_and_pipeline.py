@@ -197,6 +197,37 @@ def test_pipeline_stages(spark):
         assert len(r["ids"]) == 4 * r["n_tokens"]
 
 
+def test_near_duplicates_equal_brute_force_of_five_words(spark):
+    rnd = random.Random(21)
+    own = lambda d, n: [f"w{d}x{k}" for k in range(n)]
+    rows = []
+    for d in range(0, 60, 2):                             # a document and a copy with one block more
+        w = own(d, 100)
+        at = rnd.choice([0, 50, 100])
+        rows += [(d, " ".join(w)), (d + 1, " ".join(w[:at] + own(d + 1, rnd.randint(8, 30)) + w[at:]))]
+    for d in range(100, 140, 2):                          # scattered edits
+        w = own(d, 200)
+        v = [x + "e" if k in {20, 60, 100, 140}.union({170} if d % 4 else set()) else x
+             for k, x in enumerate(w)]
+        rows += [(d, " ".join(w)), (d + 1, " ".join(v))]
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+
+    gone, between = set(), 0
+    for (_, s), (d, t) in zip(rows[::2], rows[1::2], strict=True):
+        a, b = grams(s), grams(t)
+        like = len(a & b) / len(a | b)
+        between += 0.8 <= like < 0.85
+        if like >= 0.8:
+            gone.add(d)
+    assert between >= 10 and len(gone) < len(rows) / 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF_SMALL).collect()}
+    assert left == {d for d, _ in rows} - gone
+
+
 def test_stages_take_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "same words here"), (3, "same words here"), (None, "no id text"),
             (4, "other words there"), (5, "x " * 30_000)]
