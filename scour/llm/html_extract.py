@@ -11,8 +11,10 @@ table of fixed size (the known tags).
 
 Before the scan, elements that are never content are taken out with all they
 hold: scripts, styles, forms, navigation, asides, page headers and footers, and
-elements whose class, id or role names one of these, an advert, a notice or
-reader comments.
+elements that are hidden or whose class, id or role names one of these, an
+advert, a notice or reader comments. A word in the class, id or label of an
+``article`` or ``main``, or of what holds one, says something of its looks: only
+the name of reader comments takes these out.
 """
 
 from __future__ import annotations
@@ -48,7 +50,11 @@ NAMED = set("nav navbar navigation menu sidebar aside footer masthead banner ad
             "dialog".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"\b(class|id|role|aria-label|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: A class or id that is wholly the name of reader comments.
+COMMENTS = re.compile(r"(?:div-)?(?:comments?|commentlist|disqus|repl(?:y|ies)|respond)"
+                      r"(?:[-_](?:\d+|list|body|area|section|content|item|thread|wrapper|container|form|respond))*", re.I)
+ENDED_BY_NEXT = ("li", "td", "th", "tr", "dd", "dt", "option")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 KINDS = [*sorted(BLOCKS | INLINE), "other"]
 #: Smallest size of a weight, and the prior: counts added to either side.
@@ -64,14 +70,74 @@ PRIOR_WEIGHTS = ({"text": 1.0, "link": 0.1, "a": -1.0}
 MOST_WORD, MOST_TAG, MOST_CONTENT = 1.0, 3.0, 25.0
 
 
-def named_boilerplate(attributes: str, in_article: bool) -> bool:
-    """Does class, id or role name something that is no content?"""
-    for key, value in NAMES.findall(attributes):
-        if key.lower() == "hidden":
-            return True
-        words = {w.lower() for w in PARTS.findall(value)}
+def attributes_of(tag: str) -> dict[str, str]:
+    """The attributes of a start tag by name; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for key, value in ATTRIBUTE.findall(tag):
+        found.setdefault(key.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return found
+
+
+def named_boilerplate(attributes: str, in_article: bool) -> str:
+    """"all" if the element is hidden or its role or reader comments say that it is
+    no content, "name" if only a word in its class, id or label does, or ""."""
+    found = attributes_of(attributes)
+    if found.get("hidden", "until-found").lower() != "until-found" or (
+            found.get("aria-hidden", "").strip().lower() == "true"):
+        return "all"
+    said = ""
+    for key in ("role", "class", "id", "aria-label"):
+        words = {w.lower() for w in PARTS.findall(found.get(key, ""))}
         if words & NAMED or ("header" in words and not in_article):
+            if key == "role" or (key in ("class", "id") and any(
+                    COMMENTS.fullmatch(w) for w in found[key].split())):
+                return "all"
+            said = "name"
+    return said
+
+
+def holds_content(page: str, at: int, name: str, outer: set[str], known: dict[int, bool]) -> bool:
+    """Is there an article or main in the element whose start tag ends at ``at``?
+    ``known`` keeps the answers for all elements passed on the way."""
+    if at in known or name == "p":
+        return known.get(at, False)
+    open_now = [(name, at)]
+
+    def close(n: str) -> None:
+        while open_now:
+            m, place = open_now.pop()
+            known[place] = False
+            if m == n:
+                return
+
+    while open_now:
+        m = TOKEN.search(page, at)
+        if not m:
+            break
+        at = m.end()
+        if not m[2]:
+            continue
+        n = m[2].lower()
+        if m[1]:
+            if any(k == n for k, _ in open_now):
+                close(n)
+            elif n in outer:
+                break
+            continue
+        if n in RAW and not m[3].endswith("/"):
+            end = re.compile(rf"</{re.escape(n)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if n in BLOCKS and any(k == "p" for k, _ in open_now[-6:]):
+            close("p")
+        if n in ENDED_BY_NEXT and open_now and open_now[-1][0] == n:
+            close(n)
+        if n in CONTENT and open_now:
+            known.update((place, True) for _, place in open_now)
             return True
+        if n not in VOID and not m[3].endswith("/") and open_now:
+            open_now.append((n, at))
+    known.update((place, False) for _, place in open_now)
     return False
 
 
@@ -81,6 +147,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     stack: list[tuple[str, bool]] = []                    # name, taken out
     out = links = inside = articles = at = 0
     end = len(page)
+    known: dict[int, bool] = {}
 
     def close(name: str) -> Iterator[tuple[str, str, bool]]:
         nonlocal out, links, inside, articles
@@ -117,14 +184,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             continue
         if name in BLOCKS and any(n == "p" for n, _ in stack[-6:]):
             yield from close("p")
-        if name in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == name:
+        if name in ENDED_BY_NEXT and stack and stack[-1][0] == name:
             yield from close(name)
         if name in VOID:
             if not out:
                 yield name, "", inside > 0
             continue
-        gone = name in DROPPED or (name == "header" and not articles) or (
-            name not in ("html", "body", "main") and named_boilerplate(m[3], articles > 0))
+        gone = name in DROPPED or (name == "header" and not articles)
+        if not gone and not out and name not in ("html", "body", "main"):
+            said = named_boilerplate(m[3], articles > 0)
+            gone = said == "all" or (said == "name" and name not in CONTENT and (
+                m[3].endswith("/") or not holds_content(page, at, name, {n for n, _ in stack}, known)))
         inside += name in CONTENT
         articles += name == "article"
         if not gone and not out:

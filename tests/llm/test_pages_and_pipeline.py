@@ -132,6 +132,33 @@ def test_extract_cases(page, want):
     assert html_extract.extract_text(page, PRIOR) == want
 
 
+BODY = "<p>The text of the article is here.</p>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article style='overflow:hidden'>{BODY}</article>", True),
+    (f"<article aria-hidden=false>{BODY}</article>", True),
+    (f"<article aria-hidden='true'>{BODY}</article>", False),
+    (f"<article hidden>{BODY}</article>", False), (f"<article hidden=''>{BODY}</article>", False),
+    (f"<article data-id='widget-7' data-class=ad title='id=menu hidden'>{BODY}</article>", True),
+    (f"<div class='content has-sidebar'><ul><li class=widget>one<li>two</ul><article>{BODY}</article></div>", True),
+    (f"<div class='content has-sidebar'><div id=page-header><main>{BODY}</main></div></div>", True),
+    (f"<article class='post widget'>{BODY}</article>", True),
+    (f"<div class=sidebar><p>Aside</div><article>{BODY}</article>", True),
+    (f"<article>{BODY}</article><div id=comments><article class=comment-body><p>Nice one</article></div>", True),
+    (f"<div class='share' role='navigation'><article>{BODY}</article></div>", False),
+])
+def test_articles_are_not_dropped_by_words_in_attributes(page, want):
+    assert html_extract.extract_text(page, PRIOR).endswith("The text of the article is here.") == want
+    if want and "class='content" not in page:
+        assert html_extract.extract_text(page, PRIOR) == "The text of the article is here."
+
+
+def test_nested_named_elements_are_read_once():
+    page = "<div class=ad>" * 5000 + f"<article>{BODY}</article>"
+    assert html_extract.extract_text(page, PRIOR) == "The text of the article is here."
+
+
 def test_extract_query(spark):
     rows = [(1, "u", "<html><body><div><a>x</a></div><article><p>Long text of the page.</p></article>"),
             (2, None, None), (3, "v", ""), (3, "v", ""), (4, "w", "<p>" + "word " * 50_000)]
