@@ -1,7 +1,8 @@
 """Secret scan with a random forest, in DataFrame functions and Spark ML only.
 
-Candidates are long runs of key characters, long words among them. The forest
-removes false positives. It sees the length, how often the kind of character
+Candidates are long runs of key characters, long words among them, and by their
+place, of any length and with any marks, the whole value assigned to a secret's
+name and the password in an address. The forest removes false positives. It sees the length, how often the kind of character
 changes, how much of the run the dictionary covers (the letter triples of the
 corpus' own words, counted over all documents), whether the run is part of a
 path, address or mail, and what the words next to it announce.
@@ -29,6 +30,21 @@ PROVIDERS = (r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abp
              r"|^sk_(?:live|test)_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{35}$|^glpat-[A-Za-z0-9_-]{20}$")
 SECRET_NAMES = r"(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
 OTHER_NAMES = r"(?:commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|revision|version|build|isbn|etag|id)"
+#: A secret's name and the sign of assignment.
+ASSIGN = r"(?i)" + SECRET_NAMES + r"(?:\\?[\"'`\])]){0,3}[ \t]*+(?::=|=>|={1,3}|:)[ \t]*+"
+QUOTED = r"(?:\"(?:[^\"\\\r\n]|\\.)++\"|'(?:[^'\\\r\n]|\\.)++'|`(?:[^`\\\r\n]|\\.)++`)"
+#: The whole value: quoted, or up to white space; not a further name and sign.
+ASSIGNED = (ASSIGN + r"(?!(?:[A-Za-z]{1,20}[_.-])?" + ASSIGN + ")(?:" + QUOTED
+            + r"|[^\s\"'`<=]\S*+|[\"'`]\S++)")
+#: Marks around an unquoted value that belong to the text.
+LEAD, TAIL = r"^\\?[\"'`]?", r"[,;:.)}\]>\"'`\\]+$"
+#: scheme://user:password@host, from the first colon; a port is no password.
+USER = r"://[^\s/?#@:\"<>]*+:"
+LOGIN = (r"(?<=[A-Za-z0-9+.-])" + USER + r"(?:[^\s/?#\"<>]+(?=@[\w\[])"
+         r"|(?!\d{1,5}[/?#])[^\s\"<>]+?(?=@[\w\[]))")
+#: What a candidate was found by, and the factor by which its start is put before its end.
+RUN_KIND, ASSIGNED_KIND, LOGIN_KIND = 0, 1, 2
+SPAN = 1 << 31
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|change-?me|your[_-]|x{6,}|(.)\1{5,}|0123456|abcdef0"
 #: A letter triple is in the dictionary if so many words in a million hold it.
 TRIPLE_SHARE = 5
@@ -37,20 +53,51 @@ FEATURES = ["length", "changes", "change_rate", "digit_share", "upper_share", "d
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, end, value, before, after of every candidate."""
+    """doc_id, start, end, value, before, after, kind of every candidate; a span
+    found by its place and as a run is one."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     spans = F.filter(matches(F.col("text"), RUN, F.col("text").rlike("[A-Za-z0-9+/_-]{12}")),
                      lambda s: s["value"].rlike("[A-Za-z]") & (
                          s["value"].rlike("[0-9]") | (F.length(s["value"]) >= WORD_LENGTH)))
-    around = F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
+    runs = F.transform(spans, lambda s: packed(s["start"], s["end"]))
+    logins = F.transform(matches(F.col("text"), LOGIN, F.col("text").rlike(USER)), lambda s: packed(
+        s["start"] + F.length(F.regexp_extract(s["value"], "^" + USER, 0)), s["end"]))
+    values = F.filter(F.transform(matches(F.col("text"), ASSIGNED, F.col("text").rlike(ASSIGN)),
+                                  assigned_value), lambda s: s % SPAN > F.floor(s / SPAN))
+    rows = rows.select("*", runs.alias("runs"), logins.alias("logins"), values.alias("values"))
+    each = lambda spans, kind: F.transform(spans, lambda s: F.struct(
+        F.shiftright(s, 31).cast("int").alias("start"), (s % SPAN).cast("int").alias("end"),
+        F.lit(kind).alias("kind")))
+    kinds = F.concat(each(F.array_distinct("logins"), LOGIN_KIND),
+                     each(F.array_except("values", "logins"), ASSIGNED_KIND),
+                     each(F.array_except("runs", F.concat("values", "logins")), RUN_KIND))
+    around = F.transform(kinds, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"),
+        F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("value"),
         F.substring(F.col("text"), F.greatest(s["start"] - NEAR + 1, F.lit(1)),
                     F.least(s["start"], F.lit(NEAR))).alias("before"),
-        F.substring(F.col("text"), s["end"] + 1, F.lit(NEAR)).alias("after")))
+        F.substring(F.col("text"), s["end"] + 1, F.lit(NEAR)).alias("after"),
+        s["kind"].alias("kind")))
     return rows.select("doc_id", F.explode(around).alias("s")).select("doc_id", "s.*")
 
 
+def packed(start: Column, end: Column) -> Column:
+    """A span as one number, by which spans are compared."""
+    return start.cast("long") * SPAN + end
+
+
+def assigned_value(found: Column) -> Column:
+    """The span of the value in a match of ASSIGNED; empty if only marks are left."""
+    sign = F.length(F.regexp_extract(found["value"], "^" + ASSIGN, 0))
+    raw = F.substring(found["value"], sign + 1, F.length(found["value"]))
+    lead = F.length(F.regexp_extract(raw, LEAD, 0))
+    bare = F.length(F.regexp_replace(raw, TAIL, ""))
+    start = found["start"] + sign
+    return F.when(raw.rlike("^" + QUOTED + "$"), packed(start + 1, found["end"] - 1)).otherwise(
+        packed(start + lead, start + F.greatest(lead, bare)))
+
+
 def triples(word: Column) -> Column:
     """Letter triples of a string, lower-cased, with repetitions."""
     runs = F.regexp_extract_all(F.lower(word), F.lit("[a-z]{3,}+"), F.lit(0))
@@ -92,17 +139,19 @@ def with_features(found: DataFrame) -> DataFrame:
         v, "[a-z]+", "\u0001"), "[A-Z]+", "\u0002"), "[0-9]+", "\u0003"), "[+/_-]+", "\u0004")
     left = lambda pattern: n - F.length(F.regexp_replace(v, pattern, ""))
     flag = lambda c: c.cast("double")
+    placed, login = F.col("kind") != RUN_KIND, F.col("kind") == LOGIN_KIND
     changes = F.length(kinds) - 1
     return found.withColumns({
         "length": n.cast("double"), "changes": changes.cast("double"), "change_rate": changes / n,
         "digit_share": left("[0-9]") / n, "upper_share": left("[A-Z]") / n,
         "distinct_share": F.size(F.array_distinct(F.split(v, ""))) / n,
         "hex": flag(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
-        "path": flag(before.rlike(r"[/.\\]$|://\S*$") | after.rlike(r"^[.][a-z]") | v.rlike("/.*/")),
-        "mail": flag(before.rlike(r"@\S*$") | after.rlike(r"^\S*@")),
-        "assigned": flag(before.rlike(r"[=:]\s*[\"']?$")),
+        "path": flag(~login & (before.rlike(r"[/.\\]$|://\S*$") | after.rlike(r"^[.][a-z]")
+                                | v.rlike("/.*/"))),
+        "mail": flag(~login & (before.rlike(r"@\S*$") | after.rlike(r"^\S*@"))),
+        "assigned": flag(placed | before.rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^=*[\"'`]")),
-        "secret_name": flag(before.rlike(SECRET_NAMES + r"\W{0,8}$")),
+        "secret_name": flag(placed | before.rlike(SECRET_NAMES + r"\W{0,8}$")),
         "other_name": flag(before.rlike(r"\b" + OTHER_NAMES + r"\W{0,8}$"))})
 
 

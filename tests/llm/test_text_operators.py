@@ -423,6 +423,30 @@ def test_secret_scan_removes_false_positives(spark):
     assert not (turned & planted - {r["doc_id"] for r in out if not r["is_secret"]})
 
 
+@pytest.mark.parametrize("text, want", [
+    ('password = "hunter2"', ["hunter2"]), ('{"password": "p@ss!w0rd#99", "user": "x"}', ["p@ss!w0rd#99"]),
+    ("é DB_PASSWORD=a$b%c^d end", ["a$b%c^d"]), ("passwd:   'two words, one \\' mark'", ["two words, one \\' mark"]),
+    ("The password: hunter2.", ["hunter2"]), ("secret: password: x!1", ["x!1"]), ("token => `q1`;", ["q1"]),
+    ("see postgres://me:pw!1@db.host:5432/x", ["pw!1"]), ("redis://:p@ss@h/0 http://h:80/a?m=me@x.org", ["p@ss"]),
+    ("amqp://u:a/b?c#d@[::1]/", ["a/b?c#d"]), ('password = ""; auth: , the author: me', []),
+    ('api_key = "AbcDef123456789"', ["AbcDef123456789"]), ('token="unclosed-1', ["unclosed-1"]),
+    ('\\"secret\\": \\"s3\\"}', ["s3"]),
+])
+def test_secret_candidates_by_place(spark, text, want):
+    got = secret_scan.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sorted(r["value"] for r in got) == sorted(want)
+    assert all(text[r["start"]:r["end"]] == r["value"] for r in got)
+
+
+def test_short_and_broken_secrets_reach_the_forest(spark):
+    rows = [(i, f'the path /usr/share/internationalization{i} has password = "p@ss!{i}" end') for i in range(40)]
+    rows += [(100 + i, f"of scheme://user:pw!{i}@host.org and commit 0123abcdef{i:030d} end") for i in range(40)]
+    out = secret_scan.scan(frame(spark, rows)).filter("is_secret").collect()
+    sha = lambda v: hashlib.sha256(v.encode()).hexdigest()
+    assert {(r["doc_id"], r["value_sha256"]) for r in out} >= {
+        (i, sha(f"p@ss!{i}")) for i in range(40)} | {(100 + i, sha(f"pw!{i}")) for i in range(40)}
+
+
 # -------------------------------------------------------------- quality classifier
 
 def test_classifier_learns_from_labels_alone(spark):
