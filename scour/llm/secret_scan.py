@@ -165,14 +165,35 @@ def rule_labels() -> Column:
             .when((f("secret_name") == 1) & (f("assigned") == 1), 1))
 
 
+def draw(rows: DataFrame, by_label: dict[int, int], max_rows: int) -> DataFrame:
+    """Labelled ``rows`` to learn from, drawn by hash, and their weight: all of the
+    rarer label up to half of about ``max_rows``, the rest of the other. Either
+    label has a row at least, and both the same weight in sum."""
+    rare, other = sorted(by_label, key=by_label.get)
+    few = min(by_label[rare], max(1, max_rows // 2))
+    share = {rare: few / by_label[rare], other: min(1.0, max(1, max_rows - few) / by_label[other])}
+    place = F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 30))
+    while True:
+        sample = rows.filter(F.when(F.col("label") == rare, place < int(share[rare] * (1 << 30)))
+                             .when(F.col("label") == other, place < int(share[other] * (1 << 30))))
+        drawn = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        missing = [x for x in share if not drawn.get(x)]
+        if not missing:
+            break
+        for x in missing:                                 # at a share of 1 all rows are drawn
+            share[x] = min(1.0, share[x] * 2)
+    return sample.withColumn("weight", F.when(F.col("label") == 1, 1 / drawn[1]).otherwise(
+        1 / drawn[0]) * sum(drawn.values()))
+
+
 def scan(df: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id",
          text_col: str = "text", threshold: float = 0.5,
          max_rows: int = 50_000, trees: int = 40) -> DataFrame:
     """doc_id, start, end, value_sha256, label, score, is_secret of every candidate.
 
     ``findings`` (doc_id, start, label 0 or 1): labels that replace the rules'.
-    The forest learns from a share of about ``max_rows`` labelled candidates
-    drawn by hash. With one label or none, the score is that label, or 0.5.
+    The forest learns from about ``max_rows`` labelled candidates drawn by hash,
+    the rarer label first. With one label or none, the score is that label, or 0.5.
     Null and empty texts have no candidates; repeated rows repeat theirs;
     columns besides the two named are not read."""
     from pyspark.ml.classification import RandomForestClassifier
@@ -193,12 +214,8 @@ def scan(df: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id
         only = float(next(iter(by_label), 0.5))
         scored = rows.withColumn("score", F.lit(only))
     else:
-        share = min(1.0, max_rows / sum(by_label.values()))
-        sample = rows.filter(F.col("label").isNotNull() & (F.pmod(
-            F.xxhash64("doc_id", "start"), F.lit(1 << 30)) < int(share * (1 << 30))))
         # about max_rows rows in one order, so that the forest is the same every time
-        sample = sample.withColumn("weight", F.when(F.col("label") == 1, 1 / by_label[1]).otherwise(
-            1 / by_label[0]) * sum(by_label.values())).coalesce(1).sortWithinPartitions(
+        sample = draw(rows, by_label, max_rows).coalesce(1).sortWithinPartitions(
             "doc_id", "start", "value")
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="x")
         model = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight",

@@ -447,6 +447,22 @@ def test_short_and_broken_secrets_reach_the_forest(spark):
         (i, sha(f"p@ss!{i}")) for i in range(40)} | {(100 + i, sha(f"pw!{i}")) for i in range(40)}
 
 
+def test_rare_secrets_are_drawn_for_training(spark):
+    rows = [(i, f"see /usr/share/internationalization{i}/characteristic{i} and of the") for i in range(1500)]
+    rows += [(5000 + i, f'here is token = "{i}f3a9c{i}d07b{i}e51c8842{i}b6" end') for i in range(3)]
+    df = frame(spark, rows)
+    found = {r["doc_id"] for r in secret_scan.scan(df, max_rows=40).filter("is_secret").collect()}
+    assert found == {5000, 5001, 5002}
+    labelled = spark.range(20_000).selectExpr("id as doc_id", "0 as start", "int(id < 5) as label")
+    for most in (2, 8, 1000):
+        drawn = secret_scan.draw(labelled, {0: 19_995, 1: 5}, most).groupBy("label").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).collect()
+        n, w = {r["label"]: r["n"] for r in drawn}, {r["label"]: r["w"] for r in drawn}
+        assert set(n) == {0, 1} and w[0] == pytest.approx(w[1])
+        assert n[1] == 5 or most < 10
+        assert n[0] < 2 * most + 8
+
+
 # -------------------------------------------------------------- quality classifier
 
 def test_classifier_learns_from_labels_alone(spark):
