@@ -222,6 +222,23 @@ def segments(docs: DataFrame, n: int) -> DataFrame:
                            + ", ".join(f"w{i} long" for i in range(WORDS)))
 
 
+def segments_once(docs: DataFrame, sized: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """``segments`` of every class in ``reps`` (cid, doc_id), once each. A doc_id of
+    several rows may bring its class repeatedly, and other classes besides."""
+    def of(ids: DataFrame) -> DataFrame:
+        return segments(docs.join(bounded(ids), "doc_id", "left_semi").select("doc_id", "text"), n)
+
+    again = stage(sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+                  .join(reps, "doc_id").select("doc_id", "cid"), "jaccard-repeated")
+    if again.isEmpty():
+        return of(reps.select("doc_id"))
+    once = stage(reps.join(bounded(again.select("doc_id").distinct()), "doc_id", "left_anti")
+                 .select("doc_id"), "jaccard-single")
+    repeated = (of(stage(again.select("doc_id").distinct(), "jaccard-repeated-ids"))
+                .join(bounded(again.select("cid")), "cid", "left_semi"))
+    return of(once).unionByName(repeated.dropDuplicates(["cid", "fragment"]))
+
+
 def near_enough(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     """The pairs whose bitmaps differ in no more bits than linked sets can differ
     in n-grams. It drops no linked pair and most others, so that few sets move."""
@@ -284,11 +301,9 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, rounds: int =
                     .select("key", "cid", "n", F.min("cid").over(bucket).alias("lo"),
                             F.max("cid").over(bucket).alias("hi"))
                     .filter("lo < hi").select("key", "cid", "n", "lo"), "jaccard-buckets")
-    reps = (sized.join(members.select("cid").distinct(), "cid", "left_semi")
-            .groupBy("cid").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
-    reps = bounded(stage(reps, "jaccard-representatives"))
-    cut = stage(segments(docs.join(reps, "doc_id", "left_semi").select("doc_id", "text"), n),
-                "jaccard-segments")
+    reps = stage(sized.join(members.select("cid").distinct(), "cid", "left_semi")
+                 .groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "jaccard-representatives")
+    cut = stage(segments_once(docs, sized, reps, n), "jaccard-segments")
 
     links = stage(verify(nearest(members, "lo"), cut, percent), "jaccard-links")
     undecided = members

@@ -103,6 +103,32 @@ def test_jaccard_segments_always_meet():
             assert set(jaccard_join.segment_keys(a, 85).tolist()) & set(jaccard_join.segment_keys(b, 85).tolist())
 
 
+def test_repeated_rows_link_no_pair_under_the_threshold(spark):
+    rnd = random.Random(14)
+    rows, sets = [], {}
+    for d in range(0, 80, 2):                             # 12 or 13 words of 150 further: 0.84 to 0.87
+        w = [f"w{d}x{k}" for k in range(150)]
+        more = [f"m{d}x{k}" for k in range(rnd.randint(23, 30))]
+        rows += [(d, " ".join(w)), (d + 1, " ".join(w + more))]
+    rows += [(200, "a clean text of its own"), (0, "a clean text of its own")]
+    sets = [shingles(t) for _, t in rows]
+    near = {a for a in range(0, 80, 2) if 100 * len(sets[a] & sets[a + 1]) >= 85 * len(sets[a] | sets[a + 1])}
+    assert 0 < len(near) < 40
+    got = jaccard_join.join_components(frame(spark, rows + rows[:80] + rows[:80])).collect()
+    assert len(got) == len(rows) + 160
+    for r in got:
+        if 1 < r["doc_id"] < 200:
+            a = r["doc_id"] // 2 * 2
+            assert r["component_id"] == (a if a in near else r["doc_id"])
+    # a document is cut once, whichever rows bring it
+    docs = frame(spark, rows + rows[:80]).select("doc_id", "text")
+    sized = jaccard_join.classes(docs, 4).localCheckpoint()
+    reps = sized.groupBy("cid").agg(F.min("doc_id").alias("doc_id")).localCheckpoint()
+    cut = jaccard_join.segments_once(docs, sized, reps, 4)
+    assert cut.groupBy("cid", "fragment").count().filter("count > 1").isEmpty()
+    assert cut.filter("fragment = -1").count() == len(set(sets))
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.join_components(empty(spark)).count() == 0
 
