@@ -73,6 +73,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm import seed_extend
+
+    return seed_extend.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm import periodic_runs
+
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm import merkle_manifest
+
+    docs = table(spark, sf_dir, "documents")
+    return merkle_manifest.verify(docs, merkle_manifest.tampered(docs))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -84,4 +103,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_pii": op10_pii,
+    "op11_seed_extend": op11_seed_extend,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
