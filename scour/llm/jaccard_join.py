@@ -20,8 +20,9 @@ into fragments, and a set into one segment per fragment:
 Equal sets are one class from the start. Within a bucket not all pairs are
 verified: only links that join different components can matter. First every
 class is verified with the member it shares most buckets with; components
-follow; then whatever is outside a bucket's largest component is verified with
-all members of other components. So a group of n alike documents costs about n
+follow; then, while components merge, whatever is outside a bucket's largest
+component is verified with members drawn from it, and at last with all members
+of other components that can reach the similarity. So a group of n alike documents costs about n
 pairs, and no link between different components is missed.
 """
 
@@ -47,6 +48,8 @@ LEVEL_RATIO = 1.4
 BROADCAST_ROWS = 2_000_000
 #: 64-bit words of the parity bitmap that rules pairs out inside the join.
 WORDS = 16
+#: Keys of a class that are compared to make a pair in its first common bucket only.
+EARLIER = 8
 
 
 class _Hashes(dict):
@@ -284,7 +287,14 @@ def verify(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
             .select(F.col("cid").alias("a"), F.col("other").alias("b")))
 
 
-def join_components(df: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2,
+def outsiders(undecided: DataFrame) -> int:
+    """Rows outside the largest component of their bucket."""
+    many = undecided.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(
+        (F.sum("many") - F.max("many")).alias("out"))
+    return many.agg(F.coalesce(F.sum("out"), F.lit(0))).first()[0]
+
+
+def join_components(df: DataFrame, n: int = 4, percent: int = 85, settle: float = 0.8,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
@@ -293,7 +303,10 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, rounds: int =
     linked; repeated rows of a doc_id come out repeated; columns besides the
     two named are not read; an empty table gives no rows. Hashes are of 64
     bits: two different n-grams or sets are taken for one with a chance of
-    about 1 in 10^19 for each pair of them."""
+    about 1 in 10^19 for each pair of them.
+
+    Members are drawn while a turn leaves less than the share ``settle`` of the rows
+    outside their bucket's largest component; what is left then is verified in full."""
     docs = id_text(df, id_col, text_col)
     sized = stage(classes(docs, n), "jaccard-classes")
     bucket = Window.partitionBy("key")
@@ -306,10 +319,10 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, rounds: int =
     cut = stage(segments_once(docs, sized, reps, n), "jaccard-segments")
 
     links = stage(verify(nearest(members, "lo"), cut, percent), "jaccard-links")
-    undecided = members
-    for turn in range(rounds + 1):
+    undecided, turn, last, before = members, 0, False, None
+    while True:
         comps = stage(components(links, "jaccard-components"), "jaccard-components")
-        if turn == rounds:
+        if last:
             break
         placed = undecided.drop("comp").join(
             bounded(comps.select(F.col("node").alias("cid"), F.col("component").alias("comp"))),
@@ -318,7 +331,10 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, rounds: int =
             placed.withColumns({"first": F.min("comp").over(bucket), "last": F.max("comp").over(bucket)})
             .filter("first < last").select("key", "cid", "n", "comp").distinct(), "jaccard-undecided")
         marks = bounded(cut.filter("fragment = -1").select("cid", *[f"w{i}" for i in range(WORDS)]))
-        pairs = (drawn if turn < rounds - 1 else remaining)(undecided, marks, percent)
+        outside = outsiders(undecided)
+        last = before is not None and outside > before * settle
+        before, turn = outside, turn + 1
+        pairs = remaining(undecided, marks, percent) if last else drawn(undecided, marks, percent, turn)
         links = links.unionByName(stage(verify(pairs, cut, percent), "jaccard-links"))
     labelled = sized.select("cid", "doc_id").join(
         comps.withColumnRenamed("node", "cid"), "cid", "left").select(
@@ -356,26 +372,45 @@ def nearest(rows: DataFrame, other: str) -> DataFrame:
             .agg(F.max_by("other", F.struct("shared", "other")).alias("other")))
 
 
-def drawn(undecided: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Each class with one of another component: the one it shares most buckets
-    with among the members drawn by hash, one per bucket."""
-    one = undecided.groupBy("key").agg(F.min_by(
-        F.struct(F.col("cid").alias("other"), F.col("comp").alias("comp2"), F.col("n").alias("n2")),
-        F.xxhash64("cid")).alias("one")).select("key", "one.*")
-    one = one.join(as_other(marks), "other")
-    return nearest(undecided.join(marks, "cid").join(one, "key").filter(
-        (F.col("comp") != F.col("comp2")) & alike(percent)), "other")
+def drawn(undecided: DataFrame, marks: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each class outside its bucket's largest component with a member of that
+    component and one of the bucket, drawn anew by hash in every turn: of those
+    that can reach the similarity, the one it shares most buckets with."""
+    one = F.struct(F.col("cid").alias("other"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
+    by_hash = F.xxhash64("cid", F.lit(turn))
+    each = stage(undecided.groupBy("key", "comp").agg(
+        F.count(F.lit(1)).alias("many"), F.min(F.struct(by_hash.alias("h"), one.alias("one"))).alias("d")),
+        "jaccard-drawn")
+    draw = each.groupBy("key").agg(
+        F.max_by("comp", F.struct("many", "comp")).alias("big"),
+        F.max_by("d.one", F.struct("many", "comp")).alias("a"), F.min("d")["one"].alias("b"))
+    small = undecided.join(draw.select("key", "big", F.explode(F.array("a", "b")).alias("one")), "key").filter(
+        "comp != big").select("key", "cid", "n", "comp", "one.*").filter("comp != comp2")
+    met = small.join(as_other(marks), "other").join(marks, "cid").filter(alike(percent))
+    return nearest(met, "other")
+
+
+def with_earlier(undecided: DataFrame) -> DataFrame:
+    """The rows with ``earlier``, the EARLIER keys of the class before this one in the
+    order of the keys. A class has a key per segment, so its keys fit in one row."""
+    keys = undecided.groupBy("cid", "n", "comp").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    return keys.select("cid", "n", "comp", "keys", F.posexplode("keys").alias("at", "key")).select(
+        "key", "cid", "n", "comp",
+        F.slice("keys", F.greatest(F.col("at") - EARLIER + 1, F.lit(1)), F.least("at", F.lit(EARLIER)))
+        .alias("earlier"))
 
 
 def remaining(undecided: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes that share a bucket, are of different components and
     can reach the similarity: one of the two is always outside the bucket's
-    largest component."""
-    big = undecided.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(
+    largest component. A pair that shares many buckets is made in the first, and
+    in others only where the keys just before are not shared."""
+    rows = stage(with_earlier(undecided), "jaccard-remaining")
+    big = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(
         F.max_by("comp", F.struct("many", "comp")).alias("big"))
-    other = undecided.select("key", F.col("cid").alias("other"), F.col("n").alias("n2"),
-                             F.col("comp").alias("comp2")).join(as_other(marks), "other")
-    small = undecided.join(big, "key").filter("comp != big").join(marks, "cid")
+    other = rows.select("key", F.col("cid").alias("other"), F.col("n").alias("n2"), F.col("comp").alias("comp2"),
+                        F.col("earlier").alias("earlier2")).join(as_other(marks), "other")
+    small = rows.join(big, "key").filter("comp != big").join(marks, "cid")
     return small.join(other, (small["key"] == other["key"]) & (F.col("comp") != F.col("comp2"))
-                      & alike(percent)).select(
+                      & alike(percent) & ~F.arrays_overlap("earlier", "earlier2")).select(
         F.least("cid", "other").alias("cid"), F.greatest("cid", "other").alias("other")).distinct()

@@ -64,8 +64,8 @@ def shingles(text, n=4):
     return frozenset(tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-@pytest.mark.parametrize("rounds", [1, 2])
-def test_jaccard_components_equal_brute_force(spark, corpus, rounds):
+@pytest.mark.parametrize("settle", [0.0, 0.8])         # after one drawn turn; after several
+def test_jaccard_components_equal_brute_force(spark, corpus, settle):
     rows = corpus + [(None, "no id here")]
     sets = {d: shingles(t) for d, t in rows if d is not None}
     parent = {d: d for d in sets}
@@ -81,7 +81,7 @@ def test_jaccard_components_equal_brute_force(spark, corpus, rounds):
             if a < b and sets[a] and 100 * same >= 85 * len(sets[a] | sets[b]):
                 ra, rb = find(a), find(b)
                 parent[max(ra, rb)] = min(ra, rb)
-    got = jaccard_join.join_components(frame(spark, rows), rounds=rounds).collect()
+    got = jaccard_join.join_components(frame(spark, rows), settle=settle).collect()
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is not None:
@@ -122,8 +122,8 @@ def test_repeated_rows_link_no_pair_under_the_threshold(spark):
             assert r["component_id"] == (a if a in near else r["doc_id"])
     # a document is cut once, whichever rows bring it
     docs = frame(spark, rows + rows[:80]).select("doc_id", "text")
-    sized = jaccard_join.classes(docs, 4).localCheckpoint()
-    reps = sized.groupBy("cid").agg(F.min("doc_id").alias("doc_id")).localCheckpoint()
+    sized = jaccard_join.classes(docs, 4).cache()
+    reps = sized.groupBy("cid").agg(F.min("doc_id").alias("doc_id")).cache()
     cut = jaccard_join.segments_once(docs, sized, reps, 4)
     assert cut.groupBy("cid", "fragment").count().filter("count > 1").isEmpty()
     assert cut.filter("fragment = -1").count() == len(set(sets))
