@@ -33,6 +33,7 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
 UNSAFE = r"\p{White_Space} (?:\p{White_Space}|\Z)"
 NO_PAIR = np.int64(1) << 40
 SHORT = 64                      # bytes; longer pre-tokens use the list tree
+BLOCK_CHARS = 500_000           # text encoded at once; longer documents whole, one at a time
 
 
 @dataclass
@@ -49,6 +50,12 @@ class Vocabulary:
     special: dict[str, int]
 
 
+    def plain(self) -> tuple:
+        """The fields as numbers and arrays, which a worker can read without this package."""
+        return (self.size, self.byte_id, self.pair_key, self.pair_rank, self.merged, self.data,
+                self.starts, self.special)
+
+
 def byte_symbols() -> dict[str, int]:
     """Printable stand-in of each byte, as byte-level vocabularies spell them:
     printable Latin-1 bytes stand for themselves, the others follow from 256."""
@@ -239,10 +246,10 @@ class Encoder:
 
     A text is cut before its spaces into chunks, so that pre-tokens are found
     and merged once per distinct chunk. Where a cut could part a run of white
-    space, the text is one chunk. At most ``keep`` chunks are remembered: the
-    memory is emptied when it is full, which changes no id."""
+    space, the text is one chunk. About ``keep`` characters of chunks are
+    remembered: the memory is emptied when it is full, which changes no id."""
 
-    def __init__(self, v: Vocabulary, keep: int = 400_000):
+    def __init__(self, v: Vocabulary, keep: int = 1_000_000):
         import regex
 
         self.v, self.keep = v, keep
@@ -252,7 +259,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.chunks = _Codes()
+        self.chunks, self.chars = _Codes(), 0
         self.ids = np.zeros(0, np.uint32)
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -289,6 +296,7 @@ class Encoder:
         per_chunk: list[int] = []
         put, count = inner.append, per_chunk.append
         for chunk in islice(self.chunks, known, None):
+            self.chars += len(chunk)
             if type(chunk) is tuple:
                 found = find(chunk[1]) if len(chunk) == 2 else [chunk]
             elif chunk.isalpha():                         # letters only: one pre-token
@@ -323,7 +331,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts, as (flat uint32 ids, offsets by text)."""
-        if len(self.chunks) > self.keep:
+        if self.chars > self.keep:
             self.clear()
         own = [self.codes(t) for t in texts]
         self.learn()
@@ -345,36 +353,43 @@ def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
     return v.data[ragged(first, v.starts[ids + 1] - first)].tobytes().decode("utf-8", "replace")
 
 
+def shared_vocabulary(spark: SparkSession, vocab_path: str):
+    """The vocabulary as a broadcast of plain arrays."""
+    return spark.sparkContext.broadcast(load_vocabulary(vocab_path).plain())
+
+
 def encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens long, ids binary (little-endian unsigned 32-bit).
+           text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens long, ids binary (little-endian unsigned 32-bit); with
+    ``decoded`` also the text decoded from these ids, in the same task.
 
     A null or empty text gives no ids. Repeated rows come out repeated; columns
     besides the two named are not read; an empty table gives no rows."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(load_vocabulary(vocab_path))
+    shared = shared_vocabulary(df.sparkSession, vocab_path)
+    names = ["doc_id", "n_tokens", "ids"] + (["decoded"] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        encoder = getattr(v, "_encoder", None) or Encoder(v)
-        v._encoder = encoder                              # kept by the worker for its next task
-        for doc_ids, texts in text_blocks(batches):
+        v = Vocabulary(*shared.value)
+        encoder = Encoder(v)
+        for doc_ids, texts in text_blocks(batches, BLOCK_CHARS):
             ids, bounds = encoder.encode(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(np.diff(bounds), pa.int64()),
-                 pa.array([ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
-                          pa.binary())], ["doc_id", "n_tokens", "ids"])
+            parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            columns = [pa.array(doc_ids, pa.int64()), pa.array(np.diff(bounds), pa.int64()),
+                       pa.array([p.tobytes() for p in parts], pa.binary())]
+            if decoded:
+                columns.append(pa.array([decode_ids(v, p) for p in parts], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return id_text(df, id_col, text_col).mapInArrow(
+        run, "doc_id long, n_tokens long, ids binary" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     """The rows of :func:`encode` with ``decoded``, the text of their ids."""
-    spark = encoded.sparkSession
-    shared = spark.sparkContext.broadcast(load_vocabulary(vocab_path))
+    shared = shared_vocabulary(encoded.sparkSession, vocab_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = Vocabulary(*shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -389,7 +404,7 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
 
 def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the ids and of the text decoded from them."""
-    return decode(encode(docs, vocab_path), vocab_path).select(
+    return encode(docs, vocab_path, decoded=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
