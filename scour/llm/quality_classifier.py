@@ -223,12 +223,13 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.features)))
     x = np.frombuffer(b"".join(bytes(r.features) for r in rows), "<f4").reshape(-1, FEATURES)
     net = fit(x.astype(np.float64), np.array([r.label for r in rows], np.float64))
-    shared = df.sparkSession.sparkContext.broadcast(net)
+    shared = df.sparkSession.sparkContext.broadcast(vars(net))   # plain arrays and numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(**shared.value)
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f4").reshape(-1, FEATURES)
-            score = np.clip(shared.value.score(x.astype(np.float64)), 0, 1)
+            score = np.clip(net.score(x.astype(np.float64)), 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())],
                                              ["doc_id", "score"])
 
