@@ -64,8 +64,7 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and the SHA-256 of
     the ids and of the text decoded from them."""
-    path = bpe.default_vocabulary()
-    return bpe.decode(bpe.encode(docs, path), path).select(
+    return bpe.encode(docs, bpe.default_vocabulary(), decoded=True).select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
