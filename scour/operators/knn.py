@@ -281,18 +281,19 @@ def _nearest_cells(X: np.ndarray, C: np.ndarray, n: int = 1) -> np.ndarray:
                            for i in range(0, len(X), step)] or [np.zeros((0, n), np.int64)])
 
 
-def centroids_of(corpus: DataFrame, cid: str, cvec: str, dim: int, cells: int,
-                 train_rows: int = 20_000, passes: int = 8) -> np.ndarray:
-    """Lloyd's k-means on a share of about ``train_rows`` vectors drawn by the hash
-    of the id, on the driver. Centroids decide how well the scan prunes, never
-    what an exact search returns."""
-    share = min(1.0, train_rows / max(1, corpus.count()))
+def drawn_vectors(corpus: DataFrame, cid: str, cvec: str, dim: int, rows: int) -> np.ndarray:
+    """About ``rows`` vectors on the driver, drawn by the hash of the id, in id order."""
+    share = min(1.0, rows / max(1, corpus.count()))
     drawn = corpus.filter(F.pmod(F.xxhash64(cid, F.lit("train")), F.lit(1 << 30))
                           < int(share * (1 << 30))).select(cid, cvec).toArrow()
     X = _list_matrix(drawn.column(cvec), dim) if drawn.num_rows else np.zeros((0, dim))
+    return X[np.argsort(_id_order(drawn.column(cid).to_numpy()), kind="stable")] if len(X) else X
+
+
+def lloyd(X: np.ndarray, cells: int, passes: int = 8) -> np.ndarray:
+    """Lloyd's k-means: at most ``cells`` centroids; one at the origin without vectors."""
     if not len(X):
-        return np.zeros((1, dim))
-    X = X[np.argsort(_id_order(drawn.column(cid).to_numpy()), kind="stable")]
+        return np.zeros((1, X.shape[1]))
     C = X[np.linspace(0, len(X) - 1, min(cells, len(X))).astype(int)].copy()
     for _ in range(passes):
         own = _nearest_cells(X, C)[:, 0]
@@ -303,6 +304,13 @@ def centroids_of(corpus: DataFrame, cid: str, cvec: str, dim: int, cells: int,
     return C
 
 
+def centroids_of(corpus: DataFrame, cid: str, cvec: str, dim: int, cells: int,
+                 train_rows: int = 20_000, passes: int = 8) -> np.ndarray:
+    """Centroids of a share of about ``train_rows`` vectors, on the driver. They decide
+    how well the scan prunes, never what an exact search returns."""
+    return lloyd(drawn_vectors(corpus, cid, cvec, dim, train_rows), cells, passes)
+
+
 class IvfIndex:
     """Centroids (a bounded number) and the corpus with its cell, written in cell
     order. Build once, search many query tables."""

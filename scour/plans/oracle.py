@@ -254,7 +254,8 @@ SELECT page_id, path, ref, coalesce(TRY_CAST(page AS INT), 1) AS page_no, n_para
               lambda p: split_part(p, '=', 1)))) ELSE 0 END)::INTEGER AS n_params
   FROM (SELECT page_id, url, regexp_extract(url, '\\?([^#]*)', 1) AS qs FROM pages))""",
 }
-ORACLE["knn_ivf"] = ORACLE["knn_batch"]
+ORACLE["knn_ivf"] = ORACLE["knn_blocks"] = ORACLE["knn_batch"]
+ORACLE["knn_probe_recall"] = ORACLE["knn_graph_recall"] = "SELECT count(DISTINCT vec_id) AS queries, true AS enough FROM embeddings"
 ORACLE["ingest_stream"] = _with(
     "dd AS (SELECT DISTINCT sha256(text) AS doc_id, text FROM documents)", _stored(),
     _embed("x", "dd", "doc_id", "text")) + f"""

@@ -20,9 +20,13 @@ from scour.operators.ingest import batch_plan as _batch_plan
 from scour.operators.ingest import skip_stored
 from scour.operators.knn import build_ivf, knn
 from scour.operators.knn import knn_single as _knn_single
+from scour.operators.knn_blocks import build_cells, recall
+from scour.operators.knn_blocks import knn_blocks as _knn_blocks
+from scour.operators.knn_graph import build_graph
+from scour.operators.knn_graph import knn_graph as _knn_graph
 from scour.plans.ingest import ingest_event, qa_documents
 from scour.plans.search import search
-from scour.session import scratch_path
+from scour.session import materialize, scratch_path
 from scour.sources import qa
 from scour.sources.requests import (DEFAULT_API_KEY, decode_events, int_param, request_fields,
                                     requests_from_conversations, url_requests)
@@ -38,6 +42,9 @@ PLAN_RECORDS, PLAN_BATCH, PLAN_OFFSET = 450, 20, 10
 INGEST_RECORDS, INGEST_BATCH = 100_000_000, 64
 REFUSED = ("0", "3")      # first hex digits of content ids that the flaky embedder refuses
 IVF_CELLS = 16
+BEAM = 64                 # of the graph search
+COARSE, FINE = 16, 4      # centroids of the residual cell code
+PROBES, RECALL = 40, 0.9  # cells read per query by the approximate search, and its floor
 STREAM_FILES = 3
 
 
@@ -247,6 +254,54 @@ def knn_ivf(spark, sf):
                                          cells=IVF_CELLS), **_SCAN_QUERIES))
 
 
+def _cells(e):
+    return build_cells(e, cid="vec_id", cvec="embedding", dim=DIM, coarse=COARSE, fine=FINE)
+
+
+def knn_blocks(spark, sf):
+    """Exact search with queries and corpus both dealt out in blocks."""
+    e, q = _emb_queries(spark, sf)
+    return _hits_out(_knn_blocks(q, _cells(e), K))
+
+
+def _probed(spark, sf):
+    e, q = _emb_queries(spark, sf)
+    index = _cells(e)
+    found = materialize(_knn_blocks(q, index, K, nprobe=PROBES), "knn-probed")
+    return found, recall(found, _knn_blocks(q, index, K), cid="vec_id")
+
+
+def knn_probe(spark, sf):
+    """Approximate search (multi-probe over cells), each query with its recall."""
+    found, share = _probed(spark, sf)
+    return found.join(share, "query_id").select("query_id", "rank", "vec_id", _round("dist2"), "recall")
+
+
+def knn_probe_recall(spark, sf):
+    """One row: does the approximate search reach its floor over all queries?"""
+    _, share = _probed(spark, sf)
+    return share.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= RECALL).alias("enough"))
+
+
+def _walked(spark, sf):
+    e, q = _emb_queries(spark, sf)
+    index = build_graph(e, cid="vec_id", cvec="embedding", dim=DIM)
+    found = materialize(_knn_graph(q, index, K, beam=BEAM), "knn-walked")
+    return found, recall(found, _knn_blocks(q, _cells(e), K), cid="vec_id")
+
+
+def knn_graph(spark, sf):
+    """Approximate search over a neighbour graph, each query with its recall."""
+    found, share = _walked(spark, sf)
+    return found.join(share, "query_id").select("query_id", "rank", "vec_id", _round("dist2"), "recall")
+
+
+def knn_graph_recall(spark, sf):
+    """One row: does the graph search reach its floor over all queries?"""
+    _, share = _walked(spark, sf)
+    return share.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= RECALL).alias("enough"))
+
+
 def knn_spoiled(spark, sf):
     """Search among vectors some of which can't be compared."""
     e, q = _spoiled(spark, sf), _emb_queries(spark, sf)[1]
@@ -371,6 +426,11 @@ QUERIES = {
     "knn_single": knn_single,
     "knn_batch": knn_batch,
     "knn_ivf": knn_ivf,
+    "knn_blocks": knn_blocks,
+    "knn_probe": knn_probe,
+    "knn_probe_recall": knn_probe_recall,
+    "knn_graph": knn_graph,
+    "knn_graph_recall": knn_graph_recall,
     "knn_spoiled": knn_spoiled,
     "hits_text": hits_text,
     "prompt_assemble": prompt_assemble,
