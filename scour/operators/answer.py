@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 from typing import Callable
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from scour.functions.text import (MARKDOWN_CLOSE, MARKDOWN_OPEN, SYSTEM_PROMPT,
                                   TEMPERATURE, extract_tagged, join_parts, prompt_text)
+from scour.operators.service import ONE_BY_ONE, ServiceCalls
 from scour.schemas import MODEL_RESPONSE
 from scour.session import materialize
 
@@ -78,27 +80,28 @@ def offline_model(prompts: DataFrame, matches_col: str = "matches") -> DataFrame
 
 def map_model(prompts: DataFrame, factory: Callable[[], Callable[..., dict]],
               qid: str = "query_id", prompt_col: str = "prompt",
-              retryable: tuple[type[BaseException], ...] = (Exception,)) -> DataFrame:
+              retryable: tuple[type[BaseException], ...] = (Exception,),
+              calls: ServiceCalls = ONE_BY_ONE) -> DataFrame:
     """Call a user answer model once per prompt; the client is built once per
     partition. ``fn(prompt=..., system=..., temperature=...)`` returns the
     response dict (``output.message.content[*].text``). Errors of a retryable
-    class become ``model_error``."""
+    class become ``model_error``, after the attempts that ``calls`` allows; it also
+    says how many prompts are on their way at once (``batch`` is not used: a model
+    answers one prompt)."""
     out_fields = [f for f in prompts.schema.fields] + [
         T.StructField("response", T.StringType()), T.StructField("model_error", T.StringType())]
     schema = T.StructType(out_fields)
 
     def run(batches):
         fn = factory()
+
+        def ask(prompt):
+            return json.dumps(fn(prompt=prompt, system=SYSTEM_PROMPT, temperature=TEMPERATURE))
+
         for pdf in batches:
-            resp, errs = [], []
-            for p in pdf[prompt_col].tolist():
-                try:
-                    resp.append(json.dumps(fn(prompt=p, system=SYSTEM_PROMPT,
-                                              temperature=TEMPERATURE)))
-                    errs.append(None)
-                except retryable as e:  # noqa: PERF203
-                    resp.append(None)
-                    errs.append(str(e))
+            out = list(replace(calls, batch=1).map(ask, pdf[prompt_col].tolist(), retryable))
+            resp = [r for r, _ in out]
+            errs = [None if e is None else str(e) for _, e in out]
             yield pdf.assign(response=pd.Series(resp, dtype=object),
                              model_error=pd.Series(errs, dtype=object))
 

@@ -39,6 +39,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scour.operators.service import ONE_BY_ONE, ServiceCalls
+
 from scour.functions.vectors import unit_length
 from scour.operators.index import check_vectors
 from pyspark.sql import types as T
@@ -222,28 +224,27 @@ def hash_embedder(dim: int = DEFAULT_DIM, max_chars: int | None = None):
 
 
 def udf_embedder(factory: Callable[[], Callable[[str], Iterable[float]]], dim: int,
-                 retryable: tuple[type[BaseException], ...] = (Exception,)):
+                 retryable: tuple[type[BaseException], ...] = (Exception,),
+                 calls: ServiceCalls = ONE_BY_ONE):
     """A user model as an embedder; ``factory()`` builds the client once per
-    partition and returns ``fn(text) -> vector``. The UDF is marked
+    partition and returns ``fn(text) -> vector`` (with ``calls.batch`` above 1,
+    ``fn(texts) -> vectors``). ``calls`` says how many requests are on their way at
+    once and how they are repeated; rows keep their order. The UDF is marked
     non-deterministic so the optimizer never repeats or moves the calls."""
+    def vector(result) -> tuple[np.ndarray | None, str | None]:
+        try:
+            v = np.asarray([float(x) for x in result], dtype=np.float32)
+        except retryable as e:
+            return None, f"{type(e).__name__}: {e}"
+        return (v, None) if len(v) == dim else (None, f"bad width {len(v)} != {dim}")
+
     @F.pandas_udf(_EMBED_STRUCT)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         fn = factory()
         for texts in batches:
-            vecs, errs = [], []
-            for t in texts:
-                try:
-                    v = np.asarray([float(x) for x in fn(t)], dtype=np.float32)
-                    if len(v) != dim:
-                        vecs.append(None)
-                        errs.append(f"bad width {len(v)} != {dim}")
-                    else:
-                        vecs.append(v)
-                        errs.append(None)
-                except retryable as e:  # noqa: PERF203 - per-row failure capture
-                    vecs.append(None)
-                    errs.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"embedding": vecs, "error": errs})
+            out = [vector(x) if e is None else (None, f"{type(e).__name__}: {e}")
+                   for x, e in calls.map(fn, texts, retryable)]
+            yield pd.DataFrame({"embedding": [v for v, _ in out], "error": [e for _, e in out]})
 
     call = call.asNondeterministic()
 

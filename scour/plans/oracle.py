@@ -149,6 +149,8 @@ ORACLE = {
     "qa_source_join": _with(_posts()) + "\nSELECT * FROM pairs",
     "qa_source_page": _with(_posts())
     + f"\nSELECT * FROM pairs ORDER BY question_id LIMIT {PAGE_LIMIT} OFFSET {PAGE_OFFSET}",
+    "qa_keyset_page": _with(_posts())
+    + f"\nSELECT * FROM pairs ORDER BY question_id LIMIT {PAGE_LIMIT} OFFSET {PAGE_LIMIT}",
     "qa_deep_page": _with(_posts(), f"""
 num AS (SELECT *, row_number() OVER (ORDER BY question_id) - 1 AS rn, count(*) OVER () AS many FROM pairs)""")
     + f"""
@@ -261,3 +263,5 @@ ORACLE["ingest_stream"] = _with(
     _embed("x", "dd", "doc_id", "text")) + f"""
 SELECT k AS doc_id, {DIM} AS width, 1::BIGINT AS n,
        CASE WHEN k IN (SELECT content_id FROM stored) THEN 1 ELSE 0 END AS old FROM x_n"""
+ORACLE["qa_source_sql"] = ORACLE["qa_source_page"]
+ORACLE["response_stream"] = ORACLE["response_json"]

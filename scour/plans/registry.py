@@ -27,11 +27,12 @@ from scour.operators.knn_graph import knn_graph as _knn_graph
 from scour.plans.ingest import ingest_event, qa_documents
 from scour.plans.search import search
 from scour.session import materialize, scratch_path
-from scour.sources import qa
+from scour.sources import qa, sql
 from scour.sources.requests import (DEFAULT_API_KEY, decode_events, int_param, request_fields,
                                     requests_from_conversations, url_requests)
 from scour.sources.tables import read_table
 from scour.streaming.ingest_stream import ingest_stream as _ingest_stream
+from scour.streaming.serve_stream import read_responses, serve_batch, serve_stream
 
 # Fixed parameters of the registered queries.
 DIM = 64                  # width of the driver's vectors and of the hash embedder
@@ -76,7 +77,20 @@ def qa_source_page(spark: SparkSession, sf: str) -> DataFrame:
 def qa_deep_page(spark: SparkSession, sf: str) -> DataFrame:
     q, a = _posts(spark, sf)
     many = q.filter(F.col("accepted_answer_id").isNotNull()).count()
-    return qa.source_page(q, a, DEEP_LIMIT, int(many * DEEP_SHARE))
+    return qa.source_page(q, a, DEEP_LIMIT, int(many * DEEP_SHARE), shallow=0)
+
+
+def qa_source_sql(spark, sf):
+    """A page by SQL text with named parameters."""
+    q, a = _posts(spark, sf)
+    return sql.pairs_page(q, a, PAGE_LIMIT, PAGE_OFFSET)
+
+
+def qa_keyset_page(spark, sf):
+    """The page that follows the first one, by its cursor."""
+    q, a = _posts(spark, sf)
+    _, cursor = qa.page_after(q, a, PAGE_LIMIT)
+    return qa.page_after(q, a, PAGE_LIMIT, cursor)[0]
 
 
 # ------------------------------------------------------------------ documents
@@ -373,14 +387,35 @@ def response_json(spark, sf):
     return to_responses(_search(spark, sf))
 
 
-def request_events(spark, sf):
-    """JSON events, written from the requests and read back."""
+def _events(spark, sf):
     reqs = requests_from_conversations(_t(spark, sf, "conversations"))
-    events = reqs.select("query_id", F.to_json(F.struct(
+    return reqs.select("query_id", F.to_json(F.struct(
         F.lit("/search").alias("path"), F.lit("GET").alias("httpMethod"),
         F.col("params").alias("queryStringParameters"), "headers",
         F.lit(False).alias("isBase64Encoded"))).alias("event"))
-    return request_fields(decode_events(events)).select("query_id", "query_text", "api_key_header")
+
+
+def response_stream(spark, sf):
+    """The requests as a stream of several micro-batches; then the same checkpoint
+    again, and the first epoch once more: every request has one response."""
+    document_index(spark, sf)
+    index = _indexes[spark.sparkContext.applicationId, sf]
+    source, out, ckpt = (scratch_path(spark, f"serve-{x}") for x in ("source", "out", "ckpt"))
+    events = _events(spark, sf).repartition(STREAM_FILES, "query_id")
+    events.write.parquet(source)
+    options = {"k": K, "api_key": DEFAULT_API_KEY, "dim": DIM}
+    for _ in range(2):
+        serve_stream(spark, source, index, out, ckpt, **options)
+    answered = read_responses(spark, out)
+    again = materialize(spark.read.parquet(source).join(
+        answered.filter("epoch = 0").select("query_id"), "query_id", "left_semi"), "serve-again")
+    serve_batch(spark, again, 0, index, out, "requests", **options)
+    return read_responses(spark, out).select("query_id", "status_code", "body")
+
+
+def request_events(spark, sf):
+    """JSON events, written from the requests and read back."""
+    return request_fields(decode_events(_events(spark, sf))).select("query_id", "query_text", "api_key_header")
 
 
 def request_decode(spark, sf):
@@ -412,6 +447,8 @@ QUERIES = {
     "qa_source_join": qa_source_join,
     "qa_source_page": qa_source_page,
     "qa_deep_page": qa_deep_page,
+    "qa_source_sql": qa_source_sql,
+    "qa_keyset_page": qa_keyset_page,
     "doc_assemble": doc_assemble,
     "doc_id_hash": doc_id_hash,
     "new_docs_anti": new_docs_anti,
@@ -439,6 +476,7 @@ QUERIES = {
     "rag_plugin_model": rag_plugin_model,
     "response_status": response_status,
     "response_json": response_json,
+    "response_stream": response_stream,
     "request_decode": request_decode,
     "request_events": request_events,
     "ingest_stream": ingest_stream,

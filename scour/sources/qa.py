@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from scour.operators.ingest import key_ordinals
 
+#: A page within so many first rows is taken as a top-k.
+SHALLOW_ROWS = 10_000
+
 
 def questions_from_conversations(conv: DataFrame) -> DataFrame:
     """Driver-table binding: user and system turns are posts; a user turn
@@ -46,17 +49,34 @@ def qa_pairs(questions: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def source_page(questions: DataFrame, answers: DataFrame, number_of_records: int = 100,
-                offset: int | None = None) -> DataFrame:
+                offset: int | None = None, shallow: int = SHALLOW_ROWS) -> DataFrame:
     """One page of accepted pairs, in question id order (ids are unique).
 
-    The ids alone are range-partitioned and numbered (``key_ordinals``), so a
-    deep page is no more work for one task than a shallow one; the page's id
-    range is then pushed into the scan of the questions, and only its rows are
-    joined to the answers."""
-    first = int(offset or 0)
+    A page that ends within the first ``shallow`` rows is a top-k: every task keeps
+    that many ids, and no id is shuffled for a sort. For deeper ones the ids alone
+    are range-partitioned and numbered (``key_ordinals``), so a deep page is no more
+    work for one task; the page's id range is then pushed into the scan of the
+    questions. Only the page's rows are joined to the answers."""
+    first, many = int(offset or 0), int(number_of_records)
     asked = questions.filter(F.col("accepted_answer_id").isNotNull())
+    if first + many <= shallow:
+        return qa_pairs(asked.orderBy("id").offset(first).limit(many), answers)
     page = key_ordinals(asked.select(F.col("id").alias("question_id")), "question_id").filter(
-        (F.col("rn") >= first) & (F.col("rn") < first + int(number_of_records)))
+        (F.col("rn") >= first) & (F.col("rn") < first + many))
     ends = page.agg(F.min("question_id").alias("lo"), F.max("question_id").alias("hi")).first()
     inside = F.col("id").between(ends["lo"], ends["hi"])
     return qa_pairs(asked.filter(F.coalesce(inside, F.lit(False))), answers)
+
+
+def page_after(questions: DataFrame, answers: DataFrame, number_of_records: int = 100,
+               after: int | None = None) -> tuple[DataFrame, int | None]:
+    """(the pairs that follow question id ``after``, the cursor for the next page). The
+    cursor is the page's last id, None behind the last page. The filter on the id is
+    pushed into the scan and the page is a top-k, so no page costs more for being
+    deep, and rows that come in between pages move no other row to a different page."""
+    asked = questions.filter(F.col("accepted_answer_id").isNotNull())
+    if after is not None:
+        asked = asked.filter(F.col("id") > after)
+    page = asked.orderBy("id").limit(int(number_of_records))
+    last = page.agg(F.max("id")).first()[0]
+    return qa_pairs(page, answers), last
