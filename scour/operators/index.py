@@ -10,7 +10,7 @@ leaves a mark, and readers of a marked index resolve such ids to their newest
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,14 +22,16 @@ from scour.session import Stages
 PREFIX_CHARS = 1
 
 
-def _write(df: DataFrame, path: str, mode: str) -> None:
-    """Partitioned index write. Range-partitioning on (prefix, id) gives each
+def _write(df: DataFrame, path: str, mode: str) -> int:
+    """Partitioned index write; the rows are counted as they are written. Range-partitioning on (prefix, id) gives each
     task a contiguous key range - one or two prefix folders per task instead
     of one file per prefix per task - and AQE sizes the tasks; rows are sorted
     by id inside a task, so row-group statistics serve id lookups."""
+    seen = Observation()
     (df.repartitionByRange(F.col("id_prefix"), F.col("doc_id"))
-     .sortWithinPartitions("id_prefix", "doc_id")
+     .sortWithinPartitions("id_prefix", "doc_id").observe(seen, F.count(F.lit(1)).alias("rows"))
      .write.mode(mode).partitionBy("id_prefix").parquet(path))
+    return int(seen.get.get("rows", 0))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -145,15 +147,17 @@ def newest_per_id(rows: DataFrame) -> DataFrame:
         .select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def _checked(stages: Stages, rows: DataFrame, dim: int | None) -> tuple[DataFrame, int]:
-    """(valid rows, one per id; how many were rejected), written once, so that the
-    embedder upstream runs once."""
+def _checked(stages: Stages, rows: DataFrame, dim: int | None) -> tuple[DataFrame, int, int]:
+    """(valid rows, how many they are, how many others there were). The rows are written
+    once, so that the embedder upstream runs once, and counted on the way."""
     rows = rows.select(*INDEX.fieldNames())
     tested = check_vectors(rows, "embedding", dim) if dim is not None else check_vectors(
         rows, "embedding", F.size("embedding"))
-    tested = stages.write(tested, "index-staging")
-    rejected = tested.filter(~F.col("valid")).count()
-    return newest_per_id(tested.filter("valid").select(*INDEX.fieldNames())), rejected
+    seen = Observation()
+    tested = stages.write(tested.observe(seen, F.count_if("valid").alias("valid"),
+                                         F.count(F.lit(1)).alias("rows")), "index-staging")
+    good, every = int(seen.get.get("valid", 0)), int(seen.get.get("rows", 0))
+    return tested.filter("valid").select(*INDEX.fieldNames()), good, every - good
 
 
 def upsert(spark: SparkSession, path: str, new_rows: DataFrame, dim: int) -> dict:
@@ -165,15 +169,14 @@ def upsert(spark: SparkSession, path: str, new_rows: DataFrame, dim: int) -> dic
     create_if_missing(spark, path, dim)
     dim = index_dimension(spark, path) or dim
     stages = Stages(spark)
-    rows, rejected = _checked(stages, new_rows, dim)
-    rows = stages.write(rows, "index-rows")
-    written = rows.count()
-    stored = spark.read.schema(INDEX).parquet(path).select("doc_id")
-    replaced = rows.select("doc_id").join(stored, "doc_id", "left_semi").count() if written else 0
-    if written:
+    rows, good, rejected = _checked(stages, new_rows, dim)
+    written = replaced = 0
+    if good:
+        stored = spark.read.schema(INDEX).parquet(path).select("doc_id")
+        replaced = rows.select("doc_id").distinct().join(stored, "doc_id", "left_semi").count()
         if replaced and not _exists(spark, _mark(path)):
             spark.range(1).coalesce(1).write.mode("overwrite").parquet(_mark(path))
-        _write(rows, path, "append")
+        written = _write(newest_per_id(rows), path, "append")
         spark.catalog.refreshByPath(path)
     stages.clear()
     return {"written": written, "rejected": rejected, "replaced": replaced}
@@ -185,11 +188,10 @@ def append_rows(spark: SparkSession, path: str, new_rows: DataFrame) -> dict:
     rows with a bad vector are not written. Returns written and rejected rows."""
     create_if_missing(spark, path)
     stages = Stages(spark)
-    rows, rejected = _checked(stages, new_rows, index_dimension(spark, path))
-    rows = stages.write(rows, "index-rows")
-    written = rows.count()
-    if written:
-        _write(rows, path, "append")
+    rows, good, rejected = _checked(stages, new_rows, index_dimension(spark, path))
+    written = 0
+    if good:
+        written = _write(newest_per_id(rows), path, "append")
         spark.catalog.refreshByPath(path)
     stages.clear()
     return {"written": written, "rejected": rejected}
