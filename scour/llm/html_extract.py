@@ -40,6 +40,9 @@ BLOCKS = set("address article aside blockquote body center dd details dir div dl
 INLINE = set("a abbr b bdi bdo big cite code del dfn em font i img ins kbd mark q s samp small "
              "span strike strong sub sup time tt u var br wbr".split())
 CONTENT = {"article", "main"}
+#: Of what is taken out, elements that are written around whole pages too: they
+#: stay where an article or main lies inside.
+WRAPPERS = set("form label object map dialog".split())
 #: Words in class, id or role that name boilerplate.
 NAMED = set("nav navbar navigation menu sidebar aside footer masthead banner ad ads advert "
             "adverts advertisement adsense sponsor sponsored promo promotion cookie cookies consent "
@@ -128,7 +131,7 @@ def holds_content(page: str, at: int, name: str, outer: set[str], known: dict[in
             end = re.compile(rf"</{re.escape(n)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if n in BLOCKS and any(k == "p" for k, _ in open_now[-6:]):
+        if n in BLOCKS and any(k == "p" for k, _ in open_now):
             close("p")
         if n in ENDED_BY_NEXT and open_now and open_now[-1][0] == n:
             close(n)
@@ -182,7 +185,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             close_at = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close_at.end() if close_at else end
             continue
-        if name in BLOCKS and any(n == "p" for n, _ in stack[-6:]):
+        if name in BLOCKS and any(n == "p" for n, _ in stack):
             yield from close("p")
         if name in ENDED_BY_NEXT and stack and stack[-1][0] == name:
             yield from close(name)
@@ -191,6 +194,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 yield name, "", inside > 0
             continue
         gone = name in DROPPED or (name == "header" and not articles)
+        if name in WRAPPERS and not out and not articles and not m[3].endswith("/"):
+            gone = not holds_content(page, at, name, {n for n, _ in stack}, known)
         if not gone and not out and name not in ("html", "body", "main"):
             said = named_boilerplate(m[3], articles > 0)
             gone = said == "all" or (said == "name" and name not in CONTENT and (

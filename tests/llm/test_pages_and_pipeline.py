@@ -142,6 +142,10 @@ BODY = "<p>The text of the article is here.</p>"
     (f"<article hidden>{BODY}</article>", False), (f"<article hidden=''>{BODY}</article>", False),
     (f"<article data-id='widget-7' data-class=ad title='id=menu hidden'>{BODY}</article>", True),
     (f"<div class='content has-sidebar'><ul><li class=widget>one<li>two</ul><article>{BODY}</article></div>", True),
+    (f"<form id=aspnetForm><article>{BODY}</article></form>", True),
+    (f"<object><div><main>{BODY}</main></div></object>", True),
+    (f"<form class=search><input><p>find something here</p></form><article>{BODY}</article>", True),
+    (f"<article><p><b><i><u><s><em><strong><span></span></strong></em></s></u></i></b><div>{BODY}</div></article>", True),
     (f"<div class='content has-sidebar'><div id=page-header><main>{BODY}</main></div></div>", True),
     (f"<article class='post widget'>{BODY}</article>", True),
     (f"<div class=sidebar><p>Aside</div><article>{BODY}</article>", True),
