@@ -19,6 +19,7 @@ and the matches themselves add up to them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,24 +57,77 @@ ACCOUNT_CODES = ("AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE ES FI FR
 VOTES = ["shape", "digits", "account_code", "not_cue", "cue"]
 
 
+SPANS = "array<struct<start:int,end:int,value:string>>"
+#: Characters of a piece of a text; a place in it is reached without a walk from its start.
+PIECE = 1024
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(numbers: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """array<int>: 0 and the first, the first two, … of ``numbers`` under ``op``
+    (associative, 0 neutral), one entry more than numbers.
+
+    An array grows by being copied, so the totals of blocks are run first and
+    then those inside each block: n numbers cost about n ** (4 / 3) steps."""
+    def grown(part: Column, first: Column) -> Column:
+        return F.aggregate(part, F.array(first), lambda acc, x: F.concat(
+            acc, F.array(op(F.element_at(acc, -1), x))))
+
+    def within(w: Column) -> Column:
+        size = F.greatest(F.lit(32), F.ceil(F.cbrt(F.size(w))).cast("int"))
+        starts = F.sequence(F.lit(1), F.size(w), size)
+        totals = F.transform(starts, lambda i: F.aggregate(F.slice(w, i, size), F.lit(0), op))
+        each = let(grown(totals, F.lit(0)), lambda heads: F.flatten(F.transform(
+            starts, lambda i, k: F.slice(grown(F.slice(w, i, size), heads[k]), F.lit(2), size))))
+        return F.when(F.size(w) > 0, F.concat(F.array(F.lit(0)), each)).otherwise(F.array(F.lit(0)))
+
+    return let(numbers, within)
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters, for ``cut``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, length: Column) -> Column:
+    """``length`` characters from ``start`` (counted from 0) of a text in ``pieces``."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.array_join(F.slice(parts, first + 1, F.floor(length / PIECE).cast("int") + 2), "")
+    return F.substring(some, start - first * PIECE + 1, length)
+
+
 def matches(text: Column, pattern: str, near: Column) -> Column:
     """array<struct<start, end, value>> of all matches; ``near`` is a cheap test
     without which there can be none."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(
-        "array<struct<start:int,end:int,value:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + x["gap"]
-        last = first + F.length(x["value"])
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(F.struct(
-            first.alias("start"), last.alias("end"), x["value"].alias("value")))).alias("out"))
+    def walked(found: Column) -> Column:
+        steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)),
+                           lambda v, g: F.length(v) + g)
+        return let(running(steps, lambda a, b: a + b), lambda ends: F.transform(
+            found, lambda v, i: F.struct((ends[i + 1] - F.length(v)).alias("start"),
+                                         ends[i + 1].alias("end"), v.alias("value"))))
+
+    none = F.array().cast(SPANS)
+    return F.when(near, let(found, lambda v: F.when(F.size(v) > 0, walked(v)).otherwise(none))
+                  ).otherwise(none)
+
 
-    paired = F.zip_with(found, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    walked = F.aggregate(F.filter(paired, lambda x: x["value"].isNotNull()), start, step)["out"]
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(near, walked).otherwise(none)
+def covered_by(spans: Column, c: Column) -> Column:
+    """Does one of ``spans`` (sorted, apart from each other) share a character with
+    ``c``? The last one that starts before the end of ``c`` tells; it is found by
+    halving."""
+    bits = F.sequence(F.floor(F.log2(F.size(spans))).cast("int"), F.lit(0), F.lit(-1))
+    before = F.aggregate(F.transform(bits, lambda k: F.call_function("shiftleft", F.lit(1), k)), F.lit(0),
+                         lambda n, step: F.when((n + step <= F.size(spans)) & (
+                             F.get(spans, n + step - 1)["start"] < c["end"]), n + step).otherwise(n))
+    return F.when(F.size(spans) > 0, let(before, lambda n: F.when(
+        n > 0, F.get(spans, n - 1)["end"] > c["start"]).otherwise(False))).otherwise(False)
 
 
 def digits(value: Column) -> Column:
@@ -94,29 +148,40 @@ def small_parts(value: Column) -> Column:
                     & (F.right(p, F.lit(3)).cast("int") <= 255))
 
 
-def annotate(df: DataFrame, text_col: str = "text") -> DataFrame:
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that keep the names of the found columns apart from those of ``df``."""
+    taken, prefix = {c.lower() for c in df.columns}, "_"
+    while taken & {prefix + k for k in [*KINDS, "other", "candidates"]}:
+        prefix += "_"
+    return prefix
+
+
+def annotate(df: DataFrame, text_col: str = "text", prefix: str = "_") -> DataFrame:
     """``df`` with _email, _ip, _card, _phone (base spans) and _candidates."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     has_digit = text.rlike("[0-9]")
+    email, ip, card, phone, candidates = (prefix + k for k in [*KINDS, "candidates"])
     out = df.withColumns({
-        "_email": matches(text, EMAIL, F.contains(text, F.lit("@"))),
-        "_ip": matches(text, IP, has_digit),
-        "_card": matches(text, CARD, has_digit),
-        "_phone": matches(text, PHONE, F.contains(text, F.lit("+"))),
-        "_candidates": matches(text, CANDIDATE, has_digit | text.rlike(r"[\[(]at[\])]"))})
+        email: matches(text, EMAIL, F.contains(text, F.lit("@"))),
+        ip: matches(text, IP, has_digit),
+        card: matches(text, CARD, has_digit),
+        phone: matches(text, PHONE, F.contains(text, F.lit("+"))),
+        candidates: matches(text, CANDIDATE, has_digit | text.rlike(r"[\[(]at[\])]"))})
     size = lambda x: F.length(digits(x["value"]))
     out = out.withColumns({
-        "_ip": F.filter("_ip", lambda x: small_parts(x["value"])),
-        "_card": F.filter("_card", lambda x: F.when(size(x).between(16, 19),
-                                                    luhn(digits(x["value"]))).otherwise(False)),
-        "_phone": F.filter("_phone", lambda x: size(x).between(8, 15))})
-    base = F.concat("_email", "_ip", "_card", "_phone")
-    free = F.filter("_candidates", lambda c: ~F.exists(base, lambda b: (
-        (b["start"] < c["end"]) & (c["start"] < b["end"]))))
-    return out.withColumn("_candidates", F.transform(free, lambda c: F.struct(
+        ip: F.filter(ip, lambda x: small_parts(x["value"])),
+        card: F.filter(card, lambda x: F.when(size(x).between(16, 19),
+                                              luhn(digits(x["value"]))).otherwise(False)),
+        phone: F.filter(phone, lambda x: size(x).between(8, 15))})
+    # bound by let: where a filter is pushed down, an expression in a lambda is run per element
+    free = let(F.array(email, ip, card, phone), lambda base: F.filter(
+        candidates, lambda c: ~F.exists(base, lambda spans: covered_by(spans, c))))
+    around = let(pieces(text), lambda parts: F.transform(free, lambda c: F.struct(
         c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"),
-        F.lower(F.substring(text, F.greatest(c["start"] - BEFORE + 1, F.lit(1)),
-                            F.least(c["start"], F.lit(BEFORE)))).alias("before"))))
+        F.lower(cut(parts, F.greatest(c["start"] - BEFORE, F.lit(0)),
+                    F.least(c["start"], F.lit(BEFORE)))).alias("before"))))
+    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
+    return out.withColumn(candidates, F.when(F.size(candidates) > 0, around).otherwise(none))
 
 
 def votes(c: Column) -> dict[str, Column]:
@@ -193,12 +258,13 @@ def belief_column(vote: dict[str, Column], share: float, table: list) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def learn(annotated: DataFrame) -> list[float] | None:
+def learn(annotated: DataFrame, prefix: str = "_") -> list[float] | None:
     """Intercept and coefficients of the span classifier; None without candidates."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    spans = annotated.select(F.explode("_candidates").alias("c"))
+    # outer: for a plain explode all patterns would run again in an inferred filter
+    spans = annotated.select(F.explode_outer(prefix + "candidates").alias("c")).filter("c is not null")
     counts = stage(spans.select(*[v.cast("int").alias(f"v_{k}") for k, v in votes(F.col("c")).items()],
                                 *[v.alias(k) for k, v in features(F.col("c")).items()])
                    .groupBy(*[f"v_{k}" for k in VOTES], *FEATURES)
@@ -217,10 +283,10 @@ def learn(annotated: DataFrame) -> list[float] | None:
     return [float(model.intercept), *map(float, model.coefficients)]
 
 
-def accepted(model: list[float] | None, threshold: float) -> Column:
+def accepted(model: list[float] | None, threshold: float, prefix: str = "_") -> Column:
     """Candidates whose probability reaches ``threshold``."""
     if model is None:
-        return F.filter("_candidates", lambda c: F.lit(False))
+        return F.filter(prefix + "candidates", lambda c: F.lit(False))
 
     def probability(c: Column) -> Column:
         own = features(c)
@@ -229,7 +295,7 @@ def accepted(model: list[float] | None, threshold: float) -> Column:
             z = z + weight * own[name]
         return 1 / (1 + F.exp(-z))
 
-    return F.filter("_candidates", lambda c: probability(c) >= threshold)
+    return F.filter(prefix + "candidates", lambda c: probability(c) >= threshold)
 
 
 def span_text(kind: str, spans: Column) -> Column:
@@ -239,13 +305,16 @@ def span_text(kind: str, spans: Column) -> Column:
 
 def find(df: DataFrame, threshold: float = 0.9, text_col: str = "text") -> DataFrame:
     """``df`` with _email, _ip, _card, _phone and _other: arrays of
-    struct<start, end, value>, code points, end exclusive.
+    struct<start, end, value>, code points, end exclusive. If ``df`` has a column
+    of one of these names (or _candidates), all five get more underscores.
 
     Null and empty texts have no spans; rows stay as they are, repeated ones
     repeated; without candidates nothing is learned and _other is empty."""
-    annotated = annotate(df, text_col)
-    model = learn(annotated)
-    return annotated.withColumn("_other", accepted(model, threshold)).drop("_candidates")
+    prefix = free_prefix(df)
+    annotated = annotate(df, text_col, prefix)
+    model = learn(annotated, prefix)
+    return annotated.withColumn(prefix + "other", accepted(model, threshold, prefix)).drop(
+        prefix + "candidates")
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -265,24 +334,24 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def redact(df: DataFrame, threshold: float = 0.9, text_col: str = "text") -> DataFrame:
     """``df`` with every span in ``text_col`` replaced by its kind in brackets;
     overlapping spans become one, of the kind that starts first."""
+    prefix = free_prefix(df)
     found = find(df, threshold, text_col)
 
-    def named(column: str, kind: str) -> Column:
-        return F.transform(column, lambda s: F.struct(
+    def named(name: str, kind: str) -> Column:
+        return F.transform(prefix + name, lambda s: F.struct(
             s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    spans = F.array_sort(F.concat(*[named(f"_{k}", k) for k in KINDS], named("_other", OTHER)))
     text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        new = F.concat(acc["out"], F.array(kept, F.concat(F.lit("["), s["kind"], F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
-
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-
-    masked = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)
+    spans = F.array_sort(F.concat(*[named(k, k) for k in KINDS], named("other", OTHER)))
+
+    def written(spans: Column) -> Column:
+        """Pieces between the spans and kinds; ``ends`` is how far the spans before reach."""
+        ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        return let(pieces(text), lambda parts: let(ends, lambda ends: F.concat(
+            F.array_join(F.transform(spans, lambda s, i: F.when(s["start"] >= ends[i], F.concat(
+                cut(parts, ends[i], s["start"] - ends[i]), F.lit("["), s["kind"], F.lit("]")))
+                .otherwise("")), ""),
+            cut(parts, F.element_at(ends, -1), F.length(text)))))
+
+    masked = let(spans, lambda s: F.when(F.size(s) > 0, written(s)).otherwise(text))
     return found.withColumn(text_col, masked).select(*df.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scour.llm.common import stage
-from scour.llm.pii import matches
+from scour.llm.pii import cut, let, matches, pieces
 
 RUN = r"(?<![\p{L}\p{N}+/_-])[A-Za-z0-9+/_-]{12,}+(?!\p{L})"
 WORD_LENGTH = 16                # letters only: this long at least
@@ -72,14 +72,16 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kinds = F.concat(each(F.array_distinct("logins"), LOGIN_KIND),
                      each(F.array_except("values", "logins"), ASSIGNED_KIND),
                      each(F.array_except("runs", F.concat("values", "logins")), RUN_KIND))
-    around = F.transform(kinds, lambda s: F.struct(
+    around = let(pieces(F.col("text")), lambda parts: F.transform(kinds, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"),
-        F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("value"),
-        F.substring(F.col("text"), F.greatest(s["start"] - NEAR + 1, F.lit(1)),
-                    F.least(s["start"], F.lit(NEAR))).alias("before"),
-        F.substring(F.col("text"), s["end"] + 1, F.lit(NEAR)).alias("after"),
-        s["kind"].alias("kind")))
-    return rows.select("doc_id", F.explode(around).alias("s")).select("doc_id", "s.*")
+        cut(parts, s["start"], s["end"] - s["start"]).alias("value"),
+        cut(parts, F.greatest(s["start"] - NEAR, F.lit(0)),
+            F.least(s["start"], F.lit(NEAR))).alias("before"),
+        cut(parts, s["end"], F.lit(NEAR)).alias("after"),
+        s["kind"].alias("kind"))))
+    # outer: for a plain explode all patterns would run again in an inferred filter
+    return rows.select("doc_id", F.explode_outer(around).alias("s")).filter(
+        "s is not null").select("doc_id", "s.*")
 
 
 def packed(start: Column, end: Column) -> Column:

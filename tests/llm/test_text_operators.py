@@ -4,6 +4,7 @@ empty, blank and very long texts, ties, repeated rows, clashing extra columns.""
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -403,6 +404,51 @@ def test_pii_learns_further_spans_and_redacts(spark):
     assert texts[202] == "nothing 𝒳 here" and texts[105] == rows[45][1]
 
 
+def test_pii_many_matches_in_one_text(spark):
+    rnd = random.Random(15)
+    bits = ["a@b.c, ", "1.2.3.4 x ", "4111 1111 1111 1111, ", "+1 (415) 555-2671; ", "𝒳é ", "call 12 34 56, "]
+    text = "".join(rnd.choice(bits) for _ in range(200_000))
+    want = {k: [(m.start(), m.end()) for m in re.finditer(p, text) if passes(k, m.group(0))]
+            for k, p in PATTERNS.items()}
+    begun = time.time()
+    found = pii.find(frame(spark, [(1, text)]), threshold=2.0).drop("text").first()
+    masked = pii.redact(frame(spark, [(1, text)]), threshold=2.0).first()["text"]
+    assert time.time() - begun < 120
+    for k in PATTERNS:
+        assert [(s["start"], s["end"]) for s in found[f"__{k}"]] == want[k]     # a column _email is there
+    out, at = [], 0
+    for start, end, kind in sorted((*s, k) for k in want for s in want[k]):
+        if start >= at:
+            out.append(text[at:start] + f"[{kind}]")
+        at = max(at, end)
+    assert masked == "".join(out) + text[at:]
+
+
+def test_pii_context_of_candidates(spark):
+    text = "".join(f"𝒳 phone {'é' * (i % 40)} (415) 555-{1000 + i} or" for i in range(400))
+    got = pii.annotate(frame(spark, [(1, text), (2, "555 1000 2000"), (3, "a@b.c 555-1000 1.2.3.4")]))
+    rows = {r["doc_id"]: r["_candidates"] for r in got.collect()}
+    assert len(rows[1]) == 400
+    for c in rows[1]:
+        assert text[c["start"]:c["end"]] == c["value"]
+        assert c["before"] == text[max(0, c["start"] - pii.BEFORE):c["start"]].lower()
+    assert [(c["value"], c["before"]) for c in rows[2]] == [("555 1000 2000", "")]
+    assert [(c["value"], c["before"]) for c in rows[3]] == [("555-1000", "a@b.c ")]
+
+
+def test_pii_keeps_columns_of_its_own_names(spark):
+    df = frame(spark, [(1, "write to a@b.org"), (2, None)])
+    for c in ("_email", "_Candidates", "__other"):
+        df = df.withColumn(c, F.lit("mine"))
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[1]["text"] == "write to [email]" and rows[2]["text"] is None
+    assert all(r["_email"] == r["_Candidates"] == r["__other"] == "mine" for r in rows.values())
+    found = pii.find(df).filter("doc_id = 1").first()
+    assert found["_email"] == "mine" and [s["value"] for s in found["___email"]] == ["a@b.org"]
+
+
 def test_em_finds_the_unreliable_labeler():
     # two labelers agree with the truth, one votes at random
     rnd = random.Random(3)
@@ -473,6 +519,17 @@ def test_short_and_broken_secrets_reach_the_forest(spark):
         (i, sha(f"p@ss!{i}")) for i in range(40)} | {(100 + i, sha(f"pw!{i}")) for i in range(40)}
 
 
+def test_secret_candidates_deep_in_a_long_text(spark):
+    text = "".join(f"𝒳 key{i:05d}{'a' * (i % 7)}{i:04d}Zz, é" for i in range(20_000))
+    got = secret_scan.candidates(frame(spark, [(1, text)])).collect()
+    want = [(m.start(), m.end()) for m in re.finditer(r"key\w+", text)]
+    assert sorted((r["start"], r["end"]) for r in got) == want
+    for r in got:
+        assert r["value"] == text[r["start"]:r["end"]]
+        assert r["before"] == text[max(0, r["start"] - secret_scan.NEAR):r["start"]]
+        assert r["after"] == text[r["end"]:r["end"] + secret_scan.NEAR]
+
+
 def test_rare_secrets_are_drawn_for_training(spark):
     rows = [(i, f"see /usr/share/internationalization{i}/characteristic{i} and of the") for i in range(1500)]
     rows += [(5000 + i, f'here is token = "{i}f3a9c{i}d07b{i}e51c8842{i}b6" end') for i in range(3)]
