@@ -15,15 +15,18 @@ becomes:
    no task holds all batches), keep batches whose total before them is < N;
 7. the kept rows are the rows to write.
 
-Steps 3-6 run in rounds of consecutive batches that grow geometrically, so a
-small N over a large source embeds a small prefix, not the whole source.
+Steps 3-6 run in rounds of consecutive batches. A round looks up ids until it has
+as many new ones as N still needs, then embeds those, so that a small N over a large
+source embeds a small prefix, not the whole source, and one round mostly suffices.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from scour.session import Stages, materialize
@@ -124,7 +127,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
+def batch_plan(source: DataFrame, order_col: str,
+               stored_ids: DataFrame | Callable[[DataFrame], DataFrame],
                embed, number_of_records: int = 1000, batch_size: int = 100,
                offset: int = 0, key: str = "doc_id", text: str = "text",
                exact: bool = False, growth: float = 2.0,
@@ -132,54 +136,65 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
     """Rows the sequential ingest loop would index.
 
     ``source`` has a unique, non-null ``order_col``, a content id ``key`` and
-    ``text``. ``embed(df, text) -> df`` adds ``embedding`` and ``error`` per
-    row (see ``scour.operators.embed``) and gives a text the same result every
-    time it is offered. Returns ``(kept, rejects, batches)``:
+    ``text``. ``stored_ids`` is a table of ids, or a function that gives the stored ones
+    (``key``) among the ids of a table. ``embed(df, text) -> df`` adds ``embedding`` and
+    ``error`` per row (see ``scour.operators.embed``) and gives a text the same result
+    every time it is offered. Returns ``(kept, rejects, batches)``:
       kept    - order_col, rn, batch_no, key, text, embedding
       rejects - order_col, rn, batch_no, key, error
       batches - batch_no, page_offset, fetched, indexed, total_before, total_after
     ``exact=True`` cuts the last batch so that exactly N rows are kept.
 
-    * ordinals are computed once on the order key alone and written, sorted, so
-      a round's keys are read by row-group pruning;
-    * a round reads the source through a pushed-down range filter on the order
-      key and joins its ordinals (counted, broadcast under ``broadcast_bytes``);
-    * stored ids are found by streaming the index past the round's keys; ids
-      embedded by an earlier round are not embedded again, and the rest once
-      per id, whatever the number of its copies;
-    * the first round has the batches N needs if every row were indexed; each
-      next round is at least ``growth`` times larger and sized from the yield
-      seen so far, so the number of rounds is logarithmic.
-
-    The driver reads one summary row per round and nothing else.
+    * ordinals are computed once on the order key alone and written;
+    * a round reads keys through a pushed-down range filter on the order
+      key and joins their ordinals (counted, broadcast under ``broadcast_bytes``),
+      drops the stored ids and writes the rest, keys without texts. While these are
+      fewer than N needs, the next batches (``growth`` times as many) are looked up;
+    * then the ids of the round are embedded, each once, whatever the number of its
+      copies, and none that an earlier round embedded;
+    * a round ends at the batch that has enough, so the first embeds no more than N
+      and the rest of a batch; a later one is sized by the yield so far (ids that
+      fail or repeat) and a fourth more.
+
+    The driver reads a few numbers per round and nothing else.
     """
     spark = source.sparkSession
     stages = stages or Stages(spark)
     pages = plan_batches(source, order_col, offset, batch_size, stages)
-    pages = stages.write(pages.sortWithinPartitions("rn"), "page-ordinals")
     shape = pages.agg(F.max("batch_no").alias("m"), F.count(F.lit(1)).alias("n")).first()
     last = -1 if shape["m"] is None else int(shape["m"])
     n_after = int(shape["n"])
-    total, b0 = 0, 0
+    total, b0, share = 0, 0, None                       # share: indexed of those embedded
     nb = max(1, math.ceil(number_of_records / batch_size))
     kept_parts, reject_parts, batch_parts, seen = [], [], [], []
     while b0 <= last and total < number_of_records:
-        b1 = min(last + 1, b0 + nb)
-        bound = (b1 - b0) * batch_size
-        rk = pages.filter((F.col("batch_no") >= b0) & (F.col("batch_no") < b1))
-        ends = rk.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-        small = bound * KEY_BYTES <= broadcast_bytes
-        rows = (source.select(order_col, key, text)
-                .filter(F.col(order_col).between(ends["lo"], ends["hi"]))
-                .join(F.broadcast(rk) if small else rk, order_col))
-        fresh = skip_stored(rows, stored_ids, key, bound, broadcast_bytes)
-        new = fresh
+        parts, new_rows, b1 = [], 0, b0
+        need = number_of_records - total
+        if share is not None:
+            need = math.ceil(1.25 * need / share)
+        while b1 <= last and new_rows < need:
+            b2 = min(last + 1, b1 + nb)
+            part, count = _offered(source, pages, order_col, key, stored_ids, b1, b2,
+                                   (b2 - b1) * batch_size, broadcast_bytes, stages)
+            parts.append(part)
+            new_rows += count
+            nb = max(math.ceil(nb * growth),
+                     math.ceil(1.1 * (need - new_rows) * (b2 - b0) / max(new_rows, 1)))
+            b1 = b2
+        offered = _union(parts)
+        if new_rows > need:                             # end at the batch that has enough
+            sizes = offered.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"))
+            enough = (prefix_sum(sizes, "batch_no", "n", "before").filter(F.col("before") < need)
+                      .agg(F.max("batch_no").alias("b"), F.sum("n").alias("n")).first())
+            b1, new_rows = int(enough["b"]) + 1, int(enough["n"])
+            offered = offered.filter(F.col("batch_no") < b1)
+        once = offered.groupBy(key).agg(F.min(order_col).alias(order_col))
         if seen:                                        # embedded by an earlier round
-            new = fresh.join(_union(seen).select(key), key, "left_anti")
-        once = new.groupBy(key).agg(F.first(text).alias(text))
-        tagged = stages.write(embed(once, text).select(key, text, "embedding", "error"),
+            once = once.join(_union(seen).select(key), key, "left_anti")
+        small = new_rows * KEY_BYTES <= broadcast_bytes
+        texts = source.select(order_col, text).join(F.broadcast(once) if small else once, order_col)
+        tagged = stages.write(embed(texts.select(key, text), text).select(key, text, "embedding", "error"),
                               "embedded-ids")           # the embedder runs once
-        offered = stages.write(fresh.select(order_col, "rn", "batch_no", key), "offered-rows")
         ok_ids = tagged.filter(F.col("error").isNull() & F.col("embedding").isNotNull())
         ok = offered.join(ok_ids.select(key, text, "embedding"), key)
         first = ok.groupBy(key).agg(F.min("batch_no").alias("batch_no"))
@@ -196,15 +211,17 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
                      .withColumn("indexed", F.coalesce("indexed", F.lit(0))))
         per_batch = prefix_sum(per_batch, "batch_no", "indexed", "total_before") \
             .withColumn("total_before", F.col("total_before") + F.lit(total))
+        counted = Observation()
         batches = stages.write(
             per_batch.filter(F.col("total_before") < number_of_records)
             .withColumn("page_offset", F.lit(offset) + F.col("batch_no") * batch_size)
             .withColumn("indexed", F.least("indexed", F.lit(number_of_records) - F.col("total_before"))
                         if exact else F.col("indexed"))
             .withColumn("total_after", F.col("total_before") + F.col("indexed"))
-            .select("batch_no", "page_offset", "fetched", "indexed", "total_before", "total_after"),
+            .select("batch_no", "page_offset", "fetched", "indexed", "total_before", "total_after")
+            .observe(counted, F.sum("indexed").alias("n")),
             "ingest-batches")
-        got = batches.agg(F.coalesce(F.sum("indexed"), F.lit(0)).alias("n")).first()["n"]
+        got = int(counted.get.get("n") or 0)
         kept = ok.join(batches.select("batch_no", "total_before"), "batch_no")
         if exact:
             w = Window.partitionBy("batch_no").orderBy("rn")
@@ -215,11 +232,10 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
                             .join(batches.select("batch_no"), "batch_no", "left_semi")
                             .select(order_col, "rn", "batch_no", key, "error"))
         batch_parts.append(batches)
-        total += int(got)
-        per = got / (b1 - b0)
-        need = number_of_records - total
-        nb = max(math.ceil(nb * growth),
-                 math.ceil(1.25 * need / per) if per > 0 else last + 1)
+        total += got
+        if new_rows:
+            share = min(share or 1.0, max(0.01, got / new_rows))
+        nb = max(1, math.ceil(1.1 * (b1 - b0) * (number_of_records - total) / max(got, 1)))
         b0 = b1
     if not batch_parts:                                 # nothing after the offset, or N is 0
         order_type = source.schema[order_col].dataType.simpleString()
@@ -229,3 +245,23 @@ def batch_plan(source: DataFrame, order_col: str, stored_ids: DataFrame,
                 spark.createDataFrame([], "batch_no long, page_offset long, fetched long, "
                                           "indexed long, total_before long, total_after long"))
     return _union(kept_parts), _union(reject_parts), _union(batch_parts)
+
+
+def _offered(source: DataFrame, pages: DataFrame, order_col: str, key: str, stored_ids, b0: int,
+             b1: int, bound: int, broadcast_bytes: int, stages: Stages) -> tuple[DataFrame, int]:
+    """(order_col, key, rn, batch_no) of the rows of batches b0 to b1 - 1 whose id is not
+    stored, written, and how many they are; ``bound``: rows of these batches at most."""
+    rk = pages.filter((F.col("batch_no") >= b0) & (F.col("batch_no") < b1))
+    ends = rk.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+    small = bound * KEY_BYTES <= broadcast_bytes
+    rows = (source.select(order_col, key)
+            .filter(F.col(order_col).between(ends["lo"], ends["hi"]))
+            .join(F.broadcast(rk) if small else rk, order_col))
+    if callable(stored_ids):
+        fresh = rows.join(stored_ids(rows), key, "left_anti")
+    else:
+        fresh = skip_stored(rows, stored_ids, key, bound, broadcast_bytes)
+    seen = Observation()
+    part = stages.write(fresh.select(order_col, "rn", "batch_no", key).observe(
+        seen, F.count(F.lit(1)).alias("n")), "offered-rows")
+    return part, int(seen.get.get("n") or 0)

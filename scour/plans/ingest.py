@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scour.functions.text import content_id, document_text
 from scour.operators.embed import DEFAULT_DIM, checked, hash_embedder
-from scour.operators.index import (append_rows, create_if_missing, index_dimension, read_index,
+from scour.operators.index import (append_rows, create_if_missing, index_dimension, stored_among,
                                    to_index_rows, upsert)
 from scour.operators.ingest import batch_plan
 from scour.session import Stages, materialize
@@ -48,8 +48,11 @@ def ingest(spark: SparkSession, docs: DataFrame, index_path: str, *, order_col:
     """
     create_if_missing(spark, index_path, dim)
     dim = index_dimension(spark, index_path) or dim
-    stored = read_index(spark, index_path).select("doc_id")
     stages = Stages(spark)
+
+    def stored(rows: DataFrame) -> DataFrame:
+        return stored_among(spark, index_path, rows, stages=stages)
+
     kept, rejects, batches = batch_plan(
         docs, order_col, stored, checked(embed or default_embedder(dim), dim),
         number_of_records=number(number_of_records, 1000), batch_size=number(batch_size, 100),

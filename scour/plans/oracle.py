@@ -7,7 +7,7 @@ The hash-embedder and distance rules are written out once as CTE builders.
 from __future__ import annotations
 
 from scour.plans.registry import (DEEP_LIMIT, DEEP_SHARE, DIM, K, PAGE_LIMIT, PAGE_OFFSET,
-                                  PLAN_BATCH, PLAN_OFFSET, PLAN_RECORDS, REFUSED)
+                                  PLAN_BATCH, PLAN_OFFSET, PLAN_SHARE, REFUSED)
 from scour.sources.requests import DEFAULT_API_KEY
 
 
@@ -138,7 +138,9 @@ pb AS (SELECT f.batch_no, f.fetched, coalesce(ix.indexed, 0) AS indexed
        FROM fetched f LEFT JOIN ix USING (batch_no)),
 run AS (SELECT *, coalesce(sum(indexed) OVER (ORDER BY batch_no
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS total_before FROM pb),
-kb AS (SELECT * FROM run WHERE total_before < {PLAN_RECORDS})"""
+many AS (SELECT floor(count(*) * {PLAN_SHARE}) AS n FROM src s
+         WHERE NOT EXISTS (SELECT 1 FROM stored t WHERE t.content_id = s.content_id)),
+kb AS (SELECT run.* FROM run, many WHERE total_before < many.n)"""
 
 
 def _with(*parts: str) -> str:

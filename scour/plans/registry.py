@@ -39,7 +39,7 @@ DIM = 64                  # width of the driver's vectors and of the hash embedd
 K = 5                     # neighbours per search
 PAGE_LIMIT, PAGE_OFFSET = 50, 10
 DEEP_LIMIT, DEEP_SHARE = 40, 0.75     # a page past three quarters of the rows
-PLAN_RECORDS, PLAN_BATCH, PLAN_OFFSET = 450, 20, 10
+PLAN_SHARE, PLAN_BATCH, PLAN_OFFSET = 0.75, 20, 10   # N: three quarters of the rows not stored
 INGEST_RECORDS, INGEST_BATCH = 100_000_000, 64
 REFUSED = ("0", "3")      # first hex digits of content ids that the flaky embedder refuses
 IVF_CELLS = 16
@@ -155,8 +155,10 @@ def embed_failures(spark, sf):
 def _plan(spark, sf):
     src = _t(spark, sf, "documents").select("doc_id", "text",
                                              content_id("text").alias("content_id"))
-    return _batch_plan(src, "doc_id", _stored_ids(spark, sf), flaky_embedder(),
-                       number_of_records=PLAN_RECORDS, batch_size=PLAN_BATCH,
+    stored = _stored_ids(spark, sf)
+    fresh = skip_stored(src.select("content_id"), stored, "content_id").count()
+    return _batch_plan(src, "doc_id", stored, flaky_embedder(),
+                       number_of_records=int(fresh * PLAN_SHARE), batch_size=PLAN_BATCH,
                        offset=PLAN_OFFSET, key="content_id", text="text")
 
 

@@ -14,6 +14,14 @@ INDEX = T.StructType([
     T.StructField("id_prefix", T.StringType(), True),
 ])
 
+# Bloom filters of the stored ids: a row per write, prefix and block.
+FILTERS = T.StructType([
+    T.StructField("id_prefix", T.StringType(), True),
+    T.StructField("blocks", T.IntegerType(), True),
+    T.StructField("block", T.IntegerType(), True),
+    T.StructField("bits", T.BinaryType(), True),
+])
+
 # A request event, as the gateway hands it over.
 REQUEST_EVENT = T.StructType([
     T.StructField("resource", T.StringType(), True),

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from scour.functions.text import content_id
 from scour.operators.embed import DEFAULT_DIM, checked, hash_embedder
-from scour.operators.index import append_rows, create_if_missing, read_index, to_index_rows
-from scour.operators.ingest import skip_stored
+from scour.operators.index import append_rows, create_if_missing, stored_among, to_index_rows
 from scour.session import Stages
 from scour.sources.tables import spread
 
@@ -26,9 +25,8 @@ def process_batch(spark: SparkSession, batch: DataFrame, index_path: str, text:
     """One micro-batch: fold copies, skip the ids already in the index, embed
     each new id once, append.
 
-    The batch's distinct ids and texts are written once and counted; while
-    their keys are small enough to broadcast, stored ids are found by streaming
-    the index past them, so the index is never shuffled.
+    The batch's distinct ids and texts are written once; the index's filters
+    name the few ids that may be stored, and only those are looked up.
 
     One id check per batch is enough for replays: a replayed epoch sees the
     files the first attempt committed, and the file commit protocol leaves
@@ -37,11 +35,9 @@ def process_batch(spark: SparkSession, batch: DataFrame, index_path: str, text:
     docs = spread(batch).select(content_id(F.col(text)).alias("doc_id"), F.col(text).alias("text")) \
                         .filter(F.col("doc_id").isNotNull())
     docs = stages.write(docs.groupBy("doc_id").agg(F.first("text").alias("text")), "stream-batch")
-    bound = docs.count()
     report = {"written": 0, "rejected": 0}
-    if bound:
-        stored = read_index(spark, index_path, dim).select("doc_id")
-        fresh = skip_stored(docs, stored, rows_bound=bound)
+    if not docs.isEmpty():
+        fresh = docs.join(stored_among(spark, index_path, docs, stages=stages), "doc_id", "left_anti")
         ok = checked(embed or hash_embedder(dim), dim)(fresh, "text").filter(F.col("error").isNull())
         report = append_rows(spark, index_path, to_index_rows(ok, run_id))
     stages.clear()

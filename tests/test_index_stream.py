@@ -1,8 +1,10 @@
 """Index writes (create, width check, upsert, idempotent append) and the stream."""
 
 import os
+import re
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from scour.operators import index as idx
@@ -45,7 +47,7 @@ def test_upsert_newest_wins_and_rejects_bad_width(spark):
 def test_append_is_idempotent(spark):
     path = os.path.join(tempfile.mkdtemp(), "index")
     rows = _rows(spark, ["x", "y", "x"], 0)
-    idx.append_new(spark, path, rows)
+    idx.append_new(spark, path, rows, 64)
     idx.append_new(spark, path, rows)
     assert idx.read_index(spark, path).count() == 2
 
@@ -74,7 +76,8 @@ def test_upsert_older_or_missing_run_never_replaces_newer(spark):
 
 def _files(path):
     return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f))
-            for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+            for d, _, names in os.walk(path) for f in names
+            if f.startswith("part-") and "id_prefix=" in d}
 
 
 def test_upsert_of_few_ids_rewrites_no_file(spark):
@@ -92,7 +95,7 @@ def test_files_are_sorted_and_scratch_is_deleted(spark):
     path = os.path.join(tempfile.mkdtemp(), "index")
     shared = checkpoint_dir(spark)
     before = set(os.listdir(shared))
-    idx.append_rows(spark, path, _rows(spark, [f"text {i}" for i in range(300)], 1))
+    idx.append_rows(spark, path, _rows(spark, [f"text {i}" for i in range(300)], 1), 64)
     assert set(os.listdir(shared)) == before
     for f in _files(path):
         ids = [r["doc_id"] for r in spark.read.parquet(f).collect()]
@@ -107,6 +110,70 @@ def test_append_rejects_bad_vectors(spark):
     assert report == {"written": 2, "rejected": 1}
 
 
+def test_width_is_required(spark):
+    path = os.path.join(tempfile.mkdtemp(), "index")
+    with pytest.raises(ValueError, match="width"):
+        idx.append_rows(spark, path, _rows(spark, ["a"], 0))
+
+
+def _ids(spark, texts):
+    return _rows(spark, texts, 0).select("doc_id")
+
+
+def test_stored_among_equals_a_join_with_and_without_filters(spark):
+    path = os.path.join(tempfile.mkdtemp(), "index")
+    for run in range(3):                                 # three writes, filters of their own
+        idx.append_rows(spark, path, _rows(spark, [f"t {run} {i}" for i in range(150)], run), 64)
+    idx.upsert(spark, path, _rows(spark, ["t 0 3", "t 9 9"], 5), 64)
+    asked = _ids(spark, [f"t {run} {i}" for run in range(5) for i in range(0, 300, 7)] + ["t 9 9"] * 2)
+    asked = asked.unionByName(spark.createDataFrame([(None,), ("",), ("no hash",)], "doc_id string"))
+    want = sorted(r[0] for r in asked.distinct().join(spark.read.parquet(path), "doc_id", "left_semi").collect())
+    found = lambda **o: sorted(r[0] for r in idx.stored_among(spark, path, asked, **o).collect())
+    assert len(want) > 60 and found() == want and found(broadcast_bytes=0) == want
+    idx.compact(spark, path)
+    assert found() == want and not os.path.exists(f"{path}/_repeated")
+    os.remove(f"{path}/_filters/_SUCCESS")               # a rebuild that was cut off
+    assert found() == want
+
+
+def test_prefixes_without_a_candidate_are_not_read(spark):
+    path = os.path.join(tempfile.mkdtemp(), "index")
+    idx.append_rows(spark, path, _rows(spark, [f"t {i}" for i in range(400)], 0), 64)
+    one = idx.stored_among(spark, path, _ids(spark, ["t 7"]))
+    prefix = one.first()["doc_id"][0]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"PartitionFilters: \[[^]]*id_prefix#\d+ (= {prefix}\)|IN \({prefix}\))", plan)
+    none = idx.stored_among(spark, path, _ids(spark, ["new text"]))
+    assert none.count() == 0
+
+
+def test_filters_hold_every_id_in_many_blocks_and_few_others(spark, monkeypatch):
+    monkeypatch.setattr(idx, "BLOCK_IDS", 40)
+    path = os.path.join(tempfile.mkdtemp(), "index")
+    texts = [f"t {i}" for i in range(3000)]
+    rows = _rows(spark, texts, 0)
+    idx.create_if_missing(spark, path, 64)
+    idx._add_filters(rows, path, 3000)
+    idx._add_filters(rows.limit(100), path, 100)         # another number of blocks
+    with_prefix = lambda t: _rows(spark, t, 0).select("doc_id", "id_prefix")
+    assert idx._maybe_stored(spark, path, with_prefix(texts)).count() == 3000
+    others = idx._maybe_stored(spark, path, with_prefix([f"other {i}" for i in range(2000)])).count()
+    assert others <= 20
+
+
+def test_marked_index_reads_without_a_shuffle_of_all_ids(spark):
+    path = os.path.join(tempfile.mkdtemp(), "index")
+    first = idx.upsert(spark, path, _rows(spark, [f"t {i}" for i in range(300)], 1), 64)
+    report = idx.upsert(spark, path, _rows(spark, ["t 5", "t 6", "new"], 2), 64)
+    assert report["replaced"] == 2
+    assert {r[0] for r in spark.read.parquet(f"{path}/_repeated").collect()} == {
+        r[0] for r in _ids(spark, ["t 5", "t 6"]).collect()}
+    runs = {r["text"]: r["run_id"] for r in idx.read_index(spark, path).collect()}
+    assert len(runs) == first["written"] + 1 > 280 and runs["t 5"] == runs["t 6"] == runs["new"] == 2 and runs["t 7"] == 1
+    far = idx.read_index(spark, path, broadcast_bytes=0)
+    assert sorted(far.collect()) == sorted(idx.read_index(spark, path).collect())
+
+
 def test_stream_replay_adds_nothing(spark):
     base = tempfile.mkdtemp()
     src = os.path.join(base, "src")
