@@ -216,8 +216,8 @@ def similar_windows(w: np.ndarray, grams: np.ndarray, owners: np.ndarray, counts
 
 
 def windows(docs: DataFrame, known: tuple, threshold: float) -> DataFrame:
-    """doc_id, first_id (of equal items, the smallest id), similarity, start, n_words of
-    the ``similar_windows``; ``known``: plain arrays, see ``contaminated``."""
+    """doc_id, same (names the item's text), similarity, start, n_words of the
+    ``similar_windows``; ``known``: plain arrays, see ``contaminated``."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +238,9 @@ def windows(docs: DataFrame, known: tuple, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, kind) for c, kind in zip(
                     cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32()), strict=True)],
-                ["doc_id", "first_id", "similarity", "start", "n_words"])
+                ["doc_id", "same", "similarity", "start", "n_words"])
 
-    return docs.mapInArrow(run, "doc_id long, first_id long, similarity double, start long, n_words int")
+    return docs.mapInArrow(run, "doc_id long, same long, similarity double, start long, n_words int")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
@@ -255,15 +255,14 @@ def contaminated(df: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     named are not read; without documents or items there are no rows."""
     docs = id_text(df, id_col, text_col)
     every = stage(items(benchmark, item_col, item_text_col), "decontaminate-items")
-    known = stage(every.groupBy("n_words", "grams").agg(
-        F.min("item_id").alias("first_id"), F.min("fingerprint").alias("fingerprint")),
-        "decontaminate-distinct")
+    every = every.withColumn("same", F.xxhash64("n_words", "grams"))   # equal items: one text
+    known = stage(every.groupBy("same").agg(*[F.first(c).alias(c) for c in (
+        "n_words", "grams", "fingerprint")]), "decontaminate-distinct")
     total = known.agg(F.sum(F.size("grams"))).first()[0] or 0
     blocks = -(-total // BLOCK_GRAMS)
     parts = []
     for i in range(blocks):                               # a block of items at a time
-        rows = known.filter(F.pmod(F.xxhash64("grams"), F.lit(blocks)) == i).orderBy(
-            "first_id", "n_words").collect()
+        rows = known.filter(F.pmod("same", F.lit(blocks)) == i).orderBy("same").collect()
         if not rows:
             continue
         each = [np.unique(np.array(r.grams, np.int64).view(np.uint64), return_counts=True) for r in rows]
@@ -272,7 +271,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         owner = np.repeat(np.arange(len(rows)), [len(g) for g, _ in each])[order]
         count = np.concatenate([c for _, c in each])[order]
         parts.append(windows(docs, (
-            np.array([r.first_id for r in rows], np.int64),
+            np.array([r.same for r in rows], np.int64),
             np.array([r.fingerprint for r in rows], np.int64).view(np.uint64),
             gram[order], owner, count, np.array([r.n_words for r in rows], np.int64)), threshold))
     if not parts:
@@ -281,8 +280,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    names = known.join(every, ["n_words", "grams"]).select("first_id", "n_words", "item_id")
-    return (found.join(names, ["first_id", "n_words"]).groupBy("doc_id", "item_id")
+    return (found.join(every.select("same", "item_id"), "same").groupBy("doc_id", "item_id")
             .agg(F.max_by(F.struct("similarity", "start", "n_words"),
                           F.struct("similarity", -F.col("start"), "n_words")).alias("best"))
             .select("doc_id", "item_id", "best.*"))

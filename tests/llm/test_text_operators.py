@@ -236,6 +236,43 @@ def test_windows_equal_brute_force(spark, corpus):
     assert len(got) == len(want) >= 15
 
 
+def test_multi_index_finds_all_pairs_within_the_radius():
+    rnd = np.random.default_rng(4)
+    items = rnd.integers(0, 2 ** 63, 300, dtype=np.int64).view(np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rnd.choice(64, k, replace=False))
+                      for k in rnd.integers(0, 40, 900)], np.uint64)
+    windows = np.tile(items, 3) ^ flips
+    apart = np.bitwise_count(windows[:, None] ^ items[None, :])
+    at, item = decontaminate.PrintIndex(items).within(windows)
+    assert sorted(zip(at.tolist(), item.tolist(), strict=True)) == [
+        tuple(x) for x in np.argwhere(apart <= decontaminate.RADIUS).tolist()]
+    assert not len(decontaminate.PrintIndex(items[:0]).within(windows)[0])
+
+
+def test_window_fingerprints_equal_those_of_the_windows_alone(monkeypatch):
+    monkeypatch.setattr(decontaminate, "STRETCH", 7)
+    grams = np.random.default_rng(2).integers(0, 2 ** 63, 90, dtype=np.int64).view(np.uint64)
+    starts = np.array([0, 1, 5, 6, 7, 8, 30, 31, 60])
+    got = decontaminate.window_prints(grams, starts, 30)
+    assert got.view(np.int64).tolist() == [decontaminate.simhash(grams[s:s + 30]) for s in starts]
+
+
+def test_only_what_the_fingerprints_propose_is_a_match(spark, monkeypatch):
+    rnd = random.Random(3)
+    a, b, c = (" ".join(words(rnd, 40)) for _ in range(3))
+    bench = spark.createDataFrame([(3, a), (3, b), (5, a), (6, c)], "item_id long, text string")
+    docs = frame(spark, [(1, a), (2, "so " + b), (3, c + " end")])
+    pairs = lambda: sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect())
+    assert pairs() == [(1, 3), (1, 5), (2, 3), (3, 6)]      # an id with two texts, a text with two ids
+    monkeypatch.setattr(decontaminate.PrintIndex, "within",
+                        lambda self, prints: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    w = decontaminate.words_of(a, decontaminate._Hashes())
+    g = np.unique(decontaminate.grams_of(w, 5))
+    index = {len(w): (np.zeros(1, np.int64), decontaminate.PrintIndex(np.zeros(1, np.uint64)))}
+    assert decontaminate.similar_windows(w, g, np.zeros(len(g), np.int64), np.ones(len(g), np.int64),
+                                         np.array([len(w)]), index, 0.8) == []
+
+
 def test_windows_of_moved_parts_equal_brute_force(spark):
     rnd = random.Random(31)
     own = lambda tag, n: [f"{tag}{k}" for k in range(n)]
