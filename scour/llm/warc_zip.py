@@ -19,10 +19,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,6 +44,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
 #: An archive is closed when its records reach this many bytes.
 ARCHIVE_BYTES = 1 << 30
+#: Bytes of an index or a gzip member read at once, and ranges handed on at once.
+CHUNK, RANGES = 1 << 20, 20_000
 #: Revisits up to this many are broadcast (under 100 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -190,44 +195,127 @@ def walk(file: pa.NativeFile, start: int, size: int) -> Iterator[tuple[int, int]
         at += length
 
 
+def inflated(file: pa.NativeFile, start: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """(end of the read part, text) pieces of a gzip member of the archive, streaming;
+    the text is empty at the end of each of its gzip streams."""
+    at, rest, stream = 0, b"", zlib.decompressobj(31)
+    while at < size or rest:
+        if not rest:
+            rest = read_range(file, start + at, min(CHUNK, size - at))
+            at += len(rest)
+        text = stream.decompress(rest, CHUNK)
+        rest = stream.unused_data if stream.eof else stream.unconsumed_tail
+        if text:
+            yield at - len(rest), text
+        if stream.eof:
+            yield at - len(rest), b""
+            stream = zlib.decompressobj(31)
+
+
+def walk_gzip(file: pa.NativeFile, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """(offset in the member, length) of its gzip streams, of a record each."""
+    at = 0
+    for end, text in inflated(file, start, size):
+        if not text:
+            yield at, end - at
+            at = end
+    if at < size:
+        raise ValueError("gzip stream is cut short")
+
+
+def index_lines(file: pa.NativeFile, name: str, start: int, size: int) -> Iterator[dict]:
+    """The entries of an index member, plain or gzip, streaming: JSON lines, or CDXJ lines
+    (a key and a time before the JSON); others, as headers, are left out."""
+    def pieces() -> Iterator[bytes]:
+        if name.endswith(".gz"):
+            yield from (text for _, text in inflated(file, start, size))
+        else:
+            for at in range(0, size, CHUNK):
+                yield read_range(file, start + at, min(CHUNK, size - at))
+
+    rest = b""
+    for piece in pieces():
+        *lines, rest = (rest + piece).split(b"\n")
+        yield from filter(None, map(entry_of, lines))
+    yield from filter(None, [entry_of(rest)])
+
+
+def entry_of(line: bytes) -> dict | None:
+    brace = line.find(b"{")
+    if brace < 0 or line.startswith(b"!"):
+        return None
+    entry = json.loads(line[brace:])
+    return entry if "offset" in entry and "length" in entry else None
+
+
 def ranges_of(path: str) -> Iterator[tuple[str, int, int]]:
-    """(path, offset in the file, length) of every record of an archive."""
+    """(path, offset in the file, length) of every record of an archive.
+
+    A stored ``.warc`` or ``.warc.gz`` member (a gzip stream per record) is read by the index
+    entries that name it, or that name no file where it is the only one; a member
+    without entries is walked. A member that the archive compresses raises, as its
+    records are no ranges of the file; so do two members that an entry could mean."""
     system, inner = open_fs(path)
     with system.open_input_file(inner) as file:
         members = directory(file)
-        index = [m for m in members if m[0].startswith("indexes/") and m[1] == 0]
-        for name, method, start, size in members:
-            if not name.endswith(".warc"):
-                continue
+        archives = {m[0]: m for m in members if m[0].endswith((".warc", ".warc.gz"))}
+        short: dict[str, str] = {}
+        for name in archives:
+            if short.setdefault(name.rsplit("/", 1)[-1], name) != name:
+                raise ValueError(f"two members are called {name.rsplit('/', 1)[-1]}")
+        indexes = [m for m in members if m[0].startswith("indexes/") and not m[0].endswith(".idx")]
+        for name, method, _, _ in [*archives.values(), *(indexes if archives else [])]:
             if method:
                 raise ValueError(f"{name} is compressed; members must be stored")
-            if index:
-                lines = read_range(file, index[0][2], index[0][3]).splitlines()
-                spots = ((x["offset"], x["length"]) for x in map(json.loads, lines))
-            else:
-                spots = walk(file, start, size)
-            for offset, length in spots:
-                yield path, start + offset, length
+        listed = set()
+        for name, _, start, size in indexes if archives else []:
+            for entry in index_lines(file, name, start, size):
+                if "filename" in entry:
+                    owner = short.get(entry["filename"].rsplit("/", 1)[-1])
+                else:
+                    owner = next(iter(archives)) if len(archives) == 1 else None
+                if owner is None:
+                    raise ValueError(f"{name} has an entry of no member: {entry}")
+                listed.add(owner)
+                yield path, archives[owner][2] + int(entry["offset"]), int(entry["length"])
+        for name, _, start, size in archives.values():
+            if name not in listed:
+                for offset, length in (walk_gzip if name.endswith(".gz") else walk)(file, start, size):
+                    yield path, start + offset, length
+
+
+def page_number(name: str | None) -> int | None:
+    """The page_id in a record id of this writer; null in others."""
+    own = re.fullmatch(r"<urn:x-page:(-?\d+)>", name or "")
+    return int(own[1]) if own else None
 
 
 def parse(data: bytes) -> tuple:
     """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload)
-    of a record; the payload of a revisit is null. A payload that does not match
-    its digest raises."""
+    of a record, plain or gzip. The payload of a revisit is null and its size what its HTTP
+    header says; that of a response is the body of its HTTP message, that of another record
+    its block. page_id and refers_to are null in records of other writers, a digest
+    that is not given is computed. A payload that does not match its SHA-1 raises."""
+    if data[:2] == b"\x1f\x8b":
+        data = zlib.decompress(data, 31)
     fields, block = head_of(data)
     body = data[block:block + int(fields["content-length"])]
-    http, start = head_of(body)
-    number = lambda s: int(s[len("<urn:x-page:"):-1]) if len(s) > len("<urn:x-page:>") else None
-    kind = fields["warc-type"]
-    digest = fields["warc-payload-digest"].removeprefix("sha1:")
+    kind, given = fields["warc-type"], fields.get("warc-payload-digest")
+    http, start = head_of(body) if body.startswith(b"HTTP/") else ({}, 0)
+    start = max(start, 0)
+    size = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+    page = page_number(fields.get("warc-record-id"))
+    digest = given.removeprefix("sha1:") if given else None
     payload = None
-    if kind == "response":
+    if kind != "revisit":
         payload = body[start:]
-        if base32_sha1(payload) != digest or len(payload) != int(http["content-length"]):
+        own = base32_sha1(payload)
+        broken = kind == "response" and given and given.startswith("sha1:") and own != digest
+        if broken or (page is not None and len(payload) != size):
             raise ValueError(f"payload of {fields['warc-record-id']} does not match its digest")
-    return (number(fields["warc-record-id"]), fields["warc-target-uri"], kind,
-            number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None,
-            int(http["content-length"]), digest, payload)
+        size, digest = len(payload), digest or own
+    return (page, fields.get("warc-target-uri"), kind, page_number(fields.get("warc-refers-to")),
+            size, digest, payload)
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
@@ -280,10 +368,11 @@ def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                cols = list(zip(*ranges_of(path), strict=True)) or [()] * 3
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()),
-                     pa.array(cols[2], pa.int64())], ["path", "offset", "length"])
+                for some in batched(ranges_of(path), RANGES):
+                    cols = list(zip(*some, strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()),
+                         pa.array(cols[2], pa.int64())], ["path", "offset", "length"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(),

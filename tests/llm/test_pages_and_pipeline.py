@@ -1,6 +1,7 @@
 """WARC archives, HTML extraction and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import os
 import random
@@ -87,6 +88,73 @@ def test_zip64_directory_and_missing_index():
     assert [whole[o:o + n] for _, o, n in spots] == records()
 
 
+def foreign(kind, url, body, digest=True):
+    """A record as another writer makes it."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" if kind == "response" else b""
+    named = f"WARC-Payload-Digest: sha1:{warc_zip.base32_sha1(body)}\r\n" if digest else ""
+    head = (f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{url}>\r\n"
+            f"WARC-Target-URI: http://h/{url}\r\n{named}Content-Length: {len(http + body)}\r\n\r\n")
+    return head.encode() + http + body + b"\r\n\r\n"
+
+
+def package(members):
+    path = os.path.join(tempfile.mkdtemp(), "other.wacz")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        for name, data in members:
+            z.writestr(name, data)
+    return path
+
+
+def cdxj(name, parts, keep=lambda i: True):
+    at, lines = 0, [b'!meta 0 {"format": "cdxj-gzip"}\n']
+    for i, p in enumerate(parts):
+        if keep(i):
+            lines.append(f'com,h)/{i} 20200101 {{"url": "u", "filename": "{name}", "offset": "{at}", '
+                         f'"length": "{len(p)}"}}\n'.encode())
+        at += len(p)
+    return b"".join(lines)
+
+
+@pytest.mark.parametrize("indexed", ["plain", "gzip", "none"])
+def test_foreign_packages_with_several_members(spark, indexed):
+    bodies = [bytes([65 + i]) * (i * 50_000) for i in range(6)]
+    plain = [foreign("response", f"p{i}", b, digest=i % 2 == 0) for i, b in enumerate(bodies)]
+    packed = [gzip.compress(foreign("response", f"z{i}", b)) for i, b in enumerate(bodies)]
+    info = gzip.compress(foreign("warcinfo", "info", b"software: x", digest=False))
+    members = [("archive/a.warc", b"".join(plain)), ("archive/b.warc.gz", b"".join(packed)),
+               ("archive/c.warc.gz", info)]
+    if indexed == "plain":
+        members += [("indexes/a.cdxj", cdxj("a.warc", plain)), ("indexes/b.cdxj", cdxj("b.warc.gz", packed))]
+    if indexed == "gzip":
+        lines = cdxj("a.warc", plain) + cdxj("archive/b.warc.gz", packed)
+        members += [("indexes/index.cdx.gz", gzip.compress(lines[:300]) + gzip.compress(lines[300:]))]
+    files = spark.createDataFrame([(package(members),)], "path string")
+    got = {r.url: (r.record_type, r.payload_bytes, bytes(r.payload), r.payload_digest)
+           for r in warc_zip.read_archives(files).collect()}
+    want = {f"http://h/{c}{i}": ("response", len(b), b, warc_zip.base32_sha1(b))
+            for c in "pz" for i, b in enumerate(bodies)}
+    want["http://h/info"] = ("warcinfo", 11, b"software: x", warc_zip.base32_sha1(b"software: x"))
+    assert got == want
+
+
+def test_foreign_packages_that_cannot_be_read_raise():
+    one = foreign("response", "p", b"x")
+    path = os.path.join(tempfile.mkdtemp(), "deflated.wacz")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("archive/a.warc.gz", gzip.compress(one))
+    with pytest.raises(ValueError, match="compressed"):
+        list(warc_zip.ranges_of(path))
+    lost = package([("archive/a.warc", one), ("archive/b.warc", one),
+                    ("indexes/i.cdxj", b'{"offset": 0, "length": 5}')])
+    with pytest.raises(ValueError, match="no member"):
+        list(warc_zip.ranges_of(lost))
+    cut = package([("archive/a.warc.gz", gzip.compress(one)[:-9])])
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc_zip.ranges_of(cut))
+    with pytest.raises(ValueError, match="digest"):
+        warc_zip.parse(foreign("response", "p", b"xyz").replace(b"xyz", b"xyy"))
+
+
 def test_broken_archives_and_payloads_are_errors():
     good = records()[3]
     with pytest.raises(ValueError):
