@@ -40,6 +40,9 @@ from scour.session import materialize as write_stage
 # Slack on distance comparisons between the screening (matrix product) form
 # and the exact left-to-right form of the squared distance.
 _EPS = 1e-7
+#: Rounding of one single-precision operation, doubled; the least number it can tell
+#: from 0; and the largest squared length that is screened in single precision.
+_ROUNDING, _TINY, _LARGEST = 2.0 ** -22, 1e-36, 1e30
 _SUB_QUERIES = 256
 _BATCH_ROWS = 1024
 #: Bytes of query vectors and ids that ride along with the tasks at once.
@@ -109,30 +112,136 @@ def _list_matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 class _Best:
-    """The k best rows so far of every query, and the distance to beat."""
+    """The k best rows so far of every query, and the distance to beat.
 
-    def __init__(self, n: int, k: int):
-        self.k, self.to_beat = k, np.full(n, np.inf)
-        self.q, self.ids, self.d = np.zeros(0, np.int64), None, np.zeros(0)
-
-    def near(self, Q: np.ndarray, X: np.ndarray) -> np.ndarray:
-        """Queries that something in the ball around X could still improve."""
-        centre = X.mean(0)
-        radius = math.sqrt(max(0.0, float(((X - centre) ** 2).sum(1).max())))
-        away = np.sqrt(((Q - centre) ** 2).sum(1)) - radius
-        return np.flatnonzero(np.maximum(away, 0.0) ** 2 <= self.to_beat + _EPS)
+    A batch is screened in single precision, around a common centre: what is beyond the
+    distance to beat by more than the rounding can be is out, and only the rest is
+    compared exactly. What passes is merged each time the rows seen have doubled."""
 
-    def add(self, q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
-        if not len(q):
+    def __init__(self, Q: np.ndarray, k: int, to_beat: np.ndarray | None = None):
+        self.Q, self.k = Q, k
+        self.to_beat = np.full(len(Q), np.inf) if to_beat is None else np.array(to_beat, np.float64)
+        self.q, self.ids, self.d = np.zeros(0, np.int64), None, np.zeros(0)
+        self.new, self.many, self.rows, self.due = [], 0, 0, 0
+        self.centre = None
+
+    def _start(self, X: np.ndarray) -> None:
+        self.centre = X.mean(0)
+        Q = self.Q - self.centre
+        self.qn = np.einsum("ij,ij->i", Q, Q)
+        self.left = np.empty((len(Q), Q.shape[1] + 1), np.float32)
+        self.left[:, :-1], self.left[:, -1] = -2.0 * Q, 1.0
+
+    def _near(self, X: np.ndarray) -> np.ndarray:
+        """Queries that something in the ball around X (less the centre) could still improve."""
+        mid = X.mean(0)
+        radius = math.sqrt(max(0.0, float(((X - mid) ** 2).sum(1).max())))
+        mn = float(mid @ mid)
+        away = self.qn + mn + self.left[:, :-1] @ mid.astype(np.float32)
+        away -= _ROUNDING * X.shape[1] * (np.sqrt(self.qn) + math.sqrt(mn)) ** 2
+        low = np.maximum(np.sqrt(np.maximum(away, 0.0)) - radius, 0.0) ** 2
+        return np.flatnonzero(low <= self.to_beat * (1 + _EPS) + _EPS)
+
+    def scan(self, X: np.ndarray, ids: np.ndarray) -> None:
+        """Rows X of these ids."""
+        if not len(self.Q) or not len(X):
+            return
+        if self.centre is None:
+            with np.errstate(all="ignore"):
+                self._start(X)
+        with np.errstate(all="ignore"):
+            C = X - self.centre
+            xn = np.einsum("ij,ij->i", C, C)
+        if not max(float(self.qn.max()), float(xn.max())) < _LARGEST:      # beyond single precision, or no number
+            q, x, d2 = _block_topk(self.Q, X, _id_order(ids), self.k)
+            self._hold(q, ids[x], d2)
+        else:
+            pick = self._near(C)
+            for q, x in _grouped(self._screened(pick, C, xn)):
+                d2 = _seq_sq_l2(self.Q[q], X[x])
+                keep = d2 <= self.to_beat[q]
+                self._hold(q[keep], ids[x[keep]], d2[keep])
+        self.rows += len(X)
+        if self.rows >= self.due or self.many > 4 * self.k * len(self.Q):
+            self.merge()
+            self.due = 2 * self.rows
+
+    def _screened(self, pick: np.ndarray, C: np.ndarray, xn: np.ndarray):
+        """(query, row) of pairs that may be near enough, a block of queries at a time."""
+        right = np.empty((len(C), C.shape[1] + 1), np.float32)
+        right[:, :-1], right[:, -1] = C, xn
+        right = right.T
+        far = math.sqrt(float(xn.max()))
+        room, marks = np.empty((_SUB_QUERIES, len(C)), np.float32), np.zeros(_SUB_QUERIES * len(C) + 8, bool)
+        for lo in range(0, len(pick), _SUB_QUERIES):
+            own = pick[lo:lo + _SUB_QUERIES]
+            slack = _ROUNDING * right.shape[0] * (np.sqrt(self.qn[own]) + far) ** 2 + _TINY
+            d2 = np.matmul(self.left[own], right, out=room[:len(own)])     # less the query's square
+            limit = self.to_beat[own] - self.qn[own] + slack
+            if self.k < len(C) and np.isinf(limit).any():
+                kth = np.partition(d2, self.k - 1, axis=1)[:, self.k - 1]
+                limit = np.minimum(limit, kth + 2 * slack)
+            limit = np.nextafter(limit.astype(np.float32), np.float32(np.inf))
+            np.less_equal(d2, limit[:, None], out=marks[:d2.size].reshape(d2.shape))
+            at = _marked(marks[:-(-d2.size // 8) * 8])
+            at = at[at < d2.size]                        # behind are marks of the block before
+            yield own[at // len(C)], at % len(C)
+
+    def _hold(self, q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        if len(q):
+            self.new.append((q, ids, d))
+            self.many += len(q)
+
+    def merge(self) -> None:
+        if not self.new:
             return
-        q = np.concatenate([self.q, q])
-        ids = ids if self.ids is None else np.concatenate([self.ids, ids])
-        d = np.concatenate([self.d, d])
-        keep = _first_k(q, np.lexsort((_id_order(ids), d, q)), self.k)
-        self.q, self.ids, self.d = q[keep], ids[keep], d[keep]
-        last = np.r_[self.q[1:] != self.q[:-1], True]
-        full = np.bincount(self.q, minlength=len(self.to_beat))[self.q[last]] >= self.k
-        self.to_beat[self.q[last][full]] = self.d[last][full]
+        q, ids, d = (np.concatenate(c) for c in zip(*self.new, strict=True))
+        self.new, self.many = [], 0
+        touched = np.zeros(len(self.Q), bool)
+        touched[q] = True
+        if self.ids is not None:
+            old = touched[self.q]
+            q, d = np.concatenate([self.q[old], q]), np.concatenate([self.d[old], d])
+            ids = np.concatenate([self.ids[old], ids])
+        order = np.lexsort((d, q))
+        same = (q[order][1:] == q[order][:-1]) & (d[order][1:] == d[order][:-1])
+        if same.any():                                   # ties go to the smaller id
+            tied = order[np.r_[False, same] | np.r_[same, False]]
+            code = np.zeros(len(q), np.int64)
+            code[tied] = np.unique(_id_order(ids[tied]), return_inverse=True)[1]
+            order = np.lexsort((code, d, q))
+        keep = _first_k(q, order, self.k)
+        q, ids, d = q[keep], ids[keep], d[keep]
+        last = np.r_[q[1:] != q[:-1], True]
+        full = np.bincount(q, minlength=len(self.Q))[q[last]] >= self.k
+        beaten = q[last][full]
+        self.to_beat[beaten] = np.minimum(self.to_beat[beaten], d[last][full])
+        if self.ids is not None:
+            rest = ~touched[self.q]
+            q, d = np.concatenate([self.q[rest], q]), np.concatenate([self.d[rest], d])
+            ids = np.concatenate([self.ids[rest], ids])
+        self.q, self.ids, self.d = q, ids, d
+
+
+def _marked(marks: np.ndarray) -> np.ndarray:
+    """``flatnonzero`` of a few marks among many, eight at a time."""
+    some = np.flatnonzero(marks.view(np.uint64))
+    row, at = np.nonzero(marks.reshape(-1, 8)[some])
+    return some[row] * 8 + at
+
+
+def _grouped(pairs, least: int = 2_048, most: int = 16_384):
+    """Pairs of arrays in pieces of ``least`` to about ``most`` places, but for the last."""
+    held, many = [], 0
+    for q, x in pairs:
+        for lo in range(0, len(q), most):
+            held.append((q[lo:lo + most], x[lo:lo + most]))
+            many += len(held[-1][0])
+            if many >= least:
+                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                held, many = [], 0
+    if many:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
 # --------------------------------------------------------------------------
@@ -240,23 +349,20 @@ def _scan_block(queries, corpus, k, qid, qvec, cid, cvec, dim):
 
     tbl = queries.toArrow()                               # bounded: one block
     ids = tbl.column(qid).combine_chunks() if tbl.num_rows else pa.array([])
-    Q = _list_matrix(tbl.column(qvec), dim) if tbl.num_rows else np.zeros((0, dim))
+    # the numbers as they are stored; tasks widen them
+    Q = tbl.column(qvec).combine_chunks().flatten().to_numpy(zero_copy_only=False) if tbl.num_rows else np.zeros(0)
     q_type, c_type = (to_arrow_type(queries.schema[qid].dataType),
                       to_arrow_type(corpus.schema[cid].dataType))
     out_schema = T.StructType([queries.schema[qid], corpus.schema[cid],
                                T.StructField("dist2", T.DoubleType())])
 
     def scan(batches):
-        best = _Best(len(Q), k)
+        best = _Best(Q.astype(np.float64).reshape(-1, dim), k)
         for whole in batches:
             for lo in range(0, whole.num_rows, _BATCH_ROWS):
                 rb = whole.slice(lo, _BATCH_ROWS)
-                X = _list_matrix(rb.column(1), dim)
-                pick = best.near(Q, X)
-                if len(pick):
-                    xids = rb.column(0).to_numpy(zero_copy_only=False)
-                    qi, xi, d2 = _block_topk(Q[pick], X, _id_order(xids), k)
-                    best.add(pick[qi], xids[xi], d2)
+                best.scan(_list_matrix(rb.column(1), dim), rb.column(0).to_numpy(zero_copy_only=False))
+        best.merge()
         if len(best.q):
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(best.q)).cast(q_type), pa.array(best.ids.tolist(), c_type),

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scour.operators.knn import (_EPS, _block_topk, _cell_dists, _final_topk, _id_order, _list_matrix,
+from scour.operators.knn import (_BATCH_ROWS, _EPS, _Best, _cell_dists, _final_topk, _id_order, _list_matrix,
                                  _nearest_cells, drawn_vectors, lloyd, split_valid)
 from scour.session import materialize
 
@@ -129,7 +129,7 @@ def _targets(index: CellIndex, k: int, nprobe: int | None, bounded: bool):
 
 def _sent(queries: DataFrame, index: CellIndex, k: int, nprobe: int | None, qid: str, qvec: str,
           bounded: bool) -> DataFrame:
-    """The queries, a row for every cell they go to."""
+    """The queries, a row for every cell they go to, with the distance to beat there."""
     of, dim = _targets(index, k, nprobe, bounded), index.dim
 
     def send(batches):
@@ -141,16 +141,19 @@ def _sent(queries: DataFrame, index: CellIndex, k: int, nprobe: int | None, qid:
                 q, cell = of(Q, beat)
                 at = pa.array(q)
                 yield pa.RecordBatch.from_arrays(
-                    [rb.column(0).take(at), rb.column(1).take(at), pa.array(cell.astype(np.int32))],
-                    names=[qid, qvec, "cell"])
+                    [rb.column(0).take(at), rb.column(1).take(at), pa.array(cell.astype(np.int32)),
+                     pa.array(beat[q] if bounded else np.full(len(q), np.inf))],
+                    names=[qid, qvec, "cell", "to_beat"])
 
-    schema = T.StructType([queries.schema[qid], queries.schema[qvec], T.StructField("cell", T.IntegerType())])
+    schema = T.StructType([queries.schema[qid], queries.schema[qvec], T.StructField("cell", T.IntegerType()),
+                           T.StructField("to_beat", T.DoubleType())])
     columns = [qid, qvec, "to_beat"] if bounded else [qid, qvec]
     return queries.select(*columns).mapInArrow(send, schema)
 
 
 def _met(sent: DataFrame, index: CellIndex, k: int, qid: str, qvec: str, query_rows: int) -> DataFrame:
-    """The k best of every block for its queries: query id, corpus id, dist2."""
+    """The k best of every block for its queries, as far as they come up to the distance to
+    beat: query id, corpus id, dist2."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark, dim, cid, cvec = sent.sparkSession, index.dim, index.cid, index.cvec
@@ -163,7 +166,7 @@ def _met(sent: DataFrame, index: CellIndex, k: int, qid: str, qvec: str, query_r
         [(int(c), int(index.pieces[c]), -(-n // query_rows)) for c, n in asked.items()],
         "cell int, pieces int, parts int"))
     left = sent.join(cells, "cell").select(
-        qid, qvec, "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
+        qid, qvec, "to_beat", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
         F.pmod(F.xxhash64(qid), F.col("parts")).cast("int").alias("part"))
     right = index.rows.join(cells, "cell").select(
         F.col(cid).alias("_cid"), F.col(cvec).alias("_cvec"), "cell", "piece",
@@ -171,15 +174,21 @@ def _met(sent: DataFrame, index: CellIndex, k: int, qid: str, qvec: str, query_r
     q_type, c_type = to_arrow_type(sent.schema[qid].dataType), to_arrow_type(index.rows.schema[cid].dataType)
 
     def best(asks: pa.Table, rows: pa.Table) -> pa.Table:
+        ids = pa.array([], c_type)
+        found = _Best(np.zeros((0, dim)), k)
         if asks.num_rows and rows.num_rows:
-            Q, X = _list_matrix(asks[qvec], dim), _list_matrix(rows["_cvec"], dim)
             ids = rows["_cid"].combine_chunks()
-            q, x, d2 = _block_topk(Q, X, _id_order(ids.to_numpy(zero_copy_only=False)), k)
-        else:
-            q = x = np.zeros(0, np.int64)
-            d2, ids = np.zeros(0), pa.array([], c_type)
+            place = pa.array(np.argsort(_id_order(ids.to_numpy(zero_copy_only=False)), kind="stable"))
+            ids, vectors = ids.take(place), rows["_cvec"].combine_chunks().take(place)
+            found = _Best(_list_matrix(asks[qvec], dim), k, asks["to_beat"].to_numpy())
+            order = np.arange(len(ids))                  # ids by their place in id order
+            for lo in range(0, len(ids), _BATCH_ROWS):
+                found.scan(_list_matrix(vectors.slice(lo, _BATCH_ROWS), dim), order[lo:lo + _BATCH_ROWS])
+            found.merge()
+        q, x = found.q, found.ids if len(found.q) else np.zeros(0, np.int64)
         return pa.table([asks[qid].combine_chunks().take(pa.array(q)).cast(q_type) if len(q) else pa.array([], q_type),
-                         ids.take(pa.array(x)).cast(c_type), pa.array(d2, pa.float64())], names=[qid, cid, "dist2"])
+                         ids.take(pa.array(x)).cast(c_type), pa.array(found.d, pa.float64())],
+                        names=[qid, cid, "dist2"])
 
     block = ["cell", "piece", "part"]
     return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(best, out_schema)

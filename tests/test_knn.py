@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from scour.operators.knn import build_ivf, knn, knn_single, split_valid
+from scour.operators.knn import _Best, _seq_sq_l2, build_ivf, knn, knn_single, split_valid
 
 
 def _data(spark, n=300, q=40, d=16, seed=3, dup=True):
@@ -98,3 +98,40 @@ def test_id_types(spark, kind):
     queries = corpus.selectExpr("doc_id as query_id", "embedding as qv")
     got = knn(queries, corpus, 1).collect()
     assert len(got) == 9 and all(r["query_id"] == r["doc_id"] for r in got)
+
+
+def _searched(X, Q, k, ids=None, to_beat=None, step=50):
+    best = _Best(Q, k, to_beat)
+    ids = np.arange(len(X)) if ids is None else ids
+    for lo in range(0, len(X), step):
+        best.scan(X[lo:lo + step], ids[lo:lo + step])
+    best.merge()
+    place = np.lexsort((best.ids, best.d, best.q))
+    return [best.ids[place][best.q[place] == i].tolist() for i in range(len(Q))]
+
+
+@pytest.mark.parametrize("shift,scale", [(0, 1), (1000, 0.01), (0, 1e-25), (0, 1e25), (-3, 1e6)])
+def test_screening_in_single_precision_is_exact(shift, scale):
+    """Far from the origin, tiny, and beyond single precision: the exact neighbours, ties by id."""
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(700, 12)) * scale + shift
+    X[300:340] = X[5]                                    # ties
+    X = X[rng.permutation(700)]
+    want = [np.lexsort((np.arange(700), _seq_sq_l2(np.tile(q, (700, 1)), X)))[:6].tolist() for q in X[:90]]
+    assert _searched(X, X[:90], 6) == want
+    beat = [_seq_sq_l2(X[i:i + 1], X[w[2]:w[2] + 1])[0] for i, w in enumerate(want)]
+    got = _searched(X, X[:90], 6, to_beat=np.array(beat))
+    assert all(g[:3] == w[:3] for g, w in zip(got, want, strict=True))
+
+
+def test_a_batch_is_compared_exactly_where_it_can_be_nearer_only(monkeypatch):
+    """Once a query has near rows, others cost no selection and no exact comparison."""
+    from scour.operators import knn as module
+
+    compared = []
+    exact = module._seq_sq_l2
+    monkeypatch.setattr(module, "_seq_sq_l2", lambda a, b: compared.append(len(a)) or exact(a, b))
+    rng = np.random.default_rng(10)
+    X = rng.normal(size=(20_000, 16))
+    _searched(X, X[:200], 5, step=1000)
+    assert sum(compared) < 200 * 5 * 12                  # 20 batches of 5 each before: 20,000
