@@ -30,7 +30,7 @@ from scour.operators.knn import (_cell_dists, _final_topk, _first_k, _id_order,
 from scour.session import materialize
 
 PART_ROWS = 5_000
-QUERY_ROWS = 2_000
+QUERY_ROWS = 8_000              # the index is sent once for each piece of so many queries
 _WALKERS = 256                  # queries that walk at once
 
 
@@ -51,16 +51,20 @@ def _nearest(X: np.ndarray, many: int) -> np.ndarray:
 
 def _thinned(X: np.ndarray, near: np.ndarray, degree: int) -> list[list[int]]:
     """Of the candidates, nearest first, those that no kept one is nearer to."""
-    n = len(X)
-    kept, size = np.full((n, degree), -1), np.zeros(n, np.int64)
-    for j in range(near.shape[1]):
-        c = near[:, j]
-        away = _sq(X, X[c])
-        between = np.where(kept >= 0, _sq(X[c][:, None, :], X[kept]), np.inf)
-        add = np.flatnonzero((between.min(1) >= away) & (size < degree))
-        kept[add, size[add]] = c[add]
-        size[add] += 1
-    return [row[:m].tolist() for row, m in zip(kept, size, strict=True)]
+    out = []
+    for lo in range(0, len(X), 2_048):
+        own, mine = X[lo:lo + 2_048], near[lo:lo + 2_048]
+        kept, size = np.full((len(own), degree), -1), np.zeros(len(own), np.int64)
+        for j in range(near.shape[1]):
+            c = mine[:, j]
+            away = _sq(own, X[c])
+            widest = max(1, int(size.max()))             # columns that hold something
+            between = np.where(kept[:, :widest] >= 0, _sq(X[c][:, None, :], X[kept[:, :widest]]), np.inf)
+            add = np.flatnonzero((between.min(1) >= away) & (size < degree))
+            kept[add, size[add]] = c[add]
+            size[add] += 1
+        out += [row[:m].tolist() for row, m in zip(kept, size, strict=True)]
+    return out
 
 
 def _reached(edges: list[list[int]], entry: int) -> np.ndarray:
@@ -96,27 +100,48 @@ def walk(X: np.ndarray, neighbours: np.ndarray, entry: int, Q: np.ndarray, beam:
          ) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of the ``beam`` best rows that walks from the entry have seen.
     ``neighbours`` is padded with -1."""
+    real = neighbours >= 0
+    return _walk(X, np.r_[0, np.cumsum(real.sum(1))], neighbours[real], entry, Q, beam)
+
+
+def _walk(X: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: int, Q: np.ndarray, beam: int,
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """``walk`` over the neighbours of row i at ``ends[starts[i]:starts[i + 1]]``. Distances
+    are taken to rows not seen before only, and only what is nearer than the beam's last enters it."""
     n, q = len(X), len(Q)
     row = np.full((q, beam), -1)
     d2 = np.full((q, beam), np.inf)
     fresh = np.zeros((q, beam), bool)                     # seen, not expanded
-    seen = np.zeros((q, n + 1), bool)
-    seen[:, n] = True                                     # the padding
+    seen = np.zeros((q, n), bool)
     row[:, 0], fresh[:, 0], seen[:, entry] = entry, True, True
     d2[:, 0] = _sq(Q, X[entry])
     while len(go := np.flatnonzero(fresh.any(1))):
-        best = np.where(fresh[go], d2[go], np.inf).argmin(1)
+        best = fresh[go].argmax(1)                        # the beam is in order of distance
         fresh[go, best] = False
-        to = neighbours[row[go, best]]
-        new = ~seen[go[:, None], to]
-        np.put_along_axis(block := seen[go], np.where(to < 0, n, to), True, 1)
-        seen[go] = block
-        far = np.where(new, _sq(Q[go][:, None, :], X[to]), np.inf)
-        all_d = np.concatenate([d2[go], far], 1)
+        at = row[go, best]
+        many = starts[at + 1] - starts[at]
+        w = np.repeat(go, many)
+        to = ends[np.arange(len(w)) + np.repeat(starts[at] - np.r_[0, np.cumsum(many)[:-1]], many)]
+        new = ~seen[w, to]
+        w, to = w[new], to[new]
+        seen[w, to] = True
+        far = _sq(Q[w], X[to])
+        in_beam = far < d2[w, -1]
+        w, to, far = w[in_beam], to[in_beam], far[in_beam]
+        if not len(w):
+            continue
+        first = np.r_[True, w[1:] != w[:-1]]
+        go = w[first]
+        place = np.cumsum(first) - 1                      # of the walker in ``go``
+        column = beam + np.arange(len(w)) - np.flatnonzero(first)[place]
+        shape = (len(go), int(column.max()) + 1)
+        all_d, all_row, all_fresh = np.full(shape, np.inf), np.full(shape, -1), np.zeros(shape, bool)
+        all_d[:, :beam], all_row[:, :beam], all_fresh[:, :beam] = d2[go], row[go], fresh[go]
+        all_d[place, column], all_row[place, column], all_fresh[place, column] = far, to, True
         order = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
         d2[go] = np.take_along_axis(all_d, order, 1)
-        row[go] = np.take_along_axis(np.concatenate([row[go], np.where(new, to, -1)], 1), order, 1)
-        fresh[go] = np.take_along_axis(np.concatenate([fresh[go], new], 1), order, 1) & np.isfinite(d2[go])
+        row[go] = np.take_along_axis(all_row, order, 1)
+        fresh[go] = np.take_along_axis(all_fresh, order, 1)
     asked, at = np.nonzero(row >= 0)
     return asked, row[asked, at]
 
@@ -178,15 +203,14 @@ def knn_graph(queries: DataFrame, index: GraphIndex, k: int = 5, *, qid: str = "
         rows = rows.take(pa.array(np.argsort(rows["node"].to_numpy())))
         X, ids = _list_matrix(rows["_cvec"], dim), rows["_cid"].combine_chunks()
         order = _id_order(ids.to_numpy(zero_copy_only=False))
-        edges = rows["neighbours"].to_pylist()
-        padded = np.full((len(edges), max(1, max(map(len, edges)))), -1)
-        for i, e in enumerate(edges):
-            padded[i, :len(e)] = e
+        edges = rows["neighbours"].combine_chunks()
+        starts = np.r_[0, np.cumsum(edges.value_lengths().to_numpy())]
+        ends = edges.flatten().to_numpy()
         Q = _list_matrix(asks[qvec], dim)
         entry = int(np.flatnonzero(rows["entry"].to_numpy(zero_copy_only=False))[0])
         hits = []
         for lo in range(0, len(Q), _WALKERS):
-            q, x = walk(X, padded, entry, Q[lo:lo + _WALKERS], width)
+            q, x = _walk(X, starts, ends, entry, Q[lo:lo + _WALKERS], width)
             d2 = _seq_sq_l2(Q[q + lo], X[x])
             keep = _first_k(q, np.lexsort((order[x], d2, q)), k)
             hits.append((q[keep] + lo, x[keep], d2[keep]))

@@ -66,3 +66,18 @@ def test_string_ids(spark):
     queries = corpus.selectExpr("doc_id as query_id", "embedding as qv")
     got = knn_blocks(queries, build_cells(corpus, dim=2, coarse=2, fine=2), 1).collect()
     assert len(got) == 9 and all(r["query_id"] == r["doc_id"] for r in got)
+
+
+def test_the_second_pass_returns_what_beats_the_first(spark, monkeypatch):
+    from scour.operators import knn_blocks as module
+
+    X, Q, corpus, queries = _data(spark, n=600, q=60, d=4, dup=False)
+    index = build_cells(corpus, dim=4, coarse=6, fine=4)
+    merged = []
+    final = module._final_topk
+    monkeypatch.setattr(module, "_final_topk", lambda c, *a: merged.append(c.count()) or final(c, *a))
+    assert _hits(knn_blocks(queries, index, 5)) == _brute(X, Q, 5)
+    far = merged[-1] - 60 * 5
+    cells = module._sent(queries.withColumn("to_beat", module.F.lit(float("inf"))), index, 5, None,
+                         "query_id", "qv", True).count()
+    assert far < cells                                   # k a cell and query before

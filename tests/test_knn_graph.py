@@ -44,3 +44,23 @@ def test_graph_of_few_bad_and_no_rows(spark):
     assert _hits(knn_graph(queries, build_graph(corpus.limit(1), dim=2), 50)) == {1: [0]}
     assert knn_graph(queries, build_graph(corpus.limit(0), dim=2), 3).count() == 0
     assert knn_graph(queries.limit(0), build_graph(corpus, dim=2), 3).count() == 0
+
+
+def test_a_walk_takes_no_distance_twice(monkeypatch):
+    """A hub with many neighbours does not widen the work of all others."""
+    from scour.operators import knn_graph as module
+
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(400, 6))
+    edges, entry = neighbour_graph(X, 6)
+    edges[entry] = sorted(set(range(400)) - {entry})
+    padded = np.full((400, 399), -1)
+    for i, e in enumerate(edges):
+        padded[i, :len(e)] = e
+    taken = []
+    plain = module._sq
+    monkeypatch.setattr(module, "_sq", lambda a, b: (lambda d: taken.append(d.size) or d)(plain(a, b)))
+    q, x = walk(X, padded, entry, X[:20], 30)
+    assert len(q) == 20 * 30 and sum(taken) <= 20 * 400
+    for i in range(20):                                  # all are neighbours of the entry: exact
+        assert set(x[q == i]) == set(np.argsort(plain(X, X[i]))[:30])
