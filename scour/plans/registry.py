@@ -437,9 +437,11 @@ def ingest_stream(spark, sf):
     path, source = scratch_path(spark, "stream-index"), scratch_path(spark, "stream-source")
     idx.create_if_missing(spark, path, DIM)
     idx.append_rows(spark, path, idx.to_index_rows(_embedded(spark, labelled), -1))
-    docs.select("text").repartition(STREAM_FILES).write.parquet(source)
+    # as many micro-batches at any size: a batch is several files where the input has many splits
+    each = -(-docs.rdd.getNumPartitions() // STREAM_FILES)
+    docs.select("text").repartition(STREAM_FILES * each).write.parquet(source)
     first = scratch_path(spark, "stream-ckpt")
-    for ckpt, files in ((first, 1), (first, 1), (scratch_path(spark, "stream-ckpt"), STREAM_FILES)):
+    for ckpt, files in ((first, each), (first, each), (scratch_path(spark, "stream-ckpt"), STREAM_FILES * each)):
         _ingest_stream(spark, source, path, ckpt, dim=DIM, max_files_per_trigger=files)
     return (idx.read_index(spark, path).groupBy("doc_id", F.size("embedding").alias("width"))
             .agg(F.count(F.lit(1)).alias("n"), F.min((F.col("run_id") < 0).cast("int")).alias("old")))

@@ -187,3 +187,23 @@ def test_stream_replay_adds_nothing(spark):
     # a new checkpoint replays everything: the content ids make it a no-op
     ingest_stream(spark, src + "/*", path, os.path.join(base, "ckpt2"))
     assert idx.read_index(spark, path).count() == 3
+
+
+def test_stream_source_has_files_by_its_splits(spark, monkeypatch):
+    """As many micro-batches at any size, but no file of a third of a large input."""
+    from scour.plans import registry
+    from tests.conftest import SF_SMALL
+
+    runs = []
+    monkeypatch.setattr(registry, "_ingest_stream", lambda spark, source, *a, max_files_per_trigger, **o: runs.append(
+        (len(spark.read.parquet(source).inputFiles()), max_files_per_trigger)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        many = registry._t(spark, SF_SMALL, "documents").rdd.getNumPartitions()
+        registry.ingest_stream(spark, SF_SMALL)
+    finally:
+        spark.conf.set(key, before)
+    assert many > 3 and runs[0][0] >= many and runs[-1][1] == runs[0][0]
+    assert runs[0] == runs[1] and -(-runs[0][0] // runs[0][1]) == registry.STREAM_FILES
