@@ -129,7 +129,7 @@ def hash_vector(text: str | None, dim: int = DEFAULT_DIM, max_chars: int | None
 
 # Texts are tokenised a chunk at a time so the token list of one Arrow batch
 # stays bounded in memory (a batch may hold thousands of long documents).
-_CHUNK_CHARS = 8 << 20
+_CHUNK_CHARS = 1 << 20
 
 
 def _hash_chunk(texts, dim, max_chars, vecs, errs, base):

@@ -77,3 +77,18 @@ def test_batch_hash_vectors_equal_per_text():
                     assert (v is None and want_v is None) or np.array_equal(v, want_v)
         finally:
             E._CHUNK_CHARS = old_chunk
+
+
+def test_many_texts_are_embedded_in_bounded_memory():
+    import tracemalloc
+
+    from scour.operators.embed import hash_vectors
+
+    texts = [" ".join(f"w{(i * 131 + j) % 9973}" for j in range(180)) for i in range(6_000)]
+    tracemalloc.start()
+    try:
+        hash_vectors(texts, 16)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 << 20                               # all 6 million characters at once: over 100 MB
