@@ -48,3 +48,5 @@ def text_blocks(batches: Iterator[pa.RecordBatch],
             size += len(t)
         if texts:
             yield ids, texts
+        del batch, column, texts
+        pa.default_memory_pool().release_unused()        # the worker lives on, beside the next steps

@@ -52,6 +52,10 @@ WORDS = 16
 EARLIER = 8
 
 
+#: Characters of texts, and hashes of words, that a task holds at once.
+BLOCK_CHARS, HASHES = 1_000_000, 100_000
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh64_intdigest(word)
@@ -137,8 +141,8 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, cid (the class of equal sets; null without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for ids, texts in text_blocks(batches):
-            if len(hashes) > 500_000:
+        for ids, texts in text_blocks(batches, BLOCK_CHARS):
+            if len(hashes) > HASHES:
                 hashes.clear()
             sets = [ngram_set(t, n, hashes) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -153,8 +157,8 @@ def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """key, cid, n: a row per segment of every class; copies within a task once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _Hashes(), set()
-        for _, texts in text_blocks(batches):
-            if len(hashes) > 500_000:
+        for _, texts in text_blocks(batches, BLOCK_CHARS):
+            if len(hashes) > HASHES:
                 hashes.clear()
             keys, cids, sizes, counts = [], [], [], []
             for t in texts:
@@ -203,8 +207,8 @@ def segments(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, none = _Hashes(), [None] * (1 + WORDS)
-        for _, texts in text_blocks(batches, 1_000_000):
-            if len(hashes) > 500_000:
+        for _, texts in text_blocks(batches, BLOCK_CHARS):
+            if len(hashes) > HASHES:
                 hashes.clear()
             rows = []
             for t in texts:

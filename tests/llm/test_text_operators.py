@@ -624,3 +624,19 @@ def test_parity_bitmaps_bound_the_difference():
             apart = len(np.setxor1d(a, b))
             got = jaccard_join.bits_apart(jaccard_join.parity(a), jaccard_join.parity(b))
             assert got <= apart and (apart > 0 or got == 0) and got % 2 == apart % 2
+
+
+def test_jaccard_tasks_hold_small_blocks():
+    """A task of many texts gives its rows a block at a time."""
+    import pyarrow as pa
+
+    from scour.llm.jaccard_join import classes, keyed
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [" ".join(f"w{i}x{j % 400}" for j in range(1_000)) for i in range(400)]      # 2.8 million characters
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["doc_id", "text"])
+    for of in (lambda d: classes(d, 4), lambda d: keyed(d, 4, 85)):
+        assert len(list(of(Docs())(iter([batch])))) > 2
