@@ -334,8 +334,10 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, settle: float
         undecided = stage(
             placed.withColumns({"first": F.min("comp").over(bucket), "last": F.max("comp").over(bucket)})
             .filter("first < last").select("key", "cid", "n", "comp").distinct(), "jaccard-undecided")
-        marks = bounded(cut.filter("fragment = -1").select("cid", *[f"w{i}" for i in range(WORDS)]))
         outside = outsiders(undecided)
+        if not outside:                                   # every bucket's classes are of one component
+            break
+        marks = bounded(cut.filter("fragment = -1").select("cid", *[f"w{i}" for i in range(WORDS)]))
         last = before is not None and outside > before * settle
         before, turn = outside, turn + 1
         pairs = remaining(undecided, marks, percent) if last else drawn(undecided, marks, percent, turn)

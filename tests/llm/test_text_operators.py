@@ -640,3 +640,21 @@ def test_jaccard_tasks_hold_small_blocks():
     batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["doc_id", "text"])
     for of in (lambda d: classes(d, 4), lambda d: keyed(d, 4, 85)):
         assert len(list(of(Docs())(iter([batch])))) > 2
+
+
+@pytest.mark.parametrize("settle", [0.0, 0.8])
+def test_jaccard_ends_when_nothing_is_open(spark, monkeypatch, settle):
+    """No bucket with classes of two components is left, at once or after a turn."""
+    turns = []
+
+    def few(undecided, count=jaccard_join.outsiders):
+        turns.append(count(undecided))
+        assert len(turns) < 12, turns
+        return turns[-1]
+
+    monkeypatch.setattr(jaccard_join, "outsiders", few)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(d, " ".join(base + [f"x{d}"])) for d in range(1, 4)] + [(9, "a text of its own here")]
+    got = jaccard_join.join_components(frame(spark, rows), settle=settle).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 9: 9}
+    assert turns[-1] == 0
