@@ -44,8 +44,10 @@ from scour.llm.components import components
 
 FRAGMENTS = 8                   # of the verification; a power of two
 LEVEL_RATIO = 1.4
-#: Class ids up to this many are broadcast (8 bytes each); more are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Rows of up to this many bytes (8 a column) are broadcast; more are shuffled. The
+#: driver holds a broadcast table at several times that, and those of earlier turns
+#: until its garbage is collected.
+BROADCAST_BYTES = 8_000_000
 #: 64-bit words of the parity bitmap that rules pairs out inside the join.
 WORDS = 16
 #: Keys of a class that are compared to make a pair in its first common bucket only.
@@ -266,8 +268,8 @@ def near_enough(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
 
 
 def bounded(rows: DataFrame) -> DataFrame:
-    """A written table of a few ids a row, broadcast where it has few enough rows."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    """A written table of numbers, broadcast where it is small enough."""
+    return F.broadcast(rows) if rows.count() * 8 * len(rows.columns) <= BROADCAST_BYTES else rows
 
 
 def verify(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
@@ -356,6 +358,10 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, settle: float
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def sizes_allow(percent: int) -> Column:
+    return 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+
+
 def alike(percent: int) -> Column:
     """Can two rows (n, w0, ... and n2, o0, ...) reach the similarity, by their sizes
     and by the bits in which their bitmaps of fixed size differ? Inside a join it
@@ -363,7 +369,7 @@ def alike(percent: int) -> Column:
     apart = F.lit(0)
     for i in range(WORDS):
         apart = apart + F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"o{i}")))
-    return ((100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    return (sizes_allow(percent)
             & (apart * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)))
 
 
@@ -373,9 +379,12 @@ def as_other(marks: DataFrame) -> DataFrame:
 
 def nearest(rows: DataFrame, other: str) -> DataFrame:
     """(cid, other): for each class the one it shares most buckets with."""
-    return (rows.filter(F.col("cid") != F.col(other)).groupBy("cid", F.col(other).alias("other"))
-            .agg(F.count(F.lit(1)).alias("shared")).groupBy("cid")
-            .agg(F.max_by("other", F.struct("shared", "other")).alias("other")))
+    return most_shared(rows.filter(F.col("cid") != F.col(other)).groupBy("cid", F.col(other).alias("other"))
+                       .agg(F.count(F.lit(1)).alias("shared")))
+
+
+def most_shared(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("cid").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
 
 
 def drawn(undecided: DataFrame, marks: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -392,16 +401,21 @@ def drawn(undecided: DataFrame, marks: DataFrame, percent: int, turn: int) -> Da
         F.max_by("d.one", F.struct("many", "comp")).alias("a"), F.min("d")["one"].alias("b"))
     small = undecided.join(draw.select("key", "big", F.explode(F.array("a", "b")).alias("one")), "key").filter(
         "comp != big").select("key", "cid", "n", "comp", "one.*").filter("comp != comp2")
-    met = small.join(as_other(marks), "other").join(marks, "cid").filter(alike(percent))
-    return nearest(met, "other")
+    pairs = stage(small.filter(sizes_allow(percent)).groupBy("cid", "n", "other", "n2").agg(
+        F.count(F.lit(1)).alias("shared")), "jaccard-draws")
+    met = pairs.join(as_other(marks), "other").join(marks, "cid").filter(alike(percent))
+    return most_shared(met)
 
 
-def with_earlier(undecided: DataFrame) -> DataFrame:
-    """The rows with ``earlier``, the EARLIER keys of the class before this one in the
-    order of the keys. A class has a key per segment, so its keys fit in one row."""
+def with_earlier(undecided: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows with the bitmap of their class and with ``earlier``, the EARLIER keys of
+    the class before this one in the order of the keys. A class has a key per segment,
+    so its keys fit in one row."""
     keys = undecided.groupBy("cid", "n", "comp").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    return keys.select("cid", "n", "comp", "keys", F.posexplode("keys").alias("at", "key")).select(
-        "key", "cid", "n", "comp",
+    bits = [f"w{i}" for i in range(WORDS)]
+    return keys.join(marks, "cid").select(
+        "cid", "n", "comp", *bits, "keys", F.posexplode("keys").alias("at", "key")).select(
+        "key", "cid", "n", "comp", *bits,
         F.slice("keys", F.greatest(F.col("at") - EARLIER + 1, F.lit(1)), F.least("at", F.lit(EARLIER)))
         .alias("earlier"))
 
@@ -411,12 +425,13 @@ def remaining(undecided: DataFrame, marks: DataFrame, percent: int) -> DataFrame
     can reach the similarity: one of the two is always outside the bucket's
     largest component. A pair that shares many buckets is made in the first, and
     in others only where the keys just before are not shared."""
-    rows = stage(with_earlier(undecided), "jaccard-remaining")
+    rows = stage(with_earlier(undecided, marks), "jaccard-remaining")
     big = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(
         F.max_by("comp", F.struct("many", "comp")).alias("big"))
     other = rows.select("key", F.col("cid").alias("other"), F.col("n").alias("n2"), F.col("comp").alias("comp2"),
-                        F.col("earlier").alias("earlier2")).join(as_other(marks), "other")
-    small = rows.join(big, "key").filter("comp != big").join(marks, "cid")
+                        F.col("earlier").alias("earlier2"),
+                        *[F.col(f"w{i}").alias(f"o{i}") for i in range(WORDS)])
+    small = rows.join(big, "key").filter("comp != big")
     return small.join(other, (small["key"] == other["key"]) & (F.col("comp") != F.col("comp2"))
                       & alike(percent) & ~F.arrays_overlap("earlier", "earlier2")).select(
         F.least("cid", "other").alias("cid"), F.greatest("cid", "other").alias("other")).distinct()

@@ -658,3 +658,20 @@ def test_jaccard_ends_when_nothing_is_open(spark, monkeypatch, settle):
     got = jaccard_join.join_components(frame(spark, rows), settle=settle).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 9: 9}
     assert turns[-1] == 0
+
+
+def test_jaccard_broadcasts_are_bounded_by_bytes(spark, monkeypatch, corpus):
+    """Wide rows are not broadcast where as many ids are; results don't depend on it."""
+    def hinted(rows):
+        return "ResolvedHint" in rows._jdf.queryExecution().analyzed().toString()
+
+    ids = spark.range(60_000)
+    assert hinted(jaccard_join.bounded(ids))
+    assert not hinted(jaccard_join.bounded(ids.select("id", *[F.col("id").alias(f"w{i}") for i in range(16)])))
+
+    def found():
+        return sorted(map(str, jaccard_join.join_components(frame(spark, corpus), settle=0.0).collect()))
+
+    before = found()
+    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", -1)
+    assert found() == before
