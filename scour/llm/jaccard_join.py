@@ -320,10 +320,14 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, settle: float
                     .select("key", "cid", "n", F.min("cid").over(bucket).alias("lo"),
                             F.max("cid").over(bucket).alias("hi"))
                     .filter("lo < hi").select("key", "cid", "n", "lo"), "jaccard-buckets")
+    if members.isEmpty():                                 # no two classes meet: there are no links
+        alone = sized.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("component_id"))
+        return labelled_by(sized, alone)
     reps = stage(sized.join(members.select("cid").distinct(), "cid", "left_semi")
                  .groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "jaccard-representatives")
     cut = stage(segments_once(docs, sized, reps, n), "jaccard-segments")
 
+    marks = bounded(cut.filter("fragment = -1").select("cid", *[f"w{i}" for i in range(WORDS)]))
     links = stage(verify(nearest(members, "lo"), cut, percent), "jaccard-links")
     undecided, turn, last, before = members, 0, False, None
     while True:
@@ -339,11 +343,12 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, settle: float
         outside = outsiders(undecided)
         if not outside:                                   # every bucket's classes are of one component
             break
-        marks = bounded(cut.filter("fragment = -1").select("cid", *[f"w{i}" for i in range(WORDS)]))
         last = before is not None and outside > before * settle
         before, turn = outside, turn + 1
         pairs = remaining(undecided, marks, percent) if last else drawn(undecided, marks, percent, turn)
-        links = links.unionByName(stage(verify(pairs, cut, percent), "jaccard-links"))
+        # a component is as well told by the links to its smallest class as by all of its links
+        links = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
+            stage(verify(pairs, cut, percent), "jaccard-links"))
     labelled = sized.select("cid", "doc_id").join(
         comps.withColumnRenamed("node", "cid"), "cid", "left").select(
         "doc_id", "cid", F.coalesce("component", "cid").alias("comp"))
@@ -354,6 +359,11 @@ def join_components(df: DataFrame, n: int = 4, percent: int = 85, settle: float
                              .join(comps.select(F.col("node").alias("cid")), "cid", "left_anti")
                              .select("cid", F.col("cid").alias("comp")))
                 .join(first, "comp").select("cid", "component_id"))
+    return labelled_by(sized, by_class)
+
+
+def labelled_by(sized: DataFrame, by_class: DataFrame) -> DataFrame:
+    """The documents with the component of their class; one without words is its own."""
     return sized.join(by_class, "cid", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -303,15 +303,26 @@ def span_text(kind: str, spans: Column) -> Column:
                                                  F.lit(":"), s["end"].cast("string")))
 
 
+def can_be_written(df: DataFrame) -> bool:
+    """Can Parquet hold the columns? It has no void and no interval, and a name once only."""
+    kinds = df.schema.simpleString()
+    return (not ("void" in kinds or "interval" in kinds)
+            and len({c.lower() for c in df.columns}) == len(df.columns))
+
+
 def find(df: DataFrame, threshold: float = 0.9, text_col: str = "text") -> DataFrame:
     """``df`` with _email, _ip, _card, _phone and _other: arrays of
     struct<start, end, value>, code points, end exclusive. If ``df`` has a column
     of one of these names (or _candidates), all five get more underscores.
 
     Null and empty texts have no spans; rows stay as they are, repeated ones
-    repeated; without candidates nothing is learned and _other is empty."""
+    repeated; without candidates nothing is learned and _other is empty. The texts are
+    searched once: the rows with their base spans and candidates are written, and learning
+    and the result read them, so that the plans of later steps hold no patterns."""
     prefix = free_prefix(df)
     annotated = annotate(df, text_col, prefix)
+    if can_be_written(annotated):
+        annotated = stage(annotated, "pii-spans")
     model = learn(annotated, prefix)
     return annotated.withColumn(prefix + "other", accepted(model, threshold, prefix)).drop(
         prefix + "candidates")

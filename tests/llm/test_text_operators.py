@@ -134,6 +134,51 @@ def test_jaccard_of_nothing(spark):
     assert jaccard_join.join_components(empty(spark)).count() == 0
 
 
+def test_jaccard_without_pairs_compares_nothing(spark, monkeypatch):
+    written, stage = [], jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name: written.append(name) or stage(df, name))
+    rows = [(7, "one two three four five"), (3, "one two three four five"), (3, "ONE two three four five"),
+            (5, "six seven eight nine ten"), (2, None), (2, " "), (None, "six seven eight nine ten"), (None, "")]
+    got = sorted(jaccard_join.join_components(frame(spark, rows)).collect(), key=str)
+    want = [(7, 2, 3), (3, 2, 3), (3, 2, 3), (5, 2, 5), (2, 0, 2), (2, 0, 2), (None, 2, 5), (None, 0, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert written == ["jaccard-classes", "jaccard-buckets"]
+
+
+def test_jaccard_turns_start_from_the_components_before(spark, monkeypatch):
+    """The links found so far go into the next turn as one to each class's smallest."""
+    seen, found = [], jaccard_join.components
+
+    def spied(links, name):
+        out = found(links, name)
+        seen.append(links.filter("a = b").count())        # a smallest class, linked to itself
+        return out
+
+    monkeypatch.setattr(jaccard_join, "components", spied)
+    rnd = random.Random(31)
+    rows, w = [], words(rnd, 150)
+    for d in range(40):                                   # a chain: each like the few before it only
+        rows.append((d, " ".join(w)))
+        w = list(w)
+        w[rnd.randrange(150)] = f"new{d}"
+    sets = {d: {tuple(t.lower().split()[i:i + 4]) for i in range(147)} for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_components(frame(spark, rows)).collect()}
+    assert got == {d: root(d) for d in sets}
+    assert len(seen) > 1 and seen[0] == 0 and all(seen[1:])
+
+
 # ----------------------------------------------------------------- quality rules
 
 def base_counts(text):
@@ -461,6 +506,22 @@ def test_pii_many_matches_in_one_text(spark):
     assert masked == "".join(out) + text[at:]
 
 
+def test_pii_texts_are_searched_once(spark, monkeypatch):
+    annotated, annotate = [], pii.annotate
+    monkeypatch.setattr(pii, "annotate", lambda *a: annotated.append(1) or annotate(*a))
+    rows = [(1, "call +1 555 010 2030 or a@b.example"), (2, None), (2, ""), (None, "id 555-1000-2000")]
+    df = frame(spark, rows).withColumn("nothing", F.lit(None))
+    for given in (df.drop("nothing"), df):                # a void column can't be written
+        out = pii.redact(given)
+        assert out.columns == given.columns and out.dtypes == given.dtypes
+        texts = sorted((str(r["doc_id"]), r["text"]) for r in out.collect() if r["text"])
+        assert texts[0][1] == "call [phone] or [email]" and len(texts) == 2 and out.count() == 4
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("regexp_extract_all" in plan.replace(f"{{1,{pii.PIECE}}}), 0)", "") and pii.EMAIL in plan) == (
+            "nothing" in given.columns)
+    assert len(annotated) == 2
+
+
 def test_pii_context_of_candidates(spark):
     text = "".join(f"𝒳 phone {'é' * (i % 40)} (415) 555-{1000 + i} or" for i in range(400))
     got = pii.annotate(frame(spark, [(1, text), (2, "555 1000 2000"), (3, "a@b.c 555-1000 1.2.3.4")]))
