@@ -36,6 +36,9 @@ REACH = 2
 FEATURES = 2 * DIM + 2
 HIDDEN = 32
 
+#: Characters of texts, and buckets of words, that a task holds at once.
+BLOCK_CHARS, WORDS = 1_000_000, 100_000
+
 
 class _Buckets(dict):
     """Bucket of each word seen; emptied by the caller when it grows large."""
@@ -54,7 +57,7 @@ def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
 def bucket_words(texts: list[str], buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every word of a block, and the number of words of each text."""
-    if len(buckets) > 500_000:
+    if len(buckets) > WORDS:
         buckets.clear()
     rows = []
     for t in texts:
@@ -69,7 +72,7 @@ def context_sums(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
         places, signs = index_vectors()
         total = np.zeros(BUCKETS * DIM)
         buckets = _Buckets()
-        for _, texts in text_blocks(batches):
+        for _, texts in text_blocks(batches, BLOCK_CHARS):
             b, n = bucket_words(texts, buckets)
             doc = np.repeat(np.arange(len(n)), n)
             for o in range(1, REACH + 1):
@@ -102,7 +105,7 @@ def pool(df: DataFrame, vectors: np.ndarray, id_col: str, text_col: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, buckets = shared.value, _Buckets()
-        for ids, texts in text_blocks(batches, 1_000_000):
+        for ids, texts in text_blocks(batches, BLOCK_CHARS):
             b, n = bucket_words(texts, buckets)
             out = np.zeros((len(n), FEATURES), np.float32)
             full = np.flatnonzero(n)
