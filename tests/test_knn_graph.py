@@ -64,3 +64,75 @@ def test_a_walk_takes_no_distance_twice(monkeypatch):
     assert len(q) == 20 * 30 and sum(taken) <= 20 * 400
     for i in range(20):                                  # all are neighbours of the entry: exact
         assert set(x[q == i]) == set(np.argsort(plain(X, X[i]))[:30])
+
+
+def _padded(edges):
+    out = np.full((len(edges), max(map(len, edges))), -1)
+    for i, e in enumerate(edges):
+        out[i, :len(e)] = e
+    return out
+
+
+def test_a_group_of_walkers_compares_a_row_once(monkeypatch):
+    """What one walker comes to is compared with all of its group, by one product."""
+    from scour.operators import knn_graph as module
+
+    X = np.random.default_rng(12).normal(size=(900, 12))
+    edges, entry = neighbour_graph(X, 12)
+    compared = []
+    plain = module._Walks._compare
+    monkeypatch.setattr(module._Walks, "_compare",
+                        lambda self, Q, held, rows: compared.extend(rows.tolist()) or plain(self, Q, held, rows))
+    q, x = walk(X, _padded(edges), entry, X[:300] + 0.01, 20)
+    assert len(q) == 300 * 20 and len(compared) == len(set(compared)) <= 900
+
+
+def test_a_graph_holds_more_rows_and_is_wider_there(spark):
+    """More than 5,000 rows are one graph, in which a walker alone finds as much."""
+    from scour.operators import knn_graph as module
+
+    rng = np.random.default_rng(13)
+    X = rng.normal(size=(8_000, 24))
+    corpus = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "doc_id long, embedding array<double>")
+    index = build_graph(corpus, dim=24, degree=8)
+    rows = index.rows.orderBy("node").collect()
+    assert index.parts == 1 and len(rows) == 8_000
+    assert np.mean([len(r["neighbours"]) for r in rows]) > 8
+    starts = np.r_[0, np.cumsum([len(r["neighbours"]) for r in rows])]
+    walks = module._Walks(np.array([r["embedding"] for r in rows]), starts,
+                          np.concatenate([r["neighbours"] for r in rows]), [r["entry"] for r in rows].index(True))
+    hits = 0
+    for q in rng.normal(size=(40, 24)):
+        _, x = walks.of(q[None], 64)
+        near = np.argsort(((X - q) ** 2).sum(1))[:5].tolist()
+        hits += len(set(near) & {rows[i]["doc_id"] for i in x.tolist()})
+    assert hits >= 0.9 * 200
+
+
+@pytest.mark.parametrize("kind", ["far", "tight", "outlier", "endless", "tiny"])
+def test_walks_of_odd_vectors_find_their_neighbours(kind):
+    """Far from the origin, in tight clusters far apart, beside vectors of another size."""
+    rng = np.random.default_rng(14)
+    X = rng.normal(size=(1_500, 16))
+    if kind == "far":
+        X = X * 0.01 + 1_000.0
+    if kind == "tight":
+        X = np.repeat(rng.normal(size=(5, 16)), 300, axis=0) * 100 + X * 0.01
+    if kind == "tiny":
+        X = X * 1e-25
+    asked = np.arange(3, 1_500, 30)
+    Q = X[asked] * (1 + 1e-7)
+    if kind == "outlier":
+        X[0] *= 1e30
+    if kind == "endless":
+        X[0, 3] = np.inf
+    edges, entry = neighbour_graph(X, 16)
+    assert _reached(edges, entry).all()
+    found = 0
+    with np.errstate(all="ignore"):
+        for i, q in zip(asked, Q, strict=True):
+            _, x = walk(X, _padded(edges), entry, q[None], 64)
+            near = np.argsort(((X - q) ** 2).sum(1))[:5].tolist()
+            assert i in x
+            found += len(set(near) & set(x.tolist()))
+    assert found >= 0.9 * 5 * len(asked)
